@@ -3,12 +3,16 @@
 from lobspark.llm.decontaminate import OP2_SQL, op2_decontamination
 from lobspark.llm.packing import op9_best_fit_packing
 from lobspark.llm.simhash import op6_simhash
+from lobspark.llm.substrings import OP1_SQL, op1_substring_dedup
+from lobspark.llm.suffixes import op4_suffix_dedup
 from lobspark.llm.tokens import op10_token_counts
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
-SQL = {"op2_decontamination": OP2_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL}
