@@ -2,15 +2,19 @@
 
 from lobspark.llm.decontaminate import OP2_SQL, op2_decontamination
 from lobspark.llm.packing import op9_best_fit_packing
+from lobspark.llm.quality import op3_quality_classifier
 from lobspark.llm.simhash import op6_simhash
 from lobspark.llm.substrings import OP1_SQL, op1_substring_dedup
 from lobspark.llm.suffixes import op4_suffix_dedup
 from lobspark.llm.tokens import op10_token_counts
+from lobspark.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
