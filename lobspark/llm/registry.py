@@ -2,6 +2,7 @@
 
 from lobspark.llm.decontaminate import OP2_SQL, op2_decontamination
 from lobspark.llm.packing import op9_best_fit_packing
+from lobspark.llm.pii import op7_pii
 from lobspark.llm.quality import op3_quality_classifier
 from lobspark.llm.simhash import op6_simhash
 from lobspark.llm.substrings import OP1_SQL, op1_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
