@@ -243,7 +243,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = found(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["plain"])
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
     more = F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long").alias("n_disguised")
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), more)
 

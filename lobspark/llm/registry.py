@@ -4,6 +4,7 @@ from lobspark.llm.decontaminate import OP2_SQL, op2_decontamination
 from lobspark.llm.packing import op9_best_fit_packing
 from lobspark.llm.pii import op7_pii
 from lobspark.llm.quality import op3_quality_classifier
+from lobspark.llm.rules import op8_quality_rules
 from lobspark.llm.simhash import op6_simhash
 from lobspark.llm.substrings import OP1_SQL, op1_substring_dedup
 from lobspark.llm.suffixes import op4_suffix_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
+    "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
