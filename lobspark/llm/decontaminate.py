@@ -168,7 +168,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     for p in parts[1:]:
         hits = hits.unionByName(p)
     hits = hits.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("many"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    pairs = F.array_sort(F.flatten(F.transform("many", lambda s: F.transform(F.sequence(F.lit(0), F.size(s) // 2 - 1), lambda i: F.array(F.element_at(s, (2 * i + 1).cast("int")), F.element_at(s, (2 * i + 2).cast("int")))))))
+    pairs = F.expr("array_sort(flatten(transform(many, s -> transform(sequence(0, cast(size(s) / 2 as int) - 1), i -> array(s[2 * i], s[2 * i + 1])))))")
     glue = lambda acc, p: F.when((F.size(acc) > 0) & (p[0] <= F.element_at(acc, -1)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), p[1])))).otherwise(F.concat(acc, p))
     hits = hits.select("doc_id", "n_words", F.aggregate(pairs, F.array().cast("array<long>"), glue).alias("spans"), "items")
     none = F.array()
