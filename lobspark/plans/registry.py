@@ -1,5 +1,7 @@
 """Queries of the library by name, and their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lobspark.plans import market
+
+FLAGSHIP = "y07_acf_returns"
+QUERIES: dict = {**market.QUERIES}
+SQL: dict[str, str] = {**market.SQL}
