@@ -1,7 +1,10 @@
 """Queries of the library by name, and their SQL."""
 
-from lobspark.plans import market
+from lobspark.plans import books, market
 
 FLAGSHIP = "y07_acf_returns"
-QUERIES: dict = {**market.QUERIES}
-SQL: dict[str, str] = {**market.SQL}
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+for part in (market, books):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
