@@ -79,8 +79,10 @@ def half_decade(gap_ns: Column) -> Column:
 
 
 #: First ids of the token groups (fixed values): type, side, price offset from -1, its tail, size, gap zero, gaps.
-TYPE0, SIDE0, PX0, PX_TAIL, SIZE0, DT_ZERO, DT0, UNK = 7, 13, 15, 27, 28, 36, 37, 6
-ETYPES = ["Add", "ExecVisible", "ExecHidden", "PartialCancel", "Delete", "Cross"]
+TYPE0, SIDE0, PX0, PX_TAIL, SIZE0, DT_ZERO, DT0, UNK = 7, 13, 15, 27, 28, 36, 37, 0
+ETYPES = ["Add", "PartialCancel", "Delete", "ExecVisible", "ExecHidden", "CrossTrade"]
+#: The special ids (fixed values).
+BOS, EOS, SESSION_OPEN, SESSION_CLOSE, HALT, RESUME = 1, 2, 3, 4, 5, 6
 
 
 def type_token(etype: Column) -> Column:

@@ -117,7 +117,8 @@ def step(book: Book, m) -> tuple:
     t, ref = m.msg_type, m.order_ref
     at = (m.side, m.price, m.shares) if t in ("A", "F") else tuple(book.orders.get(ref, (None, None, None)))
     has, off = book.better(at[0], at[1]) if at[0] in ("B", "S") else (False, 0)
-    head = ref in book.orders and next(iter(book.levels[at[0]][at[1]])) == ref
+    held = book.orders.get(ref)
+    head = held is not None and next(iter(book.levels[held[0]][held[1]])) == ref
     moved = at[2] if t == "D" else m.shares
     result = book.apply(t, ref, m.new_ref, m.side, m.shares, m.price)
     bid, ask = book.best("B"), book.best("S")

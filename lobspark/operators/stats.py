@@ -37,7 +37,8 @@ def acf(df: DataFrame, lags: int, x: str = "r", cap: Column | None = None) -> Da
 
 def loglog_slope(curve: DataFrame, most: int = 100, least_points: int = 5) -> DataFrame:
     """(symbol, points, slope): least squares of ln(acf) on ln(lag) over the lags with a positive acf."""
-    fit = curve.where((F.col("acf") > 0) & (F.col("lag") <= most)).groupBy("symbol").agg(F.count("*").alias("points"), F.regr_slope(F.log("acf"), F.log("lag")).alias("s"))
+    fit = curve.where((F.col("acf") > 1e-12) & (F.col("lag") <= most))  # below it is a zero's rounding noise
+    fit = fit.groupBy("symbol").agg(F.count("*").alias("points"), F.regr_slope(F.log("acf"), F.log("lag")).alias("s"))
     return fit.select("symbol", "points", F.when(F.col("points") >= least_points, F.col("s")).alias("slope"))
 
 

@@ -75,7 +75,7 @@ def y09(spark, sf_dir):
 
 SIGNS = f"{FILLS}, {decisions_sql(HOUR)}, sg AS (SELECT symbol, decision AS i, CAST(sign AS DOUBLE) AS r FROM dec)"
 CAPPED = "capped AS (SELECT * FROM acf WHERE lag <= least(100, n // 4))"
-SLOPE = "slope AS (SELECT symbol, count(*) AS points, CASE WHEN count(*) >= 5 THEN regr_slope(ln(acf), ln(lag)) END AS slope FROM capped WHERE acf > 0 AND lag <= 100 GROUP BY symbol)"
+SLOPE = "slope AS (SELECT symbol, count(*) AS points, CASE WHEN count(*) >= 5 THEN regr_slope(ln(acf), ln(lag)) END AS slope FROM capped WHERE acf > 1e-12 AND lag <= 100 GROUP BY symbol)"
 
 
 def sign_acf(spark, sf_dir):

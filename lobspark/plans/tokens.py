@@ -85,8 +85,8 @@ o AS (SELECT p.locate, p.seq, count(*) FILTER (a.shares > 0) AS n, count(*) FILT
   FROM life p JOIN prev USING (locate, seq) LEFT JOIN at1 a ON a.locate = p.locate AND a.seq = prev.seq0 AND a.side = p.side GROUP BY p.locate, p.seq),
 evs AS (SELECT l.locate AS symbol, l.seq, l.us, l.msg_type, l.side, n > 0 AS has_px, CASE WHEN n = 0 THEN 0 WHEN better = 0 AND same = 0 THEN -1 ELSE better END AS off, CASE WHEN l.msg_type = 'D' THEN -l.d ELSE l.shares END AS size, prev.dt, se.edges AS es, ge.edges AS eg
   FROM life l JOIN prev USING (locate, seq) JOIN o USING (locate, seq) JOIN se ON se.symbol = l.locate JOIN ge ON ge.symbol = l.locate),
-tok AS (SELECT *, CASE WHEN msg_type IN ('A', 'F') THEN 7 WHEN msg_type = 'E' THEN 8 WHEN msg_type = 'X' THEN 10 ELSE 11 END AS t1, CASE WHEN side = 'B' THEN 13 ELSE 14 END AS t2,
-  CASE WHEN NOT has_px THEN 6 WHEN off > 10 THEN 27 ELSE off + 16 END AS t3, 28 + len(list_filter(es, lambda x: x <= size)) AS t4, CASE WHEN dt <= 0 THEN 36 ELSE 37 + len(list_filter(eg, lambda x: x <= dt)) END AS t5 FROM evs)"""
+tok AS (SELECT *, CASE WHEN msg_type IN ('A', 'F') THEN 7 WHEN msg_type = 'E' THEN 10 WHEN msg_type = 'X' THEN 8 ELSE 9 END AS t1, CASE WHEN side = 'B' THEN 13 ELSE 14 END AS t2,
+  CASE WHEN NOT has_px THEN 0 WHEN off > 10 THEN 27 ELSE off + 16 END AS t3, 28 + len(list_filter(es, lambda x: x <= size)) AS t4, CASE WHEN dt <= 0 THEN 36 ELSE 37 + len(list_filter(eg, lambda x: x <= dt)) END AS t5 FROM evs)"""
 
 
 @query("t04_event_tokens", f"WITH {FEED}, {BBO}, {TOKENS} SELECT symbol, seq, size, dt, concat_ws(' ', t1, t2, t3, t4, t5) AS tokens FROM tok")
@@ -99,7 +99,7 @@ def t08(spark, sf_dir):
     """Daily token streams framed by the four session specials, as sorted arrays."""
     t = tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
     body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "tokens"))), lambda s: s["tokens"]))
-    framed = F.concat(F.array(F.lit(1), F.lit(3)).cast("array<bigint>"), body, F.array(F.lit(4), F.lit(2)).cast("array<bigint>"))
+    framed = F.concat(F.array(F.lit(fn.BOS), F.lit(fn.SESSION_OPEN)).cast("array<bigint>"), body, F.array(F.lit(fn.SESSION_CLOSE), F.lit(fn.EOS)).cast("array<bigint>"))
     return t.groupBy("symbol", "day").agg(F.size(framed).cast("long").alias("n_tokens"))
 
 
@@ -147,9 +147,6 @@ def x11(spark, sf_dir):
     return p.groupBy("locate").agg(F.count_if(gone).alias("deletes"), F.count_if(gone & F.col("t2").isin("A", "F") & (F.col("s2") == F.col("side")) & (F.col("gap") <= HOUR)).alias("pairs"))
 
 
-ALL = [(t, s, p, z, d) for t in range(6) for s in range(2) for p in range(14) for z in range(8) for d in range(16)]
-
-
 @query("t07_all_tuples", "SELECT CAST(21504 AS BIGINT) AS n, CAST(21504 AS BIGINT) AS same")
 def t07(spark, sf_dir):
     """Encoding what every legal five-token tuple decodes to gives the tuple back."""
