@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
-from lobspark.operators import book, series, stats, verdicts
+from lobspark.operators import actions, book, fold, series, stats, verdicts
 from lobspark.operators import tokens as tk
 from lobspark.plans.books import BBO, FEED, feed, replayed
 from lobspark.plans.common import EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, events, fills, price_series
@@ -241,3 +241,38 @@ s AS (SELECT locate, sum(fresh) AS signs FROM g GROUP BY locate), b AS (SELECT l
 SELECT locate, CAST(signs AS BIGINT) AS signs, signs >= 50 AS v1, two >= 0.9 AS v2, dead IS NULL AS v3, signs >= 50 AND two >= 0.9 AND dead IS NULL AS viable FROM s JOIN b USING (locate)""")
 def v01(spark, sf_dir):
     return verdicts.viability(replayed(spark, sf_dir), HOUR, least_signs=50)
+
+
+def action_stream(spark, sf_dir):
+    """Events as actions of eight streams: limits around a mid, market orders, cancels, and some that must be refused."""
+    e = events(spark, sf_dir).withColumn("cents", F.floor(F.col("value") * 100 + 0.5))
+    kind = F.when(F.col("event_type") == "purchase", "market").when(F.col("event_type") == "error", "cancel").otherwise("limit")
+    side = F.when(F.col("event_id") % 2 == 0, "B").otherwise("S")
+    price = F.when(kind != "market", 1_000_000 + 100 * (F.col("cents") % 21 - 10) + F.when(F.col("cents") % 97 == 0, 900_000).otherwise(0))
+    return e.select((F.col("user_id") % 8).alias("stream"), F.col("event_id").alias("seq"), kind.alias("kind"), side.alias("side"), price.alias("price"), (100 * (F.col("cents") % 11)).alias("shares"))
+
+
+@query("m04_closed_loop")
+def m04(spark, sf_dir):
+    """Every action's outcome; sequential, so without SQL: tested against a naive matcher."""
+    out = actions.closed_loop(action_stream(spark, sf_dir))
+    return out.select("stream", "seq", "kind", "reject", "filled", "rested", "canceled", "bid", "ask", "open_orders")
+
+
+@query("m08_action_counts", f"WITH {EV} SELECT user_id % 8 AS stream, count(*) AS submitted, CAST(0 AS BIGINT) AS unbalanced FROM ev GROUP BY ALL")
+def m08(spark, sf_dir):
+    """Applied and rejected together are all; and the journal, replayed, ends at the same book."""
+    out = actions.closed_loop(action_stream(spark, sf_dir))
+    replay = fold.replay(actions.journal(out)).groupBy(F.col("locate").alias("stream")).agg(F.count_if(F.col("result") != "Ok").alias("bad"), F.max_by("open_orders", "seq").alias("end"))
+    own = out.groupBy("stream").agg(F.count("*").alias("submitted"), F.max_by("open_orders", "seq").alias("here"))
+    return own.join(replay, "stream", "left").select("stream", "submitted", (F.col("bad") + F.abs(F.col("here") - F.col("end"))).alias("unbalanced"))
+
+
+@query("h04_token_loop")
+def h04(spark, sf_dir):
+    """Daily token streams driven against live books: rejects by reason and stream. Sequential, so without SQL."""
+    t = tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "tokens"))), lambda s: s["tokens"]))
+    s = t.groupBy("symbol", "day").agg(body.alias("tokens"), F.first("size_edges").alias("size_edges"), F.first("dt_edges").alias("dt_edges"))
+    loop = actions.token_loop(s.withColumn("stream", F.col("symbol") * 100_000 + F.col("day")), 1_000_000)
+    return actions.reject_counts(loop)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
-from lobspark.operators import book, fold, series, stats
+from lobspark.operators import actions, book, fold, series, stats
 from lobspark.plans import registry
 from lobspark.plans.books import feed
 from lobspark.sources import frames, splits
@@ -29,7 +29,9 @@ def con():
 def test_query(name, spark, con):
     df = registry.QUERIES[name](spark, SF)
     rows = sorted(repr(tuple(r)) for r in df.collect())
-    assert name in registry.SQL
+    if name in ("m04_closed_loop", "h04_token_loop"):  # sequential; see the tests of the loops
+        assert rows
+        return
     got = con.execute(registry.SQL[name])
     place = [[d[0] for d in got.description].index(c) for c in df.columns]
     assert rows == sorted(repr(tuple(r[i] for i in place)) for r in got.fetchall())
@@ -229,3 +231,76 @@ def test_scalar_edges(spark):
     df = spark.createDataFrame([(34_200_000_000_000, 1_000_000, 1_000_150)], "ns long, bid long, ask long")
     r = df.select(fn.in_session(F.col("ns")).alias("a"), fn.clock(F.col("ns")).alias("b"), fn.spread_ticks(F.col("bid"), F.col("ask")).alias("c"), fn.distance_ticks(F.col("bid"), F.lit(None)).alias("d"), fn.half_decade(F.lit(10**15)).alias("e")).first()
     assert tuple(r) == (True, "09:30:00", 2, 101, 25)
+
+
+def naive_match(rows):
+    """Orders in a list, searched at every step."""
+    orders, out = [], []
+    for _, seq, kind, side, price, shares in rows:
+        other = [o for o in orders if o[1] != side]
+        best = (min if side == "B" else max)((o[2] for o in other), default=None)
+        why, filled, rested, canceled = None, 0, 0, 0
+        if (kind != "cancel" and not shares) or (kind != "market" and not price):
+            why = "Unparseable"
+        elif shares > 1_000_000 or (kind == "limit" and (price > 100_000_000 or (best and abs(price / best - 1) > 0.5))):
+            why = "EconomicallyAbsurd"
+        elif kind == "cancel":
+            at = [o for o in orders if o[1] == side and o[2] == price]
+            if at:
+                canceled = at[0][3]
+                orders.remove(at[0])
+            else:
+                why = "UnknownReference"
+        else:
+            left = shares
+            for o in sorted(other, key=lambda o: (o[2] if side == "B" else -o[2], o[0])):
+                if left and (kind == "market" or (o[2] <= price if side == "B" else o[2] >= price)):
+                    n = min(left, o[3])
+                    o[3] -= n
+                    left -= n
+            orders = [o for o in orders if o[3]]
+            filled = shares - left
+            if kind == "limit" and left:
+                orders.append([seq, side, price, left])
+                rested = left
+        out.append((seq, why, filled, rested, canceled, len(orders)))
+    return out
+
+
+def test_closed_loop_against_a_naive_matcher(spark):
+    rng = random.Random(8)
+    rows = [(1, i, rng.choice(["limit", "limit", "market", "cancel"]), rng.choice("BS"), rng.choice([0, 3000]) if rng.random() < 0.02 else 1000 + rng.randint(-8, 8), rng.choice([0, 100, 200, 500, 2_000_000])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "stream long, seq long, kind string, side string, price long, shares long")
+    out = actions.closed_loop(df)
+    got = [tuple(r) for r in out.select("seq", "reject", "filled", "rested", "canceled", "open_orders").orderBy("seq").collect()]
+    assert got == naive_match(rows) and {g[1] for g in got} == {None, "Unparseable", "EconomicallyAbsurd", "UnknownReference"}
+    replay = fold.replay(actions.journal(out))
+    assert replay.where("result <> 'Ok'").count() == 0
+    assert replay.orderBy(F.desc("seq")).first().open_orders == got[-1][5]
+
+
+def test_token_segments():
+    good = [7, 13, 16, 28, 36]
+    assert list(actions.segments([1, 3, *good, 20, *good, 4, 2, 7, 13])) == [(2, good), (7, None), (8, good), (15, None)]
+
+
+def test_levels_that_tokens_point_at():
+    b = fold.Book()
+    for i, p in enumerate((999_500, 999_300)):
+        b.add(i, "B", 100, p)
+    b.add(9, "S", 100, 1_000_500)
+    add, cancel = 7, 9
+    assert actions.resolved(b, add, "B", 0, 100) == (999_500, None, False) and actions.resolved(b, add, "B", 5, 100) == (999_200, None, True)
+    assert actions.resolved(b, add, "B", -1, 100) == (999_600, None, False) and actions.resolved(b, add, "B", None, 100) == (1_000_400, None, False)
+    assert actions.resolved(b, cancel, "B", 11, 100) == (999_300, None, False) and actions.resolved(b, cancel, "B", 5, 100) == (None, "LevelAbsent", False)
+    assert actions.resolved(b, cancel, "S", -1, 100)[1] == "InsideNonAdd" and actions.resolved(b, cancel, "S", None, 100)[1] == "UnkNonAdd"
+    assert actions.resolved(fold.Book(), add, "B", None, 100)[1] == "UnkEmptyOpposite" and actions.resolved(fold.Book(), cancel, "B", 11, 100)[1] == "TailNoDepth"
+
+
+def test_token_loop(spark):
+    sizes, gaps = [100, 200, 201, 387, 500, 501, 1000], [2**k for k in range(1, 15)]
+    tokens = [1, 3, 7, 13, 15, 29, 37, 10, 13, 0, 28, 36, 99, 11, 13, 16, 28, 36, 7, 13, 60, 28, 36, 9, 14, 20, 28, 40, 4, 2]
+    df = spark.createDataFrame([(1, tokens, sizes, gaps), (2, [], sizes, gaps)], "stream long, tokens array<long>, size_edges array<long>, dt_edges array<long>")
+    got = actions.token_loop(df, 1_000_000).orderBy("seq").collect()
+    assert [(r.kind, r.reject, r.why) for r in got] == [("limit", None, None), ("market", None, None), (None, "Unparseable", "Resync"), (None, "Unparseable", "HiddenOrCross"), (None, "Unparseable", "DecodeFailed"), ("cancel", "UnknownReference", "LevelAbsent")]
+    assert got[0].price == 1_000_000 and got[1].filled == 99 and got[-1].clock == 1 + 8
