@@ -206,19 +206,19 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[N
     return fit(*rows)
 
 
-def scored(docs: DataFrame, model: tuple[Network, float] | None) -> DataFrame:
-    """``docs`` with a column ``score``; 0.5 for all where there is no model."""
-    fields = [f for f in docs.schema.fields if f.name != "score"]
+def scored(docs: DataFrame, model: tuple[Network, float] | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (in place of one of that name); 0.5 for all where there is no model."""
+    fields = [f for f in docs.schema.fields if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             s = model[0].score(features(chunk.column("text"))) if model else np.full(chunk.num_rows, 0.5)
             columns = [chunk.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], (*(f.name for f in fields), "score"))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], (*(f.name for f in fields), name))
 
     from pyspark.sql import types as T
 
-    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,11 +139,9 @@ def length_histogram(docs: DataFrame, files: tuple[str, str] | None = None, bloc
 
 def answer(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """Totals for given context limits, from ``length_histogram`` alone: (context, n_docs, n_cut, tokens_kept)."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context long")
     fits = F.col("length") <= F.col("context")
     return (
-        histogram.join(F.broadcast(asked))
+        histogram.withColumn("context", F.explode(F.array(*(F.lit(int(x)).cast("long") for x in limits))))
         .groupBy("context")
         .agg(
             F.sum("n_docs").alias("n_docs"),

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from lobspark.llm import pii, quality
 from lobspark.llm.common import stored, table
-from tests.llm.test_operators import brute_components
+from tests.llm.test_operators import EDGE, brute_components
 from lobspark.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,15 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls anywhere, empty and long texts, repeated rows, and further columns with names that the stages use."""
+    docs = spark.createDataFrame([*EDGE, (7, None), (None, "x y z")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "'s' AS source", "CAST(NULL AS BIGINT) AS n_chars", "'a' AS score", "2 AS keep_id", "'b' AS contaminated", "1 AS sequence_id", "'c' AS fingerprint")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stored(stage(spark, docs, SF))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == before.columns
+            assert docs.where("score <> 'a' OR keep_id <> 2 OR contaminated <> 'b'").count() == 0
+    assert docs.count() > 0
