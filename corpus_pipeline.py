@@ -17,7 +17,10 @@ from lobspark.llm.common import checkpointed, stored, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier scores 0.5 or more."""
     model = quality.learned(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("score >= 0.5").select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return quality.scored(docs, model, name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A document without doc_id stays only where its whole component has none.
     """
     keep = simhash.classes(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
