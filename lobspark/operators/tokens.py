@@ -60,7 +60,8 @@ def total_variation(counts: DataFrame, key: str, value: str, n: str) -> DataFram
     """(key, tv): half the absolute difference of each group's shares from those of all other groups together."""
     total = counts.groupBy(value).agg(F.sum(n).alias("all"))
     groups = counts.groupBy(key).agg(F.sum(n).alias("own"))
-    every = counts.select(key).distinct().join(F.broadcast(total.groupBy().agg(F.sum("all").alias("grand"))))  # one row
+    grand = total.agg(F.sum("all").alias("grand")).withColumn("one", F.lit(1))
+    every = groups.withColumn("one", F.lit(1)).join(grand, "one").select(key, "grand")
     # absent values: the rest's share that the group lacks
     here = counts.join(total, value).join(groups, key).join(every, key)
     rest = F.col("grand") - F.col("own")
