@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
-from lobspark.operators import actions, book, fold, series, stats, verdicts
+from lobspark.operators import ablation, actions, book, fold, series, stats, verdicts
 from lobspark.operators import tokens as tk
 from lobspark.plans.books import BBO, FEED, feed, replayed
 from lobspark.plans.common import EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, events, fills, price_series
 from lobspark.plans.market import VARTOP, returns
+from lobspark.sources import tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -276,3 +277,47 @@ def h04(spark, sf_dir):
     s = t.groupBy("symbol", "day").agg(body.alias("tokens"), F.first("size_edges").alias("size_edges"), F.first("dt_edges").alias("dt_edges"))
     loop = actions.token_loop(s.withColumn("stream", F.col("symbol") * 100_000 + F.col("day")), 1_000_000)
     return actions.reject_counts(loop)
+
+
+def ablation_events(spark, sf_dir):
+    t = tokenized(spark, sf_dir)
+    r = replayed(spark, sf_dir).select(F.col("locate").alias("symbol"), "seq", "order_ref", "price")
+    return t.join(r, ["symbol", "seq"]).withColumnRenamed("symbol", "locate")
+
+
+@query("r01_ablation_control", f"WITH {FEED} SELECT locate, count(*) AS emitted, CAST(0 AS BIGINT) AS no_order, CAST(0 AS BIGINT) AS zero, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS clamped, CAST(0 AS BIGINT) AS price_moved, CAST(0 AS BIGINT) AS ref_moved FROM msg GROUP BY locate")
+def r01_control(spark, sf_dir):
+    """Without any substitution every event is emitted as it was."""
+    return ablation.accounting(ablation.ablated(ablation_events(spark, sf_dir), "none"))
+
+
+@query("r01_ablation_modes")
+def r01(spark, sf_dir):
+    """All modes' accounts. What a replaced field does to later events depends on the live book: no SQL."""
+    e = ablation_events(spark, sf_dir)
+    out = None
+    for mode in ("dt", "size", "pxadd", "all", "noref"):
+        part = ablation.accounting(ablation.ablated(e, mode)).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("x10_slice_viability")
+def x10(spark, sf_dir):
+    """Token streams cut into slices of 50 events, each restarted from a seeded book: applied share and the first event
+    without orders. Sequential within a slice: no SQL."""
+    t = tokenized(spark, sf_dir).withColumn("slice", F.floor((F.row_number().over(series.by("symbol").orderBy("us", "seq")) - 1) / 50))
+    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "tokens"))), lambda s: s["tokens"]))
+    s = t.groupBy("symbol", "slice").agg(body.alias("tokens"), F.first("size_edges").alias("size_edges"), F.first("dt_edges").alias("dt_edges"))
+    loop = actions.token_loop(s.withColumn("stream", F.col("symbol") * 1_000_000 + F.col("slice")), 1_000_000)
+    per = loop.groupBy("stream").agg(F.avg(F.col("reject").isNull().cast("double")).alias("applied"), F.min(F.when(F.col("open_orders") == 0, F.col("seq"))).alias("dead"))
+    return per.groupBy(F.floor(F.col("stream") / 1_000_000).alias("symbol")).agg(F.count("*").alias("slices"), F.round(F.avg("applied"), 6).alias("applied"), F.count("dead").alias("died"))
+
+
+@query("s12_warm_restart", f"WITH {FEED} SELECT locate, count(*) AS messages, CAST(0 AS BIGINT) AS rejects FROM adds GROUP BY locate")
+def s12_restart(spark, sf_dir):
+    """Each instrument's orders as a snapshot of adds, replayed into an empty book before nothing else: all are taken."""
+    m = feed(spark, sf_dir).where("msg_type IN ('A', 'F')")
+    rows = book.snapshot(m).select(F.col("locate").cast("string").alias("ticker"), F.row_number().over(series.by("locate").orderBy("side", "ord")).cast("long").alias("ord"), "side", "price", "shares")
+    warm = tables.warm_messages(rows.withColumn("order_ref", F.col("ord") - 1 + tables.WARM_REF))
+    return fold.replay(warm).groupBy("locate").agg(F.count("*").alias("messages"), F.count_if(F.col("result") != "Ok").alias("rejects"))

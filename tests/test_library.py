@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
-from lobspark.operators import actions, book, fold, series, stats
+from lobspark.operators import ablation, actions, book, calibration, fold, series, stats
 from lobspark.plans import registry
 from lobspark.plans.books import feed
-from lobspark.sources import frames, splits
+from lobspark.sources import frames, splits, tables
 from lobspark.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def con():
 def test_query(name, spark, con):
     df = registry.QUERIES[name](spark, SF)
     rows = sorted(repr(tuple(r)) for r in df.collect())
-    if name in ("m04_closed_loop", "h04_token_loop"):  # sequential; see the tests of the loops
+    if name in ("m04_closed_loop", "h04_token_loop", "r01_ablation_modes", "x10_slice_viability"):  # sequential; see the tests of the loops
         assert rows
         return
     got = con.execute(registry.SQL[name])
@@ -304,3 +304,57 @@ def test_token_loop(spark):
     got = actions.token_loop(df, 1_000_000).orderBy("seq").collect()
     assert [(r.kind, r.reject, r.why) for r in got] == [("limit", None, None), ("market", None, None), (None, "Unparseable", "Resync"), (None, "Unparseable", "HiddenOrCross"), (None, "Unparseable", "DecodeFailed"), ("cancel", "UnknownReference", "LevelAbsent")]
     assert got[0].price == 1_000_000 and got[1].filled == 99 and got[-1].clock == 1 + 8
+
+
+def test_snapshots_round_trip(spark, tmp_path):
+    rows = book.snapshot(feed(spark, SF))
+    tables.write_snapshots(rows, str(tmp_path / "snap"), "20240101", 5)
+    got = tables.read_snapshots(spark, str(tmp_path / "snap/*/*.txt"))
+    assert got.where("ts_ns <> 5 OR day <> '20240101'").count() == 0
+    want = [tuple(r) for r in rows.orderBy("locate", "side", "ord").select(F.col("locate").cast("string"), "side", "price", "shares").collect()]
+    assert [tuple(r) for r in got.orderBy("ticker", "ord").select("ticker", "side", "price", "shares").collect()] == sorted(want, key=lambda r: r[0])
+    replay = fold.replay(tables.warm_messages(got))
+    assert replay.where("result <> 'Ok'").count() == 0 and replay.count() == len(want)
+
+
+@pytest.mark.parametrize("text", ["nothing\nside,price,shares\n", "# oftk-warm-book v1 ticker=1\nB,1,1\n", "# oftk-warm-book v1 ticker=1\nside,price,shares\nQ,1,1\n", "# oftk-warm-book v1 ticker=1\nside,price,shares\nB,1,0\n"])
+def test_malformed_snapshots(spark, tmp_path, text):
+    (tmp_path / "x.txt").write_text(text)
+    with pytest.raises(Exception, match="malformed snapshot"):
+        tables.read_snapshots(spark, str(tmp_path / "x.txt")).collect()
+
+
+def test_manifest(spark, tmp_path):
+    schema = tables.MANIFEST
+    fit = ("f", 0.7, 10)
+    tables.write_manifest(spark.createDataFrame([("A", 100, [2, 3], [5, 9], fit)], schema), str(tmp_path / "good"))
+    assert tables.read_manifest(spark, str(tmp_path / "good")).first().size_edges == [2, 3]
+    tables.write_manifest(spark.createDataFrame([("A", 100, [3, 3], [5, 9], fit)], schema), str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="bad edges"):
+        tables.read_manifest(spark, str(tmp_path / "bad")).collect()
+    with pytest.raises(ValueError, match="refusing"):
+        tables.write_manifest(spark.createDataFrame([], schema), "/data/20190130.bin")
+
+
+def test_calibration_days_add_up(spark, tmp_path):
+    m = feed(spark, SF).withColumn("new_ref", F.lit(None).cast("bigint"))
+    r = fold.replay(m)
+    sizes = m.where("msg_type IN ('A', 'F')").groupBy(F.lit("add").alias("kind"), F.col("locate").alias("symbol"), "shares").agg(F.count("*").alias("n"))
+    rows = tables.calibration_rows(calibration.distances(r, ["A", "F"]), calibration.distances(r, ["X", "D"]), calibration.exposure(book.level_states(m), r), sizes).cache()
+    for day in ("a", "b"):
+        rows.write.option("header", True).csv(str(tmp_path / day))
+    got = tables.read_calibration(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert got.count() == rows.count()
+    a, b = got.agg(F.sum("a"), F.sum("b")).first(), rows.agg(F.sum("a"), F.sum("b")).first()
+    assert (a[0], a[1]) == (2 * b[0], 2 * b[1])
+
+
+def test_ablation_of_references(spark):
+    """Two orders in one queue: without references the first one takes the second one's delete."""
+    edges = ([100, 200], [1, 10])
+    rows = [(1, 1, 10, "Add", 1, "B", 500, 100, False, 0, 0, *edges), (1, 2, 20, "Add", 2, "B", 500, 150, True, 0, 10, *edges), (1, 3, 25, "Delete", 2, "B", 500, 150, True, 0, 5, *edges), (1, 4, 30, "ExecVisible", 9, "S", 700, 5, False, 0, 5, *edges)]
+    df = spark.createDataFrame(rows, "locate long, seq long, us long, etype string, order_ref long, side string, price long, size long, has_px boolean, lvl_off long, dt long, size_edges array<long>, dt_edges array<long>")
+    of = lambda mode: [(r.outcome, r.order_ref, r.shares, r.clock) for r in ablation.ablated(df, mode).orderBy("seq").collect()]
+    assert of("none") == [("Emitted", 1, 100, 10), ("Emitted", 2, 150, 20), ("Emitted", 2, 150, 25), ("NoOrder", 9, 5, 30)]
+    assert of("noref")[2] == ("Emitted", 1, 100, 25)
+    assert [x[2] for x in of("size")] == [100, 100, 100, 99] and [x[3] for x in of("dt")] == [10, 20, 21, 22]
