@@ -3,19 +3,22 @@
 A window is a run of ``window`` units (words or bytes). Of the hashes of its runs of ``gram`` units the smallest is its
 anchor: equal windows have equal anchors, and neighbouring windows mostly share one, so a text has about
 2 / (window - gram + 2) anchors a unit. Windows whose anchor occurs once cannot be repeated. The others are cut out as
-contexts (the text under neighbouring windows of one anchor), equal contexts are merged, and the contexts of one
-anchor meet in one shard, where an operator's own method decides which windows came first. Everything is linear in the
+contexts (the text under neighbouring windows of one anchor); the contexts of one anchor meet in one shard, where equal
+ones are merged and an operator's own method decides which windows came first. Everything is linear in the
 texts: no pair of documents is ever formed, and the driver gets nothing.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +30,14 @@ class Units:
     """window and gram in words (what ASCII white space separates) or bytes.
 
     other_document: a window is repeated only if a smaller doc_id has it; else an earlier start in its own document
-    will do as well.
+    will do as well. hot: occurrences of an anchor above which its contexts are divided into single windows.
     """
 
     window: int
     gram: int
     words: bool
     other_document: bool
+    hot: int = 2000
 
 
 class Texts:
@@ -93,144 +97,296 @@ class Texts:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True))
 
 
-def struct_lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """A column of lists of structs of integers as offsets and the fields' values. A null is an empty list."""
-    sizes = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
-    flat = column.flatten()
-    fields = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
-    return np.concatenate([[0], np.cumsum(sizes)]), fields
+#: Anchors that a task gathers before it deals them out.
+FLUSH = 400_000
 
 
-def anchors(docs: DataFrame, units: Units) -> DataFrame:
-    """(h, doc_id, start, n, twice): runs of windows with one anchor; twice: it may repeat within the run."""
+#: Occurrences of an anchor above which each task merges its equal contexts before they are shuffled, and the most
+#: contexts that it holds for that.
+WARM, MERGED = 16, 50_000
+
+
+def packed_run(start: np.ndarray, n: np.ndarray, heat: np.ndarray) -> np.ndarray:
+    return start << 32 | n << 2 | heat  # a text has less than 2**30 bytes
+
+
+def unpacked_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each list, and all runs' starts, lengths and heats, by start within a list."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    v = v[np.lexsort((v, np.repeat(np.arange(len(sizes)), sizes)))]
+    return np.concatenate([[0], np.cumsum(sizes)]), v >> 32, v >> 2 & (1 << 30) - 1, v & 3
+
+
+def _planes(v: np.ndarray) -> bytes:
+    """Fixed-width integers byte plane by byte plane, which general compression shortens well."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes()
+
+
+def _unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind)[:, 0]
+
+
+def dealt_anchors(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
+    """(bucket, packed): all runs of windows with one anchor, dealt out by anchor in packed arrays.
+
+    An anchor takes some nine bytes: 40 bits of it beside the bucket (anchors that agree in them by chance only make
+    candidates), the document, the run's start and length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        n_kept = 0
+
+        def flush() -> pa.RecordBatch:
+            h, doc, start, n, twice = (np.concatenate(c) for c in zip(*kept, strict=True))
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((start, doc, bucket))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            low = h // np.uint64(buckets) & np.uint64((1 << 40) - 1)
+            blobs = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                i = order[a:b]
+                step = np.diff(doc[i], prepend=0)
+                key = low[i].view(np.uint8).reshape(-1, 8)[:, :5]
+                blobs.append(pickle.dumps((len(i), key.tobytes(), _planes(step), _planes(start[i]), _planes(n[i] * 2 + twice[i])), 5) if len(i) else None)
+            at = [k for k, x in enumerate(blobs) if x]
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blobs[k] for k in at], pa.binary())], ("bucket", "packed"))
+
         for chunk in text_chunks(batches):
             texts = Texts(chunk.column("text"), units)
             h, doc, at, n = texts.runs()
-            ids = chunk.column("doc_id").to_numpy()
-            twice = np.zeros(len(h), bool) if units.other_document or not len(h) else texts.self_repeating(at, n)
-            columns = (signed(h), ids[doc], (at - texts.first[doc]).astype(np.int32), n.astype(np.int32), twice)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ("h", "doc_id", "start", "n", "twice"))
+            if not len(h):
+                continue
+            twice = np.zeros(len(h), bool) if units.other_document else texts.self_repeating(at, n)
+            kept.append((h, chunk.column("doc_id").to_numpy()[doc], (at - texts.first[doc]).astype(np.uint32), n.astype(np.uint32), twice.astype(np.uint32)))
+            n_kept += len(h)
+            if n_kept >= FLUSH:
+                yield flush()
+                kept, n_kept = [], 0
+        if kept:
+            yield flush()
 
-    return docs.mapInArrow(run, "h long, doc_id long, start int, n int, twice boolean")
+    return docs.mapInArrow(run, "bucket int, packed binary")
 
 
-def repeated_runs(docs: DataFrame, units: Units) -> DataFrame:
-    """(doc_id, runs of (start, n, h)): the runs whose anchor occurs in another place that counts."""
-    all_runs = anchors(docs, units)
-    by_anchor = all_runs.groupBy("h")
-    if units.other_document:
-        shared = by_anchor.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    else:
-        shared = by_anchor.agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 OR twice")
-    kept = all_runs.join(shared.select("h"), "h")
-    return kept.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "h")).alias("runs"))
+def bucket_count(docs: DataFrame, bucket_bytes: int = 4 << 20) -> int:
+    """Follows the texts' total length, so that a bucket has as many anchors at any size."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return int(min(max(total // bucket_bytes, 64), 1 << 16))
 
 
-def contexts(docs: DataFrame, marked: DataFrame, units: Units) -> DataFrame:
-    """(h, ctx, doc_id, key): the text under each run; of equal ones in a document only the first.
+def repeated_runs(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
+    """(doc_id, runs): the runs whose anchor occurs in another place that counts, each packed into one integer.
 
-    key: for words the run's start; for bytes the hash of the context, which all the document's equal contexts share.
+    See ``packed_run``; a run's heat is 2 if its anchor occurs over ``units.hot`` times, 1 if over WARM times, else 0.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shared(packed: list[bytes]) -> pa.RecordBatch:
+            parts = []
+            for raw in packed:
+                n, key, step, start, many = pickle.loads(raw)
+                h = np.zeros((n, 8), np.uint8)
+                h[:, :5] = np.frombuffer(key, np.uint8).reshape(n, 5)
+                parts.append((h.view(np.uint64)[:, 0], np.cumsum(_unplanes(step, n, "<i8")), _unplanes(start, n, "<u4"), _unplanes(many, n, "<u4")))
+            h, doc, start, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, doc, start, many = h[order], doc[order], start[order], many[order]
+            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(edges, len(h)))
+            if units.other_document:
+                keep = np.minimum.reduceat(doc, edges) < np.maximum.reduceat(doc, edges)
+            else:
+                keep = (size > 1) | (np.bitwise_or.reduceat(many, edges) & 1 == 1)
+            chosen = np.repeat(keep, size)
+            heat = np.repeat(np.where(size > units.hot, 2, size > WARM), size)[chosen]
+            run = packed_run(start[chosen].astype(np.int64), (many[chosen] >> 1).astype(np.int64), heat)
+            return pa.RecordBatch.from_arrays([pa.array(doc[chosen]), pa.array(run)], ("doc_id", "run"))
+
+        now, packed = None, []
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and packed:
+                    yield shared(packed)
+                    packed = []
+                now = bucket
+                packed.append(raw)
+        if packed:
+            yield shared(packed)
+
+    dealt = dealt_anchors(docs, units, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    rows = dealt.mapInArrow(run, "doc_id long, run long")
+    return rows.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_ids of the documents whose whole text a smaller doc_id has, too."""
+    marked = docs.where("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("sha"))
+    first = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return marked.join(first, "sha").where("doc_id > low").select("doc_id").distinct()
+
+
+#: Bytes of contexts that a task gathers before it deals them out.
+GATHER = 6 << 20
+
+
+def pack_contexts(rows: list[tuple[int, bytes, int, int, int, int]], buckets: int) -> pa.RecordBatch:
+    """(bucket, packed) of rows (h, ctx, doc_id, key, rel, n), compressed by bucket."""
+    h, ctx, *numbers = zip(*rows, strict=True)
+    h = np.array(h, np.int64)
+    bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, bucket))
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    numbers = [np.array(v, np.int64) for v in numbers]
+    squeeze = zstandard.ZstdCompressor(level=3)
+    at, blobs = [], []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a < b:
+            i = order[a:b]
+            texts = [ctx[j] for j in i.tolist()]
+            size = np.fromiter(map(len, texts), np.int32, len(texts))
+            planes = [_planes(np.diff(h[i], prepend=0)), *(_planes(v[i]) for v in numbers), _planes(size)]
+            at.append(k)
+            blobs.append(squeeze.compress(pickle.dumps((len(i), planes, b"".join(texts)), 5)))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ("bucket", "packed"))
+
+
+def unpack_contexts(packed: list[bytes]) -> pa.Table:
+    """The rows of a bucket, by h."""
+    parts = []
+    for raw in packed:
+        n, planes, text = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+        h, *numbers = (_unplanes(p, n, "<i8") for p in planes[:-1])
+        size = _unplanes(planes[-1], n, "<i4")
+        offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        ctx = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)])
+        columns = [pa.array(np.cumsum(h)), ctx, *map(pa.array, numbers)]
+        parts.append(pa.Table.from_arrays(columns, names=["h", "ctx", "doc_id", "key", "rel", "n"]))
+    out = pa.concat_tables(parts)
+    return out.take(pa.array(np.argsort(out.column("h").to_numpy(), kind="stable")))
+
+
+def contexts(joined: DataFrame, units: Units, buckets: int) -> DataFrame:
+    """(bucket, packed): the text under each run, dealt out by anchor.
+
+    Packed are rows (h, ctx, doc_id, key, rel, n): key is the run's start, n the number of windows.
+    Equal contexts of an anchor that occurs often are merged in each task: the first document's stays. A hot anchor's
+    contexts (a common line between different neighbours) are divided into single windows, with their own hash for the
+    anchor and their place in the context as rel, and equal windows are merged in the same way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
+        rows: list[tuple[int, bytes, int, int, int, int]] = []
+        gathered = 0
+
+        def hold(h: int, ctx: bytes, doc_id: int, key: int, rel: int) -> None:
+            had = held.get(ctx)
+            if had is None or doc_id < had[1] or (units.words and doc_id == had[1] and key + rel < sum(had[2][0])):
+                held[ctx] = (h, doc_id, [(key, rel)])
+            elif doc_id == had[1] and not units.words:
+                had[2].append((key, rel))
+
+        def released() -> None:
+            for ctx, (h, d, at) in held.items():
+                n = ctx.count(b" ") + 2 - units.window if units.words else len(ctx) + 1 - units.window
+                rows.extend((h, ctx, d, k, r, n) for k, r in at)
+            held.clear()
+
         for chunk in text_chunks(batches):
+            offsets, starts, sizes, heats = unpacked_runs(chunk.column("runs"))
+            if not offsets[-1]:
+                continue
             texts = Texts(chunk.column("text"), units)
-            offsets, runs = struct_lists(chunk.column("runs"))
-            rows: list[tuple[int, bytes, int, int]] = []
-            for d, doc_id in enumerate(chunk.column("doc_id").to_pylist()):
-                own = slice(offsets[d], offsets[d + 1])
-                order = np.argsort(runs["start"][own], kind="stable")
-                start, n, h = (runs[k][own][order] for k in ("start", "n", "h"))
-                a = start.astype(np.int64) + texts.first[d]
-                b = a + n + units.window - 1
-                fits = b <= texts.first[d + 1]  # always, but for rows that repeat a doc_id with another text
-                key = start if units.words else signed(span_hash(texts.prefix, a[fits], b[fits]))
-                seen = set()
-                for x, y, g, k in zip(a[fits].tolist(), b[fits].tolist(), h[fits].tolist(), (key[fits] if units.words else key).tolist(), strict=True):
-                    if (ctx := texts.cut(x, y)) not in seen:
-                        seen.add(ctx)
-                        rows.append((g, ctx, doc_id, k))
-            if rows:
-                h, ctx, ids, key = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.binary()), pa.array(ids, pa.int64()), pa.array(key, pa.int64())], ("h", "ctx", "doc_id", "key"))
-
-    return docs.join(marked, "doc_id").mapInArrow(run, "h long, ctx binary, doc_id long, key long")
-
-
-def _windows_of(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each context as its single windows, their hash for the anchor; rel: the window's place in the context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for ctx, doc_id, key in zip(*(batch.column(k).to_pylist() for k in ("ctx", "doc_id", "key")), strict=True):
-                one = ctx.split(b" ") if units.words else ctx
-                for i in range(len(one) - units.window + 1):
-                    w = one[i : i + units.window]
-                    rows.append((b" ".join(w) if units.words else w, doc_id, key, i))
-            ctx, ids, key, rel = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array(rel, pa.int32())], ("ctx", "doc_id", "key", "rel"))
+            row = np.repeat(np.arange(chunk.num_rows), np.diff(offsets))
+            a = starts + texts.first[row]
+            b = a + sizes + units.window - 1
+            fits = b <= texts.first[row + 1]  # always, but for rows that repeat a doc_id with another text
+            a, b, row, heats, starts = (v[fits] for v in (a, b, row, heats, starts))
+            if not len(a):
+                continue
+            h = signed(texts.grams[a[:, None] + np.arange(units.window - units.gram + 1)].min(1) | np.uint64(1))
+            ids = chunk.column("doc_id").fill_null(0).to_numpy()[row]  # a null has no runs
+            seen, last = set(), -1
+            for x, y, g, k, heat, d, r in zip(*(v.tolist() for v in (a, b, h, starts, heats, ids, row)), strict=True):
+                if r != last:
+                    seen, last = set(), r
+                ctx = texts.cut(x, y)
+                if units.words:
+                    if ctx in seen:
+                        continue  # it starts earlier in its own document
+                    seen.add(ctx)
+                if heat == 0:
+                    rows.append((g, ctx, d, k, 0, y - x + 1 - units.window))
+                    gathered += len(ctx)
+                elif heat == 1:
+                    hold(g, ctx, d, k, 0)
+                else:
+                    one = ctx.split(b" ") if units.words else ctx
+                    for i in range(len(one) - units.window + 1):
+                        w = b" ".join(one[i : i + units.window]) if units.words else one[i : i + units.window]
+                        g = xxhash.xxh64_intdigest(w) & ~1  # contexts' anchors are odd: the two never meet
+                        hold(g - (1 << 64) if g >> 63 else g, w, d, k, i)
+            if len(held) > MERGED:
+                released()
+            if gathered > GATHER:
+                yield pack_contexts(rows, buckets)
+                gathered = 0
+                rows.clear()
+        released()
+        if rows:
+            yield pack_contexts(rows, buckets)
+
+    return joined.mapInArrow(run, "bucket int, packed binary")
+
+
+def distinct_contexts(block: pa.Table, units: Units) -> pa.Table:
+    """Of equal contexts of an anchor the first (for bytes: all those of the smallest doc_id)."""
+    h, doc, key, rel = (block.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "key", "rel"))
+    code = pc.dictionary_encode(block.column("ctx").combine_chunks()).indices.to_numpy()
+    order = np.lexsort((key + rel, doc, code, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (code[order][1:] != code[order][:-1])])
+    if units.other_document:
+        low = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        new = doc[order] == low
+    return block.take(pa.array(order[new]))
 
-    return run
 
+def shard_blocks(rows: pa.Table, most_bytes: int) -> Iterator[pa.Table]:
+    """Rows sorted by anchor in blocks of whole anchors, of about ``most_bytes`` of contexts."""
+    h = rows.column("h").to_numpy()
+    total = np.concatenate([[0], np.cumsum(pc.binary_length(rows.column("ctx")).to_numpy())])
+    edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    at = 0
+    while at < len(h):
+        k = int(np.searchsorted(total[edges], total[at] + most_bytes, side="right")) - 1
+        end = int(edges[k]) if edges[k] > at else int(edges[np.searchsorted(edges, at, side="right")])
+        yield rows.slice(at, end - at)
+        at = end
 
-def shards(found: DataFrame, units: Units, most: int = 2000) -> DataFrame:
-    """Rows (h, ctx, doc_id, key, rel) for the shards: each context once, with the smallest doc_id that has it.
 
-    An anchor with over ``most`` different contexts (a common line between different neighbours) is too large for one
-    shard. Its contexts are divided into single windows, each with its own hash as anchor, and equal windows merged.
-    """
-    once = checkpointed(found.groupBy("h", "ctx").agg(F.min("doc_id").alias("doc_id"), F.min_by("key", "doc_id").alias("key")))
-    hot = once.groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > most).select("h")
-    cold = once.join(hot, "h", "left_anti").select("h", "ctx", "doc_id", "key", F.lit(0).alias("rel"))
-    parts = once.join(hot, "h", "left_semi").mapInArrow(_windows_of(units), "ctx binary, doc_id long, key long, rel int")
-    if units.other_document:  # all places in the smallest document
-        in_doc = parts.groupBy("ctx", "doc_id").agg(F.collect_list(F.struct("key", "rel")).alias("at"))
-        parts = in_doc.groupBy("ctx").agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id")).select("ctx", "doc_id", F.explode("at").alias("p")).select("ctx", "doc_id", "p.key", "p.rel")
-    else:  # the earliest start
-        parts = parts.groupBy("ctx").agg(F.min(F.struct("doc_id", F.col("key") + F.col("rel"), "key", "rel")).alias("p")).select("ctx", "p.doc_id", "p.key", "p.rel")
-    return cold.unionByName(parts.withColumn("h", F.xxhash64("ctx")))
-
-
-def shard_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
-    """Sorted rows of a partition in blocks of whole anchors, of about ``most_bytes`` of contexts."""
-    kept: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h = batch.column("h").to_numpy()
-        offsets = text_bytes(batch.column("ctx"))[1]
-        edges = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-        at = 0
-        last = kept[-1].column("h")[-1].as_py() if kept else None
-        if last is not None and last != h[0] and size >= most_bytes:
-            yield pa.Table.from_batches(kept)
-            kept, size = [], 0
-        for e in edges.tolist():
-            if size + int(offsets[e] - offsets[at]) >= most_bytes and e < len(h):
-                kept.append(batch.slice(at, e - at))
-                yield pa.Table.from_batches(kept)
-                kept, size, at = [], 0, e
-        if at < len(h):
-            kept.append(batch.slice(at))
-            size += int(offsets[-1] - offsets[at])
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
-def first_windows(rows: DataFrame, decide: Callable[[pa.Table], list[tuple[int, int, int, int]]], most_bytes: int) -> DataFrame:
-    """(doc_id, fresh windows as (key, a, n)). decide: (doc_id, key, a, n) of the first occurrences in a block."""
+def first_windows(packed: DataFrame, units: Units, decide: Callable[[pa.Table], list[tuple[int, int, int, int]]], most_bytes: int) -> DataFrame:
+    """(doc_id, fresh): runs of windows that occur there first. decide: (doc_id, key, a, n) of those in a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in shard_blocks(batches, most_bytes):
-            got = np.array(decide(block), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, i].copy()) for i in range(4)], ("doc_id", "key", "a", "n"))
+        def fresh(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for block in shard_blocks(distinct_contexts(unpack_contexts(packed), units), most_bytes):
+                doc, key, a, n = np.array(decide(block), np.int64).reshape(-1, 4).T
+                yield pa.RecordBatch.from_arrays([pa.array(doc.copy()), pa.array(packed_run(key + a, n, 0 * n))], ("doc_id", "run"))
 
-    fresh = rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, key long, a long, n long")
-    return fresh.groupBy("doc_id").agg(F.collect_list(F.struct("key", "a", "n")).alias("fresh"))
+        now, held = None, []
+        for batch in batches:
+            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from fresh(held)
+                    held = []
+                now = bucket
+                held.append(raw)
+        if held:
+            yield from fresh(held)
+
+    out = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, run long")
+    return out.groupBy("doc_id").agg(F.collect_list("run").alias("fresh"))
 
 
 def fresh_runs(fresh: np.ndarray, row: np.ndarray, doc: np.ndarray, key: np.ndarray, rel: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -249,41 +405,38 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
     """A row for each row of ``docs``: doc_id, n_units, spans (removed units: start, end, start, end, ...), kept.
 
     Removed is each unit under a window that also occurs earlier, windows being judged on the whole input. kept: the
-    remaining bytes, or the remaining words with one space between. A null or empty text has no units; a row without
+    remaining bytes, or the remaining words with one space between. A copy of a whole text loses all its windows at once. A null or empty text has no units; a row without
     doc_id loses nothing; rows that repeat a doc_id (they should repeat the text) are treated as one document.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     own = docs.where("doc_id IS NOT NULL")
-    marked = checkpointed(repeated_runs(own, units))
-    fresh = first_windows(shards(contexts(own, marked, units), units), decide, most_bytes)
+    again = copies(own).withColumn("copy", F.lit(True))
+    buckets = bucket_count(own)
+    marked = repeated_runs(own, units, buckets).join(again, "doc_id", "full_outer")
+    marked = checkpointed(marked.select("doc_id", F.when(F.col("copy").isNull(), F.col("runs")).alias("runs"), F.coalesce("copy", F.lit(False)).alias("copy")))
+    both = docs.join(marked, "doc_id", "left")  # the texts are shuffled once, for what follows twice
+    fresh = first_windows(contexts(both.select("doc_id", "text", "runs"), units, buckets), units, decide, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             texts = Texts(chunk.column("text"), units)
-            at_run, runs = struct_lists(chunk.column("runs"))
-            at_new, new = struct_lists(chunk.column("fresh"))
+            at_run, run_start, run_size, _ = unpacked_runs(chunk.column("runs"))
+            at_new, new_start, new_size, _ = unpacked_runs(chunk.column("fresh"))
+            copy = chunk.column("copy").fill_null(False).to_pylist()
             spans, kept, total = [], [], []
             for d in range(chunk.num_rows):
                 first, n = int(texts.first[d]), int(texts.first[d + 1] - texts.first[d])
                 gone = np.zeros(n, bool)
                 r, f = slice(at_run[d], at_run[d + 1]), slice(at_new[d], at_new[d + 1])
-                if at_run[d] < at_run[d + 1]:
+                if copy[d]:
+                    gone[:] = n >= units.window
+                elif at_run[d] < at_run[d + 1]:
                     windows = np.zeros(max(0, n - units.window + 1), bool)
-                    start, many = runs["start"][r].astype(np.int64), runs["n"][r].astype(np.int64)
+                    start, many = run_start[r], run_size[r]
                     for a, m in zip(start.tolist(), many.tolist(), strict=True):
                         windows[a : a + m] = True
-                    if units.words:
-                        for k, a, m in zip(*(new[x][f].tolist() for x in ("key", "a", "n")), strict=True):
-                            windows[k + a : k + a + m] = False
-                    else:
-                        by_key: dict[int, list[tuple[int, int]]] = {}
-                        for k, a, m in zip(*(new[x][f].tolist() for x in ("key", "a", "n")), strict=True):
-                            by_key.setdefault(k, []).append((a, m))
-                        if by_key:
-                            b = np.minimum(start + many + units.window - 1, n)
-                            for s, k in zip(start.tolist(), signed(span_hash(texts.prefix, start + first, b + first)).tolist(), strict=True):
-                                for a, m in by_key.get(k, ()):
-                                    windows[s + a : s + a + m] = False
+                    for a, m in zip(new_start[f].tolist(), new_size[f].tolist(), strict=True):
+                        windows[a : a + m] = False
                     step = np.zeros(n + 1, np.int64)
                     w = np.flatnonzero(windows)
                     np.add.at(step, w, 1)
@@ -302,8 +455,7 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
             columns = [chunk.column("doc_id"), pa.array(total, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ("doc_id", "n_units", "spans", "kept"))
 
-    both = docs.join(marked, "doc_id", "left").join(fresh, "doc_id", "left")
-    return both.mapInArrow(run, "doc_id long, n_units long, spans array<long>, kept binary")
+    return both.join(fresh, "doc_id", "left").mapInArrow(run, "doc_id long, n_units long, spans array<long>, kept binary")
 
 
 def removed_count(spans: str = "spans"):

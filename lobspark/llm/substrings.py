@@ -16,7 +16,7 @@ from lobspark.llm.common import table
 from lobspark.llm.shared import Units, fresh_runs, removed_count, removed_spans
 
 #: Bytes of text in one automaton; its states take about a hundred times that.
-SHARD_BYTES = 256_000
+SHARD_BYTES = 200_000
 
 
 class SuffixAutomaton:

@@ -16,25 +16,34 @@ from pyspark.sql import functions as F
 from lobspark.llm.common import mixed, powers, prefix_hash, signed, span_hash, table, text_bytes
 from lobspark.llm.shared import Units, fresh_runs, removed_count, removed_spans
 
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 256_000
 
 
-def common_extension(s: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Of each pair of suffixes the length of their common prefix, up to ``most``. s: the text's prefix hashes."""
-    inverse = powers(len(s))[1]
-    out = np.zeros(len(a), np.int64)
+def step_hashes(data: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """For the powers of two up to ``most``, largest first, the hash of the substring of that length at every place."""
+    s = prefix_hash(data)
+    inverse, out = powers(len(s))[1], []
     step = 1 << (most.bit_length() - 1)
     while step:
-        x, y = a + out, b + out
-        ok = out + step <= most
-        x_end, y_end = np.where(ok, x + step, x), np.where(ok, y + step, y)
-        ok &= (s[x_end] - s[x]) * inverse[x] == (s[y_end] - s[y]) * inverse[y]
-        out[ok] += step
+        h = np.zeros(len(s), np.uint64)  # places too near to the end are never asked for
+        if step < len(s):
+            h[: len(s) - step] = (s[step:] - s[:-step]) * inverse[: len(s) - step]
+        out.append((step, h))
         step >>= 1
     return out
 
 
-def merge_sorted(data: np.ndarray, s: np.ndarray, at: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
+def common_extension(hashes: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Of each pair of suffixes the length of their common prefix, up to ``most``, by binary search over the hashes."""
+    out = np.zeros(len(a), np.int64)
+    for step, h in hashes:
+        ok = h[a + out] == h[b + out]
+        ok &= out <= most - step
+        out += ok * step
+    return out
+
+
+def merge_sorted(data: np.ndarray, hashes: list[tuple[int, np.ndarray]], at: np.ndarray, bucket: np.ndarray, most: int) -> np.ndarray:
     """The order of the suffixes ``at`` within their buckets (given together) by their first ``most`` bytes, stably."""
     n = len(at)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -53,7 +62,7 @@ def merge_sorted(data: np.ndarray, s: np.ndarray, at: np.ndarray, bucket: np.nda
         while len(active):
             mid = (lo[active] + hi[active]) // 2
             mine, other = at[order[active]], at[order[base[active] + mid]]
-            k = common_extension(s, mine, other, most)
+            k = common_extension(hashes, mine, other, most)
             same = k >= most
             i = np.where(same, 0, k)
             less = np.where(same, ~left[active], data[other + i] < data[mine + i])  # the other one comes first
@@ -70,12 +79,12 @@ def merge_sorted(data: np.ndarray, s: np.ndarray, at: np.ndarray, bucket: np.nda
 
 def equal_classes(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the windows ``at`` and whether each one equals the one before it. Equal windows share a bucket."""
-    s = prefix_hash(data)
-    order = merge_sorted(data, s, at, bucket, window)
+    hashes = step_hashes(data, window)
+    order = merge_sorted(data, hashes, at, bucket, window)
     p, b = at[order], bucket[order]
     near = np.flatnonzero(b[1:] == b[:-1]) + 1
     equal = np.zeros(len(at), bool)
-    equal[near] = common_extension(s, p[near - 1], p[near], window) >= window
+    equal[near] = common_extension(hashes, p[near - 1], p[near], window) >= window
     offsets = np.arange(window)
     pairs = np.flatnonzero(equal)
     for k in range(0, len(pairs), 20_000):
@@ -92,6 +101,14 @@ def first_by_suffix_sort(units: Units):
     """A window is fresh in the documents with the smallest doc_id among those that have it."""
 
     def decide(block: pa.Table) -> list[tuple[int, int, int, int]]:
+        h = block.column("h").to_numpy()
+        alone = np.concatenate([[True], h[1:] != h[:-1]]) & np.concatenate([h[1:] != h[:-1], [True]])
+        single = [block.column(k).to_numpy()[alone].tolist() for k in ("doc_id", "key", "rel", "n")]
+        return [*zip(*single, strict=True), *compared(block.filter(pa.array(~alone)))]  # nothing to compare an only context with
+
+    def compared(block: pa.Table) -> list[tuple[int, int, int, int]]:
+        if not block.num_rows:
+            return []
         doc, key, rel, h = (block.column(k).to_numpy().astype(np.int64) for k in ("doc_id", "key", "rel", "h"))
         data, offsets = text_bytes(block.column("ctx").combine_chunks())
         w, n = units.window, np.diff(offsets) - units.window + 1
@@ -101,7 +118,7 @@ def first_by_suffix_sort(units: Units):
         group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
         # windows of one anchor are aligned at it: equal ones stand at the same distance before it
         g = np.arange(len(data) - units.gram + 1)
-        anchor = np.flatnonzero(signed(mixed(span_hash(prefix_hash(data), g, g + units.gram))) == np.repeat(h, np.diff(offsets))[: len(g)])
+        anchor = np.flatnonzero(signed(mixed(span_hash(prefix_hash(data), g, g + units.gram)) | np.uint64(1)) == np.repeat(h, np.diff(offsets))[: len(g)])
         ahead = np.append(anchor, len(data) * 2)[np.searchsorted(anchor, at)] - at
         bucket = group[row] * (w + 1) + np.where(ahead <= w - units.gram, ahead, w)
         fresh = np.ones(len(at), bool)
@@ -123,7 +140,7 @@ def first_by_suffix_sort(units: Units):
 
 def deduplicated(docs: DataFrame, window: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes every byte under a string of ``window`` bytes that a smaller doc_id has too; see ``removed_spans``."""
-    units = Units(window=window, gram=max(1, window * 2 // 5), words=False, other_document=True)
+    units = Units(window=window, gram=max(1, window * 2 // 5), words=False, other_document=True, hot=4000)
     return removed_spans(docs, units, first_by_suffix_sort(units), shard_bytes)
 
 

@@ -124,8 +124,7 @@ def test_suffix_sort(raw):
     data = np.frombuffer(raw, np.uint8)
     at = np.arange(len(data) - 5)
     bucket = at * 0
-    s = common.prefix_hash(data)
-    order = suffixes.merge_sorted(data, s, at, bucket, 6)
+    order = suffixes.merge_sorted(data, suffixes.step_hashes(data, 6), at, bucket, 6)
     assert order.tolist() == sorted(range(len(at)), key=lambda k: (raw[k : k + 6], k))
     order, equal = suffixes.equal_classes(data, at, bucket, 6)
     assert sum(~equal) == len({raw[k : k + 6] for k in at})
