@@ -104,3 +104,24 @@ def size_token(size: Column, edges: Column) -> Column:
 
 def dt_token(dt: Column, edges: Column) -> Column:
     return F.when(dt <= 0, F.lit(DT_ZERO).cast("long")).otherwise(bucket(dt, edges) + DT0)
+
+
+#: Names of the tokens before the numbered groups (fixed values).
+NAMES = ["UNK", "BOS", "EOS", "SESSION_OPEN", "SESSION_CLOSE", "HALT", "RESUME", "TYPE_ADD", "TYPE_CANCEL", "TYPE_DELETE", "TYPE_EXEC", "TYPE_EXEC_HIDDEN", "TYPE_CROSS", "SIDE_BID", "SIDE_ASK"]
+VOCABULARY = 52
+
+
+def token_name(token: Column) -> Column:
+    """The vocabulary's name of an id, ``?`` outside of it."""
+    number = lambda prefix, first: F.concat(F.lit(prefix), (token - first).cast("string"))
+    offset = token - PX0 - 1
+    return (
+        F.when((token < 0) | (token >= VOCABULARY) | token.isNull(), "?")
+        .when(token < PX0, F.element_at(F.array(*map(F.lit, NAMES)), (F.greatest(token, F.lit(0)) + 1).cast("int")))
+        .when(token < PX_TAIL, F.concat(F.lit("PX"), F.when(offset < 0, "").otherwise("+"), offset.cast("string")))
+        .when(token == PX_TAIL, "PX_TAIL")
+        .when(token < DT_ZERO, number("SZ", SIZE0))
+        .when(token == DT_ZERO, "DT_ZERO")
+        .when(token == VOCABULARY - 1, "DT_TAIL")
+        .otherwise(number("DT", DT0))
+    )

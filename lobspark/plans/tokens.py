@@ -10,7 +10,7 @@ from lobspark.operators import tokens as tk
 from lobspark.plans.books import BBO, FEED, feed, replayed
 from lobspark.plans.common import EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, events, fills, price_series
 from lobspark.plans.market import VARTOP, returns
-from lobspark.sources import tables
+from lobspark.sources import frames, splits, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -321,3 +321,43 @@ def s12_restart(spark, sf_dir):
     rows = book.snapshot(m).select(F.col("locate").cast("string").alias("ticker"), F.row_number().over(series.by("locate").orderBy("side", "ord")).cast("long").alias("ord"), "side", "price", "shares")
     warm = tables.warm_messages(rows.withColumn("order_ref", F.col("ord") - 1 + tables.WARM_REF))
     return fold.replay(warm).groupBy("locate").agg(F.count("*").alias("messages"), F.count_if(F.col("result") != "Ok").alias("rejects"))
+
+
+@query("p21_token_names", """WITH t AS (SELECT unnest(range(-1, 53)) AS id) SELECT CAST(id AS BIGINT) AS id, CASE WHEN id < 0 OR id > 51 THEN '?' WHEN id < 15 THEN ['UNK', 'BOS', 'EOS', 'SESSION_OPEN', 'SESSION_CLOSE', 'HALT', 'RESUME', 'TYPE_ADD', 'TYPE_CANCEL', 'TYPE_DELETE', 'TYPE_EXEC', 'TYPE_EXEC_HIDDEN', 'TYPE_CROSS', 'SIDE_BID', 'SIDE_ASK'][id + 1]
+WHEN id < 27 THEN printf('PX%+d', id - 16) WHEN id = 27 THEN 'PX_TAIL' WHEN id < 36 THEN concat('SZ', id - 28) WHEN id = 36 THEN 'DT_ZERO' WHEN id = 51 THEN 'DT_TAIL' ELSE concat('DT', id - 37) END AS name FROM t""")
+def p21(spark, sf_dir):
+    return spark.range(-1, 53).select("id", fn.token_name(F.col("id")).alias("name"))
+
+
+@query("s02_codec_round_trip", f"WITH {FEED} SELECT locate, seq, us * 1000 % 281474976710656 AS ts_ns, msg_type, order_ref, side, CASE WHEN msg_type <> 'D' THEN shares END AS shares, price FROM msg")
+def s02(spark, sf_dir):
+    """The feed as wire bodies, and decoded again by column expressions."""
+    m = feed(spark, sf_dir).withColumn("ts_ns", F.col("us") * 1000 % (1 << 48))
+    bodies = frames.encode(m).select(F.lit("feed").alias("path"), "seq", F.lit(0).cast("long").alias("offset"), "msg_type", "body")
+    return frames.decode(bodies).where("decode_error IS NULL").select("locate", "seq", "ts_ns", "msg_type", "order_ref", "side", "shares", "price")
+
+
+@query("s03_frame_sizes", f"WITH {FEED}, b AS (SELECT locate, CASE msg_type WHEN 'A' THEN 36 WHEN 'F' THEN 40 WHEN 'E' THEN 31 WHEN 'X' THEN 23 ELSE 19 END AS n FROM msg) SELECT locate, count(*) AS frames, CAST(sum(n + 2) AS BIGINT) AS bytes FROM b GROUP BY locate")
+def s03(spark, sf_dir):
+    body = frames.encode(feed(spark, sf_dir))
+    return body.groupBy("locate").agg(F.count("body").alias("frames"), F.sum(F.length("body") + 2).alias("bytes"))
+
+
+@query("s21_split_guard", """WITH p AS (SELECT event_id, concat('/data/', CASE event_id % 5 WHEN 0 THEN 'synthetic' WHEN 1 THEN '20190130' WHEN 2 THEN '20190730' WHEN 3 THEN '20200130' ELSE strftime(ts, '%Y%m%d') END, '-', event_id % 7, '.bin') AS path FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'OkNotADay' WHEN 1 THEN 'OkTrain' WHEN 2 THEN 'OkVal' WHEN 3 THEN 'TestBlocked' ELSE 'UnknownDay' END AS access, event_id % 5 < 3 AS readable FROM p""")
+def s21(spark, sf_dir):
+    """Made-up file names of every kind through the guard."""
+    k = F.col("event_id") % 5
+    day = F.when(k == 0, "synthetic").when(k == 1, "20190130").when(k == 2, "20190730").when(k == 3, "20200130").otherwise(F.date_format(F.timestamp_micros("us"), "yyyyMMdd"))
+    path = F.concat(F.lit("/data/"), day, F.lit("-"), (F.col("event_id") % 7).cast("string"), F.lit(".bin"))
+    access = splits.split_of(path)
+    return events(spark, sf_dir).select("event_id", access.alias("access"), splits.allowed(access).alias("readable"))
+
+
+@query("t03_replace_pairs", f"""WITH {FEED} SELECT locate, order_ref, count(*) AS events, CAST(max(a.shares) AS BIGINT) AS shares FROM (SELECT locate, order_ref, shares FROM adds UNION ALL SELECT locate, order_ref, shares FROM adds UNION ALL SELECT locate, order_ref + 1000000000, shares FROM adds) a GROUP BY locate, order_ref""")
+def t03(spark, sf_dir):
+    """Every order replaced once, a moment later, at its own price: an add, then a delete and an add."""
+    adds = feed(spark, sf_dir).where("msg_type IN ('A', 'F')").withColumn("new_ref", F.lit(None).cast("bigint"))
+    swap = adds.withColumns({"msg_type": F.lit("U"), "new_ref": F.col("order_ref") + 1_000_000_000, "us": F.col("us") + 1, "seq": F.col("seq") + 1_000_000_000})
+    both = fold.expand_replaces(adds.unionByName(swap))
+    return fold.replay(both).where("result = 'Ok'").groupBy("locate", "order_ref").agg(F.count("*").alias("events"), F.max("shares").alias("shares"))
