@@ -97,6 +97,9 @@ class Texts:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b], strict=True))
 
 
+#: Bytes of text handled at once; with hashes at every place a byte takes a hundred for a moment.
+CHUNK = 1 << 19
+
 #: Anchors that a task gathers before it deals them out.
 FLUSH = 400_000
 
@@ -153,7 +156,7 @@ def dealt_anchors(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
             at = [k for k, x in enumerate(blobs) if x]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blobs[k] for k in at], pa.binary())], ("bucket", "packed"))
 
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, CHUNK):
             texts = Texts(chunk.column("text"), units)
             h, doc, at, n = texts.runs()
             if not len(h):
@@ -219,11 +222,12 @@ def repeated_runs(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_ids of the documents whose whole text a smaller doc_id has, too."""
-    marked = docs.where("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("sha"))
+def copies(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """doc_ids of the documents whose whole text a smaller doc_id has, too. A text's copies are dealt to ``salts`` tasks."""
+    marked = docs.where("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("sha"), F.pmod(F.col("doc_id"), F.lit(salts)).alias("salt"))
     first = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return marked.join(first, "sha").where("doc_id > low").select("doc_id").distinct()
+    first = first.select("sha", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    return marked.join(first, ["sha", "salt"]).where("doc_id > low").select("doc_id").distinct()
 
 
 #: Bytes of contexts that a task gathers before it deals them out.
@@ -293,7 +297,7 @@ def contexts(joined: DataFrame, units: Units, buckets: int) -> DataFrame:
                 rows.extend((h, ctx, d, k, r, n) for k, r in at)
             held.clear()
 
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, CHUNK):
             offsets, starts, sizes, heats = unpacked_runs(chunk.column("runs"))
             if not offsets[-1]:
                 continue
@@ -418,7 +422,7 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
     fresh = first_windows(contexts(both.select("doc_id", "text", "runs"), units, buckets), units, decide, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, CHUNK):
             texts = Texts(chunk.column("text"), units)
             at_run, run_start, run_size, _ = unpacked_runs(chunk.column("runs"))
             at_new, new_start, new_size, _ = unpacked_runs(chunk.column("fresh"))
