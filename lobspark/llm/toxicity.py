@@ -1,17 +1,19 @@
 """Operator 5: toxicity by a weighted finite-state grammar over clauses.
 
 A lexical transducer reads words and writes symbols: insult (with a weight learned from the labelled documents), harm,
-intent, target, negation, report or other. The transducers of the grammar read a clause's symbols and are composed into
-one machine whose state holds what is pending: how far a negation still reaches, whether speech is reported, and which
-of target and intent has been seen. A match gets a weight by the state it ends in, so that the same insult counts more
-at a target ("you are an ...") and less under negation or in reported speech. Matched clauses are scored, and a
-logistic model fitted on the same labelled documents turns a document's clauses into a probability.
+intent, target, negation, report or other. Five transducers read a clause's symbols, for insults, targets, threats,
+negation and reported speech, and are composed into one machine, whose state holds what is pending in each. A match's
+weight is the product of what they say, so that the same insult counts more at a target ("you are an ...") and less under
+negation or in reported speech. Matched clauses are scored, and a logistic model fitted on the same labelled documents
+turns a document's clauses into a probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,41 +43,55 @@ PLAIN, AT_TARGET, THREAT = 1.0, 1.5, 3.0
 NEGATED, REACH, REPORTED = 0.3, 3, 0.5
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Reads a clause's symbols. step: (state, symbol) to the next state, from 0. weight: what a match at the symbol is
+    multiplied with, by the state before it."""
+
+    step: Callable[[int, int], int]
+    weight: Callable[[int, int], float]
+
+
+def flag(symbol: int, weight: Callable[[int, int], float]) -> Transducer:
+    """Two states: whether ``symbol`` has been read in the clause."""
+    return Transducer(lambda s, c: int(s or c == symbol), weight)
+
+
+INSULTS = Transducer(lambda s, c: 0, lambda s, c: PLAIN)
+TARGETS = flag(TARGET, lambda s, c: AT_TARGET if s and c == INSULT else 1.0)
+#: A harm is a threat after an intent and a target, in either order: bit 0 for the one, bit 1 for the other.
+THREATS = Transducer(lambda s, c: s | (c == INTENT) | (c == TARGET) << 1, lambda s, c: 1.0 if c != HARM else THREAT if s == 3 else 0.0)
+#: The state is how many words the negation still reaches.
+NEGATIONS = Transducer(lambda s, c: REACH if c == NEGATION else max(0, s - 1), lambda s, c: NEGATED if s else 1.0)
+REPORTS = flag(REPORT, lambda s, c: REPORTED if s else 1.0)
+
+
 class Machine:
-    """The composed transducer: (state, symbol) -> (state, factor). A state is (reach, reported, target, intent)."""
+    """The composition of transducers: states are tuples of theirs, found from the start, and weights multiply.
+
+    Only insults and harms are matches. ``next`` and ``factor`` are tables by state and symbol.
+    """
 
-    def __init__(self):
-        self.states: dict[tuple[int, bool, bool, bool], int] = {}
+    def __init__(self, *parts: Transducer):
+        start = (0,) * len(parts)
+        self.states, todo = {start: 0}, [start]
         self.next: list[list[int]] = []
         self.factor: list[list[float]] = []
-        todo = [(0, False, False, False)]
-        self.states[todo[0]] = 0
         while todo:
-            reach, reported, target, intent = todo.pop(0)
-            damp = (NEGATED if reach else 1.0) * (REPORTED if reported else 1.0)
-            after, weight = [], []
+            now = todo.pop(0)
+            after, weights = [], []
             for symbol in range(7):
-                w = 0.0
-                if symbol == INSULT:
-                    w = (AT_TARGET if target else PLAIN) * damp
-                elif symbol in (HARM, TARGET) and intent and (target or symbol == TARGET):
-                    w = THREAT * damp if symbol == HARM else 0.0
-                state = (
-                    REACH if symbol == NEGATION else max(0, reach - 1),
-                    reported or symbol == REPORT,
-                    target or symbol == TARGET,
-                    intent or symbol == INTENT,
-                )
-                if state not in self.states:
-                    self.states[state] = len(self.states)
-                    todo.append(state)
-                after.append(self.states[state])
-                weight.append(w)
+                then = tuple(p.step(s, symbol) for p, s in zip(parts, now, strict=True))
+                if then not in self.states:
+                    self.states[then] = len(self.states)
+                    todo.append(then)
+                after.append(self.states[then])
+                weights.append(math.prod(p.weight(s, symbol) for p, s in zip(parts, now, strict=True)) if symbol in (INSULT, HARM) else 0.0)
             self.next.append(after)
-            self.factor.append(weight)
+            self.factor.append(weights)
 
 
-MACHINE = Machine()
+MACHINE = Machine(INSULTS, TARGETS, THREATS, NEGATIONS, REPORTS)
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?\n()\"|"]] = True
 
