@@ -8,7 +8,6 @@ may rule out; what is left is compared word by word.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import ALNUM, LOWER, gram_hash, mixed, prefix_hash, span_hash, table, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import ALNUM, LOWER, gram_hash, prefix_hash, span_hash, table, text_bytes, text_chunks, word_spans
 
 #: Windows of a block of items; a block's index (some 300 bytes a window) is what every task gets.
 BLOCK_WINDOWS = 200_000

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import table, tokenizer_path
+from lobspark.llm.common import checkpointed, table, tokenizer_path
 
 #: The split pattern of this vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -108,8 +108,6 @@ def length_histogram(docs: DataFrame, files: tuple[str, str] | None = None, bloc
     """
     hist = lengths(docs, files).groupBy("length").agg(F.sum("n").alias("n_docs"))
     hist = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / block).alias("block"))
-    from lobspark.llm.common import checkpointed
-
     hist = checkpointed(hist)
     totals = hist.groupBy("block").agg(F.sum("n_docs").alias("bn"), F.sum("n_tokens").alias("bt"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
