@@ -181,7 +181,7 @@ def test_live_books_equal_batch(spark, tmp_path):
     m = feed(spark, SF).withColumn("new_ref", F.lit(None).cast("bigint"))
     want = fold.replay(m).select("locate", "seq", "result", "bid", "bid_shares", "ask", "ask_shares", "open_orders")
     cut = m.approxQuantile("seq", [0.3, 0.7], 0)
-    for k, part in enumerate((m.where(F.col("seq") <= cut[0]), m.where((F.col("seq") > cut[0]) & (F.col("seq") <= cut[1])), m.where(F.col("seq") > cut[1]))):
+    for part in (m.where(F.col("seq") <= cut[0]), m.where((F.col("seq") > cut[0]) & (F.col("seq") <= cut[1])), m.where(F.col("seq") > cut[1])):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = stateful.live_books(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
