@@ -97,6 +97,26 @@ def equal_classes(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, window:
     return order, equal
 
 
+def repeats_within(data: np.ndarray, at: np.ndarray, row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that equal an earlier one of their own context (text of a short period), and that one each.
+
+    Found by their hashes, compared by their bytes.
+    """
+    if not len(at):
+        return at, at
+    h = span_hash(prefix_hash(data), at, at + window)
+    order = np.lexsort((at, h, row))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])])
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again, first = order[~new], first[~new]
+    fine = np.ones(len(again), bool)
+    offsets = np.arange(window)
+    for k in range(0, len(again), 20_000):
+        part = slice(k, k + 20_000)
+        fine[part] = (data[at[again[part]][:, None] + offsets] == data[at[first[part]][:, None] + offsets]).all(1)
+    return again[fine], first[fine]
+
+
 def first_by_suffix_sort(units: Units):
     """A window is fresh in the documents with the smallest doc_id among those that have it."""
 
@@ -122,7 +142,12 @@ def first_by_suffix_sort(units: Units):
         ahead = np.append(anchor, len(data) * 2)[np.searchsorted(anchor, at)] - at
         bucket = group[row] * (w + 1) + np.where(ahead <= w - units.gram, ahead, w)
         fresh = np.ones(len(at), bool)
-        by = np.argsort(bucket, kind="stable")
+        long = np.flatnonzero(n[row] > 4 * w)
+        again, first = (long[x] for x in repeats_within(data, at[long], row[long], w))
+        once = np.ones(len(at), bool)
+        once[again] = False
+        by = np.flatnonzero(once)
+        by = by[np.argsort(bucket[by], kind="stable")]
         sorted_bucket = bucket[by]
         same = sorted_bucket[1:] == sorted_bucket[:-1]
         many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -133,6 +158,7 @@ def first_by_suffix_sort(units: Units):
             starts = np.flatnonzero(~equal)
             least = np.minimum.reduceat(doc[row[by]], starts)
             fresh[by] = doc[row[by]] == np.repeat(least, np.diff(np.append(starts, len(by))))
+        fresh[again] = fresh[first]
         return fresh_runs(fresh, row, doc, key, place + rel[row])
 
     return decide

@@ -488,3 +488,26 @@ def test_length_histogram(docs, empty):
 @pytest.mark.parametrize("operator", [substrings.deduplicated, suffixes.deduplicated, simhash.classes, pii.found])
 def test_empty_tables(operator, empty):
     assert operator(empty).count() == 0
+
+
+def test_short_periods(spark):
+    """Long texts of a short period, within and across documents, for both ways of removing repeats."""
+    rows = [(1, "ab " * 400 + "end"), (2, "x" * 700 + "ab " * 300), (3, "ab " * 100), (4, "y" * 20 + "x" * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first: dict = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffixes.deduplicated(df, shard_bytes=500).collect()}
+    for i, t in rows:
+        gone = {j for k in range(len(t) - 49) if first[t[k : k + 50]] < i for j in range(k, k + 50)}
+        assert got[i] == "".join(c for j, c in enumerate(t) if j not in gone)
+    seen, want = set(), {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 19):
+            if tuple(w[k : k + 20]) in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(tuple(w[k : k + 20]))
+        want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    assert {r.doc_id: bytes(r.kept).decode() for r in substrings.deduplicated(df, shard_bytes=500).collect()} == want
