@@ -133,7 +133,7 @@ def _unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
 def dealt_anchors(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
     """(bucket, packed): all runs of windows with one anchor, dealt out by anchor in packed arrays.
 
-    An anchor takes some nine bytes: 40 bits of it beside the bucket (anchors that agree in them by chance only make
+    An anchor takes some seven bytes: 32 bits of it beside the bucket (anchors that agree in them by chance only make
     candidates), the document, the run's start and length.
     """
 
@@ -146,13 +146,15 @@ def dealt_anchors(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((start, doc, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            low = h // np.uint64(buckets) & np.uint64((1 << 40) - 1)
+            squeeze = zstandard.ZstdCompressor(level=1)
+            low = h // np.uint64(buckets) & np.uint64((1 << 32) - 1)
             blobs = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 i = order[a:b]
                 step = np.diff(doc[i], prepend=0)
-                key = low[i].view(np.uint8).reshape(-1, 8)[:, :5]
-                blobs.append(pickle.dumps((len(i), key.tobytes(), _planes(step), _planes(start[i]), _planes(n[i] * 2 + twice[i])), 5) if len(i) else None)
+                key = low[i].view(np.uint8).reshape(-1, 8)[:, :4]
+                rest = _planes(step) + _planes(start[i]) + _planes(n[i] * 2 + twice[i])
+                blobs.append(pickle.dumps((len(i), key.tobytes(), squeeze.compress(rest)), 5) if len(i) else None)
             at = [k for k, x in enumerate(blobs) if x]
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blobs[k] for k in at], pa.binary())], ("bucket", "packed"))
 
@@ -188,9 +190,11 @@ def repeated_runs(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
         def shared(packed: list[bytes]) -> pa.RecordBatch:
             parts = []
             for raw in packed:
-                n, key, step, start, many = pickle.loads(raw)
+                n, key, rest = pickle.loads(raw)
+                rest = zstandard.ZstdDecompressor().decompress(rest)
+                step, start, many = rest[: 8 * n], rest[8 * n : 12 * n], rest[12 * n :]
                 h = np.zeros((n, 8), np.uint8)
-                h[:, :5] = np.frombuffer(key, np.uint8).reshape(n, 5)
+                h[:, :4] = np.frombuffer(key, np.uint8).reshape(n, 4)
                 parts.append((h.view(np.uint64)[:, 0], np.cumsum(_unplanes(step, n, "<i8")), _unplanes(start, n, "<u4"), _unplanes(many, n, "<u4")))
             h, doc, start, many = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
