@@ -87,11 +87,11 @@ _SIGN = re.compile(r"(?<=[\w%+-])\s*[\[({<]\s*(at|arroba|dot|punkt|point|punto|@
 _BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+(\s+(?:at|arroba)\s+|\s*@\s*)[A-Za-z0-9-]+((?:(?:\s+(?:dot|punkt|point|punto)\s+|\s*\.\s*|\.)[A-Za-z0-9-]+)+)", re.I)
 _BARE_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+|\s+\.\s*|\.\s+", re.I)
 _IP_DOT = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\s+(?:dot|punkt|point|punto)\s+|\s*\.\s*)[0-9]{1,3}){3}(?![\w])", re.I)
-#: What may be a disguise; texts without it aren't rewritten.
-_TRIGGER = re.compile(
-    rf"[^\x00-ɏ]|[\xad\xa0]|[\[({{<]\s*(?:at|arroba|dot|punkt|point|punto|@|\.)\s*[\])}}>]|\s@|@\s|\b(?:at|arroba)\s+[\w-]+(?:\s+(?:dot|punkt|point|punto)\s|\s*\.\s*\w)|[0-9]\s+(?:dot|punkt|point|punto)\s+[0-9]|[0-9]\s+\.|(?:\b(?:{_SPELLED})\b[\s,-]+){{3}}",
-    re.I,
-)
+#: What every match of a step's pattern holds, as a part of that pattern; a step is left out only where its own is missing.
+_HAS_SIGN = re.compile(r"[\[({<]\s*(?:at|arroba|dot|punkt|point|punto|@|\.)\s*[\])}>]", re.I)
+_HAS_BARE = re.compile(r"@|\s(?:at|arroba)\s", re.I)
+_HAS_IP_DOT = re.compile(r"[0-9](?:\s+(?:dot|punkt|point|punto)\s+|\s*\.\s*)[0-9]", re.I)
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
 class Rewritten:
@@ -99,13 +99,16 @@ class Rewritten:
 
     def __init__(self, source: str):
         self.text = source
-        self.starts = list(range(len(source)))
-        self.ends = list(range(1, len(source) + 1))
+        self.starts: list[int] = []  # made at the first change
+        self.ends: list[int] = []
 
     def edit(self, changes: list[tuple[int, int, str]]) -> None:
         """Replaces ranges (in order, apart from each other); the new characters come from the whole range."""
         if not changes:
             return
+        if not self.starts:
+            self.starts = list(range(len(self.text)))
+            self.ends = list(range(1, len(self.text) + 1))
         text, starts, ends, at = [], [], [], 0
         for a, b, new in changes:
             text.append(self.text[at:a])
@@ -139,7 +142,7 @@ def plain(c: str) -> str:
 
 
 def characters(r: Rewritten) -> None:
-    r.edit([(i, i + 1, new) for i, c in enumerate(r.text) if c > "\x7f" and (new := plain(c)) != c])
+    r.edit([(m.start(), m.end(), new) for m in _NOT_ASCII.finditer(r.text) if (new := plain(m[0])) != m[0]])
 
 
 def spelled_digits(r: Rewritten) -> None:
@@ -153,9 +156,10 @@ def spelled_digits(r: Rewritten) -> None:
 
 def signs(r: Rewritten) -> None:
     """[at], (dot) and the like between words; then bare "at" and "dot" where an address's whole shape stands."""
-    r.edit([(*m.span(), "@" if m[1].lower() in ("at", "arroba", "@") else ".") for m in _SIGN.finditer(r.text)])
+    if _HAS_SIGN.search(r.text):
+        r.edit([(*m.span(), "@" if m[1].lower() in ("at", "arroba", "@") else ".") for m in _SIGN.finditer(r.text)])
     changes = []
-    for m in _BARE.finditer(r.text):
+    for m in _BARE.finditer(r.text) if _HAS_BARE.search(r.text) else ():
         disguised = not m[1].strip().startswith("@") or m[1] != "@" or _BARE_DOT.search(m[2])
         spelled = re.search(r"\s(?:dot|punkt|point|punto)\s", m[2], re.I)
         if not disguised or (m[1].strip() != "@" and not spelled) or (m[1].strip() == "@" and not spelled and re.search(r"\.\s", m[2])):
@@ -164,7 +168,7 @@ def signs(r: Rewritten) -> None:
         changes += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m[2])]
     r.edit(changes)
     changes = []
-    for m in _IP_DOT.finditer(r.text):
+    for m in _IP_DOT.finditer(r.text) if _HAS_IP_DOT.search(r.text) else ():
         changes += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _BARE_DOT.finditer(m[0])]
     r.edit(changes)
 
@@ -178,19 +182,18 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     text = text or ""
     base = {k: f(text) for k, f in FINDERS.items()}
     out = {k: [(a, b, True) for a, b in v] for k, v in base.items()}
-    if _TRIGGER.search(text):
-        r = Rewritten(text)
-        for step in (characters, spelled_digits, signs):
-            step(r)
-        if r.text != text:
-            for k, f in FINDERS.items():
-                new = [(r.starts[a], r.ends[b - 1], False) for a, b in f(r.text)]
-                old, i = base[k], 0
-                for a, b, p in new:
-                    while i < len(old) and old[i][1] < b:
-                        i += 1
-                    if i == len(old) or old[i][0] > a:  # not within a plain one
-                        out[k].append((a, b, p))
+    r = Rewritten(text)
+    for step in (characters, spelled_digits, signs):
+        step(r)
+    if r.text != text:
+        for k, f in FINDERS.items():
+            new = [(r.starts[a], r.ends[b - 1], False) for a, b in f(r.text)]
+            old, i = base[k], 0
+            for a, b, p in new:
+                while i < len(old) and old[i][1] < b:
+                    i += 1
+                if i == len(old) or old[i][0] > a:  # not within a plain one
+                    out[k].append((a, b, p))
     return [(k, *s) for k in KINDS for s in sorted(out[k])]
 
 

@@ -356,6 +356,38 @@ def test_no_disguise(text):
     assert pii.spans(text) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("mail john@example dot com now", "email", "john@example dot com"),
+        ("is eight dot eight dot eight dot eight up", "ip", "eight dot eight dot eight dot eight"),
+        ("plus four 4 two 2 seven 7 four 4 zero 0 ok", "phone", "plus four 4 two 2 seven 7 four 4 zero 0"),
+        ("is 192. 168. 0. 1 up", "ip", "192. 168. 0. 1"),
+        ("is 8.8.8.²³ up", "ip", "8.8.8.²³"),
+    ],
+)
+def test_disguises_of_a_single_step(text, kind, part):
+    """Each needs one step of the chain only, and no look-alike beyond Latin."""
+    a = text.index(part)
+    assert (kind, a, a + len(part), False) in pii.spans(text)
+    assert pii.masked_text(text) == text.replace(part, f"<{kind}>")
+
+
+PIECES = ["jo", "x9", "mail", "com", "at", "dot", "Punkt", "arroba", "plus", "one", "Zwei", "huit", "nine", "8", "192", "@", ".", "[", "]", "(", ")", "<", "-", ",", " ", " ", "\n", "²", "ª", "ſ", "а", "\xad", "\u200b", "．"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), st.booleans())
+def test_no_step_is_left_out(text, spaced):
+    """A step is skipped only where it would change nothing."""
+    text = " ".join(text) if spaced else text
+    got = pii.spans(text)
+    with pytest.MonkeyPatch.context() as m:
+        for gate in ("_HAS_SIGN", "_HAS_BARE", "_HAS_IP_DOT"):
+            m.setattr(pii, gate, re.compile(""))
+        assert pii.spans(text) == got
+
+
 def test_pii_tables(docs, empty, spark):
     assert pii.found(docs).count() == len(EDGE) and pii.found(empty).count() == 0
     out = pii.masked(docs.withColumn("text", F.concat("text", F.lit(" a@b.cd")))).where("doc_id = 10").first()
