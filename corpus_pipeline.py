@@ -23,13 +23,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.scored(docs, model, name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, stored so that it never changes, and the name of that column."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates the document with the smallest doc_id, once if its row is repeated.
+    """Keeps one row of each component of near-duplicates, the one with the smallest doc_id.
 
-    A document without doc_id stays only where its whole component has none.
+    A document without doc_id stays only where its whole component has none. Among rows that share the smallest doc_id
+    (or have none), a hash of the columns decides.
     """
-    keep = simhash.classes(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rows, key = keyed(docs)
+    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])  # what Spark can hash
+    keep = simhash.representatives(rows.select("doc_id", "text", tie.alias("tie"), F.col(key).alias("row")))
+    return rows.join(keep.withColumnRenamed("row", key), key, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

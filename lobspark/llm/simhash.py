@@ -45,15 +45,15 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(sum(1 << int(i) for i in bits))
 
 
-def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, fp), fp as a signed 64-bit integer, a row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, size: int = 4, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, then the 64-bit integers ``more`` as they are), fp signed, a row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ("doc_id", "fp"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ("doc_id", "fp", *more))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
@@ -161,6 +161,23 @@ def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def rooted(lowest: DataFrame, radius: int) -> DataFrame:
+    """(fp, low, root) for (fp, low) of distinct fingerprints: equal roots are one component."""
+    root = components(links(lowest.select("fp"), radius))
+    return lowest.join(root, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
+    """(row): of each component as in ``classes`` one row of docs (doc_id, text, tie, row), by its own key ``row``.
+
+    It has the smallest doc_id; null is the largest. Among rows of that id the smallest (tie, row) is taken.
+    """
+    marked = checkpointed(fingerprints(docs, size, ("tie", "row")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")
+    known = rooted(marked.groupBy("fp").agg(F.min(order).alias("low")), radius)
+    return known.groupBy("root").agg(F.min("low").alias("low")).select("low.row")
+
+
 def classes(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     """A row for each row of docs: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
@@ -170,8 +187,7 @@ def classes(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     """
     marked = checkpointed(fingerprints(docs, size))
     lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    root = components(links(lowest.select("fp"), radius))
-    known = checkpointed(lowest.join(root, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    known = checkpointed(rooted(lowest, radius))
     ids = known.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = known.join(ids, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

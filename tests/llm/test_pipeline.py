@@ -68,6 +68,16 @@ def test_empty_input(spark):
         assert docs.count() == 0
 
 
+def test_near_duplicates_without_id(spark):
+    """One row of each component stays, whatever ids its rows have or share."""
+    texts = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(40)) for w in ("ant", "bee", "cow", "doe", "elk")]
+    a, b, c, d, e = texts
+    assert len(set(brute_components({i: fingerprint(t) for i, t in enumerate(texts)}).values())) == 5
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (4, c), (None, c), (9, c), (4, d), (3, e), (4, e), (3, e)], "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(None, a), (None, b), (4, c), (4, d), (3, e)])
+
+
 def test_stages_on_odd_rows(spark):
     """Nulls anywhere, empty and long texts, repeated rows, and further columns with names that the stages use."""
     docs = spark.createDataFrame([*EDGE, (7, None), (None, "x y z")], "doc_id long, text string")
