@@ -45,9 +45,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words a twentieth or more stands in benchmark windows."""
-    spans = decontaminate.contaminated_spans(docs, table(spark, sf_dir, "benchmark"))
-    bad = checkpointed(decontaminate.report(spans).where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = keyed(docs)
+    spans = decontaminate.contaminated_spans(rows, table(spark, sf_dir, "benchmark"), row=key)
+    bad = checkpointed(decontaminate.report(spans).where("contaminated").select(key))
+    return rows.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import ALNUM, LOWER, gram_hash, prefix_hash, span_hash, table, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import ALNUM, LOWER, gram_hash, prefix_hash, span_hash, stored, table, text_bytes, text_chunks, word_spans
 
 #: Windows of a block of items; a block's index (some 300 bytes a window) is what every task gets.
 BLOCK_WINDOWS = 200_000
@@ -25,13 +25,13 @@ BLOCK_WINDOWS = 200_000
 class Windows:
     """The distinct windows of some items, by their shingles' hashes. Lives on the driver and in the tasks."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int, shingle: int):
         self.window = window
         data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         data = LOWER[data]
         starts, ends, first = word_spans(data, offsets, ALNUM)
         h = span_hash(prefix_hash(data), starts, ends)
-        owners: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         place: dict[tuple[bytes, ...], int] = {}
         for k, (item_id, _) in enumerate(items):
             a, b = int(first[k]), int(first[k + 1])
@@ -39,10 +39,10 @@ class Windows:
             size = min(window, len(words))
             for i in range(len(words) - size + 1 if words else 0):
                 key = tuple(words[i : i + size])
-                owners[key].add(item_id)
+                owners[key].add(None if item_id is None else str(item_id))
                 place.setdefault(key, a + i)
         self.words = list(owners)
-        self.owners = [sorted(map(str, owners[w])) for w in self.words]
+        self.owners = [owners[w] for w in self.words]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         #: By shingle size: each window's shingle hashes, in order.
         self.shingles: list[tuple[int, np.ndarray]] = []
@@ -105,13 +105,13 @@ def _seen(docs: DataFrame, index: Windows) -> dict[tuple[int, int], int]:
 
 
 def _hits(docs: DataFrame, index: Windows, only_hit: bool) -> DataFrame:
-    """doc_id, n_words, spans (hit words as start, end, ... ; merged), items (whose windows occur)."""
+    """row, doc_id (as in docs), n_words, spans (hit words as start, end, ... ; merged), items (whose windows occur)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             data, starts, ends, first, h = _words(chunk)
             spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set[str]] = defaultdict(set)
+            items: dict[int, set[str | None]] = defaultdict(set)
             for k, g, at in _matches(h, first, index):
                 for p, d in zip(at.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist(), strict=True):
                     for w, o in index.postings[k, int(g[p])]:
@@ -123,7 +123,7 @@ def _hits(docs: DataFrame, index: Windows, only_hit: bool) -> DataFrame:
                             spans[d].append((a - int(first[d]), b - int(first[d])))
                             items[d].update(index.owners[w])
             rows = []
-            for d, doc_id in enumerate(chunk.column("doc_id").to_pylist()):
+            for d, (row, doc_id) in enumerate(zip(chunk.column("row").to_pylist(), chunk.column("doc_id").to_pylist(), strict=True)):
                 if d in spans or not only_hit:
                     flat: list[int] = []
                     for a, b in sorted(spans.get(d, ())):
@@ -131,55 +131,64 @@ def _hits(docs: DataFrame, index: Windows, only_hit: bool) -> DataFrame:
                             flat[-1] = max(flat[-1], b)
                         else:
                             flat += (a, b)
-                    rows.append((doc_id, int(first[d + 1] - first[d]), flat, sorted(items.get(d, ()))))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ("doc_id", "n_words", "spans", "items"))
+                    rows.append((row, doc_id, int(first[d + 1] - first[d]), flat, sorted(items.get(d, ()), key=lambda x: (x is None, x))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ("row", "doc_id", "n_words", "spans", "items"))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "doc_id long, n_words long, spans array<long>, items array<string>")
+    return docs.select("row", "doc_id", "text").mapInArrow(search, "row long, doc_id long, n_words long, spans array<long>, items array<string>")
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, block_windows: int = BLOCK_WINDOWS, row: str | None = None) -> DataFrame:
     """Every document with its words that lie in an occurrence of an item's window.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not looked at. Result: doc_id, n_words, spans
-    (merged word ranges as start, end, start, end, ...), items (ids as sorted strings). A null or empty text has no
-    words; an item without words has no window; one of fewer than ``window`` words is a window itself. Rows that repeat
-    a document each get their result.
+    (merged word ranges as start, end, start, end, ...), items (ids as sorted strings, then a null for all items without
+    id). A null or empty text has no words; an item without words has no window; one of fewer than ``window`` words is a
+    window itself. Rows that repeat a document each get their result. ``row`` names a column of docs with a stored key of
+    each row; the result then has it too.
 
     The items are read in blocks of about ``block_windows`` windows. One block, the usual case, needs two passes over
-    the documents and no shuffle of them; for more blocks the hits of each are merged by document.
+    the documents and no shuffle of them; for more blocks the hits of each are merged by the row's key,
+    for which docs without ``row`` are stored once.
     """
     weight = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1  # no fewer than the item's windows
     n_blocks = max(1, -(-int(benchmark.agg(F.sum(weight)).first()[0] or 0) // block_windows))
-    bench = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
+    bench = benchmark.select("item_id", "text")
+    wanted = [*([F.col("row").alias(row)] if row else []), "doc_id", "n_words"]
+    key = F.col(row) if row else F.monotonically_increasing_id() if n_blocks > 1 else F.lit(None)
+    docs = docs.select(key.cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
+    if n_blocks > 1 and not row:
+        docs = stored(docs)
     parts = []
     for k in range(n_blocks):
-        mine = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else bench
+        mine = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else bench
         index = Windows([tuple(r) for r in mine.collect()], window, shingle)  # a block: bounded
         if index.words:
             index.choose(_seen(docs, index))
         parts.append(_hits(docs, index, only_hit=n_blocks > 1))
     if n_blocks == 1:
-        return parts[0]
+        return parts[0].select(*wanted, "spans", "items")
     empty = Windows([], window, shingle)
-    out = _hits(docs, empty, only_hit=False).select("doc_id", "n_words").dropDuplicates()
+    out = _hits(docs, empty, only_hit=False).select("row", "doc_id", "n_words")
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy("doc_id", "n_words").agg(F.collect_list("spans").alias("many"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = hits.groupBy("row").agg(F.collect_list("spans").alias("many"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     pairs = F.expr("array_sort(flatten(transform(many, s -> transform(sequence(0, cast(size(s) / 2 as int) - 1), i -> array(s[2 * i], s[2 * i + 1])))))")
     glue = lambda acc, p: F.when((F.size(acc) > 0) & (p[0] <= F.element_at(acc, -1)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), p[1])))).otherwise(F.concat(acc, p))
-    hits = hits.select("doc_id", "n_words", F.aggregate(pairs, F.array().cast("array<long>"), glue).alias("spans"), "items")
+    hits = hits.select("row", F.aggregate(pairs, F.array().cast("array<long>"), glue).alias("spans"), "items")
     none = F.array()
-    return out.join(hits, ["doc_id", "n_words"], "left").select("doc_id", "n_words", F.coalesce("spans", none.cast("array<long>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+    return out.join(hits, "row", "left").select(*wanted, F.coalesce("spans", none.cast("array<long>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"))
 
 
 def report(spans: DataFrame) -> DataFrame:
-    """The digest of ``contaminated_spans``: a document is contaminated if a twentieth of its words or more is hit."""
+    """The digest of ``contaminated_spans``: a document is contaminated if a twentieth of its words or more is hit.
+
+    Items without id count as one item, which is not in the digest. Further columns stay.
+    """
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select(
-        "doc_id",
-        "n_words",
+        *(c for c in spans.columns if c not in ("spans", "items")),
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),

@@ -173,6 +173,28 @@ def test_decontamination(spark, docs, block):
             assert tuple(r)[1:] == want[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("block", [200_000, 60])
+def test_decontamination_by_row(spark, docs, block):
+    """Each row has its own result in any number of blocks, also without id, or with another text's id and length."""
+    items = [*ITEMS, (None, PASSAGES[3]), (None, "anra")]
+    rows = [*EDGE, (500, PASSAGES[0]), (500, sentence(30)), (None, PASSAGES[3])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.report(decontaminate.contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench, block_windows=block)).collect()
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wanted = [(i, w[k : k + 13]) for i, t in items for w in [find(t)] for k in range(max(len(w) - 12, 1)) if w]
+    want = collections.Counter()
+    for i, t in rows:
+        w, hit, who = find(t), set(), set()
+        for item, x in wanted:
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit |= set(range(k, k + len(x)))
+                    who.add(item)
+        ids = ",".join(sorted(str(x) for x in who if x is not None))
+        want[i, len(w), len(hit), len(who), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    assert collections.Counter(map(tuple, got)) == want
+
+
 def test_decontamination_without_items(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.report(decontaminate.contaminated_spans(docs, bench)).where("contaminated OR n_hit > 0").count()

@@ -78,6 +78,14 @@ def test_near_duplicates_without_id(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter([(None, a), (None, b), (4, c), (4, d), (3, e)])
 
 
+def test_decontamination_by_row(spark):
+    """A contaminated row goes also without id, and no other row of its id goes with it."""
+    item = next(r.text for r in table(spark, SF, "benchmark").collect() if len((r.text or "").split()) > 15)
+    docs = spark.createDataFrame([(None, item), (None, "qq ww zz"), (5, item), (5, "qq ww zz")], "doc_id long, text string")
+    got = corpus_pipeline.decontamination_stage(spark, docs, SF).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(None, "qq ww zz"), (5, "qq ww zz")])
+
+
 def test_stages_on_odd_rows(spark):
     """Nulls anywhere, empty and long texts, repeated rows, and further columns with names that the stages use."""
     docs = spark.createDataFrame([*EDGE, (7, None), (None, "x y z")], "doc_id long, text string")
