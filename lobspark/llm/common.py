@@ -144,6 +144,28 @@ def span_hash(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return (s[ends] - s[starts]) * powers(len(s))[1][starts]
 
 
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Which spans a to b of ``data`` have the same bytes as the spans c to d. ``most`` bytes are compared at once."""
+    size = b - a
+    out = size == d - c
+    todo = np.flatnonzero(out & (a != c) & (size > 0))
+    total = np.cumsum(size[todo])
+    at = 0
+    while at < len(todo):
+        end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")), at + 1)
+        part = todo[at:end]
+        n = size[part]
+        if len(part) == 1:
+            k = int(part[0])
+            out[k] = np.array_equal(data[a[k] : b[k]], data[c[k] : d[k]])
+        else:
+            first = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(first, n)
+            out[part] = np.logical_and.reduceat(data[np.repeat(a[part], n) + step] == data[np.repeat(c[part], n) + step], first)
+        at = end
+    return out
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose results look random in every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,9 +2,13 @@
 
 Each line gets features of its own text and of its place; the field scores a labelling of all lines by these features
 and by the labels of neighbouring lines, and Viterbi decoding finds the best labelling. The share of words in lines
-labelled content decides whether a document is kept. No line labels exist, so training takes weak ones: the lines of
-documents labelled good count as content, those of documents labelled bad as boilerplate, and a line that many of the
-sample's documents share as boilerplate anywhere.
+labelled content decides whether a document is kept.
+
+No line labels exist, so training takes weak ones that differ within a document. A line is evidently boilerplate if it
+repeats an earlier line of its document, stands between many different neighbours in the whole corpus, is mostly
+symbols or mostly repeats itself. The other lines of documents labelled good are content. In documents labelled bad the
+other lines are left open, and training sums over their labels; only where a bad document has no evident line at all
+are all of them boilerplate.
 """
 
 from __future__ import annotations
@@ -17,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import NOT_SPACE, gram_hash, prefix_hash, span_hash, table, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import NOT_SPACE, mixed, prefix_hash, same_spans, span_hash, table, text_bytes, text_chunks, word_spans
 
 #: The most labelled documents that the field is trained on.
 SAMPLE = 4000
-#: Documents of the sample that share a line before it counts as boilerplate.
+#: Different pairs of neighbours, over all documents, between which a line of the sample stands before it counts as
+#: boilerplate. Copies of a document give its lines one pair only.
 SHARED = 4
-#: A training sequence's most lines; a longer document makes several.
-STRETCH = 64
+#: A training sequence's most lines, and the most sequences of a document (evenly spaced).
+STRETCH, STRETCHES = 64, 2
+
+BOILERPLATE, CONTENT, OPEN = 0, 1, 2
 
 
 def _class(values) -> np.ndarray:
@@ -49,15 +56,40 @@ def twice(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, any_
 
 
+def exact_kinds(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each span of bytes, the same for equal ones only: by hash, and compared byte by byte with the first
+    span of that hash. Should hashes of different spans agree, all are numbered by their bytes."""
+    _, first, kind = np.unique(span_hash(prefix, a, b), return_index=True, return_inverse=True)
+    if same_spans(data, a, b, a[first[kind]], b[first[kind]]).all():
+        return kind
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(data[x:y].tobytes(), len(number)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+
+
+def triples(kind: np.ndarray) -> np.ndarray:
+    """A number for each run of three of the values, the same for equal runs only."""
+    if len(kind) < 3:
+        return kind[:0]
+    many = int(kind.max()) + 1
+    if many < 1 << 21:
+        return (kind[:-2] * many + kind[1:-1]) * many + kind[2:]
+    pair = np.unique(kind[:-1] * many + kind[1:], return_inverse=True)[1]
+    return pair[:-1] * many + kind[2:]
+
+
 class Lines:
     """Some texts with their words and their lines that have a word."""
 
-    def __init__(self, column: pa.Array):
+    @classmethod
+    def plain(cls, column: pa.Array) -> Lines:
+        """Without what only counts and features need."""
+        return cls(column, counted=False)
+
+    def __init__(self, column: pa.Array, counted: bool = True):
         self.data, self.offsets = text_bytes(column)
         self.n_docs = len(self.offsets) - 1
         self.starts, self.ends, self.first = word_spans(self.data, self.offsets, NOT_SPACE)
         self.prefix = prefix_hash(self.data)
-        self.doc = np.searchsorted(self.first, np.arange(len(self.starts)), side="right") - 1
         cut = np.union1d(self.offsets, np.flatnonzero(self.data == 0x0A) + 1)
         a, b = cut[:-1], cut[1:] - (self.data[cut[1:] - 1] == 0x0A) if len(self.data) else cut[1:]
         f = np.searchsorted(self.starts, a)
@@ -66,16 +98,31 @@ class Lines:
         self.a, self.b, self.word, self.n = a[real], b[real], f[real], n[real]
         self.line_doc = np.searchsorted(self.offsets, self.a, side="right") - 1
         self.hash = span_hash(self.prefix, self.a, self.b)
-        self.before, _ = twice(self.hash, self.line_doc)
-        h = span_hash(self.prefix, self.starts, self.ends)
-        g = gram_hash(h, 3)
+        self.longest = np.bincount(self.line_doc, minlength=self.n_docs)
+        if not counted:
+            return
+        self.doc = np.searchsorted(self.first, np.arange(len(self.starts)), side="right") - 1
+        self.before, _ = twice(exact_kinds(self.data, self.prefix, self.a, self.b), self.line_doc)
+        g = triples(exact_kinds(self.data, self.prefix, self.starts, self.ends))
         at = np.flatnonzero(np.arange(len(g)) + 3 <= self.first[self.doc[: len(g)] + 1]) if len(g) else np.zeros(0, np.int64)
         _, many = twice(g[at], self.doc[at])
         step = np.zeros(len(self.starts) + 1, np.int64)
         np.add.at(step, at[many], 1)
         np.add.at(step, at[many] + 3, -1)
         self.repeated = np.cumsum(step[:-1]) > 0
-        self.longest = np.bincount(self.line_doc, minlength=self.n_docs)
+
+    def neighbours(self) -> np.ndarray:
+        """A hash of the lines before and after each line, as far as its document has them."""
+        h = mixed(self.hash)
+        same = self.line_doc[1:] == self.line_doc[:-1]
+        out = np.zeros(len(h), np.uint64)
+        out[1:] += np.where(same, h[:-1], 0)
+        out[:-1] += np.where(same, h[1:] * np.uint64(3), 0)
+        return out
+
+    def evident(self, x: np.ndarray) -> np.ndarray:
+        """Lines that are boilerplate by themselves; x: their features."""
+        return self.before | (x[:, 10] > 0) | ((x[:, 12] > 0.5) & (self.n >= 5))
 
     def counts(self) -> dict[str, np.ndarray]:
         """The base rules' figures of each whole text."""
@@ -164,45 +211,60 @@ class Field:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 250, rate: float = 0.05, ridge: float = 1e-3) -> Field:
-    """Maximises the labellings' likelihood; expectations by the forward-backward recursions over padded sequences."""
+class Chains:
+    """Sequences of lines laid out by place: first all first lines, the longest sequence's first, then all second ones.
+
+    ``at`` gives for each place in this layout the line; those of place t are ``edge[t]`` to ``edge[t + 1]``, and the
+    line before the k-th of them is the k-th of place t - 1. A label's odds are scalars, as there are two labels.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        begin = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        live = np.searchsorted(-lengths[order], -np.arange(1, int(lengths.max()) + 1), side="right")
+        self.edge = np.concatenate([[0], np.cumsum(live)])
+        self.at = np.concatenate([begin[order[:n]] + t for t, n in enumerate(live)])
+        self.live = live
+
+    def expected(self, odds: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's probability of label 1, and how often each pair of neighbouring labels is expected.
+
+        odds: of label 1 by the emissions, in this layout; step: factors of neighbouring labels.
+        """
+        edge, live = self.edge, self.live
+        forward, backward = odds.copy(), np.ones_like(odds)
+        for t in range(1, len(live)):
+            before = forward[edge[t - 1] : edge[t - 1] + live[t]]
+            forward[edge[t] : edge[t + 1]] *= (step[0, 1] + step[1, 1] * before) / (step[0, 0] + step[1, 0] * before)
+        for t in range(len(live) - 1, 0, -1):
+            after = odds[edge[t] : edge[t + 1]] * backward[edge[t] : edge[t + 1]]
+            backward[edge[t - 1] : edge[t - 1] + live[t]] = (step[1, 0] + step[1, 1] * after) / (step[0, 0] + step[0, 1] * after)
+        p = forward * backward
+        p /= 1 + p
+        left = np.concatenate([forward[edge[t - 1] : edge[t - 1] + live[t]] for t in range(1, len(live))] or [forward[:0]])
+        right = (odds * backward)[edge[1] :]
+        joint = np.stack([np.full(len(left), step[0, 0]), step[0, 1] * right, step[1, 0] * left, step[1, 1] * left * right])
+        return p, (joint / joint.sum(0)).sum(1).reshape(2, 2)
+
+
+def train(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3, still: float = 2e-4) -> Field:
+    """Maximises the likelihood of the given labels, summed over those that are OPEN, until the gradient is ``still``.
+
+    The gradient is the difference between two runs of the forward-backward recursions: one held to the labels, one free.
+    """
     scale = x.std(0) + 0.05
-    n, longest = len(lengths), int(lengths.max())
-    begin = np.cumsum(lengths) - lengths
-    mask = np.arange(longest)[None] < lengths[:, None]
-    at = np.where(mask, begin[:, None] + np.arange(longest)[None], 0)
-    gold = y[at] * mask
+    chains = Chains(lengths)
+    scaled = (x / scale)[chains.at]
+    held = np.array([-50.0, 50.0, 0.0])[y[chains.at].astype(np.int64)]
     w, pair = np.zeros(x.shape[1]), np.zeros((2, 2))
-    both = mask[:, 1:] & mask[:, :-1]
-    pair_gold = np.array([[(both & (gold[:, :-1] == i) & (gold[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    scaled = x / scale
-    x_gold = scaled.T @ y
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    total = float(len(x))
     for t in range(1, steps + 1):
-        e = np.zeros((n, longest, 2))
-        e[:, :, 1] = np.where(mask, (scaled @ w)[at], 0)
-        step = np.exp(pair)
-        emit = np.exp(np.clip(e, -30, 30))
-        alpha, beta = np.zeros_like(e), np.ones_like(e)
-        a = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
-        alpha[:, 0] = a
-        for k in range(1, longest):
-            new = (a @ step) * emit[:, k]
-            a = np.where(mask[:, k, None], new / new.sum(1, keepdims=True), a)
-            alpha[:, k] = a
-        b = np.ones((n, 2))
-        for k in range(longest - 1, 0, -1):
-            new = (emit[:, k] * b) @ step.T
-            b = np.where(mask[:, k, None], new / new.sum(1, keepdims=True), b)
-            beta[:, k - 1] = b
-        p = alpha * beta
-        p = p[:, :, 1] / p.sum(2)
-        joint = alpha[:, :-1, :, None] * step[None, None] * (emit[:, 1:] * beta[:, 1:])[:, :, None, :]
-        joint = (joint / joint.sum((2, 3), keepdims=True) * both[:, :, None, None]).sum((0, 1))
-        mean = np.zeros(len(x))
-        mean[at[mask]] = p[mask]
-        grad = np.concatenate([(x_gold - scaled.T @ mean) / total - ridge * w, ((pair_gold - joint) / total - ridge * pair).ravel()])
+        e, step = np.clip(scaled @ w, -30, 30), np.exp(pair)
+        p_held, pairs_held = chains.expected(np.exp(e + held), step)
+        p_free, pairs_free = chains.expected(np.exp(e), step)
+        grad = np.concatenate([scaled.T @ (p_held - p_free), (pairs_held - pairs_free).ravel()]) / len(x) - ridge * np.concatenate([w, pair.ravel()])
+        if np.abs(grad).max() < still:
+            break
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         go = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, pair = w + go[:-4], pair + go[-4:].reshape(2, 2)
@@ -210,45 +272,68 @@ def train(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 250, r
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(good, x, h) of each line of docs (text, good), with its document's running number within the task."""
+    """(good, bare, x, h, evident) of docs (text, good): a row for each stretch of lines. bare: the whole document has
+    no evident line."""
+    kinds = {"good": pa.int64(), "bare": pa.bool_(), "x": pa.list_(pa.float32()), "h": pa.list_(pa.int64()), "evident": pa.list_(pa.bool_())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
             lines = Lines(chunk.column("text"))
             x = lines.features()
-            edges = np.cumsum(lines.longest)[:-1]
-            xs = [part.ravel().tolist() for part in np.split(x, edges)]
-            hs = [part.view(np.int64).tolist() for part in np.split(lines.hash, edges)]
-            yield pa.RecordBatch.from_arrays([chunk.column("good"), pa.array(xs, pa.list_(pa.float64())), pa.array(hs, pa.list_(pa.int64()))], ("good", "x", "h"))
+            evident = lines.evident(x)
+            first = np.cumsum(lines.longest) - lines.longest
+            rows: list[tuple] = []
+            for good, a, n in zip(chunk.column("good").to_pylist(), first.tolist(), lines.longest.tolist(), strict=True):
+                bare = not evident[a : a + n].any()
+                k = -(-n // STRETCH)
+                for j in sorted({i * k // min(k, STRETCHES) for i in range(min(k, STRETCHES))}):
+                    part = slice(a + j * STRETCH, a + min(n, (j + 1) * STRETCH))
+                    rows.append((good, bare, x[part].ravel().tolist(), lines.hash[part].view(np.int64).tolist(), evident[part].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    return docs.select("text", "good").mapInArrow(run, "good long, bare boolean, x array<float>, h array<long>, evident array<boolean>")
+
+
+def shared_lines(docs: DataFrame, wanted: np.ndarray, least: int = SHARED) -> set[int]:
+    """Which of the line hashes ``wanted`` (sorted) stand between ``least`` or more different pairs of neighbours in
+    all documents. Each task sends a line's pairs once for a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            lines = Lines.plain(chunk.column("text"))
+            h = lines.hash.view(np.int64)
+            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+            both = np.unique(np.stack([h[at], lines.neighbours().view(np.int64)[at]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ("h", "near"))
 
-    return docs.select("text", "good").mapInArrow(run, "good long, x array<double>, h array<long>")
+    pairs = docs.select("text").mapInArrow(run, "h long, near long").distinct()
+    common = pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return {r["h"] for r in common.select("h").collect()}  # some of ``wanted``
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
-    """Trained on the lines of at most ``sample`` labelled documents of each kind (those whose ids have the smallest
-    hashes). None without lines of both kinds."""
-    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("long").alias("good")).dropDuplicates(["doc_id"])
+    """Trained on lines of at most ``sample`` / 2 labelled documents of each kind (those whose ids have the smallest
+    hashes), of each STRETCHES sequences of STRETCH lines at most. Of rows that repeat a doc_id the smallest text counts.
+    None without content and boilerplate."""
+    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("quality").cast("long")).alias("good"))
     order = [F.xxhash64("doc_id", F.lit(8)), F.col("doc_id")]
     ids = [marked.where(F.col("good") == g).orderBy(*order).limit(sample // 2) for g in (0, 1)]
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")  # no more than ``sample`` rows
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))
     got = [r for r in line_rows(chosen).collect() if len(r["h"])]
     if not got:
         return None
-    h = np.concatenate([np.unique(np.array(r["h"], np.int64)) for r in got])
-    value, many = np.unique(h, return_counts=True)
-    common = set(value[many >= SHARED].tolist())
-    xs, ys, lengths = [], [], []
+    common = shared_lines(docs, np.unique(np.concatenate([np.array(r["h"], np.int64) for r in got])))
+    xs, ys = [], []
     for r in got:
-        x = np.array(r["x"]).reshape(len(r["h"]), -1)
-        y = np.array([r["good"] == 1 and k not in common for k in r["h"]], float)
-        for a in range(0, len(y), STRETCH):
-            xs.append(x[a : a + STRETCH])
-            ys.append(y[a : a + STRETCH])
-            lengths.append(len(ys[-1]))
+        xs.append(np.array(r["x"], float).reshape(len(r["h"]), -1))
+        evident = np.array(r["evident"]) | np.array([h in common for h in r["h"]])
+        rest = CONTENT if r["good"] == 1 else BOILERPLATE if r["bare"] and not evident.any() else OPEN
+        ys.append(np.where(evident, BOILERPLATE, rest))
     y = np.concatenate(ys)
-    if y.min() == y.max():
+    if not (y == CONTENT).any() or not (y == BOILERPLATE).any():
         return None
-    return train(np.concatenate(xs), y, np.array(lengths))
+    return train(np.concatenate(xs), y, np.array([len(part) for part in ys]))
 
 
 def judged(docs: DataFrame, field: Field | None, least_share: float = 0.5, least_words: int = 50, most_repeated: float = 0.5) -> DataFrame:

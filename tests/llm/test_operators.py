@@ -438,6 +438,112 @@ def test_rules_base(docs, empty):
             assert tuple(r)[1:6] == b and r.base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0]) and r.kept == (not r.base_failed)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_different_lines_and_words_with_equal_hashes(spark):
+    """A polynomial hash modulo a power of two can't tell a Thue-Morse word from its complement; the counts must."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    h = common.span_hash(common.prefix_hash(data), np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] == h[1]
+    texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", f"{a} x y {b} x y {a} x y", f"{a} x y {b} x z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:6] for r in rules.judged(df, None).collect()}
+    assert got == {i: brute_base(t) for i, t in enumerate(texts)} and got[0][3] == 0 and got[1][3] == 1
+
+
+def test_rules_base_on_long_texts(spark):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice(["x", "yy", "z" * rng.randint(1, 3000)]) for _ in range(rng.randint(0, 400))) for _ in range(12)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(40)), "w " * 300_000, "q" * 400_000, "\n".join("r" * 70_000 for _ in range(3)), "\n" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:6] for r in rules.judged(df, None).collect()} == {i: brute_base(t) for i, t in enumerate(texts)}
+
+
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 2**22), min_size=3, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_triples(few, many):
+    for kind in (np.array(few, np.int64), np.array(many, np.int64)):
+        got = rules.triples(kind)
+        want = [tuple(kind[i : i + 3].tolist()) for i in range(len(kind) - 2)]
+        assert len(got) == len(want) and all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(want)) for j in range(i))
+
+
+def test_expectations_of_the_field():
+    """Forward and backward odds against all labellings, with some labels held."""
+    rng = np.random.default_rng(4)
+    lengths = np.array([2, 5, 1, 3])
+    chains = rules.Chains(lengths)
+    odds, step = np.exp(rng.normal(size=11)), np.exp(rng.normal(size=(2, 2)))
+    odds[4] *= np.exp(50)
+    p, pairs = chains.expected(odds[chains.at], step)
+    got = np.zeros(11)
+    got[chains.at] = p
+    begin, want, want_pairs = 0, [], np.zeros((2, 2))
+    for n in lengths:
+        weight = {ls: np.prod([odds[begin + i] ** v for i, v in enumerate(ls)]) * np.prod([step[a, b] for a, b in zip(ls, ls[1:])]) for ls in itertools.product((0, 1), repeat=int(n))}
+        total = sum(weight.values())
+        want += [sum(w for ls, w in weight.items() if ls[i]) / total for i in range(n)]
+        for ls, w in weight.items():
+            for a, b in zip(ls, ls[1:]):
+                want_pairs[a, b] += w / total
+        begin += n
+    assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+
+
+def test_viterbi_finds_planted_boilerplate(spark):
+    """Boilerplate inside good documents, of which a fifth has no mark of its own: labels differ within a document."""
+    rng = random.Random(12)
+    notices = [f"{sentence(4)} | {sentence(2)} | {sentence(3)}" for _ in range(8)]
+    rows, truth = [], {}
+    for i in range(500):
+        lines, marks = [], []
+        for block in range(rng.randint(2, 4)):
+            junk = block % 2 == i % 2
+            for _ in range(rng.randint(3, 5)):
+                if junk:
+                    lines.append(rng.choice(notices) if rng.random() < 0.5 else sentence(rng.randint(3, 6)) + (" ###" if rng.random() < 0.6 else ""))
+                else:
+                    lines.append(sentence(rng.randint(8, 14)) + "." if rng.random() < 0.8 else sentence(rng.randint(4, 7)))
+                marks.append(int(not junk))
+        truth[i] = marks
+        rows.append((i, "\n".join(lines)))
+    bad_rows = [(1000 + i, bad(i)) for i in range(200)]
+    texts = spark.createDataFrame(rows + bad_rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(250)] + [(1000 + i, 0) for i in range(100)], "doc_id long, quality int")
+    field = rules.learned(texts, labels)
+    held = [r for r in rules.judged(texts, field).collect() if 250 <= r.doc_id < 1000]
+    want = np.concatenate([truth[r.doc_id] for r in held])
+    viterbi = np.concatenate([r.labels for r in held])
+    lines = rules.Lines(pa.array([dict(rows)[r.doc_id] for r in held]))
+    alone = (field.emissions(lines.features()) > 0).astype(int)
+    assert np.mean(viterbi == want) >= np.mean(alone == want) and np.mean(viterbi == want) > 0.87
+    assert sum(0 < sum(r.labels) < len(r.labels) for r in held) > 0.8 * len(held)
+
+
+def test_field_beats_lines_by_themselves():
+    """Lines in blocks of one kind with weak features, two thirds of the labels open: decoding whole sequences wins."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 30, 400)
+    truth = np.concatenate([np.cumsum(rng.random(n) < 0.15) % 2 for n in lengths])
+    x = np.column_stack([np.ones(len(truth)), truth + rng.normal(0, 0.8, len(truth))])
+    y = np.where(rng.random(len(truth)) < 0.33, truth, rules.OPEN)
+    field = rules.train(x, y, lengths)
+    viterbi, alone = field.decode(x, lengths), field.emissions(x) > 0
+    assert np.mean(viterbi == truth) > np.mean(alone == truth) + 0.05 and np.mean(viterbi == truth) > 0.79
+
+
+def test_repeated_and_missing_labels(spark, labelled):
+    texts, labels = labelled
+    again = texts.unionByName(texts.where("doc_id < 40")).unionByName(texts.where("doc_id < 40"))
+    twice = labels.unionByName(labels.limit(50))
+    a, b = (f.emissions(np.eye(17)) for f in (rules.learned(texts, labels), rules.learned(again, twice)))
+    assert np.allclose(a, b, atol=0.2)
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(3)
     field = rules.Field(rng.normal(size=3), rng.normal(size=(2, 2)), np.ones(3))
