@@ -85,47 +85,59 @@ def _packed(items: DataFrame, n: int, capacity: int, turn: int, per_task: int) -
         yield from got.to_batches(max_chunksize=50_000)
 
     parts = max(1, -(-n // per_task))
-    dealt = items.repartition(parts, F.xxhash64("doc_id", "piece", F.lit(turn)))
-    return dealt.mapInArrow(run, f"{COLUMNS}, sequence_id long, offset long, fill long, gap long")
+    dealt = items.repartition(parts, F.xxhash64("row", F.lit(turn)))
+    return dealt.mapInArrow(run, f"{COLUMNS}, row long, sequence_id long, offset long, fill long, gap long")
 
 
-def pack(items: DataFrame, capacity: int = 2048, per_task: int = 100_000, turns: int = 5) -> DataFrame:
-    """Items (columns of ``pieces``, each of at most ``capacity``) with sequence_id and offset.
+def pack(items: DataFrame, capacity: int = 2048, per_task: int = 100_000) -> DataFrame:
+    """Items (columns of ``pieces``, each of at most ``capacity``) with sequence_id and offset, and the certificate.
 
-    Every partition packs its own items and certifies its count by ``lower_bound``. While the total is above the bound
-    of all items, bins with room left give up their items; these are dealt anew, to fewer partitions, and packed again,
-    and the new packing of them is taken if it has fewer bins. A task gets about ``per_task`` items, narrow rows without
-    texts or ids. An empty table gives no rows; repeated rows are packed as often as they occur.
+    Every partition packs its own items and compares its count with their ``lower_bound``. A partition without a gap is
+    certified and keeps its sequences. Those with gaps exchange items: what lies in their bins with room left is dealt
+    anew among them, in fewer partitions, and packed again. This is repeated as long as it saves bins, two partitions
+    have gaps and the total is above the bound of all items; a turn that saves none is undone.
+
+    ``certified``: the sequence's partition met its bound. ``n_sequences`` and ``lower_bound``, the same in each row: the
+    total, and what no packing of all items can go below. A task gets about ``per_task`` items, narrow rows
+    without texts or ids, dealt by a stored number of each row. An empty table gives no rows; repeated rows are packed
+    as often as they occur.
     """
-    spark = items.sparkSession
-    pool = items = checkpointed(items)
-    histogram = items.groupBy("length").count().collect()  # at most ``capacity`` rows
+    pool = checkpointed(items.withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, np.int64)
-    for size, n in histogram:
+    for size, n in pool.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[size] = n
     bound, n_pool = lower_bound(counts, capacity), int(counts.sum())
-    done, n_done, before = [], 0, None
-    for turn in range(turns):
+    open_bins = (F.col("gap") > 0) & (F.col("fill") < capacity)
+    done, n_done, before, turn = [], 0, None, 0
+    while True:
         packed = checkpointed(_packed(pool, n_pool, capacity, turn, per_task))
-        full = F.col("fill") == capacity
-        heads = packed.where("offset = 0").groupBy(full.alias("full")).count().collect()
-        bins = {r["full"]: r["count"] for r in heads}
-        if before is not None and sum(bins.values()) >= before[1]:
-            done.append(before[0])
+        part = F.shiftright("sequence_id", 32)
+        now = packed.agg(
+            F.count_if(F.col("offset") == 0).alias("bins"),
+            F.count_if((F.col("offset") == 0) & open_bins).alias("open"),
+            F.count_if(open_bins).alias("items"),
+            F.min(F.when(F.col("gap") > 0, part)).alias("first"),
+            F.max(F.when(F.col("gap") > 0, part)).alias("last"),
+        ).first()
+        if before is not None and now["bins"] >= before[1]:
+            packed, (_, n) = before  # the turn saved nothing
+            done.append(packed)
+            n_done += n
             break
-        n_full, n_open = bins.get(True, 0), bins.get(False, 0)
-        if n_done + n_full + n_open <= bound or n_open < 2 or turn == turns - 1 or n_pool <= per_task:
+        if n_done + now["bins"] <= bound or now["first"] == now["last"]:
             done.append(packed)
+            n_done += now["bins"]
             break
-        done.append(packed.where(full))
-        n_done += n_full
-        before = (packed.where(~full), n_open)
-        pool = before[0].select(*items.columns)
-        n_pool = pool.count()
-    out = spark.createDataFrame([], f"{COLUMNS}, sequence_id long, offset long")
-    for part in done:
-        out = out.unionByName(part.select(*out.columns))
-    return out
+        done.append(packed.where(~open_bins))
+        n_done += now["bins"] - now["open"]
+        before = packed.where(open_bins), now["open"]
+        pool, n_pool, turn = before[0].select(*pool.columns), now["items"], turn + 1
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    out = None
+    for rows in done:
+        rows = rows.select(*names, "sequence_id", "offset", (F.col("gap") <= 0).alias("certified"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumns({"n_sequences": F.lit(n_done).cast("long"), "lower_bound": F.lit(bound).cast("long")})
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -590,6 +590,34 @@ def test_packing(spark):
     assert bound <= one <= many <= bound * 1.02 + 2
 
 
+def test_packing_exchanges_only_between_partitions_with_gaps(spark):
+    rng = random.Random(4)
+    lengths = [rng.choice([rng.randint(1, 40), rng.randint(20, 60), 100]) for _ in range(900)]
+    items = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(lengths)], packing.COLUMNS).repartition(4, "doc_id")
+    keyed = common.checkpointed(items.withColumn("row", F.monotonically_increasing_id()))
+    first = packing._packed(keyed, 900, 100, 0, 50).collect()
+    sound = {(r.doc_id, r.sequence_id, r.offset) for r in first if r.gap == 0 or r.fill == 100}
+    loose = {r.doc_id for r in first if r.gap > 0 and r.fill < 100}
+    assert {r.gap for r in first} >= {0, 1} and loose
+    got = packing.pack(keyed.drop("row"), 100, per_task=50).collect()
+    assert sound <= {(r.doc_id, r.sequence_id, r.offset) for r in got}
+    moved = {r.doc_id for r in got if r.sequence_id >> 56}
+    assert moved and moved <= loose
+    n = check_packing(got, lengths, 100)
+    assert n < len({r.sequence_id for r in first})
+    assert {(r.n_sequences, r.lower_bound) for r in got} == {(n, packing.lower_bound(np.bincount(lengths, minlength=101), 100))}
+    assert {r.certified for r in got} == {True, False}
+
+
+def test_packing_of_repeated_rows(spark):
+    """Equal rows are dealt out like others, and each is packed."""
+    items = spark.createDataFrame([(1, 0, 0, 30, 7)] * 400 + [(None, 0, 0, 1, None)] * 3, packing.COLUMNS)
+    got = packing.pack(items, 100, per_task=40).collect()
+    assert check_packing(got, [30] * 400 + [1] * 3, 100) >= 134
+    keyed = common.checkpointed(items.withColumn("row", F.monotonically_increasing_id()))
+    assert max(r["count"] for r in packing._packed(keyed, 403, 100, 0, 40).groupBy(F.shiftright("sequence_id", 32)).count().collect()) < 80
+
+
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 @settings(max_examples=80, deadline=None)
 def test_lower_bound_holds(sizes):
