@@ -59,6 +59,31 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that count as hot in a join, and the fewest rows of one.
+MOST_HOT, LEAST_HOT = 1_000_000, 500
+
+
+def hot_above(n_rows: int) -> int:
+    """More rows than this make a key hot among ``n_rows``, so that no more than MOST_HOT keys are."""
+    return max(LEAST_HOT, n_rows // MOST_HOT)
+
+
+def joined_unevenly(rows: DataFrame, by: DataFrame, key: str | list[str], n: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``by``, which has each key once, and in ``n`` how many of the ``n_rows`` rows have it.
+
+    The rows of a hot key stay where they are: hot keys are broadcast, as there are at most MOST_HOT (see ``hot_above``).
+    The others are shuffled by key as usual. Columns: those of rows, then those of by without key and n.
+    """
+    keys = [key] if isinstance(key, str) else key
+    values = [c for c in by.columns if c not in (*keys, n)]
+    hot = by.where(F.col(n) > hot_above(n_rows)).select(*keys, *values)
+    cold = by.where(F.col(n) <= hot_above(n_rows)).select(*keys, *values)
+    wanted = [*rows.columns, *values]
+    near = rows.join(F.broadcast(hot), keys).select(*wanted)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys).select(*wanted)
+    return near.unionByName(far)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

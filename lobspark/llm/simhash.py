@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import checkpointed, table
+from lobspark.llm.common import checkpointed, joined_unevenly, table
 
 BITS = 64
 
@@ -87,18 +87,18 @@ def forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
+def links(fps: DataFrame, n_fps: int, radius: int = 4, block: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, as many as connect what is linked in each bucket.
 
-    fps: distinct values ``fp``. Each goes to one bucket for each covering mask. A bucket of over ``block`` members is
-    divided into blocks by hash, and each pair of blocks is compared in a group of its own, so that no task gets a
-    whole large bucket. A group emits a spanning forest, never all pairs. Pairs of different blocks found linked
-    twice do no harm.
+    fps: ``n_fps`` distinct values ``fp``. Each goes to one bucket for each covering mask. A bucket of over ``block`` members is
+    divided into blocks by hash, and each pair of blocks is compared in a group of its own. Buckets are counted by
+    partial sums first and the counts of hot ones are broadcast, so that no task gets a whole hot bucket. A group
+    emits a spanning forest, never all pairs. Pairs of different blocks found linked twice do no harm.
     """
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in covering_masks(radius)])
     keyed = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select("t", F.expr("fp & mask").alias("key"), "fp")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    hot = keyed.join(sizes, ["t", "key"])
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("many", F.col("n"))
+    hot = joined_unevenly(keyed, sizes, ["t", "key"], "many", len(covering_masks(radius)) * n_fps)
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(11)), blocks).cast("int")
     other = F.sequence(F.lit(0), blocks - 1)
@@ -143,28 +143,28 @@ def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
     between distinct nodes are moved, and each turn is checkpointed.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    n_now, mark = now.count(), None
     for _ in range(most_turns):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_unevenly(both, low, "a", "n", 2 * n_now).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("a").alias("x"), "m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined_unevenly(large, low, "a", "n", 2 * n_now).select(F.col("b").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("a").alias("x"), "m"))
         now = checkpointed(small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
         if new == mark:
             break
-        mark = new
+        n_now, mark = new[0], new
     else:
         raise RuntimeError("the components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def rooted(lowest: DataFrame, radius: int) -> DataFrame:
-    """(fp, low, root) for (fp, low) of distinct fingerprints: equal roots are one component."""
-    root = components(links(lowest.select("fp"), radius))
-    return lowest.join(root, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    """The stored ``lowest`` (fp and more; distinct fingerprints) with root: equal roots are one component."""
+    root = components(links(lowest.select("fp"), lowest.count(), radius))
+    return lowest.join(root, F.col("fp") == F.col("node"), "left").select(*lowest.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def representatives(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
@@ -172,9 +172,9 @@ def representatives(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFram
 
     It has the smallest doc_id; null is the largest. Among rows of that id the smallest (tie, row) is taken.
     """
-    marked = checkpointed(fingerprints(docs, size, ("tie", "row")))
+    marked = fingerprints(docs, size, ("tie", "row"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")
-    known = rooted(marked.groupBy("fp").agg(F.min(order).alias("low")), radius)
+    known = rooted(checkpointed(marked.groupBy("fp").agg(F.min(order).alias("low"))), radius)
     return known.groupBy("root").agg(F.min("low").alias("low")).select("low.row")
 
 
@@ -184,13 +184,16 @@ def classes(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
     component_id is the smallest doc_id that can be reached over links of ``radius`` differing bits or fewer, the
     document's own included. Equal fingerprints are one node from the start, however many documents share them. Nulls
     and texts without words have fingerprint 0 and are linked like others; a null doc_id is never the smallest one.
+    Neither a common fingerprint nor a large component meets in one task.
     """
     marked = checkpointed(fingerprints(docs, size))
-    lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    lowest = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_docs")))
     known = checkpointed(rooted(lowest, radius))
-    ids = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = known.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    n_fps, n_docs = known.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    by_fp = joined_unevenly(known.select("fp", "n_docs", "root"), ids, "root", "n", n_fps).select("fp", "n_docs", "component_id")
+    out = joined_unevenly(marked, by_fp, "fp", "n_docs", n_docs)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

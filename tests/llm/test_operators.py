@@ -315,20 +315,48 @@ def test_masks_cover_every_radius(places):
 MASKS = simhash.covering_masks(4)
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_links_in_blocks(spark, block):
+@pytest.mark.parametrize(("block", "hot"), [(4096, 500), (3, 500), (3, 1)])
+def test_links_in_blocks(spark, block, hot, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for b in base for _ in range(12)}
     fps = {f & (1 << 64) - 1 for f in fps}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long"), block=block)
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), len(signed), block=block)
     roots = {x % (1 << 64): r.root for r in simhash.components(edges).collect() for x in (r.node, r.root)}
     want = brute_components({f: f for f in fps})
     groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
     assert {g for g in groups(want) if len(g) > 1} == {g for g in groups(roots) if len(g) > 1}
 
 
+def test_uneven_join(spark, monkeypatch):
+    """Hot keys are broadcast, others shuffled: the same rows as a plain join."""
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rows = spark.createDataFrame([(k, i) for k in range(12) for i in range(k)] + [(None, 1)], "k long, i long")
+    by = rows.where("k <> 7").groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s"))
+    got = common.joined_unevenly(rows, by, "k", "n", rows.count())
+    want = rows.join(by.drop("n"), "k")
+    assert got.columns == ["k", "i", "s"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert common.hot_above(10**12) == 10**6
+
+
+@pytest.mark.parametrize("hot", [500, 1])
+def test_components_of_a_star_and_a_path(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", hot)
+    edges = spark.createDataFrame([(i, 5000) for i in range(100, 700)] + [(9000 + i, 9001 + i) for i in range(20)] + [(5000, 9003)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert set(got.values()) == {100} and len(got) in (621, 622)
+
+
+def test_simhash_of_many_equal_documents(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    rows = [(i, "" if i % 3 else f"{sentence(30)}") for i in range(60)] + [(None, None), (100, "a b c d e"), (99, "a b c d e")]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components({i: simhash.fingerprint(t) for i, t in rows if i is not None})
+    assert {i: c for i, (_, c) in got.items() if i is not None} == want and len(got) == len(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 999), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
