@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import ALNUM, LOWER, gram_hash, prefix_hash, span_hash, stored, table, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import ALNUM, LOWER, checkpointed, gram_hash, prefix_hash, span_hash, stored, table, text_bytes, text_chunks, word_spans
 
 #: Windows of a block of items; a block's index (some 300 bytes a window) is what every task gets.
 BLOCK_WINDOWS = 200_000
@@ -138,6 +138,31 @@ def _hits(docs: DataFrame, index: Windows, only_hit: bool) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(search, "row long, doc_id long, n_words long, spans array<long>, items array<string>")
 
 
+def item_pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text, n): the items' texts, long ones cut so that a piece has ``n`` windows, ``most`` at the most.
+
+    Neighbouring pieces share ``window`` - 1 words, so that together they have the item's windows and no others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            data, offsets = text_bytes(chunk.column("text"))
+            starts, ends, first = word_spans(data, offsets, ALNUM)
+            item, texts, n = [], [], []
+            for d in range(chunk.num_rows):
+                a, b = int(first[d]), int(first[d + 1])
+                for k in range(a, max(b - window + 1, a + 1) if b > a else a, most):
+                    end = min(k + most + window - 1, b)
+                    item.append(d)
+                    texts.append(data[starts[k] : ends[end - 1]].tobytes().decode())
+                    n.append(max(1, end - k - window + 1))
+            rows = chunk.select(["item_id"]).take(pa.array(item, pa.int64())).column("item_id")
+            yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string()), pa.array(n, pa.int64())], ("item_id", "text", "n"))
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, text string, n long")
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, block_windows: int = BLOCK_WINDOWS, row: str | None = None) -> DataFrame:
     """Every document with its words that lie in an occurrence of an item's window.
 
@@ -147,13 +172,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     window itself. Rows that repeat a document each get their result. ``row`` names a column of docs with a stored key of
     each row; the result then has it too.
 
-    The items are read in blocks of about ``block_windows`` windows. One block, the usual case, needs two passes over
-    the documents and no shuffle of them; for more blocks the hits of each are merged by the row's key,
-    for which docs without ``row`` are stored once.
+    The items are read in blocks of about ``block_windows`` windows; a long item is divided among blocks. One block, the
+    usual case, needs two passes over the documents and no shuffle of them. Of more blocks one after the other is
+    searched for and its hits are stored, so that the driver and the tasks hold one block's index at a time; the hits
+    are merged by the row's key, for which docs without ``row`` are stored once.
     """
-    weight = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2) + 1  # no fewer than the item's windows
-    n_blocks = max(1, -(-int(benchmark.agg(F.sum(weight)).first()[0] or 0) // block_windows))
-    bench = benchmark.select("item_id", "text")
+    bench = checkpointed(item_pieces(benchmark, window, max(1, block_windows // 4)))
+    n_blocks = max(1, -(-int(bench.agg(F.sum("n")).first()[0] or 0) // block_windows))
     wanted = [*([F.col("row").alias(row)] if row else []), "doc_id", "n_words"]
     key = F.col(row) if row else F.monotonically_increasing_id() if n_blocks > 1 else F.lit(None)
     docs = docs.select(key.cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
@@ -162,10 +187,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     parts = []
     for k in range(n_blocks):
         mine = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else bench
-        index = Windows([tuple(r) for r in mine.collect()], window, shingle)  # a block: bounded
+        index = Windows([tuple(r) for r in mine.select("item_id", "text").collect()], window, shingle)  # a block: bounded
         if index.words:
             index.choose(_seen(docs, index))
-        parts.append(_hits(docs, index, only_hit=n_blocks > 1))
+        elif n_blocks > 1:
+            continue
+        hits = _hits(docs, index, only_hit=n_blocks > 1)
+        parts.append(checkpointed(hits) if n_blocks > 1 else hits)
     if n_blocks == 1:
         return parts[0].select(*wanted, "spans", "items")
     empty = Windows([], window, shingle)

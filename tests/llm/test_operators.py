@@ -173,10 +173,10 @@ def test_decontamination(spark, docs, block):
             assert tuple(r)[1:] == want[r.doc_id], r.doc_id
 
 
-@pytest.mark.parametrize("block", [200_000, 60])
+@pytest.mark.parametrize("block", [200_000, 60, 20])
 def test_decontamination_by_row(spark, docs, block):
     """Each row has its own result in any number of blocks, also without id, or with another text's id and length."""
-    items = [*ITEMS, (None, PASSAGES[3]), (None, "anra")]
+    items = [*ITEMS, (None, PASSAGES[3]), (None, "anra"), (20, " ".join(PASSAGES) + sentence(30))]
     rows = [*EDGE, (500, PASSAGES[0]), (500, sentence(30)), (None, PASSAGES[3])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.report(decontaminate.contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench, block_windows=block)).collect()
@@ -195,6 +195,15 @@ def test_decontamination_by_row(spark, docs, block):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_item_pieces(spark):
+    """Cut items have the windows of whole ones."""
+    items = [(1, sentence(50)), (2, "Ab, cd."), (3, None), (4, ""), (None, sentence(13)), (5, sentence(14))]
+    got = decontaminate.item_pieces(spark.createDataFrame(items, "item_id int, text string"), 13, 7).collect()
+    windows = lambda t: [tuple(w[k : k + 13]) for w in [re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())] if w for k in range(max(1, len(w) - 12))]
+    assert all(len(windows(r.text)) == r.n <= 7 for r in got) and len(got) > 8
+    assert sorted((str(r.item_id), w) for r in got for w in windows(r.text)) == sorted((str(i), w) for i, t in items for w in windows(t))
+
+
 def test_decontamination_without_items(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.report(decontaminate.contaminated_spans(docs, bench)).where("contaminated OR n_hit > 0").count()
