@@ -8,7 +8,7 @@ smaller share of the unlabelled ones than pi times its share of the positives, s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,30 +153,44 @@ class Network:
                 self.p[k] = self.p[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
-    """The least ratio of the unlabelled texts' share to the positives' over the sets {score >= t} that hold
-    ``least`` of the positives or more, each share with a margin for its sampling error."""
-    t = np.quantile(positive, np.linspace(0, 1 - least, 200))
-    p = np.array([(positive >= x).mean() for x in t])
-    u = np.array([(unlabelled >= x).mean() for x in t])
-    margin = 2.0 / np.sqrt(len(unlabelled)) * np.sqrt(u * (1 - u)) + 2.0 / np.sqrt(len(positive)) * np.sqrt(p * (1 - p))
+def thresholds(positive: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Scores that ``least`` of the positives or more reach, rising."""
+    return np.quantile(positive, np.linspace(0, 1 - least, 200))
+
+
+def reached(scores: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many scores reach each of the thresholds."""
+    return len(scores) - np.searchsorted(np.sort(scores), t, side="left")
+
+
+def class_prior(positive: np.ndarray, n_reached: np.ndarray, n: int, t: np.ndarray) -> float:
+    """The least ratio of the unlabelled texts' share to the positives' over the sets {score >= t}, each share with a
+    margin for its sampling error. n_reached: how many of the ``n`` unlabelled texts reach each threshold."""
+    p, u = reached(positive, t) / len(positive), n_reached / n
+    margin = 2.0 / np.sqrt(n) * np.sqrt(u * (1 - u)) + 2.0 / np.sqrt(len(positive)) * np.sqrt(p * (1 - p))
     return float(np.clip(((u + margin) / p).min(), 0.05, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 1) -> tuple[Network, float]:
-    """The classifier and the class prior it was fitted with. Fitted twice: the first run's scores give the prior."""
+def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 1) -> Network:
     both = np.concatenate([positive, unlabelled])
-    mean, scale = np.median(both, 0), both.std(0) + 1e-3
-    prior = 0.7
-    for _ in range(2):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        net = Network(mean, scale, 24, rng)
-        net.fit(positive, unlabelled, prior, rng)
-        prior = class_prior(net.score(positive), net.score(unlabelled))
     rng = np.random.Generator(np.random.PCG64(seed))
-    net = Network(mean, scale, 24, rng)
+    net = Network(np.median(both, 0), both.std(0) + 1e-3, 24, rng)
     net.fit(positive, unlabelled, prior, rng)
-    return net, prior
+    return net
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, everywhere: Callable[[Network, np.ndarray], tuple[np.ndarray, int]]) -> tuple[Network, float]:
+    """The classifier and the class prior it was fitted with. A first run's scores of the sample give a prior for the
+    second run, whose scores of all unlabelled documents give the last one. everywhere: for a network and thresholds,
+    how many of these documents reach each, and their number."""
+    prior = 0.7
+    for everything in (False, True):
+        net = fitted(positive, unlabelled, prior)
+        scores = net.score(positive)
+        t = thresholds(scores)
+        n_reached, n = everywhere(net, t) if everything else (reached(net.score(unlabelled), t), len(unlabelled))
+        prior = class_prior(scores, n_reached, n, t)
+    return fitted(positive, unlabelled, prior), prior
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
@@ -190,21 +204,36 @@ def feature_rows(docs: DataFrame) -> DataFrame:
 
 def _lowest(rows: DataFrame, n: int) -> DataFrame:
     """``n`` of the doc_ids at most, the same ones at every run: those with the smallest hash."""
-    return rows.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
+    return rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
+
+
+def reaching(docs: DataFrame, net: Network, t: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all docs reach each threshold, and their number; each batch sends sums only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            n = reached(net.score(features(chunk.column("text"))), t)
+            yield pa.RecordBatch.from_arrays([pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([chunk.num_rows], pa.int64())], ("n", "all"))
+
+    each = docs.select("text").mapInArrow(run, "n array<long>, all long")
+    row = each.agg(F.array(*(F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(t)))).alias("n"), F.sum("all").alias("all")).first()
+    return np.array(row["n"], float), row["all"]
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network, float] | None:
-    """Fits on at most ``sample`` rows labelled good and ``sample`` documents as unlabelled ones (their labels, if any,
-    are not looked at), all from the folds to learn from. Without a positive there is no model (None)."""
+    """Fits on at most ``sample`` documents labelled good and ``sample`` documents as unlabelled ones (their labels, if
+    any, are not looked at), all from the folds to learn from; the class prior is estimated over all of these folds. Of
+    rows that repeat a doc_id the smallest text counts. Without a positive there is no model (None)."""
     good = labels.where((F.col("quality") == 1) & (bucketed(F.col("doc_id"), 3) != 1))
     web = docs.where(bucketed(F.col("doc_id"), 3) != 1)
     rows = []
     for ids in (_lowest(good, sample), _lowest(web, sample)):
-        chosen = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # no more than ``sample`` ids
+        chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # no more than ``sample`` ids
+        chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
         rows.append(np.array([r[0] for r in feature_rows(chosen).collect()], float))
     if not len(rows[0]) or not len(rows[1]):
         return None
-    return fit(*rows)
+    return fit(*rows, lambda net, t: reaching(web, net, t))
 
 
 def scored(docs: DataFrame, model: tuple[Network, float] | None, name: str = "score") -> DataFrame:

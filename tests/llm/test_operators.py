@@ -249,7 +249,55 @@ def test_class_prior():
     rng = np.random.default_rng(1)
     positive, negative = rng.normal(2, 1, 5000), rng.normal(-2, 1, 5000)
     mixed = np.concatenate([positive[:3000], negative[:2000]])
-    assert abs(quality.class_prior(rng.normal(2, 1, 5000), mixed) - 0.6) < 0.08
+    scores = rng.normal(2, 1, 5000)
+    t = quality.thresholds(scores)
+    assert abs(quality.class_prior(scores, quality.reached(mixed, t), len(mixed), t) - 0.6) < 0.08
+    assert quality.reached(np.array([1.0, 2.0, 2.0, 3.0]), np.array([0.0, 2.0, 2.5, 4.0])).tolist() == [4, 3, 1, 0]
+
+
+def test_scores_of_a_fixed_network(spark, labelled):
+    """With given weights a document's score is what the network's formula says of its features, whatever the batch."""
+    texts, labels = labelled
+    rng = np.random.Generator(np.random.PCG64(3))
+    net = quality.Network(np.zeros(19), np.ones(19), 4, rng)
+    got = {r.doc_id: r.score for r in quality.scored(texts, (net, 0.5)).collect()}
+    for i, t in [(r.doc_id, r.text) for r in texts.collect()][::7]:
+        x = np.clip(quality.features(pa.array([t], pa.string()))[0], -6, 6)
+        h = [np.tanh(sum(x[j] * net.p[0][j][k] for j in range(19)) + net.p[1][k]) for k in range(4)]
+        want = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(h, net.p[2])) + net.p[3][0])))
+        assert got[i] == pytest.approx(want, abs=1e-12)
+    t = np.array([0.2, 0.5, 0.7])
+    n, total = quality.reaching(texts, net, t)
+    assert total == len(got) and n.tolist() == [sum(s >= x for s in got.values()) for x in t]
+
+
+def brute_features(t):
+    """A text's features by loops over characters, words and lines."""
+    t = t or ""
+    data, w = t.encode(), words(t)
+    nw, nb = max(len(w), 1), max(len(data), 1)
+    upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+    wide = sum(b >= 128 for b in data)
+    odd = "#*$%&<>^~=@_\\{}[]"
+    again = lambda xs: sum(x in xs[:i] for i, x in enumerate(xs))
+    grams = list(zip(w, w[1:], w[2:]))
+    lines = [x for x in re.findall("[^\n]*\n|[^\n]+", t) if len(x.encode()) > 1]
+    bodies = [x.removesuffix("\n") for x in lines]
+    bodies = [b for b in bodies if len(b.encode()) > 1]
+    size = [len(x.encode()) for x in w]
+    mean = sum(size) / nw
+    letters = max(upper + lower + wide, 1)
+    of = lambda cs: sum(c in cs for c in t)
+    return [upper / letters, wide / letters, of("0123456789") / nb, of(odd) / nw, of("|") / nw, of("!?") / nw, of(".") / nw, of(",;:") / nw, of("\n") / nw,
+            again(grams) / max(len(w) - 2, 1), again(w) / nw, again(bodies) / max(len(bodies), 1), sum(x[-1] in odd + "|!?" for x in w) / nw, sum("A" <= x[0] <= "Z" for x in w) / nw,
+            mean / 10, max(sum(n * n for n in size) / nw - mean**2, 0) ** 0.5 / 10, np.log1p(len(w)) / 8, np.log1p(len(bodies)) / 4, float(not w)]
+
+
+def test_features_by_loops():
+    texts = [t for t in TEXTS if len(t or "") < 3000] + ["A|b!? Éa 12,\n\nx\nx\nx y z x y z #a b#", "\n"]
+    got = quality.features(pa.array(texts, pa.string()))
+    for t, row in zip(texts, got):
+        assert np.allclose(row, np.minimum(brute_features(t), 10), atol=1e-9), t
 
 
 def test_toxicity(spark):
