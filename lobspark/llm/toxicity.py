@@ -1,16 +1,15 @@
 """Operator 5: toxicity by a weighted finite-state grammar over clauses.
 
 A lexical transducer reads words and writes symbols: insult (with a weight learned from the labelled documents), harm,
-intent, target, negation, report or other. Five transducers read a clause's symbols, for insults, targets, threats,
-negation and reported speech, and are composed into one machine, whose state holds what is pending in each. A match's
-weight is the product of what they say, so that the same insult counts more at a target ("you are an ...") and less under
-negation or in reported speech. Matched clauses are scored, and a logistic model fitted on the same labelled documents
-turns a document's clauses into a probability.
+intent, target, negation, report or other; a word may have several. Five transducers are composed, each reading what the
+one before it writes: threats turns a harm after an intent and a target into a threat, targets an insult after a target
+into one that is aimed, negation and reported speech weaken what they reach, and insults gives what is left its weight.
+The composition is one machine, whose state holds what is pending in each. Matched clauses are scored, and a logistic
+model fitted on the same labelled documents turns a document's clauses into a probability.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import ALNUM, LOWER, bucketed, prefix_hash, span_hash, table, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import ALNUM, LOWER, bucketed, checkpointed, prefix_hash, span_hash, table, text_bytes, text_chunks, word_spans
 
 #: The most labelled documents that lexicon and calibration are learned from, and the most lexicon entries.
 SAMPLE, ENTRIES = 12_000, 4_000
 #: Lengths in bytes of the word beginnings that may become entries; 0 stands for whole words.
 STEMS = (4, 5, 6, 7, 8)
 
-OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT = range(7)
+OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT, AIMED, THREAT = range(9)
 #: Function words of the grammar, in the four languages of the texts.
 GRAMMAR = {
     HARM: "kill hurt beat destroy shoot stab töten schlagen zerstören verletzen tuer frapper détruire blesser matar golpear destruir herir",
@@ -37,39 +36,35 @@ GRAMMAR = {
     REPORT: "said says called claimed wrote quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó",
 }
 
-#: Weights of a match by what the machine has seen: an insult, one with a target, a threat; and the factors for negation
-#: (which reaches this many words) and reported speech.
-PLAIN, AT_TARGET, THREAT = 1.0, 1.5, 3.0
+#: Weights of a match: an insult, one that is aimed, a threat; and the factors for negation (which reaches this many
+#: symbols) and reported speech.
+WEIGHTS = {INSULT: 1.0, AIMED: 1.5, THREAT: 3.0}
 NEGATED, REACH, REPORTED = 0.3, 3, 0.5
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Reads a clause's symbols. step: (state, symbol) to the next state, from 0. weight: what a match at the symbol is
-    multiplied with, by the state before it."""
+    """step: (state, symbol read) to (next state, symbol written, weight); it begins a clause in state 0."""
 
-    step: Callable[[int, int], int]
-    weight: Callable[[int, int], float]
+    name: str
+    step: Callable[[int, int], tuple[int, int, float]]
 
 
-def flag(symbol: int, weight: Callable[[int, int], float]) -> Transducer:
-    """Two states: whether ``symbol`` has been read in the clause."""
-    return Transducer(lambda s, c: int(s or c == symbol), weight)
-
-
-INSULTS = Transducer(lambda s, c: 0, lambda s, c: PLAIN)
-TARGETS = flag(TARGET, lambda s, c: AT_TARGET if s and c == INSULT else 1.0)
-#: A harm is a threat after an intent and a target, in either order: bit 0 for the one, bit 1 for the other.
-THREATS = Transducer(lambda s, c: s | (c == INTENT) | (c == TARGET) << 1, lambda s, c: 1.0 if c != HARM else THREAT if s == 3 else 0.0)
-#: The state is how many words the negation still reaches.
-NEGATIONS = Transducer(lambda s, c: REACH if c == NEGATION else max(0, s - 1), lambda s, c: NEGATED if s else 1.0)
-REPORTS = flag(REPORT, lambda s, c: REPORTED if s else 1.0)
+#: The state is a set of bits: an intent has been read, a target has been read.
+THREATS = Transducer("threats", lambda s, c: (s | (c == INTENT) | (c == TARGET) << 1, (THREAT if s == 3 else OTHER) if c == HARM else c, 1.0))
+TARGETS = Transducer("targets", lambda s, c: (int(s or c == TARGET), AIMED if s and c == INSULT else c, 1.0))
+#: The state is how many symbols the negation still reaches.
+NEGATIONS = Transducer("negation", lambda s, c: (REACH if c == NEGATION else max(0, s - 1), c, NEGATED if s and c in WEIGHTS else 1.0))
+REPORTS = Transducer("reported speech", lambda s, c: (int(s or c == REPORT), c, REPORTED if s and c in WEIGHTS else 1.0))
+INSULTS = Transducer("insults", lambda s, c: (0, c if c in WEIGHTS else OTHER, WEIGHTS.get(c, 1.0)))
+GRAMMAR_ORDER = (THREATS, TARGETS, NEGATIONS, REPORTS, INSULTS)
 
 
 class Machine:
-    """The composition of transducers: states are tuples of theirs, found from the start, and weights multiply.
+    """The composition of transducers: each reads what the one before it writes, and weights multiply.
 
-    Only insults and harms are matches. ``next`` and ``factor`` are tables by state and symbol.
+    States are tuples of theirs, found from the start. ``next`` and ``factor`` are tables by state and symbol; a factor
+    is 0 where the last one writes OTHER, which is no match.
     """
 
     def __init__(self, *parts: Transducer):
@@ -80,18 +75,23 @@ class Machine:
         while todo:
             now = todo.pop(0)
             after, weights = [], []
-            for symbol in range(7):
-                then = tuple(p.step(s, symbol) for p, s in zip(parts, now, strict=True))
-                if then not in self.states:
-                    self.states[then] = len(self.states)
-                    todo.append(then)
-                after.append(self.states[then])
-                weights.append(math.prod(p.weight(s, symbol) for p, s in zip(parts, now, strict=True)) if symbol in (INSULT, HARM) else 0.0)
+            for symbol in range(REPORT + 1):
+                then, written, weight = [], symbol, 1.0
+                for part, state in zip(parts, now, strict=True):
+                    state, written, w = part.step(state, written)
+                    then.append(state)
+                    weight *= w
+                key = tuple(then)
+                if key not in self.states:
+                    self.states[key] = len(self.states)
+                    todo.append(key)
+                after.append(self.states[key])
+                weights.append(weight if written != OTHER else 0.0)
             self.next.append(after)
             self.factor.append(weights)
 
 
-MACHINE = Machine(INSULTS, TARGETS, THREATS, NEGATIONS, REPORTS)
+MACHINE = Machine(*GRAMMAR_ORDER)
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?\n()\"|"]] = True
 
@@ -130,7 +130,8 @@ def _member(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Grammar:
     """The lexical transducer with learned insult weights, the machine, and the calibration."""
 
-    def __init__(self, entries: dict[int, float]):
+    def __init__(self, entries: dict[int, float], machine: Machine = MACHINE):
+        self.machine = machine
         order = sorted(entries)
         self.keys = np.array(order, np.uint64)
         self.weights = np.array([entries[k] for k in order])
@@ -143,34 +144,40 @@ class Grammar:
         self.mean, self.scale, self.beta = np.zeros(6), np.ones(6), np.zeros(7)
 
     def read(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's symbol, and an insult's weight: that of its longest entry, the whole word or a beginning."""
+        """Each word's function symbol, and its weight as an insult (0: none): that of its longest entry, the whole word
+        or a beginning. A word may be both."""
         symbol, weight = np.zeros(len(words.h), np.int8), np.zeros(len(words.h))
         for n in STEMS:
             of, h = words.stem(n)
             at, k = _member(h, self.keys)
-            symbol[of[at]], weight[of[at]] = INSULT, self.weights[k]
+            weight[of[at]] = self.weights[k]
         at, k = _member(words.h, self.keys)
-        symbol[at], weight[at] = INSULT, self.weights[k]
+        weight[at] = self.weights[k]
         at, k = _member(words.h, self.listed)
-        at, k = at[symbol[at] == OTHER], k[symbol[at] == OTHER]
         symbol[at] = self.symbols[k]
         return symbol, weight
 
     def clause_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each matched clause: its text, its score, its number of matches."""
+        """For each matched clause: its text, its score, its number of matches. The machine begins each clause anew."""
         symbol, weight = self.read(words)
         clause = words.clauses()
-        live = np.unique(clause[(symbol == INSULT) | (symbol == HARM)])  # the others can't match
+        live = np.unique(clause[(weight > 0) | (symbol == HARM)])  # the others can't match
         first, last = np.searchsorted(clause, live), np.searchsorted(clause, live, side="right")
+        factor, move = self.machine.factor, self.machine.next
         doc, score, many = [], [], []
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             state, total, n = 0, 0.0, 0
             for s, w in zip(symbol[a:b].tolist(), weight[a:b].tolist(), strict=True):
-                f = MACHINE.factor[state][s]
-                if f:
-                    total += f * (w if s == INSULT else 1.0)
-                    n += 1
-                state = MACHINE.next[state][s]
+                if s or not w:
+                    if f := factor[state][s]:
+                        total += f
+                        n += 1
+                    state = move[state][s]
+                if w:
+                    if f := factor[state][INSULT]:
+                        total += f * w
+                        n += 1
+                    state = move[state][INSULT]
             if n:
                 doc.append(int(words.doc[a]))
                 score.append(total)
@@ -228,16 +235,18 @@ def entry_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")))
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Grammar | None:
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, machine: Machine = MACHINE) -> Grammar | None:
     """Learns from at most ``sample`` labelled rows of the folds to learn from (those whose ids have the smallest hashes).
 
     The lexicon of one half's documents is calibrated on the other half, and the final lexicon is of both. An entry
-    needs toxic documents far out of proportion; its weight is its log odds. Without both labels there is no model.
+    needs toxic documents far out of proportion; its weight is its log odds. Of rows that repeat a doc_id the smallest
+    text counts. Without both labels there is no model. machine: the composed grammar, for ablations.
     """
     rows = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(bucketed(F.col("doc_id"), 5) != 0)
-    chosen = rows.select("doc_id", F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
+    chosen = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
     chosen = chosen.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half")  # no more than ``sample`` rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # no more than ``sample`` ids
+    texts = checkpointed(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("half").alias("half")).select("text", "toxic", "half"))
     n = {(r["half"], r["toxic"]): r["n"] for r in texts.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = [n.get((0, 1), 0), n.get((1, 1), 0)], [n.get((0, 0), 0), n.get((1, 0), 0)]
     if not sum(toxic) or not sum(clean):
@@ -254,7 +263,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: i
             w = np.log((r[t] + 0.1) / (toxic[i] + 0.2)) - np.log((r[c] + 0.5) / (clean[i] + 1.0))
             if r[t] >= 2 and w > 1.5:
                 halves[i][key] = float(w)
-    parts = [Grammar(h) for h in halves]
+    parts = [Grammar(h, machine) for h in halves]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
@@ -264,7 +273,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: i
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), chunk.column("toxic")], ("x", "toxic"))
 
     got = texts.mapInArrow(run, "x array<double>, toxic long").collect()
-    model = Grammar(final)
+    model = Grammar(final, machine)
     model.calibrate(np.array([r["x"] for r in got], float), np.array([r["toxic"] for r in got], float))
     return model
 

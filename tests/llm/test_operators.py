@@ -326,7 +326,73 @@ def test_toxicity_grammar():
     assert of("you are not a fool") == pytest.approx(0.9)
     assert of("he said you are a fool") == pytest.approx(1.5)
     assert of("not here. a fool") == 2.0
-    assert of("you say I will hurt") == toxicity.THREAT and of("a nice day") == 0
+    assert of("you say I will hurt") == toxicity.WEIGHTS[toxicity.THREAT] and of("a nice day") == 0
+
+
+def test_a_word_may_be_a_harm_and_an_insult():
+    h = [int(x) for x in toxicity.Words(pa.array(["hurt fool"])).h]
+    g = toxicity.Grammar({h[0]: 2.0, h[1]: 2.0})
+    of = lambda t: sum(g.clause_scores(toxicity.Words(pa.array([t])))[1])
+    assert of("you will hurt") == 3.0 + 1.5 * 2.0 and of("hurt") == 2.0 and of("you will not hurt") == pytest.approx(0.3 * 6.0)
+
+
+def clause_by_hand(symbols, weights):
+    """The grammar's rules in words: one pass over a clause, looking back at what was read before."""
+    total = 0.0
+    for i, s in enumerate(symbols):
+        seen = set(symbols[:i])
+        weight = 0.0
+        if s == toxicity.INSULT:
+            weight = weights[i] * (1.5 if toxicity.TARGET in seen else 1.0)
+        elif s == toxicity.HARM and {toxicity.INTENT, toxicity.TARGET} <= seen:
+            weight = 3.0
+        total += weight * (0.3 if toxicity.NEGATION in symbols[max(0, i - 3) : i] else 1.0) * (0.5 if toxicity.REPORT in seen else 1.0)
+    return total
+
+
+@given(st.lists(st.integers(0, 6), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_composed_machine_by_hand(symbols):
+    m, state, total = toxicity.MACHINE, 0, 0.0
+    weights = [1 + i / 10 for i in range(len(symbols))]
+    for s, w in zip(symbols, weights):
+        total += m.factor[state][s] * (w if s == toxicity.INSULT else 1.0)
+        state = m.next[state][s]
+    assert total == pytest.approx(clause_by_hand(symbols, weights))
+
+
+def test_each_transducer_lowers_the_held_out_error():
+    """Texts of the same words in another order, whose label hangs on one transducer each: without it half the guesses
+    are wrong, with it none."""
+    rng = random.Random(2)
+    insult = ["grobian", "lumpazi", "dreckall"]
+    entries = {int(x): 2.0 for x in toxicity.Words(pa.array([" ".join(insult)])).h}
+    make = {
+        "targets": ("you are a {}", "a {} you are"),
+        "threats": ("will find you and hurt {}", "hurt and will find you {}"),
+        "negation": ("a {} he is not", "not a {} he is"),
+        "reported speech": ("a {} it was someone wrote", "someone wrote it was a {}"),
+    }
+    for name, both in make.items():
+        y = np.array([rng.randrange(2) for _ in range(300)])
+        texts = pa.array([f"{sentence(8)}. {both[1 - v].format(rng.choice(insult) if name != 'threats' else 'it')}. {sentence(8)}" for v in y])
+        error = []
+        for parts in (toxicity.GRAMMAR_ORDER, [p for p in toxicity.GRAMMAR_ORDER if p.name != name]):
+            g = toxicity.Grammar(entries, toxicity.Machine(*parts))
+            g.calibrate(g.features(texts.slice(0, 200)), y[:200].astype(float))
+            error.append(np.mean((g.score(texts.slice(200)) >= 0.5) != y[200:]))
+        assert error[0] < 0.02 and error[1] > 0.3, (name, error)
+
+
+def test_toxicity_tables(spark, empty):
+    """Fixed weights: each row's score is the formula's, for empty tables, nulls and repeated rows alike."""
+    g = toxicity.Grammar({int(toxicity.Words(pa.array(["fool"])).h[0]): 2.0})
+    g.beta = np.array([-2.0, 1, 0, 0, 0, 0, 0])
+    rows = [(1, "you are a fool"), (1, "you are a fool"), (1, "a fool"), (2, None), (None, ""), (3, "not a fool")]
+    got = collections.Counter((r.doc_id, round(r.score, 9)) for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), g).collect())
+    score = lambda x: round(1 / (1 + np.exp(2 - np.log1p(x))), 9)
+    assert got == collections.Counter([(1, score(3)), (1, score(3)), (1, score(2)), (2, score(0)), (None, score(0)), (3, score(0.6))])
+    assert toxicity.scored(empty, g).count() == 0
 
 
 def brute_components(fps, radius=4):
