@@ -6,6 +6,11 @@ anchor: equal windows have equal anchors, and neighbouring windows mostly share
 contexts (the text under neighbouring windows of one anchor); the contexts of one anchor meet in one shard, where equal
 ones are merged and an operator's own method decides which windows came first. Everything is linear in the
 texts: no pair of documents is ever formed, and the driver gets nothing.
+
+Nothing that is common meets in one task. Of an anchor that a task sees more than once it sends one summary to where the
+anchor is counted, and keeps the places aside, under a key of its own to which the verdict comes back. Equal contexts of
+common anchors are merged in each task, those of hot ones are divided into single windows. Long texts are worked on in
+segments, and text of a short period gives each of its windows once.
 """
 
 from __future__ import annotations
@@ -13,16 +18,18 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import NOT_SPACE, checkpointed, gram_hash, mixed, prefix_hash, signed, sliding_min, span_hash, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import NOT_SPACE, checkpointed, gram_hash, joined_unevenly, mixed, prefix_hash, same_spans, signed, sliding_min, span_hash, text_bytes, text_chunks, word_spans
 
 
 @dataclass(frozen=True)
@@ -41,22 +48,53 @@ class Units:
 
 
 class Texts:
-    """Some texts as units: ``first`` tells each text's first unit (and the total)."""
+    """Some texts as units: ``first`` tells each text's first unit (and the total). Hashes are made where they are used."""
 
     def __init__(self, column: pa.Array, units: Units):
         self.data, self.offsets = text_bytes(column)
-        self.prefix = prefix_hash(self.data)
         if units.words:
             self.starts, self.ends, self.first = word_spans(self.data, self.offsets, NOT_SPACE)
-            self.grams = gram_hash(span_hash(self.prefix, self.starts, self.ends), units.gram)
-            plain = np.concatenate([[0], (self.starts[1:] - self.ends[:-1] != 1) | (self.data[self.ends[:-1]] != 0x20)]) if len(self.starts) else np.zeros(0)
-            self.odd = np.cumsum(plain)  # of units before which more than one space stands
         else:
             self.first = self.offsets
-            at = np.arange(max(0, len(self.data) - units.gram + 1))
-            self.grams = mixed(span_hash(self.prefix, at, at + units.gram))
         self.units = units
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Of all units."""
+        return span_hash(prefix_hash(self.data), self.starts, self.ends)
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        if self.units.words:
+            return gram_hash(self.hashes, self.units.gram)
+        at = np.arange(max(0, len(self.data) - self.units.gram + 1))
+        return mixed(span_hash(prefix_hash(self.data), at, at + self.units.gram))
+
+    @cached_property
+    def odd(self) -> np.ndarray:
+        """How many of the words up to each one stand after more than one space."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        return np.cumsum(np.concatenate([[0], (self.starts[1:] - self.ends[:-1] != 1) | (self.data[self.ends[:-1]] != 0x20)]))
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        return gram_hash(self.hashes, self.units.window)
+
+    def first_within(self, a: int, n: int) -> list[tuple[int, int]]:
+        """Of the n word windows from a on, those without an equal one before among them, as runs (start, how many).
+
+        Windows of equal hash are compared by their bytes; where these differ both stay.
+        """
+        _, first, kind = np.unique(self.windows[a : a + n], return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[kind] != np.arange(n))
+        x, y = a + again, a + first[kind[again]]
+        w = self.units.window - 1
+        keep = np.ones(n, bool)
+        keep[again[same_spans(self.data, self.starts[x], self.ends[x + w], self.starts[y], self.ends[y + w])]] = False
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.view(np.int8), [0]])))
+        return list(zip((a + edge[::2]).tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Maximal runs of neighbouring windows with one anchor: the anchor, the text, the first window's start, how many."""
         w, first = self.units.window, self.first
@@ -100,17 +138,42 @@ class Texts:
 #: Bytes of text handled at once; with hashes at every place a byte takes a hundred for a moment.
 CHUNK = 1 << 19
 
-#: Anchors that a task gathers before it deals them out.
-FLUSH = 400_000
+#: Anchors that a task gathers before it deals them out, and summaries that it holds.
+FLUSH, SUMMARIES = 400_000, 200_000
 
+#: Of the places that a task keeps aside, the groups that its anchors are dealt to.
+GROUPS = 16
 
 #: Occurrences of an anchor above which each task merges its equal contexts before they are shuffled, and the most
 #: contexts that it holds for that.
 WARM, MERGED = 16, 50_000
 
 
+def segments(column: pa.Array, units: Units) -> Iterator[tuple[Texts, int, int | None]]:
+    """The texts, or a single long one in segments: (texts, first, end), with the units where its windows begin.
+
+    A segment has the windows that begin from unit ``first`` to unit ``end``, about CHUNK bytes of them; neighbours
+    share what windows at the border need. Several texts come at once, with end None.
+    """
+    data, offsets = text_bytes(column)
+    if len(column) != 1 or len(data) <= 2 * CHUNK:
+        yield Texts(column, units), 0, None
+        return
+    if units.words:
+        starts, ends, _ = word_spans(data, offsets, NOT_SPACE)
+    n = len(starts) if units.words else len(data)
+    at = 0
+    while at + units.window <= n:
+        end = max(int(np.searchsorted(starts, starts[at] + CHUNK)), at + 1) if units.words else at + CHUNK
+        end = min(end, n - units.window + 1)
+        last = end + units.window - 1
+        part = data[starts[at] : ends[last - 1]] if units.words else data[at:last]
+        yield Texts(pa.array([part.tobytes()], pa.large_binary()), units), at, end
+        at = end
+
+
 def packed_run(start: np.ndarray, n: np.ndarray, heat: np.ndarray) -> np.ndarray:
-    return start << 32 | n << 2 | heat  # a text has less than 2**30 bytes
+    return start << 32 | n << 2 | heat  # a text has less than 2**31 bytes, a run no more windows than a segment
 
 
 def unpacked_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,55 +193,204 @@ def _unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind)[:, 0]
 
 
+def packed_columns(*columns: np.ndarray) -> bytes:
+    """Integers of any width, the same number of each; compressed where there are enough."""
+    n = len(columns[0])
+    raw = b"".join(map(_planes, columns))
+    return n.to_bytes(4, "little") + (raw if n < 16 else zstandard.ZstdCompressor(level=1).compress(raw))
+
+
+def unpacked_columns(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    raw = blob[4:] if n < 16 else zstandard.ZstdDecompressor().decompress(blob[4:])
+    out, at = [], 0
+    for kind in kinds:
+        size = n * np.dtype(kind).itemsize
+        out.append(_unplanes(raw[at : at + size], n, kind))
+        at += size
+    return out
+
+
+#: What the packed columns of a row are: places of anchors, dealt by anchor; summaries of anchors, which ask under a key
+#: (count, least and largest document, whether it repeats itself); the places kept aside under that key; answers.
+PLACES, ASKS, ASIDE, ANSWERS, RUNS = range(5)
+COLUMNS = {
+    PLACES: ("<u4", "<i8", "<u4", "<u4"),
+    ASKS: ("<u4", "<i8", "<i8", "<i8", "u1", "<i8"),
+    ASIDE: ("<i8", "<i8", "<u4", "<u4"),
+    ANSWERS: ("<i8", "u1"),
+    RUNS: ("<i8", "<i8"),
+}
+DEALT = "key long, kind int, packed binary"
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ("key", "kind", "packed"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Rows of DEALT, which come sorted by key, as (key, [(kind, packed)])."""
+    now, held = None, []
+    for batch in batches:
+        for key, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append((kind, raw))
+    if held:
+        yield now, held
+
+
+def _by_key(key: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows of DEALT of values that are sorted by key."""
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return [(int(key[a]), kind, packed_columns(*(c[a:b] for c in columns))) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=False)]
+
+
 def dealt_anchors(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """(bucket, packed): all runs of windows with one anchor, dealt out by anchor in packed arrays.
+    """(key, kind, packed): all runs of windows with one anchor, in packed columns.
 
-    An anchor takes some seven bytes: 32 bits of it beside the bucket (anchors that agree in them by chance only make
-    candidates), the document, the run's start and length.
+    PLACES are dealt by anchor to the buckets (the keys below ``buckets``): 32 bits of it beside the bucket (anchors that
+    agree in them by chance only make candidates), the document, the run's start and length. Of an anchor with several
+    places in one batch of FLUSH anchors the bucket gets one row for the task (ASKS), and the places go to a key of the
+    task's own (ASIDE). So an anchor has at most a row for each batch in its bucket, however common it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = buckets + TaskContext.get().partitionId() * GROUPS
         kept: list[tuple[np.ndarray, ...]] = []
-        n_kept = 0
+        asks: list[tuple[np.ndarray, ...]] = []
+        n_kept = n_asks = 0
 
-        def flush() -> pa.RecordBatch:
+        def merged() -> tuple[np.ndarray, ...]:
+            """The summaries, one for each anchor."""
+            h, n, low, high, twice = (np.concatenate(c) for c in zip(*asks, strict=True))
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            by = lambda f, v: f.reduceat(v[order], edges)
+            return h[edges], by(np.add, n), by(np.minimum, low), by(np.maximum, high), by(np.bitwise_or, twice)
+
+        def asked() -> list[tuple[int, int, bytes]]:
+            h, n, low, high, twice = merged()
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            i = np.argsort(bucket, kind="stable")
+            short = (h // np.uint64(buckets)).astype(np.uint32)
+            return _by_key(bucket[i], ASKS, short[i], n[i], low[i], high[i], twice[i].astype(np.uint8), own + bucket[i] % GROUPS)
+
+        def flush() -> list[tuple[int, int, bytes]]:
             h, doc, start, n, twice = (np.concatenate(c) for c in zip(*kept, strict=True))
+            many = n * 2 + twice
+            order = np.argsort(h, kind="stable")
+            sorted_h = h[order]
+            edges = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+            size = np.diff(np.append(edges, len(h)))
+            several = np.zeros(len(h), bool)
+            several[order] = np.repeat(size > 1, size)
             bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((start, doc, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            squeeze = zstandard.ZstdCompressor(level=1)
-            low = h // np.uint64(buckets) & np.uint64((1 << 32) - 1)
-            blobs = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                i = order[a:b]
-                step = np.diff(doc[i], prepend=0)
-                key = low[i].view(np.uint8).reshape(-1, 8)[:, :4]
-                rest = _planes(step) + _planes(start[i]) + _planes(n[i] * 2 + twice[i])
-                blobs.append(pickle.dumps((len(i), key.tobytes(), squeeze.compress(rest)), 5) if len(i) else None)
-            at = [k for k, x in enumerate(blobs) if x]
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blobs[k] for k in at], pa.binary())], ("bucket", "packed"))
+            short = (h // np.uint64(buckets)).astype(np.uint32)
+            i = np.flatnonzero(~several)
+            i = i[np.lexsort((start[i], doc[i], bucket[i]))]
+            out = _by_key(bucket[i], PLACES, short[i], doc[i], start[i], many[i])
+            if several.any():
+                i = np.flatnonzero(several)
+                group = own + bucket[i] % GROUPS
+                i = i[np.lexsort((start[i], doc[i], group))]
+                out += _by_key(own + bucket[i] % GROUPS, ASIDE, bucket[i] << 32 | short[i].astype(np.int64), doc[i], start[i], many[i])
+                i = order[np.repeat(size > 1, size)]
+                edges = np.flatnonzero(np.concatenate([[True], h[i][1:] != h[i][:-1]]))
+                by = lambda f, v: f.reduceat(v[i], edges)
+                asks.append((h[i][edges], by(np.add, np.ones(len(h), np.int64)), by(np.minimum, doc), by(np.maximum, doc), by(np.bitwise_or, twice)))
+            return out
 
         for chunk in text_chunks(batches, CHUNK):
-            texts = Texts(chunk.column("text"), units)
-            h, doc, at, n = texts.runs()
-            if not len(h):
-                continue
-            twice = np.zeros(len(h), bool) if units.other_document else texts.self_repeating(at, n)
-            kept.append((h, chunk.column("doc_id").to_numpy()[doc], (at - texts.first[doc]).astype(np.uint32), n.astype(np.uint32), twice.astype(np.uint32)))
-            n_kept += len(h)
-            if n_kept >= FLUSH:
-                yield flush()
-                kept, n_kept = [], 0
+            ids = chunk.column("doc_id").to_numpy()
+            for texts, base, _ in segments(chunk.column("text"), units):
+                h, doc, at, n = texts.runs()
+                if not len(h):
+                    continue
+                twice = np.zeros(len(h), bool) if units.other_document else texts.self_repeating(at, n)
+                kept.append((h, ids[doc], (at - texts.first[doc] + base).astype(np.uint32), n.astype(np.uint32), twice.astype(np.uint32)))
+                n_kept += len(h)
+                if n_kept >= FLUSH:
+                    yield _rows(flush())
+                    kept, n_kept = [], 0
+                    n_asks = sum(len(a[0]) for a in asks)
+                    if n_asks > SUMMARIES:
+                        asks = [merged()]
+                        if len(asks[0][0]) > SUMMARIES // 2:
+                            yield _rows(asked())
+                            asks = []
         if kept:
-            yield flush()
-
-    return docs.mapInArrow(run, "bucket int, packed binary")
-
+            yield _rows(flush())
+        if asks:
+            yield _rows(asked())
+
+    return docs.mapInArrow(run, DEALT)
+
+
+def bucket_count(total_bytes: int) -> int:
+    """Follows the texts' total length: a bucket is for 4 MB of text, and from 256 GB on for up to 64 MB, some four
+    million anchors of byte windows."""
+    return max(64, min(total_bytes >> 22, 1 << 16), total_bytes >> 26)
+
+
+def judged_anchors(units: Units, buckets: int):
+    """Of rows of DEALT, those of a bucket: the runs whose anchor occurs in another place that counts (RUNS, under keys
+    below 0), and the answers to those who asked (ANSWERS: 0 for no, else heat + 1). Places kept aside pass through."""
+
+    def verdicts(bucket: int, packed: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+        columns = lambda kind: [np.concatenate(c) for c in zip(*([unpacked_columns(raw, *COLUMNS[kind]) for k, raw in packed if k == kind] or [[np.zeros(0, t) for t in COLUMNS[kind]]]), strict=True)]
+        h, doc, start, many = columns(PLACES)
+        asked, n_asked, low, high, twice, reply = columns(ASKS)
+        both, kind = np.unique(np.concatenate([h, asked]), return_inverse=True)
+        own, other = kind[: len(h)], kind[len(h) :]
+        size = np.bincount(own, minlength=len(both))
+        np.add.at(size, other, n_asked)
+        if units.other_document:
+            least, most = np.full(len(both), np.iinfo(np.int64).max), np.full(len(both), np.iinfo(np.int64).min)
+            for i, a, b in ((own, doc, doc), (other, low, high)):
+                np.minimum.at(least, i, a)
+                np.maximum.at(most, i, b)
+            keep = least < most
+        else:
+            keep = size > 1
+            keep[own[many & 1 == 1]] = True
+            keep[other[twice == 1]] = True
+        verdict = np.where(keep, np.where(size > units.hot, 2, size > WARM) + 1, 0)
+        chosen = keep[own]
+        run = packed_run(start[chosen].astype(np.int64), (many[chosen] >> 1).astype(np.int64), verdict[own][chosen] - 1)
+        out = [(-1 - bucket, RUNS, packed_columns(doc[chosen], run))] if chosen.any() else []
+        i = np.argsort(reply, kind="stable")
+        return out + _by_key(reply[i], ANSWERS, bucket << 32 | asked[i].astype(np.int64), verdict[other][i].astype(np.uint8))
 
-def bucket_count(docs: DataFrame, bucket_bytes: int = 4 << 20) -> int:
-    """Follows the texts' total length, so that a bucket has as many anchors at any size."""
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return int(min(max(total // bucket_bytes, 64), 1 << 16))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, packed in _groups(batches):
+            yield _rows(verdicts(key, packed) if key < buckets else [(key, kind, raw) for kind, raw in packed])
+
+    return run
+
+
+def answered_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, run) of RUNS, and of the places kept aside those whose anchor's answer is yes."""
+    for _, packed in _groups(batches):
+        said = [unpacked_columns(raw, *COLUMNS[ANSWERS]) for kind, raw in packed if kind == ANSWERS]
+        anchor, verdict = (np.concatenate(c) for c in zip(*said, strict=True)) if said else (np.zeros(0, np.int64), np.zeros(0, np.uint8))
+        anchor, first = np.unique(anchor, return_index=True)
+        verdict = verdict[first].astype(np.int64)
+        for kind, raw in packed:
+            if kind == RUNS:
+                doc, run = unpacked_columns(raw, *COLUMNS[RUNS])
+            elif kind == ASIDE:
+                which, doc, start, many = unpacked_columns(raw, *COLUMNS[ASIDE])
+                heat = verdict[np.searchsorted(anchor, which)] - 1
+                yes = heat >= 0
+                doc, run = doc[yes], packed_run(start[yes].astype(np.int64), (many[yes] >> 1).astype(np.int64), heat[yes])
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(run)], ("doc_id", "run"))
 
 
 def repeated_runs(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
@@ -186,52 +398,17 @@ def repeated_runs(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
 
     See ``packed_run``; a run's heat is 2 if its anchor occurs over ``units.hot`` times, 1 if over WARM times, else 0.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shared(packed: list[bytes]) -> pa.RecordBatch:
-            parts = []
-            for raw in packed:
-                n, key, rest = pickle.loads(raw)
-                rest = zstandard.ZstdDecompressor().decompress(rest)
-                step, start, many = rest[: 8 * n], rest[8 * n : 12 * n], rest[12 * n :]
-                h = np.zeros((n, 8), np.uint8)
-                h[:, :4] = np.frombuffer(key, np.uint8).reshape(n, 4)
-                parts.append((h.view(np.uint64)[:, 0], np.cumsum(_unplanes(step, n, "<i8")), _unplanes(start, n, "<u4"), _unplanes(many, n, "<u4")))
-            h, doc, start, many = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, doc, start, many = h[order], doc[order], start[order], many[order]
-            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.append(edges, len(h)))
-            if units.other_document:
-                keep = np.minimum.reduceat(doc, edges) < np.maximum.reduceat(doc, edges)
-            else:
-                keep = (size > 1) | (np.bitwise_or.reduceat(many, edges) & 1 == 1)
-            chosen = np.repeat(keep, size)
-            heat = np.repeat(np.where(size > units.hot, 2, size > WARM), size)[chosen]
-            run = packed_run(start[chosen].astype(np.int64), (many[chosen] >> 1).astype(np.int64), heat)
-            return pa.RecordBatch.from_arrays([pa.array(doc[chosen]), pa.array(run)], ("doc_id", "run"))
+    dealt = dealt_anchors(docs, units, buckets).repartition("key").sortWithinPartitions("key")
+    known = dealt.mapInArrow(judged_anchors(units, buckets), DEALT).repartition("key").sortWithinPartitions("key")
+    return known.mapInArrow(answered_runs, "doc_id long, run long").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
-        now, packed = None, []
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and packed:
-                    yield shared(packed)
-                    packed = []
-                now = bucket
-                packed.append(raw)
-        if packed:
-            yield shared(packed)
 
-    dealt = dealt_anchors(docs, units, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    rows = dealt.mapInArrow(run, "doc_id long, run long")
-    return rows.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-
-
-def copies(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """doc_ids of the documents whose whole text a smaller doc_id has, too. A text's copies are dealt to ``salts`` tasks."""
-    marked = docs.where("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("sha"), F.pmod(F.col("doc_id"), F.lit(salts)).alias("salt"))
-    first = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    first = first.select("sha", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return marked.join(first, ["sha", "salt"]).where("doc_id > low").select("doc_id").distinct()
+def copies(docs: DataFrame, n_docs: int) -> DataFrame:
+    """doc_ids of the documents whose whole text a smaller doc_id has, too. Texts with very many copies don't meet."""
+    marked = docs.where("length(text) > 0").select("doc_id", F.sha2("text", 256).alias("sha"))
+    first = marked.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    first = checkpointed(first.select("sha", "low", "n"))
+    return joined_unevenly(marked, first, "sha", "n", n_docs).where("doc_id > low").select("doc_id").distinct()
 
 
 #: Bytes of contexts that a task gathers before it deals them out.
@@ -286,61 +463,76 @@ def contexts(joined: DataFrame, units: Units, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}
         rows: list[tuple[int, bytes, int, int, int, int]] = []
-        gathered = 0
+        gathered = n_held = held_bytes = 0
 
         def hold(h: int, ctx: bytes, doc_id: int, key: int, rel: int) -> None:
+            nonlocal n_held, held_bytes
             had = held.get(ctx)
             if had is None or doc_id < had[1] or (units.words and doc_id == had[1] and key + rel < sum(had[2][0])):
                 held[ctx] = (h, doc_id, [(key, rel)])
+                held_bytes += len(ctx)
             elif doc_id == had[1] and not units.words:
                 had[2].append((key, rel))
+                n_held += 1
 
         def released() -> None:
+            nonlocal gathered, n_held, held_bytes
             for ctx, (h, d, at) in held.items():
                 n = ctx.count(b" ") + 2 - units.window if units.words else len(ctx) + 1 - units.window
                 rows.extend((h, ctx, d, k, r, n) for k, r in at)
+                gathered += len(ctx) * len(at)
             held.clear()
+            n_held = held_bytes = 0
+
+        def taken(texts: Texts, a: int, n: int, heat: int, doc_id: int, key: int, seen: set[bytes]) -> None:
+            """The windows a to a + n, of which the first is the document's window ``key``."""
+            nonlocal gathered
+            ctx = texts.cut(a, a + n + units.window - 1)
+            if units.words:
+                if ctx in seen:
+                    return  # it starts earlier in its own document
+                seen.add(ctx)
+            if heat < 2:
+                h = int(texts.grams[a : a + units.window - units.gram + 1].min()) | 1
+                h -= (h >> 63) << 64
+                if heat:
+                    hold(h, ctx, doc_id, key, 0)
+                else:
+                    rows.append((h, ctx, doc_id, key, 0, n))
+                    gathered += len(ctx)
+                return
+            one = ctx.split(b" ") if units.words else ctx
+            for i in range(n):
+                w = b" ".join(one[i : i + units.window]) if units.words else one[i : i + units.window]
+                g = xxhash.xxh64_intdigest(w) & ~1  # contexts' anchors are odd: the two never meet
+                hold(g - (1 << 64) if g >> 63 else g, w, doc_id, key, i)
+                if n_held > MERGED:
+                    released()
 
         for chunk in text_chunks(batches, CHUNK):
             offsets, starts, sizes, heats = unpacked_runs(chunk.column("runs"))
             if not offsets[-1]:
                 continue
-            texts = Texts(chunk.column("text"), units)
-            row = np.repeat(np.arange(chunk.num_rows), np.diff(offsets))
-            a = starts + texts.first[row]
-            b = a + sizes + units.window - 1
-            fits = b <= texts.first[row + 1]  # always, but for rows that repeat a doc_id with another text
-            a, b, row, heats, starts = (v[fits] for v in (a, b, row, heats, starts))
-            if not len(a):
-                continue
-            h = signed(texts.grams[a[:, None] + np.arange(units.window - units.gram + 1)].min(1) | np.uint64(1))
-            ids = chunk.column("doc_id").fill_null(0).to_numpy()[row]  # a null has no runs
+            all_rows = np.repeat(np.arange(chunk.num_rows), np.diff(offsets))
+            ids = chunk.column("doc_id").fill_null(0).to_numpy()  # a null has no runs
             seen, last = set(), -1
-            for x, y, g, k, heat, d, r in zip(*(v.tolist() for v in (a, b, h, starts, heats, ids, row)), strict=True):
-                if r != last:
-                    seen, last = set(), r
-                ctx = texts.cut(x, y)
-                if units.words:
-                    if ctx in seen:
-                        continue  # it starts earlier in its own document
-                    seen.add(ctx)
-                if heat == 0:
-                    rows.append((g, ctx, d, k, 0, y - x + 1 - units.window))
-                    gathered += len(ctx)
-                elif heat == 1:
-                    hold(g, ctx, d, k, 0)
-                else:
-                    one = ctx.split(b" ") if units.words else ctx
-                    for i in range(len(one) - units.window + 1):
-                        w = b" ".join(one[i : i + units.window]) if units.words else one[i : i + units.window]
-                        g = xxhash.xxh64_intdigest(w) & ~1  # contexts' anchors are odd: the two never meet
-                        hold(g - (1 << 64) if g >> 63 else g, w, d, k, i)
-            if len(held) > MERGED:
-                released()
-            if gathered > GATHER:
-                yield pack_contexts(rows, buckets)
-                gathered = 0
-                rows.clear()
+            for texts, base, end in segments(chunk.column("text"), units):
+                mine = slice(None) if end is None else slice(*np.searchsorted(starts, [base, end]))
+                row = all_rows[mine]
+                a = starts[mine] - base + texts.first[row]
+                fits = a + sizes[mine] + units.window - 1 <= texts.first[row + 1]  # always, but for rows that repeat a doc_id with another text
+                for x, n, heat, key, r in zip(*(v[fits].tolist() for v in (a, sizes[mine], heats[mine], starts[mine], row)), strict=True):
+                    if r != last:
+                        seen, last = set(), r
+                    parts = texts.first_within(x, n) if units.words and n > 4 * units.window else [(x, n)]
+                    for at, many in parts:
+                        taken(texts, at, many, heat, int(ids[r]), key + at - x, seen)
+                    if len(held) > MERGED or n_held > MERGED or held_bytes > GATHER:
+                        released()
+                    if gathered > GATHER:
+                        yield pack_contexts(rows, buckets)
+                        gathered = 0
+                        rows.clear()
         released()
         if rows:
             yield pack_contexts(rows, buckets)
@@ -413,13 +605,15 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
     """A row for each row of ``docs``: doc_id, n_units, spans (removed units: start, end, start, end, ...), kept.
 
     Removed is each unit under a window that also occurs earlier, windows being judged on the whole input. kept: the
-    remaining bytes, or the remaining words with one space between. A copy of a whole text loses all its windows at once. A null or empty text has no units; a row without
-    doc_id loses nothing; rows that repeat a doc_id (they should repeat the text) are treated as one document.
+    remaining bytes, or the remaining words with one space between. A copy of a whole text loses all its windows at once.
+    A null or empty text has no units; a row without doc_id loses nothing; rows that repeat a doc_id (they should repeat
+    the text) are treated as one document.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     own = docs.where("doc_id IS NOT NULL")
-    again = copies(own).withColumn("copy", F.lit(True))
-    buckets = bucket_count(own)
+    n_docs, total = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    again = copies(own, n_docs).withColumn("copy", F.lit(True))
+    buckets = bucket_count(total)
     marked = repeated_runs(own, units, buckets).join(again, "doc_id", "full_outer")
     marked = checkpointed(marked.select("doc_id", F.when(F.col("copy").isNull(), F.col("runs")).alias("runs"), F.coalesce("copy", F.lit(False)).alias("copy")))
     both = docs.join(marked, "doc_id", "left")  # the texts are shuffled once, for what follows twice

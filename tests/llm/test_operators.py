@@ -850,3 +850,74 @@ def test_short_periods(spark):
             seen.add(tuple(w[k : k + 20]))
         want[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
     assert {r.doc_id: bytes(r.kept).decode() for r in substrings.deduplicated(df, shard_bytes=500).collect()} == want
+
+
+def brute_removed(rows, unit, window, other_document):
+    """Kept units of each row, by a table of where each window starts first."""
+    first, out = {}, {}
+    cut = {i: (t.split() if unit == "word" else t.encode()) for i, t in rows}
+    for i, u in cut.items():
+        for k in range(len(u) - window + 1):
+            w = " ".join(u[k : k + window]) if unit == "word" else u[k : k + window]
+            f = first.setdefault(w, (i, k))
+            if (f[0] < i) if other_document else (f != (i, k)):
+                out.setdefault(i, []).append(k)
+    kept = {}
+    for i, u in cut.items():
+        gone = np.zeros(len(u) + 1, np.int64)
+        at = np.array(out.get(i, []), np.int64)
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + window, -1)
+        stay = np.cumsum(gone[:-1]) == 0
+        kept[i] = " ".join(x for x, s in zip(u, stay) if s).encode() if unit == "word" else bytes(x for x, s in zip(u, stay) if s)
+    return kept
+
+
+def test_texts_of_several_segments(spark):
+    """Texts longer than two chunks, with repeats over the segments' borders, and long text of a short period."""
+    rng = random.Random(21)
+    long = " ".join(rng.choice(VOCABULARY) + str(rng.randrange(50)) for _ in range(190_000))
+    assert len(long.encode()) > 2.2 * shared.CHUNK
+    a, b = len(long) // 3, len(long) // 2 + 300_000
+    rows = [(1, long), (2, "x " + long[a:b] + " y"), (3, "ab cd " * 200_000 + "end"), (4, long[:2000] + " ab cd" * 100), (5, "ab cd " * 200_000 + long[700:1500]), (6, "z" * 1_300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: bytes(r.kept) for r in substrings.deduplicated(df).collect()} == brute_removed(rows, "word", 20, False)
+    assert {r.doc_id: bytes(r.kept) for r in suffixes.deduplicated(df).collect()} == brute_removed(rows, "byte", 50, True)
+
+
+@pytest.mark.parametrize(("operator", "units"), [(substrings.deduplicated, shared.Units(20, 8, True, False)), (suffixes.deduplicated, shared.Units(50, 20, False, True, 4000))])
+def test_an_anchor_in_very_many_places_never_meets(spark, operator, units):
+    passage = " ".join(VOCABULARY)
+    n, tasks = 60_000, 4
+    df = spark.range(0, n, 1, tasks).select(F.col("id").alias("doc_id"), F.concat(F.lit("q"), F.col("id"), F.lit(f" {passage} w"), F.col("id")).alias("text"))
+    dealt = shared.dealt_anchors(df, units, 64).where(F.col("kind").isin(shared.PLACES, shared.ASKS)).collect()
+    places = collections.Counter()
+    for r in dealt:
+        places.update((r.key, int(h)) for h in shared.unpacked_columns(r.packed, *shared.COLUMNS[r.kind])[0])
+    assert max(places.values()) <= tasks * 3  # a row for each batch of anchors and for its summary, not for each place
+    out = operator(df)
+    lost = out.groupBy((F.col("doc_id") == 0).alias("first")).agg(F.min(shared.removed_count()).alias("a"), F.max(shared.removed_count()).alias("b"), F.count("*").alias("n")).collect()
+    size = len(passage.split()) if units.words else len(f" {passage} w".encode())
+    got = {r["first"]: (r["a"], r["b"], r["n"]) for r in lost}
+    assert got[True] == (0, 0, 1) and got[False][0] >= size and got[False][2] == n - 1
+
+
+def test_memory_of_a_long_periodic_text():
+    """20 MB of a short period: worked on in segments, and each segment gives one short context."""
+    import tracemalloc
+
+    column = pa.array([b"ab " * 7_000_000], pa.large_binary())
+    tracemalloc.start()
+    for units in (shared.Units(20, 8, True, False), shared.Units(50, 20, False, True)):
+        windows = contexts = 0
+        for texts, _, end in shared.segments(column, units):
+            h, doc, at, n = texts.runs()
+            windows += int(n.sum())
+            if units.words:
+                contexts += sum(len(texts.first_within(a, m)) for a, m in zip(at.tolist(), n.tolist()))
+                assert all(m <= 2 for a, m in texts.first_within(int(at[0]), int(n[0])))
+        assert windows == (7_000_000 - 19 if units.words else 21_000_000 - 49)
+        assert not units.words or contexts < 100
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
