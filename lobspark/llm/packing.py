@@ -120,7 +120,7 @@ def pack(items: DataFrame, capacity: int = 2048, per_task: int = 100_000) -> Dat
             F.max(F.when(F.col("gap") > 0, part)).alias("last"),
         ).first()
         if before is not None and now["bins"] >= before[1]:
-            packed, (_, n) = before  # the turn saved nothing
+            packed, n = before  # the turn saved nothing
             done.append(packed)
             n_done += n
             break

@@ -760,6 +760,17 @@ def test_packing_exchanges_only_between_partitions_with_gaps(spark):
     assert {r.certified for r in got} == {True, False}
 
 
+def test_packing_undoes_a_turn_that_saves_nothing(spark):
+    """Sizes whose bound no packing reaches: the exchange ends, and every item is still packed once."""
+    rng = random.Random(7)
+    lengths = [rng.choice([33, 36]) for _ in range(300)]
+    items = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(lengths)], packing.COLUMNS)
+    got = packing.pack(items, 100, per_task=50).collect()
+    n = check_packing(got, lengths, 100)
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    assert {(r.n_sequences, r.certified) for r in got} == {(n, False)} and got[0].lower_bound < n <= 1.1 * (-(-lengths.count(33) // 3) + -(-lengths.count(36) // 2)) + 6
+
+
 def test_packing_of_repeated_rows(spark):
     """Equal rows are dealt out like others, and each is packed."""
     items = spark.createDataFrame([(1, 0, 0, 30, 7)] * 400 + [(None, 0, 0, 1, None)] * 3, packing.COLUMNS)
