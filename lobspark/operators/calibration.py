@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobspark.functions.scalars import TICK, distance_ticks, spread_ticks
-from lobspark.operators.series import backward_asof, by, upper_median
+from lobspark.operators import book
+from lobspark.operators.series import by
 
 
 def distances(replayed: DataFrame, types: list[str]) -> DataFrame:
@@ -17,35 +18,44 @@ def distances(replayed: DataFrame, types: list[str]) -> DataFrame:
     return pre.groupBy("locate", "side", d.alias("d")).agg(F.count("*").alias("n"))
 
 
-def exposure(states: DataFrame, replayed: DataFrame) -> DataFrame:
+def exposure(messages: DataFrame) -> DataFrame:
     """(locate, side, d, order_seconds): orders at each distance, integrated from each message to the next.
 
-    A level counts while the opposite side has a best. The level's orders and the opposite best are step functions of
-    time. Both change at messages only, so their product is summed over the stretches between changes of either one:
-    each level's changes meet its instrument's changes of the best, and one window carries both on.
+    A level counts while the opposite side has a best. A level's orders and the opposite best are constant over stretches
+    of messages. Two stretches overlap either because the level's is live when the best's begins, which the tree of
+    ``book`` finds, or because it begins within the best's, which is one merge. So the rows are the messages and, for
+    each change of a best, the levels that are live then.
     """
-    w = by("locate").orderBy("us", "seq")
-    touch = replayed.select("locate", "seq", "us", "bid", "ask", F.lag("bid").over(w).alias("b0"), F.lag("ask").over(w).alias("a0"), F.row_number().over(w).alias("rn"))
-    ends = replayed.groupBy("locate").agg(F.max(F.struct("us", "seq")).alias("e")).select("locate", F.col("e.us").alias("end"))
-    moves = lambda side, best, old: touch.where((F.col("rn") == 1) | ~F.col(best).eqNullSafe(F.col(old))).select("locate", "us", "seq", F.lit(side).alias("side"), F.coalesce(F.col(best), F.lit(0)).alias("opp"))
-    opp = moves("B", "ask", "a0").unionByName(moves("S", "bid", "b0"))
-    levels = states.select("locate", "side", "price").distinct()
-    a = opp.join(levels, ["locate", "side"]).select("locate", "side", "price", "us", "seq", "opp", F.lit(None).cast("bigint").alias("orders"))
-    b = states.select("locate", "side", "price", "us", "seq", F.lit(None).cast("bigint").alias("opp"), "orders")
-    k = by("locate", "side", "price").orderBy("us", "seq")
-    both = a.unionByName(b).join(ends, "locate").select("locate", "side", "price", "us", "end", F.last("opp", ignorenulls=True).over(k).alias("opp"), F.last("orders", ignorenulls=True).over(k).alias("orders"), F.lead("us").over(k).alias("next"))
-    held = both.where("orders > 0 AND opp > 0").withColumn("dt", (F.coalesce("next", "end") - F.col("us")) / 1_000_000.0)
-    d = distance_ticks(F.col("price"), F.col("opp"))
-    return held.groupBy("locate", "side", d.alias("d")).agg(F.sum(F.col("orders") * F.col("dt")).alias("order_seconds"))
+    rows = book.level_rows(messages)
+    ends = rows.groupBy("locate").agg(F.max("us").alias("end"))
+    w = by("locate", "side", "price").orderBy("pos")
+    pieces = rows.select("locate", "side", "price", "orders", "us", "pos", F.coalesce(F.lead("pos").over(w), F.lit(book.ENDLESS)).alias("until"), F.lead("us").over(w).alias("to")).where("orders > 0")
+    own = by("locate", "side").orderBy("pos")
+    facing = F.when(F.col("side") == "B", "S").otherwise("B").alias("side")
+    best = book.best_changes(rows).select("locate", facing, "pos", "best")
+    moved = best.withColumn("old", F.lag("best").over(own)).where(~F.col("best").eqNullSafe(F.col("old"))).drop("old")
+    opp = moved.join(rows.select("locate", "pos", "us"), ["locate", "pos"]).withColumn("o_to", F.lead("us").over(own))
+    # stretches of a level that are live when the best changes
+    nodes = pieces.select("locate", "side", "price", "orders", "to", F.explode(book.spans("pos", "until")).alias("n")).select("locate", "side", "price", "orders", "to", "n.*")
+    asked = opp.where("best IS NOT NULL").select("locate", "side", "best", F.col("us").alias("since"), "o_to", F.explode(book.paths("pos")).alias("n")).select("locate", "side", "best", "since", "o_to", "n.*")
+    standing = asked.join(nodes, ["locate", "side", "l", "node", "salt"]).select("locate", "side", "price", "orders", "best", "since", "to", "o_to")
+    # stretches that begin under a best
+    both = pieces.select("locate", "side", "pos", "us", F.struct("price", "orders", "to").alias("piece"), F.lit(None).cast("struct<best:bigint,o_to:bigint>").alias("opp"))
+    both = both.unionByName(opp.select("locate", "side", "pos", "us", F.lit(None).cast("struct<price:bigint,orders:bigint,to:bigint>").alias("piece"), F.struct("best", "o_to").alias("opp")))
+    carried = both.withColumn("opp", F.last("opp", ignorenulls=True).over(own)).where("piece IS NOT NULL AND opp.best IS NOT NULL")
+    begun = carried.select("locate", "side", "piece.price", "piece.orders", "opp.best", F.col("us").alias("since"), "piece.to", "opp.o_to")
+    held = standing.unionByName(begun).join(ends, "locate")
+    seconds = (F.least(F.coalesce("to", "end"), F.coalesce("o_to", "end")) - F.col("since")) / 1_000_000.0
+    return held.groupBy("locate", "side", distance_ticks(F.col("price"), F.col("best")).alias("d")).agg(F.sum(F.col("orders") * seconds).alias("order_seconds"))
 
 
-def rates(messages: DataFrame, replayed: DataFrame, states: DataFrame) -> DataFrame:
+def rates(messages: DataFrame, replayed: DataFrame) -> DataFrame:
     """(locate, side, d, lambda, theta): adds per thousand seconds, cancels per million order-seconds (0 below one)."""
     span = messages.groupBy("locate").agg(((F.max("us") - F.min("us")) / 1_000_000.0).alias("secs"))
     adds = distances(replayed, ["A", "F"]).withColumnRenamed("n", "adds")
     cancels = distances(replayed, ["X", "D"]).withColumnRenamed("n", "cancels")
     keys = ["locate", "side", "d"]
-    out = adds.join(span, "locate").join(cancels, keys, "left").join(exposure(states, replayed), keys, "left")
+    out = adds.join(span, "locate").join(cancels, keys, "left").join(exposure(messages), keys, "left")
     seconds = F.coalesce("order_seconds", F.lit(0.0))
     theta = F.when(seconds < 1, 0.0).otherwise(F.coalesce("cancels", F.lit(0)) / seconds * 1_000_000)
     return out.select(*keys, F.round(F.col("adds") / F.col("secs") * 1000, 6).alias("lambda"), F.round(theta, 6).alias("theta"))
@@ -53,32 +63,25 @@ def rates(messages: DataFrame, replayed: DataFrame, states: DataFrame) -> DataFr
 
 def start(replayed: DataFrame) -> DataFrame:
     """(p0, half_spread): the upper median of the instruments' opening mids on the tick grid; half the lower median of
-    all spreads in ticks, rounded up, one at least."""
-    both = replayed.where("bid IS NOT NULL AND ask IS NOT NULL")
-    opening = both.groupBy("locate").agg(F.min_by(F.floor((F.col("bid") + F.col("ask")) / 2), "seq").alias("mid")).withColumn("one", F.lit(1))
-    p0 = upper_median(opening, "one", "mid", "m").select("one", (F.floor(F.col("m") / TICK) * TICK).alias("p0"))
-    hist = both.groupBy(spread_ticks(F.col("bid"), F.col("ask")).alias("s")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    run = hist.select("s", F.sum("c").over(w).alias("run"), F.sum("c").over(Window.partitionBy()).alias("total")).where("2 * run >= total")
-    half = run.agg(F.greatest(F.lit(1), F.floor((F.min("s") + 1) / 2)).alias("half_spread")).withColumn("one", F.lit(1))
-    return p0.join(half, "one").drop("one")  # one row each
+    all spreads in ticks, rounded up, one at least.
 
+    Both medians are read from running counts: over a row an instrument, and over a row a distinct spread.
+    """
+    both = replayed.where("bid IS NOT NULL AND ask IS NOT NULL")
+    opening = both.groupBy("locate").agg(F.min_by(F.floor((F.col("bid") + F.col("ask")) / 2), "seq").alias("x"))
+    hist = both.groupBy(spread_ticks(F.col("bid"), F.col("ask")).alias("x")).agg(F.count("*").alias("c"))
+    rows = opening.select(F.lit("mid").alias("what"), "x", F.lit(1).cast("long").alias("c")).unionByName(hist.select(F.lit("spread").alias("what"), "x", "c"))
+    w = by("what").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.select("what", "x", F.sum("c").over(w).alias("run"), F.sum("c").over(by("what")).alias("total"))
+    mid = F.min(F.when((F.col("what") == "mid") & (F.col("run") > F.floor(F.col("total") / 2)), F.col("x")))
+    spread = F.min(F.when((F.col("what") == "spread") & (2 * F.col("run") >= F.col("total")), F.col("x")))
+    return run.agg((F.floor(mid / TICK) * TICK).alias("p0"), F.greatest(F.lit(1), F.floor((spread + 1) / 2)).alias("half_spread"))
 
-def placements(states: DataFrame, adds: DataFrame) -> DataFrame:
-    """(locate, placement, adds): where an add's price lies among its side's live levels just before it.
 
-    adds: (book "locate|side", t, px). Every level of the side is looked up at the add by an as-of merge on the level.
-    """
-    level = F.concat_ws("|", "locate", "side", "price")
-    right = states.select(level.alias("level"), F.col("seq").alias("t"), F.col("seq").alias("order"), "shares")
-    levels = states.select(F.concat_ws("|", "locate", "side").alias("book"), "price").distinct()
-    left = adds.join(levels, "book").select(F.concat_ws("|", "book", "price").alias("level"), "t")
-    live = backward_asof(left, right, "level", ["shares"], strict=True).where("shares > 0")
-    part = F.split("level", r"\|")
-    live = live.select(F.concat_ws("|", part[0], part[1]).alias("book"), part[2].cast("long").alias("price"), "t")
-    sign = F.when(F.col("book").endswith("B"), 1).otherwise(-1)
-    joined = adds.join(live, ["book", "t"], "left").groupBy("book", "t").agg(
-        F.count("price").alias("n"), F.count_if(sign * (F.col("price") - F.col("px")) > 0).alias("better"), F.count_if(F.col("price") == F.col("px")).alias("same")
-    )
-    kind = F.when(F.col("n") == 0, "NoSide").when(F.col("same") > 0, "AtLevel").when(F.col("better") == 0, "Inside").when(F.col("better") == F.col("n"), "NewBottom").otherwise("NewInterior")
-    return joined.groupBy(F.split("book", r"\|")[0].cast("long").alias("locate"), kind.alias("placement")).agg(F.count("*").alias("adds"))
+def placements(messages: DataFrame) -> DataFrame:
+    """(locate, placement, adds): where an add's price lies among its side's live levels just before it."""
+    rows = book.level_rows(messages)
+    adds = rows.where(F.col("msg_type").isin(book.ADDS)).select("locate", "pos")
+    at = book.places(rows).join(adds, ["locate", "pos"])
+    kind = F.when(F.col("n_levels") == 0, "NoSide").when(F.col("same") > 0, "AtLevel").when(F.col("better") == 0, "Inside").when(F.col("better") == F.col("n_levels"), "NewBottom").otherwise("NewInterior")
+    return at.groupBy("locate", kind.alias("placement")).agg(F.count("*").alias("adds"))

@@ -26,8 +26,9 @@ def feed(spark, sf_dir):
     return book.derived_feed(events(spark, sf_dir))
 
 
-def replayed(spark, sf_dir):
-    return fold.replay(feed(spark, sf_dir).withColumn("new_ref", F.lit(None).cast("bigint")))
+def replayed(spark, sf_dir, depth=False, ranks=False):
+    """The book after each message; the feed has no rejects, so relations will do."""
+    return book.replay(feed(spark, sf_dir), depth, ranks)
 
 
 FEED = """e0 AS (SELECT user_id % 8 + 1 AS locate, event_id AS seq, epoch_us(ts) AS us, event_type, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents, CASE WHEN event_type IN ('signup', 'click', 'view') THEN 'add' ELSE 'take' END AS kind FROM events),
@@ -81,20 +82,50 @@ def b17(spark, sf_dir):
 
 @query("b08_touch_after_message", f"WITH {FEED}, {BBO} SELECT locate, seq, bid, bid_shares, ask, ask_shares, open_orders, levels FROM bbo")
 def b08(spark, sf_dir):
-    return replayed(spark, sf_dir).select("locate", "seq", "bid", "bid_shares", "ask", "ask_shares", "open_orders", "levels")
+    return replayed(spark, sf_dir, depth=True).select("locate", "seq", "bid", "bid_shares", "ask", "ask_shares", "open_orders", "levels")
 
 
 @query("b14_replay_statistics", f"WITH {FEED} SELECT locate, msg_type, 'Ok' AS result, count(*) AS n FROM msg GROUP BY ALL")
 def b14(spark, sf_dir):
-    return replayed(spark, sf_dir).groupBy("locate", "msg_type", "result").agg(F.count("*").alias("n"))
+    r = fold.replay(feed(spark, sf_dir).withColumn("new_ref", F.lit(None).cast("bigint")))
+    return r.groupBy("locate", "msg_type", "result").agg(F.count("*").alias("n"))
 
 
 @query("b12_invariants", f"WITH {FEED} SELECT locate, count(*) AS messages, CAST(0 AS BIGINT) AS rejects, CAST(0 AS BIGINT) AS crossed, CAST(0 AS BIGINT) AS negative FROM msg GROUP BY locate")
 def b12(spark, sf_dir):
-    r = replayed(spark, sf_dir)
+    r = fold.replay(feed(spark, sf_dir).withColumn("new_ref", F.lit(None).cast("bigint")))
     return r.groupBy("locate").agg(F.count("*").alias("messages"), F.count_if(F.col("result") != "Ok").alias("rejects"), F.count_if(F.col("bid") >= F.col("ask")).alias("crossed"), F.count_if((F.col("bid_shares") <= 0) | (F.col("ask_shares") <= 0)).alias("negative"))
 
 
+REJECTS = f"""noise AS (SELECT * FROM (VALUES {", ".join(f"({n[0]}, '{n[1]}', '{n[7]}')" for n in book.NOISE)}) v(k, msg_type, result)),
+every AS (SELECT locate, CASE WHEN msg_type = 'E' AND seq % 2 = 0 THEN 'C' ELSE msg_type END AS msg_type, 'Ok' AS result FROM msg UNION ALL SELECT locate, noise.msg_type, result FROM adds JOIN noise ON seq % 8 = noise.k)"""
+
+
+@query("b14_reject_matrix", f"WITH {FEED}, {REJECTS} SELECT locate, msg_type, result, count(*) AS n FROM every GROUP BY ALL")
+def b14_rejects(spark, sf_dir):
+    """Results by type, of a feed with rejects of every kind, C and U."""
+    return fold.replay(book.noisy_feed(feed(spark, sf_dir))).groupBy("locate", "msg_type", "result").agg(F.count("*").alias("n"))
+
+
+@query("b05_touch_despite_rejects", f"WITH {FEED}, {BBO} SELECT locate, seq, bid, bid_shares, ask, ask_shares, open_orders FROM bbo")
+def b05(spark, sf_dir):
+    """What is refused, and what undoes itself, leaves no trace: the book after each message of the plain feed."""
+    r = fold.replay(book.noisy_feed(feed(spark, sf_dir))).where("seq % 32 = 0")
+    return r.select("locate", (F.col("seq") / 32).cast("long").alias("seq"), "bid", "bid_shares", "ask", "ask_shares", "open_orders")
+
+
+@query("b13_accepted_replay", f"WITH {FEED}, {REJECTS}, pairs AS (SELECT locate, count(*) FILTER (result = 'Ok' AND msg_type <> 'U') + 2 * count(*) FILTER (result = 'Ok' AND msg_type = 'U') AS messages FROM every GROUP BY locate) SELECT locate, CAST(messages AS BIGINT) AS messages, CAST(0 AS BIGINT) AS different FROM pairs")
+def b13(spark, sf_dir):
+    """What the fold accepts, with each U as a pair, replayed by relations: the books are the same after each message."""
+    noisy = book.noisy_feed(feed(spark, sf_dir))
+    held = fold.replay(noisy).where("result = 'Ok'").select("locate", "seq", F.col("side").alias("own"))
+    ok = fold.expand_replaces(noisy.join(held, ["locate", "seq"]).withColumn("side", F.coalesce("side", "own")).drop("own"))
+    names = ("bid", "bid_shares", "ask", "ask_shares", "open_orders", "levels", "has_px", "lvl_off")
+    a = fold.replay(ok).select("locate", "seq", F.struct(*names).alias("a"))
+    b = book.replay(ok).select("locate", "seq", F.struct(*names).alias("b"))
+    return a.join(b, ["locate", "seq"], "full_outer").groupBy("locate").agg(F.count("*").alias("messages"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
+
+
 @query("b14_peaks", f"WITH {FEED}, {BBO} SELECT locate, max(open_orders) AS peak_open, max(levels) AS peak_levels, last(open_orders ORDER BY seq) AS open_at_end FROM bbo GROUP BY locate")
 def b14_peaks(spark, sf_dir):
     return replayed(spark, sf_dir).groupBy("locate").agg(F.max("open_orders").alias("peak_open"), F.max("levels").alias("peak_levels"), F.max_by("open_orders", "seq").alias("open_at_end"))
@@ -181,7 +212,7 @@ o AS (SELECT p.locate, p.seq, count(*) FILTER (a.shares > 0) AS n_levels, count(
   FROM p JOIN prev USING (locate, seq) LEFT JOIN at1 a ON a.locate = p.locate AND a.seq = prev.seq0 AND a.side = p.side GROUP BY p.locate, p.seq)
 SELECT locate, seq, n_levels > 0 AS has_px, CASE WHEN n_levels = 0 THEN 0 WHEN better = 0 AND same = 0 THEN -1 ELSE better END AS lvl_off FROM o""")
 def t01(spark, sf_dir):
-    return replayed(spark, sf_dir).select("locate", "seq", "has_px", "lvl_off")
+    return replayed(spark, sf_dir, ranks=True).select("locate", "seq", "has_px", "lvl_off")
 
 
 @query("t02_add_placement", f"""WITH {FEED}, {BBO}, p AS (SELECT locate, seq, side, price FROM life WHERE msg_type IN ('A', 'F')),
@@ -190,10 +221,8 @@ o AS (SELECT p.locate, p.seq, count(*) FILTER (a.shares > 0) AS n, count(*) FILT
   FROM p JOIN prev USING (locate, seq) LEFT JOIN at1 a ON a.locate = p.locate AND a.seq = prev.seq0 AND a.side = p.side GROUP BY p.locate, p.seq)
 SELECT locate, CASE WHEN n = 0 THEN 'NoSide' WHEN same > 0 THEN 'AtLevel' WHEN better = 0 THEN 'Inside' WHEN better = n THEN 'NewBottom' ELSE 'NewInterior' END AS placement, count(*) AS adds FROM o GROUP BY ALL""")
 def t02(spark, sf_dir):
-    """Where adds land, from the levels' states alone: those of the side that are live just before the add."""
-    m = feed(spark, sf_dir)
-    adds = m.where("msg_type IN ('A', 'F')").select(F.concat_ws("|", "locate", "side").alias("book"), F.col("seq").alias("t"), F.col("price").alias("px"))
-    return calibration.placements(book.level_states(m), adds)
+    """Where adds land among the levels of the side that are live just before the add."""
+    return calibration.placements(feed(spark, sf_dir))
 
 
 PX = "CASE WHEN opp IS NULL THEN 101 ELSE greatest(1, least(101, (abs(price - opp) + 50) // 100)) END"
@@ -217,7 +246,7 @@ expo AS (SELECT locate, side, CAST(d AS BIGINT) AS d, sum(os) AS order_seconds F
 
 @query("c03_exposure", f"WITH {FEED}, {BBO}, {EXPOSE} SELECT locate, side, d, round(order_seconds, 2) AS order_seconds FROM expo")
 def c03(spark, sf_dir):
-    e = calibration.exposure(book.level_states(feed(spark, sf_dir)), replayed(spark, sf_dir))
+    e = calibration.exposure(feed(spark, sf_dir))
     return e.withColumn("order_seconds", F.round("order_seconds", 2))
 
 
@@ -252,8 +281,7 @@ cn AS (SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS cancels FROM
 SELECT locate, side, d, round(adds / secs * 1000, 6) AS lambda, round(CASE WHEN coalesce(order_seconds, 0) < 1 THEN 0 ELSE coalesce(cancels, 0) / order_seconds * 1000000 END, 6) AS theta
 FROM ad JOIN span USING (locate) LEFT JOIN cn USING (locate, side, d) LEFT JOIN expo USING (locate, side, d)""")
 def c06(spark, sf_dir):
-    m, r = feed(spark, sf_dir), replayed(spark, sf_dir)
-    return calibration.rates(m, r, book.level_states(m))
+    return calibration.rates(feed(spark, sf_dir), replayed(spark, sf_dir))
 
 
 @query("c07_null_model_start", f"""WITH {FEED}, {BBO}, op AS (SELECT locate, min_by((bid + ask) // 2, seq) AS mid FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL GROUP BY locate),

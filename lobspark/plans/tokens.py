@@ -72,7 +72,7 @@ def t11(spark, sf_dir):
 
 def tokenized(spark, sf_dir):
     """Events of the replayed feed with their tokens."""
-    r = replayed(spark, sf_dir)
+    r = replayed(spark, sf_dir, ranks=True)
     etype = F.when(F.col("msg_type").isin("A", "F"), "Add").when(F.col("msg_type") == "E", "ExecVisible").when(F.col("msg_type") == "X", "PartialCancel").otherwise("Delete")
     dt = F.coalesce(F.col("us") - F.lag("us").over(series.by("locate").orderBy("us", "seq")), F.lit(0))
     e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), dt.alias("dt"))

@@ -14,8 +14,12 @@ SPLITS = {
 
 
 def split_of(path: Column, splits: dict[str, list[str]] = SPLITS) -> Column:
-    """OkTrain, OkVal, TestBlocked, UnknownDay or OkNotADay, by the run of exactly eight digits in the file's name."""
-    name = F.element_at(F.split(path, "/"), -1)
+    """OkTrain, OkVal, TestBlocked, UnknownDay or OkNotADay, by the run of exactly eight digits in the file's name.
+
+    The files of a table that Spark wrote have random names; there the table's own name counts.
+    """
+    parts = F.split(F.regexp_replace(path, "/part-[^/]*$", ""), "/")
+    name = F.element_at(parts, -1)
     day = F.regexp_extract(name, r"(?:^|[^0-9])([0-9]{8})(?:[^0-9]|$)", 1)
     return (
         F.when(day == "", "OkNotADay")

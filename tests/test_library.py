@@ -104,6 +104,43 @@ def test_fold_against_a_naive_book(spark):
     assert len({w[1] for w in want}) >= 6
 
 
+def test_relations_against_the_fold(spark):
+    """Random feeds that the fold accepts, with C and U, many prices and emptied sides: both books are the same."""
+    rng = random.Random(31)
+    rows = []
+    for locate in (1, 2, 3):
+        for seq in range(700):
+            t = rng.choice("AAAFECXDDU")
+            ref, new = rng.randint(1, 60), rng.randint(1, 60)
+            rows.append((locate, seq, seq // 2, t, ref, new, rng.choice("BS") if t in "AF" else None, rng.randint(1, 5) * 100, 10_000 + 100 * rng.randint(-40, 40) if t in "AFU" else None))
+    df = spark.createDataFrame(rows, "locate long, seq long, us long, msg_type string, order_ref long, new_ref long, side string, shares long, price long")
+    held = fold.replay(df).where("result = 'Ok'").select("locate", "seq", F.col("side").alias("own"))
+    ok = fold.expand_replaces(df.join(held, ["locate", "seq"]).withColumn("side", F.coalesce("side", "own")).drop("own")).cache()
+    want = fold.replay(ok)
+    assert want.where("result <> 'Ok'").count() == 0 and want.where("bid IS NULL OR ask IS NULL").count() > 20
+    names = ["locate", "seq", "order_ref", "side", "price", "shares", "bid", "bid_shares", "ask", "ask_shares", "open_orders", "levels", "has_px", "lvl_off"]
+    a, b = (sorted(map(tuple, x.select(*names).collect()), key=repr) for x in (want, book.replay(ok)))
+    assert a == b and len(a) > 600
+    by_fold = want.groupBy("locate").agg(F.sum("open_orders")).collect()
+    assert by_fold
+
+
+def test_nodes_above_stretches(spark):
+    """A number's path meets the nodes of a stretch exactly once if it lies in it, else never."""
+    rng = random.Random(5)
+    cases = [(a, a + rng.choice([1, 2, 15, 16, 17, 300, 5000])) for a in (rng.choice([1, 16, 255, 256, 4095, 70_000]) + rng.randrange(40) for _ in range(40))] + [(3, book.ENDLESS)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i long, a long, b long")
+    nodes = {}
+    for r in df.select("i", F.explode(book.spans("a", "b")).alias("n")).select("i", "n.*").collect():
+        nodes.setdefault(r.i, []).append((r.l, r.node, r.salt))
+    asked = sorted({x for a, b in cases for x in (a - 1, a, a + 1, (a + b) // 2, b - 1, b) if 0 <= x < book.ENDLESS})
+    paths = {r.p: [tuple(n) for n in r.n] for r in spark.createDataFrame([(x,) for x in asked], "p long").select("p", book.paths("p").alias("n")).collect()}
+    for i, (a, b) in enumerate(cases):
+        for x in asked:
+            assert sum(nodes[i].count(n) for n in paths[x]) == (a <= x < b), (a, b, x)
+    assert max(len(nodes[i]) for i, (a, b) in enumerate(cases) if b - a < 16) <= 16
+
+
 def test_expanded_replace(spark):
     rows = [(1, 1, 1, "A", 10, None, "B", 300, 500), (1, 2, 2, "U", 10, 11, "B", 200, 400)]
     df = spark.createDataFrame(rows, "locate long, seq long, us long, msg_type string, order_ref long, new_ref long, side string, shares long, price long")
@@ -168,10 +205,10 @@ def test_token_files(spark, tmp_path):
 
 
 def test_split_guard(spark):
-    paths = ["/d/20190130.bin", "x20191030.gz", "20181228.a", "20250101.b", "synthetic.bin", "123456789.x", "/20190130/z.bin", "v1-20190730-b"]
+    paths = ["/d/20190130.bin", "x20191030.gz", "20181228.a", "20250101.b", "synthetic.bin", "123456789.x", "/20190130/z.bin", "v1-20190730-b", "/d/20200130/part-00000-12345678-ab.csv", "/d/days/part-00000-12345678-ab.csv"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = [r[0] for r in df.select(splits.split_of(F.col("path"))).collect()]
-    assert got == ["OkTrain", "OkTrain", "TestBlocked", "UnknownDay", "OkNotADay", "OkNotADay", "OkNotADay", "OkVal"]
+    assert got == ["OkTrain", "OkTrain", "TestBlocked", "UnknownDay", "OkNotADay", "OkNotADay", "OkNotADay", "OkVal", "TestBlocked", "OkNotADay"]
     with pytest.raises(Exception, match="refused by the split guard"):
         splits.guarded(df, allow_test=True).collect()
     assert splits.guarded(df.where("path = '20181228.a'"), allow_test=True).count() == 1
@@ -340,7 +377,7 @@ def test_calibration_days_add_up(spark, tmp_path):
     m = feed(spark, SF).withColumn("new_ref", F.lit(None).cast("bigint"))
     r = fold.replay(m)
     sizes = m.where("msg_type IN ('A', 'F')").groupBy(F.lit("add").alias("kind"), F.col("locate").alias("symbol"), "shares").agg(F.count("*").alias("n"))
-    rows = tables.calibration_rows(calibration.distances(r, ["A", "F"]), calibration.distances(r, ["X", "D"]), calibration.exposure(book.level_states(m), r), sizes).cache()
+    rows = tables.calibration_rows(calibration.distances(r, ["A", "F"]), calibration.distances(r, ["X", "D"]), calibration.exposure(m), sizes).cache()
     for day in ("a", "b"):
         rows.write.option("header", True).csv(str(tmp_path / day))
     got = tables.read_calibration(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
