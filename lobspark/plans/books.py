@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
-from lobspark.operators import book, calibration, fold, series
-from lobspark.plans.common import HOUR, events
+from lobspark.operators import book, calibration, fold, series, stats
+from lobspark.sources.tables import checkpointed
+from lobspark.plans.common import HOUR, curve_sql, decisions_sql, events, hill_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -309,3 +310,78 @@ def c10(spark, sf_dir):
     day = F.floor(F.col("us") / 86_400_000_000)
     whole = parts[0].unionByName(parts[1]).withColumn("day", day)
     return whole.select("us", "locate", "seq", F.row_number().over(series.by("day").orderBy("us", "locate", "seq")).cast("long").alias("place"))
+
+
+DAY = 86_400_000_000
+IN_SESSION = f"(us % {DAY}) * 1000 >= {fn.OPEN_NS} AND (us % {DAY}) * 1000 < {fn.CLOSE_NS}"
+
+
+def _grid(k: int) -> str:
+    step = k * HOUR
+    return f"""ga{k} AS (SELECT symbol, CAST(ceil(min(ts) / {step}.0) AS BIGINT) AS a, CAST(floor(max(ts) / {step}.0) AS BIGINT) AS b FROM ev2 GROUP BY symbol),
+gb{k} AS (SELECT symbol, unnest(generate_series(a, b)) * {step} AS ts FROM ga{k} WHERE a <= b),
+gd{k} AS (SELECT symbol, ts, max(seq) AS seq FROM ev2 GROUP BY symbol, ts), ge{k} AS (SELECT e.symbol, e.ts, e.mid FROM ev2 e JOIN gd{k} d USING (symbol, ts, seq)),
+gm{k} AS (SELECT g.symbol, g.ts, e.mid, row_number() OVER (PARTITION BY g.symbol ORDER BY g.ts) AS i FROM gb{k} g ASOF JOIN ge{k} e ON g.symbol = e.symbol AND g.ts >= e.ts),
+r{k} AS (SELECT * FROM (SELECT symbol, i, ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY i)) AS r FROM gm{k}) WHERE r IS NOT NULL)"""
+
+
+def _kurt(source: str, name: str) -> str:
+    return f"(SELECT symbol, CASE WHEN count(*) >= 4 THEN kurtosis_pop(r) END AS {name} FROM {source} GROUP BY symbol)"
+
+
+def _at(source: str, lags: dict[int, str], value: str = "r", curve: str | None = None) -> str:
+    picked = ", ".join(f"max(CASE WHEN lag = {k} THEN acf END) AS {name}" for k, name in lags.items())
+    return f"(SELECT symbol, {picked} FROM {curve or curve_sql(source, str(list(lags)), value)} GROUP BY symbol)"
+
+
+def _upper(source: str, x: str, name: str) -> str:
+    return f"(SELECT symbol, {x} AS {name} FROM (SELECT symbol, {x}, row_number() OVER (PARTITION BY symbol ORDER BY {x}) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM {source}) WHERE rn - 1 = n // 2)"
+
+
+_ABS = {k: f"acf{k}_absr_" for k in (1, 10, 50, 100)}
+_PARTS = [
+    "(SELECT symbol, count(*) AS n_event, avg(CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END) AS zero_frac_event FROM r0 GROUP BY symbol)",
+    _kurt("r0", "kurt_event"),
+    _kurt("rt", "kurt_tick"),
+    "(SELECT symbol, count(*) AS n_1s, avg(CASE WHEN r = 0 THEN 1.0 ELSE 0.0 END) AS zero_frac_1s FROM r1 GROUP BY symbol)",
+    _kurt("r1", "kurt_1s"),
+    _kurt("(SELECT * FROM r1 WHERE r <> 0)", "kurt_1s_nonzero"),
+    _kurt("r10", "kurt_10s"),
+    _kurt("r60", "kurt_60s"),
+    f"(SELECT symbol, alpha AS hill_event FROM {hill_sql('r0')})",
+    f"(SELECT symbol, alpha AS hill_1s FROM {hill_sql('r1')})",
+    _at("r0", {1: "acf1_r_event"}),
+    _at("r1", {1: "acf1_r_1s"}),
+    _at("a1", {k: name + "1s" for k, name in _ABS.items()}, "a"),
+    "(SELECT symbol, count(*) AS n_tick FROM rt GROUP BY symbol)",
+    _at("atk", {k: name + "tick" for k, name in _ABS.items()}, "a"),
+    "(SELECT symbol, count(*) AS n_signs FROM dec GROUP BY symbol)",
+    _at("", {k: f"acf{k}_sign" for k in (1, 10, 100, 1000)}, curve="sc"),
+    "(SELECT symbol, CASE WHEN count(*) >= 5 THEN regr_slope(ln(acf), ln(lag)) END AS sign_loglog_slope FROM sc WHERE acf > 1e-12 AND lag <= 100 GROUP BY symbol)",
+    _upper("ev2", "spread", "med_spread_ticks"),
+    _upper("ev2", "mid", "med_mid"),
+    "(SELECT symbol, count(*) AS n_exec FROM f GROUP BY symbol)",
+    """(WITH d0 AS (SELECT symbol, a, avg(a) OVER (PARTITION BY symbol) AS m FROM atk), d1 AS (SELECT symbol, m, (a - m) * (a - m) AS d2, row_number() OVER (PARTITION BY symbol ORDER BY (a - m) * (a - m) DESC) AS rn FROM d0)
+SELECT symbol, CASE WHEN count(*) >= 20 AND sum(d2) > 0 THEN sqrt(sum(d2) / count(*)) / max(m) END AS cv_absr_tick, CASE WHEN count(*) >= 20 AND sum(d2) > 0 THEN sum(CASE WHEN rn <= 10 THEN d2 ELSE 0 END) / sum(d2) END AS vartop10_absr_tick FROM d1 GROUP BY symbol)""",
+]
+_COUNTS = [c for c in stats.SUMMARY if c.startswith("n_")]
+_SHOWN = ", ".join("symbol" if c == "symbol" else f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" if c in _COUNTS else f"round(CAST({'0.01 / med_mid * 10000' if c == 'rel_tick_bp' else c} AS DOUBLE), 6) AS {c}" for c in stats.SUMMARY)
+Y16_SQL = f"""WITH {FEED}, {BBO}, obs AS (SELECT locate AS symbol, us AS ts, seq, bid, ask FROM bbo WHERE {IN_SESSION}),
+ev2 AS (SELECT symbol, ts, seq, (bid + ask) / 20000.0 AS mid, (ask - bid + 50) // 100 AS spread, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM obs WHERE bid IS NOT NULL AND ask IS NOT NULL),
+r0 AS (SELECT * FROM (SELECT symbol, i, ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY i)) AS r FROM ev2) WHERE r IS NOT NULL),
+t0 AS (SELECT *, lag(mid) OVER (PARTITION BY symbol ORDER BY i) AS last FROM ev2), t1 AS (SELECT symbol, mid, row_number() OVER (PARTITION BY symbol ORDER BY i) AS i FROM t0 WHERE last IS NULL OR mid <> last),
+rt AS (SELECT * FROM (SELECT symbol, i, ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY i)) AS r FROM t1) WHERE r IS NOT NULL),
+{_grid(1)}, {_grid(10)}, {_grid(60)}, a1 AS (SELECT symbol, i, abs(r) AS a FROM r1), atk AS (SELECT symbol, i, abs(r) AS a FROM rt),
+f AS (SELECT locate AS symbol, us AS ts, seq, CASE WHEN side = 'S' THEN 1 ELSE -1 END AS sign, shares FROM life WHERE msg_type = 'E' AND {IN_SESSION}), {decisions_sql(HOUR)},
+sg AS (SELECT symbol, decision AS i, CAST(sign AS DOUBLE) AS r FROM dec), sc AS (SELECT * FROM {curve_sql('sg', 'range(1, 1001)')} WHERE lag <= least(1000, n // 4))
+SELECT {_SHOWN} FROM (SELECT symbol, count(*) AS n_msgs_w, avg(CASE WHEN bid IS NOT NULL AND ask IS NOT NULL THEN 1.0 ELSE 0.0 END) AS twosided_frac FROM obs GROUP BY symbol) {" ".join(f"LEFT JOIN {p} p{i} USING (symbol)" for i, p in enumerate(_PARTS))}"""
+
+
+@query("y16_summary", Y16_SQL)
+def y16(spark, sf_dir):
+    """All columns of the summary, over the session's messages of the book; the grids' step is an hour here."""
+    inside = fn.in_session(F.col("us") % DAY * 1000)
+    touch = replayed(spark, sf_dir).where(inside).select(F.col("locate").alias("symbol"), F.col("us").alias("ts"), "seq", "bid", "ask")
+    took = executions(spark, sf_dir).where(fn.in_session(F.col("ts") % DAY * 1000))
+    out = stats.summary(checkpointed(touch), checkpointed(took), HOUR, HOUR)
+    return out.withColumns({c: F.round(c, 6) for c in stats.SUMMARY if c != "symbol" and not c.startswith("n_")})

@@ -62,3 +62,16 @@ d AS (SELECT symbol, i, {value} - m AS d, n FROM {source} JOIN m USING (symbol))
 v AS (SELECT symbol, max(n) AS n, sum(d * d) AS s2 FROM d GROUP BY symbol),
 pairs AS (SELECT a.symbol, k AS lag, sum(a.d * b.d) AS s FROM (SELECT *, unnest({lags}) AS k FROM d) a JOIN d b ON a.symbol = b.symbol AND a.i - a.k = b.i GROUP BY ALL),
 acf AS (SELECT symbol, CAST(lag AS BIGINT) AS lag, s / s2 AS acf, n FROM pairs JOIN v USING (symbol) WHERE n >= 3 AND s2 > 0)"""
+
+
+def curve_sql(source: str, lags: str, value: str = "r") -> str:
+    """The same as a subquery."""
+    return f"(WITH {acf_sql(source, lags, value)} SELECT symbol, lag, acf, n FROM acf)"
+
+
+def hill_sql(source: str) -> str:
+    """(symbol, n, k, alpha) of the r of a source, as a subquery."""
+    return f"""(WITH h0 AS (SELECT symbol, abs(r) AS a, row_number() OVER (PARTITION BY symbol ORDER BY abs(r) DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM {source} WHERE r <> 0),
+h1 AS (SELECT *, greatest(10, CAST(floor(0.05 * n) AS BIGINT)) AS k FROM h0),
+h2 AS (SELECT symbol, max(n) AS n, max(k) AS k, max(CASE WHEN rn = k + 1 THEN a END) AS edge FROM h1 GROUP BY symbol)
+SELECT symbol, max(h2.n) AS n, max(h2.k) AS k, CASE WHEN max(h2.n) >= 20 THEN max(h2.k) / sum(ln(a / edge)) END AS alpha FROM h1 JOIN h2 USING (symbol) WHERE rn <= h2.k GROUP BY symbol)"""

@@ -27,9 +27,10 @@ def returns(spark, sf_dir):
     return series.log_returns(price_series(spark, sf_dir))
 
 
-@query("y07_acf_returns", f"WITH {RETURNS}, {acf_sql('r', 'range(1, 21)')} SELECT symbol, lag, round(acf, 6) AS acf FROM acf")
+@query("y07_acf_returns", f"WITH {RETURNS}, {acf_sql('r', 'range(1, 51)')} SELECT symbol, lag, round(acf, 6) AS acf FROM acf")
 def y07(spark, sf_dir):
-    return rounded(stats.acf(returns(spark, sf_dir), 20), "acf")
+    """Lags 1 to 50."""
+    return rounded(stats.acf(returns(spark, sf_dir), 50), "acf")
 
 
 @query("y05_kurtosis", f"WITH {RETURNS} SELECT symbol, count(*) AS n, round(CASE WHEN count(*) >= 4 THEN kurtosis_pop(r) END, 6) AS kurt FROM r GROUP BY symbol")
@@ -74,21 +75,21 @@ def y09(spark, sf_dir):
 
 
 SIGNS = f"{FILLS}, {decisions_sql(HOUR)}, sg AS (SELECT symbol, decision AS i, CAST(sign AS DOUBLE) AS r FROM dec)"
-CAPPED = "capped AS (SELECT * FROM acf WHERE lag <= least(100, n // 4))"
+CAPPED = "capped AS (SELECT * FROM acf WHERE lag <= least(1000, n // 4))"
 SLOPE = "slope AS (SELECT symbol, count(*) AS points, CASE WHEN count(*) >= 5 THEN regr_slope(ln(acf), ln(lag)) END AS slope FROM capped WHERE acf > 1e-12 AND lag <= 100 GROUP BY symbol)"
 
 
 def sign_acf(spark, sf_dir):
     signs = series.decisions(fills(spark, sf_dir), HOUR).select("symbol", F.col("decision").alias("i"), F.col("sign").cast("double").alias("r"))
-    return stats.acf(signs, 100, cap=F.least(F.lit(100), F.floor(F.col("n") / 4)))
+    return stats.acf(signs, 1000, cap=stats.most_sign_lag())
 
 
-@query("y11_sign_acf", f"WITH {SIGNS}, {acf_sql('sg', 'range(1, 101)')}, {CAPPED} SELECT symbol, lag, round(acf, 6) AS acf FROM capped")
+@query("y11_sign_acf", f"WITH {SIGNS}, {acf_sql('sg', 'range(1, 1001)')}, {CAPPED} SELECT symbol, lag, round(acf, 6) AS acf FROM capped")
 def y11(spark, sf_dir):
     return rounded(sign_acf(spark, sf_dir), "acf")
 
 
-@query("y10_decay_slope", f"WITH {SIGNS}, {acf_sql('sg', 'range(1, 101)')}, {CAPPED}, {SLOPE} SELECT symbol, points, round(slope, 6) AS slope FROM slope")
+@query("y10_decay_slope", f"WITH {SIGNS}, {acf_sql('sg', 'range(1, 1001)')}, {CAPPED}, {SLOPE} SELECT symbol, points, round(slope, 6) AS slope FROM slope")
 def y10(spark, sf_dir):
     return rounded(stats.loglog_slope(sign_acf(spark, sf_dir)), "slope")
 
@@ -120,7 +121,7 @@ def scales(spark, sf_dir):
 
 
 def _abs_acf_sql(source: str, name: str) -> str:
-    return f"""SELECT * FROM (WITH rr AS (SELECT symbol, i - 1 AS i, abs(ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY i))) AS r FROM {source}), q AS (SELECT * FROM rr WHERE r IS NOT NULL), {acf_sql("q", "range(1, 11)")}
+    return f"""SELECT * FROM (WITH rr AS (SELECT symbol, i - 1 AS i, abs(ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY i))) AS r FROM {source}), q AS (SELECT * FROM rr WHERE r IS NOT NULL), {acf_sql("q", "range(1, 101)")}
 SELECT '{name}' AS scale, symbol, lag, round(acf, 6) AS acf FROM acf)"""
 
 
@@ -132,7 +133,7 @@ def y17(spark, sf_dir):
     out = None
     for name, s in scales(spark, sf_dir).items():
         r = series.log_returns(s).withColumn("r", F.abs("r"))
-        part = rounded(stats.acf(r, 10), "acf").select(F.lit(name).alias("scale"), "symbol", "lag", "acf")
+        part = rounded(stats.acf(r, 100), "acf").select(F.lit(name).alias("scale"), "symbol", "lag", "acf")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -143,20 +144,6 @@ def y18(spark, sf_dir):
     return rounded(stats.excess_kurtosis(r), "kurt")
 
 
-@query("y16_summary", f"""WITH {RETURNS}, {HILL}, {VARTOP}, {acf_sql('r', '[1, 10]')},
-kk AS (SELECT symbol, count(*) AS n_ret, CASE WHEN count(*) >= 4 THEN kurtosis_pop(r) END AS kurt FROM r GROUP BY symbol)
-SELECT kk.symbol, n_ret, round(kurt, 6) AS kurt, round(hill.alpha, 6) AS alpha, round(cv, 6) AS cv, round(vartop, 6) AS vartop, round(a1.acf, 6) AS acf1, round(a10.acf, 6) AS acf10
-FROM kk LEFT JOIN hill USING (symbol) LEFT JOIN vt USING (symbol) LEFT JOIN (SELECT * FROM acf WHERE lag = 1) a1 USING (symbol) LEFT JOIN (SELECT * FROM acf WHERE lag = 10) a10 USING (symbol)""")
-def y16(spark, sf_dir):
-    r = returns(spark, sf_dir)
-    curve = stats.acf(r, 10)
-    at = lambda k: curve.where(F.col("lag") == k).select("symbol", F.col("acf").alias(f"acf{k}"))
-    out = stats.excess_kurtosis(r).withColumnRenamed("n", "n_ret")
-    for part in (stats.hill_alpha(r).select("symbol", "alpha"), stats.top_variance(r).select("symbol", "cv", "vartop"), at(1), at(10)):
-        out = out.join(part, "symbol", "left")
-    return rounded(out, "kurt", "alpha", "cv", "vartop", "acf1", "acf10")
-
-
 @query("y01_top_symbols", f"WITH {EV} SELECT user_id AS symbol, count(*) AS n FROM ev GROUP BY user_id ORDER BY n DESC, symbol LIMIT 20")
 def y01(spark, sf_dir):
     """The report of the 20 busiest; ties go to the lower number."""

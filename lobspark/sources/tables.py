@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ WARM_REF = 1 << 60
 MAGIC = "# oftk-warm-book v1"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir``, so that what follows several times is computed once and survives a
+    lost executor. Where that is unset a local session gets a folder; a cluster must set it."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def safe_path(spark: SparkSession, path: str) -> str:
     """The path, if it is neither that of a day's capture nor empty: outputs must not replace inputs."""
     access = spark.range(1).select(split_of(F.lit(path)).alias("a"), F.lit(path).endswith("/").alias("d")).first()
