@@ -20,6 +20,21 @@ def body_length(msg_type: Column) -> Column:
     return out
 
 
+def rendered() -> Column:
+    """An order message as a line: A and F with side, shares and price; C with its price where it has one; D with its
+    reference alone; E and X with shares. See ``rendered_replace`` for U."""
+    price = F.when(F.col("price").isNotNull(), F.format_string("@ %.4f", dollars(F.col("price"))))
+    t, ref = F.col("msg_type"), F.col("order_ref")
+    plain = F.concat_ws(" ", t, ref, "shares")
+    line = F.when(t.isin("A", "F"), F.concat_ws(" ", t, ref, "side", "shares", price)).when(t == "D", F.concat_ws(" ", t, ref)).when(t == "C", F.concat_ws(" ", t, ref, "shares", price))
+    return line.otherwise(plain)
+
+
+def rendered_replace(new_ref: Column) -> Column:
+    """The line of a U."""
+    return F.concat_ws(" ", F.lit("U"), "order_ref", F.lit("->"), new_ref, "shares", F.format_string("@ %.4f", dollars(F.col("price"))))
+
+
 def is_book_type(msg_type: Column) -> Column:
     return msg_type.isin(BOOK_TYPES)
 

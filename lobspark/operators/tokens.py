@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
@@ -10,9 +10,15 @@ from lobspark.operators.series import by, order_statistic
 
 
 def size_edges(df: DataFrame, x: str, k: int = 8, key: str = "symbol") -> DataFrame:
-    """(key, edges): the quantiles 1/k to (k-1)/k at the nearest rank, floor(q (n - 1) + 0.5), then bumped to rise."""
-    ranked = df.select(key, F.col(x).alias("x"), F.row_number().over(by(key).orderBy(x)).alias("rn"), F.count("*").over(by(key)).alias("n"))
-    wanted = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(i / k).alias("q")) for i in range(1, k))), lambda s: F.floor(s["q"] * (F.col("n") - 1) + 0.5) == F.col("rn") - 1)
+    """(key, edges): the quantiles 1/k to (k-1)/k at the nearest rank, floor(q (n - 1) + 0.5), then bumped to rise.
+
+    Ranks come from running counts over the distinct values, so that a key may have any number of rows.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(key, F.col(x).alias("x")).agg(F.count("*").alias("c"))
+    run = F.sum("c").over(by(key).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"run": run, "n": F.sum("c").over(by(key))})
+    at = lambda s: F.floor(s["q"] * (F.col("n") - 1) + 0.5)
+    wanted = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(i / k).alias("q")) for i in range(1, k))), lambda s: (F.col("run") - F.col("c") <= at(s)) & (at(s) < F.col("run")))
     hit = ranked.select(key, "x", F.explode(wanted).alias("w"))
     edges = F.transform(F.array_sort(F.collect_list(F.struct("w.i", "x"))), lambda s: s["x"])
     return hit.groupBy(key).agg(edges.alias("raw")).select(key, fn.bumped_edges(F.col("raw")).alias("edges"))
@@ -34,6 +40,21 @@ def encode(events: DataFrame) -> DataFrame:
     return events.withColumn("tokens", tokens)
 
 
+def framed(events: DataFrame) -> DataFrame:
+    """(symbol, day, place, token): each symbol-day's stream as rows, from encoded events (symbol, day, us, seq, tokens).
+
+    It begins with the specials BOS and SESSION_OPEN and ends with SESSION_CLOSE and EOS: 4 + 5 n tokens for n events.
+    """
+    keys = ("symbol", "day")
+    rn = F.row_number().over(by(*keys).orderBy("us", "seq"))
+    body = events.select(*keys, rn.alias("rn"), "tokens").select(*keys, "rn", F.posexplode("tokens").alias("j", "token"))
+    body = body.select(*keys, (2 + 5 * (F.col("rn") - 1) + F.col("j")).cast("long").alias("place"), F.col("token").cast("long").alias("token"))
+    end = 2 + 5 * F.col("n")
+    special = F.array(*(F.struct(p.cast("long").alias("place"), F.lit(t).cast("long").alias("token")) for p, t in ((F.lit(0), fn.BOS), (F.lit(1), fn.SESSION_OPEN), (end, fn.SESSION_CLOSE), (end + 1, fn.EOS))))
+    ends = events.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.explode(special).alias("s")).select(*keys, "s.*")
+    return body.unionByName(ends)
+
+
 def decode(encoded: DataFrame) -> DataFrame:
     """What the tokens say: type, side, offset (NULL for unknown, 11 for the tail), size and gap representatives."""
     t = lambda k: F.element_at("tokens", k)
@@ -60,8 +81,7 @@ def total_variation(counts: DataFrame, key: str, value: str, n: str) -> DataFram
     """(key, tv): half the absolute difference of each group's shares from those of all other groups together."""
     total = counts.groupBy(value).agg(F.sum(n).alias("all"))
     groups = counts.groupBy(key).agg(F.sum(n).alias("own"))
-    grand = total.agg(F.sum("all").alias("grand")).withColumn("one", F.lit(1))
-    every = groups.withColumn("one", F.lit(1)).join(grand, "one").select(key, "grand")
+    every = groups.select(key, F.sum("own").over(Window.partitionBy()).alias("grand"))  # a row a group
     # absent values: the rest's share that the group lacks
     here = counts.join(total, value).join(groups, key).join(every, key)
     rest = F.col("grand") - F.col("own")

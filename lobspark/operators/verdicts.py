@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobspark.operators.series import by, decisions
@@ -50,12 +50,30 @@ def inverse_cdf(counts: DataFrame, key: str, value: str, n: str, draws: int) ->
     return c.where("a <= b").select(key, F.explode(F.sequence("a", "b")).alias("j"), F.col(value).alias("drawn"))
 
 
-def masked_softmax(logits: DataFrame, top: int, temperature: float) -> DataFrame:
-    """(symbol, token, p) over the ``top`` largest logits of each symbol and those that tie with the last of them."""
+def uniform(seed: int, *keys: str) -> Column:
+    """A number from 0 to below 1 that hangs on the seed and the keys alone, however rows are grouped or split."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in keys))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def sampled(counts: DataFrame, draws: DataFrame, value: str, n: str, key: str = "symbol", empty: int = 100) -> DataFrame:
+    """(key, j, drawn) for draws (key, j, u): the first value whose running count reaches u times the total.
+
+    One merge of counts and draws by descending running count. ``empty``: what a key without counts gives.
+    """
+    run = counts.select(key, value, F.sum(n).over(by(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("t"))
+    total = counts.groupBy(key).agg(F.sum(n).alias("total"))
+    asked = draws.join(total, key, "left").select(key, "j", (F.col("u") * F.col("total")).alias("t"))
+    both = run.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    found = both.withColumn("drawn", F.last(value, ignorenulls=True).over(by(key).orderBy(F.desc("t"), "kind")))
+    return found.where("kind = 1").select(key, "j", F.coalesce("drawn", F.lit(empty)).alias("drawn"))
+
+
+def masked_softmax(logits: DataFrame, top: int, temperature: float, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, token, p) over the ``top`` largest logits of each key and those that tie with the last of them."""
     t = temperature if temperature > 0 else 1.0
-    ranked = logits.withColumn("rank", F.rank().over(by("symbol").orderBy(F.desc("logit")))).where(F.col("rank") <= top)
-    e = ranked.select("symbol", "token", F.exp((F.col("logit") - F.max("logit").over(by("symbol"))) / t).alias("e"))
-    return e.select("symbol", "token", (F.col("e") / F.sum("e").over(by("symbol"))).alias("p"))
+    ranked = logits.withColumn("rank", F.rank().over(by(*keys).orderBy(F.desc("logit")))).where(F.col("rank") <= top)
+    e = ranked.select(*keys, "token", F.exp((F.col("logit") - F.max("logit").over(by(*keys))) / t).alias("e"))
+    return e.select(*keys, "token", (F.col("e") / F.sum("e").over(by(*keys))).alias("p"))
 
 
 def viability(replayed: DataFrame, window: int, least_signs: int = 500, least_two_sided: float = 0.9) -> DataFrame:

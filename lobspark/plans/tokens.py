@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lobspark.functions import scalars as fn
 from lobspark.operators import ablation, actions, book, fold, series, stats, verdicts
 from lobspark.operators import tokens as tk
-from lobspark.plans.books import BBO, FEED, feed, replayed
+from lobspark.plans.books import BBO, DAY, FEED, IN_SESSION, feed, replayed
 from lobspark.plans.common import EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, events, fills, price_series
 from lobspark.plans.market import VARTOP, returns
 from lobspark.sources import frames, splits, tables
@@ -71,17 +71,19 @@ def t11(spark, sf_dir):
 
 
 def tokenized(spark, sf_dir):
-    """Events of the replayed feed with their tokens."""
+    """Events of the replayed feed with their tokens. A gap is that to the event before in the same session, else zero."""
     r = replayed(spark, sf_dir, ranks=True)
     etype = F.when(F.col("msg_type").isin("A", "F"), "Add").when(F.col("msg_type") == "E", "ExecVisible").when(F.col("msg_type") == "X", "PartialCancel").otherwise("Delete")
-    dt = F.coalesce(F.col("us") - F.lag("us").over(series.by("locate").orderBy("us", "seq")), F.lit(0))
+    r = r.withColumns({"day": F.floor(F.col("us") / DAY), "inside": fn.in_session(F.col("us") % DAY * 1000)})
+    gap = F.col("us") - F.lag("us").over(series.by("locate", "day", "inside").orderBy("us", "seq"))
+    dt = F.when(F.col("inside"), F.coalesce(gap, F.lit(0))).otherwise(0).cast("long")
     e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), dt.alias("dt"))
     a = adds_of(spark, sf_dir)
     edges = tk.size_edges(a, "size").withColumnRenamed("edges", "size_edges").join(tk.gap_edges(a, "dt").withColumnRenamed("edges", "dt_edges"), "symbol")
     return tk.encode(e.join(edges, "symbol"))
 
 
-TOKENS = f"""{ADDS}, {SIZES}, {GAPS}, prev AS (SELECT locate, seq, coalesce(lag(seq) OVER w, -1) AS seq0, coalesce(us - lag(us) OVER w, 0) AS dt FROM msg WINDOW w AS (PARTITION BY locate ORDER BY us, seq)),
+TOKENS = f"""{ADDS}, {SIZES}, {GAPS}, prev AS (SELECT locate, seq, coalesce(lag(seq) OVER w, -1) AS seq0, CASE WHEN inside THEN coalesce(us - lag(us) OVER s, 0) ELSE 0 END AS dt FROM (SELECT *, us // {DAY} AS day, {IN_SESSION} AS inside FROM msg) WINDOW w AS (PARTITION BY locate ORDER BY us, seq), s AS (PARTITION BY locate, day, inside ORDER BY us, seq)),
 o AS (SELECT p.locate, p.seq, count(*) FILTER (a.shares > 0) AS n, count(*) FILTER (a.shares > 0 AND CASE WHEN p.side = 'B' THEN a.price > p.price ELSE a.price < p.price END) AS better, count(*) FILTER (a.shares > 0 AND a.price = p.price) AS same
   FROM life p JOIN prev USING (locate, seq) LEFT JOIN at1 a ON a.locate = p.locate AND a.seq = prev.seq0 AND a.side = p.side GROUP BY p.locate, p.seq),
 evs AS (SELECT l.locate AS symbol, l.seq, l.us, l.msg_type, l.side, n > 0 AS has_px, CASE WHEN n = 0 THEN 0 WHEN better = 0 AND same = 0 THEN -1 ELSE better END AS off, CASE WHEN l.msg_type = 'D' THEN -l.d ELSE l.shares END AS size, prev.dt, se.edges AS es, ge.edges AS eg
@@ -97,11 +99,17 @@ def t04(spark, sf_dir):
 
 @query("t08_stream_lengths", f"WITH {FEED} SELECT locate AS symbol, us // 86400000000 AS day, 4 + 5 * count(*) AS n_tokens FROM msg GROUP BY ALL")
 def t08(spark, sf_dir):
-    """Daily token streams framed by the four session specials, as sorted arrays."""
-    t = tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
-    body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "tokens"))), lambda s: s["tokens"]))
-    framed = F.concat(F.array(F.lit(fn.BOS), F.lit(fn.SESSION_OPEN)).cast("array<bigint>"), body, F.array(F.lit(fn.SESSION_CLOSE), F.lit(fn.EOS)).cast("array<bigint>"))
-    return t.groupBy("symbol", "day").agg(F.size(framed).cast("long").alias("n_tokens"))
+    """How long the daily streams are, with the four session specials."""
+    t = tokenized(spark, sf_dir).groupBy("symbol", F.floor(F.col("us") / DAY).alias("day"))
+    return t.agg((4 + F.sum(F.size("tokens"))).cast("long").alias("n_tokens"))
+
+
+@query("t08_framed_streams", f"""WITH {FEED}, {BBO}, {TOKENS}, z AS (SELECT symbol, us // {DAY} AS day, row_number() OVER (PARTITION BY symbol, us // {DAY} ORDER BY us, seq) AS rn, [t1, t2, t3, t4, t5] AS t FROM tok), n AS (SELECT symbol, day, count(*) AS n FROM z GROUP BY ALL)
+SELECT symbol, day, CAST(2 + 5 * (rn - 1) + j AS BIGINT) AS place, CAST(t[j + 1] AS BIGINT) AS token FROM z, (SELECT unnest(range(0, 5)) AS j) u
+UNION ALL SELECT symbol, day, CAST(CASE WHEN p < 2 THEN p ELSE 5 * n + p END AS BIGINT), CAST([1, 3, 4, 2][p + 1] AS BIGINT) FROM n, (SELECT unnest(range(0, 4)) AS p) u""")
+def t08_framed(spark, sf_dir):
+    """The daily streams themselves, a row a token."""
+    return tk.framed(tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY)))
 
 
 @query("t15_token_inverse", f"WITH {FEED} SELECT locate AS symbol, count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM msg GROUP BY locate")
@@ -216,11 +224,30 @@ def k05(spark, sf_dir):
     return verdicts.inverse_cdf(h, "symbol", "shares", "c", 50)
 
 
-@query("m07_masked_softmax", f"WITH {SERIES}, l AS (SELECT symbol, i AS token, mid / 10 AS logit FROM s WHERE i <= 40), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY logit DESC) AS rn FROM l), t AS (SELECT symbol, min(logit) AS edge FROM k WHERE rn <= 10 GROUP BY symbol), e AS (SELECT symbol, token, exp((logit - max(logit) OVER (PARTITION BY symbol)) / 0.8) AS e FROM l JOIN t USING (symbol) WHERE logit >= edge) SELECT symbol, token, round(e / sum(e) OVER (PARTITION BY symbol), 6) AS p FROM e")
+@query("c08_sampled_sizes", f"""WITH {FILLS}, h AS (SELECT symbol, shares, count(*) AS c FROM f GROUP BY ALL), k AS (SELECT symbol, shares, sum(c) OVER (PARTITION BY symbol ORDER BY shares) AS cum, sum(c) OVER (PARTITION BY symbol) AS total FROM h),
+d AS (SELECT s.symbol, j, CAST(('0x' || substr(md5(concat_ws('|', 7, s.symbol, j)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM (SELECT unnest(range(0, 9)) AS symbol) s, (SELECT unnest(range(0, 500)) AS j) n)
+SELECT CAST(d.symbol AS BIGINT) AS symbol, CAST(j AS BIGINT) AS j, CAST(coalesce(min(shares), 100) AS BIGINT) AS drawn FROM d LEFT JOIN k ON d.symbol = k.symbol AND cum >= u * total GROUP BY d.symbol, j""")
+def c08(spark, sf_dir):
+    """500 seeded draws of every symbol's fill sizes; the ninth symbol has no fills."""
+    h = fills(spark, sf_dir).groupBy("symbol", "shares").agg(F.count("*").alias("c"))
+    draws = spark.range(9 * 500).select(F.floor(F.col("id") / 500).alias("symbol"), (F.col("id") % 500).alias("j"))
+    return verdicts.sampled(h, draws.withColumn("u", verdicts.uniform(7, "symbol", "j")), "shares", "c")
+
+
+@query("k06_uniform_supply", f"WITH {FILLS}, k AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS j FROM f) SELECT symbol, seq, CAST(('0x' || substr(md5(concat_ws('|', 42, symbol, j)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM k")
+def k06(spark, sf_dir):
+    """A uniform for each fill from a seed, its stream and its place there: the same in chunks of any size."""
+    j = F.row_number().over(series.by("symbol").orderBy("ts", "seq"))
+    return fills(spark, sf_dir).select("symbol", "seq", j.alias("j")).select("symbol", "seq", verdicts.uniform(42, "symbol", "j").alias("u"))
+
+
+@query("m07_masked_softmax", f"""WITH {SERIES}, l AS (SELECT symbol, (i - 1) // {fn.VOCABULARY} AS step, (i - 1) % {fn.VOCABULARY} AS token, mid / 10 AS logit FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, step ORDER BY logit DESC) AS rn FROM l), t AS (SELECT symbol, step, min(logit) AS edge FROM k WHERE rn <= 10 GROUP BY symbol, step),
+e AS (SELECT symbol, step, token, exp((logit - max(logit) OVER (PARTITION BY symbol, step)) / 0.8) AS e FROM l JOIN t USING (symbol, step) WHERE logit >= edge) SELECT symbol, step, token, round(e / sum(e) OVER (PARTITION BY symbol, step), 6) AS p FROM e""")
 def m07(spark, sf_dir):
-    """Temperature 0.8, the ten largest logits and all that tie with the tenth."""
-    logits = price_series(spark, sf_dir).where("i <= 40").select("symbol", F.col("i").alias("token"), (F.col("mid") / 10).alias("logit"))
-    return verdicts.masked_softmax(logits, 10, 0.8).withColumn("p", F.round("p", 6))
+    """Every series in steps of a vocabulary's logits. Temperature 0.8, the ten largest and all that tie with the tenth."""
+    i = F.col("i") - 1
+    logits = price_series(spark, sf_dir).select("symbol", F.floor(i / fn.VOCABULARY).alias("step"), (i % fn.VOCABULARY).alias("token"), (F.col("mid") / 10).alias("logit"))
+    return verdicts.masked_softmax(logits, 10, 0.8, ("symbol", "step")).withColumn("p", F.round("p", 6))
 
 
 @query("p06_body_bytes", f"WITH {FEED} SELECT msg_type, CAST(CASE msg_type WHEN 'A' THEN 36 WHEN 'F' THEN 40 WHEN 'E' THEN 31 WHEN 'X' THEN 23 WHEN 'D' THEN 19 END AS BIGINT) AS body, count(*) AS n FROM msg GROUP BY ALL")
@@ -230,10 +257,7 @@ def p06(spark, sf_dir):
 
 @query("p07_rendered", f"WITH {FEED} SELECT seq, CASE WHEN msg_type IN ('A', 'F') THEN concat(msg_type, ' ', order_ref, ' ', side, ' ', shares, ' @ ', printf('%.4f', price / 10000.0)) WHEN msg_type = 'D' THEN concat('D ', order_ref) ELSE concat(msg_type, ' ', order_ref, ' ', shares) END AS line FROM msg")
 def p07(spark, sf_dir):
-    c = F.col
-    add = F.concat_ws(" ", "msg_type", "order_ref", "side", "shares", F.lit("@"), F.format_string("%.4f", fn.dollars(c("price"))))
-    line = F.when(c("msg_type").isin("A", "F"), add).when(c("msg_type") == "D", F.concat_ws(" ", "msg_type", "order_ref")).otherwise(F.concat_ws(" ", "msg_type", "order_ref", "shares"))
-    return feed(spark, sf_dir).select("seq", line.alias("line"))
+    return feed(spark, sf_dir).select("seq", fn.rendered().alias("line"))
 
 
 @query("v01_viability", f"""WITH {FEED}, {BBO}, x AS (SELECT locate, us AS ts, seq, CASE WHEN side = 'S' THEN 1 ELSE -1 END AS sign FROM life WHERE msg_type = 'E'),

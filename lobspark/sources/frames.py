@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lobspark.functions.scalars import BODY_LENGTH
@@ -115,6 +115,23 @@ def directory(frames: DataFrame) -> DataFrame:
     return decode(frames.where("msg_type = 'R'")).where("decode_error IS NULL").select("locate", "stock", "round_lot")
 
 
+def locates(directory: DataFrame, tickers: list[str]) -> DataFrame:
+    """(ticker, locate) of a panel of tickers, given with or without the padding of the wire; NULL for an unknown one."""
+    wanted = directory.sparkSession.createDataFrame([(t.rstrip(),) for t in tickers], "ticker string").distinct()
+    return wanted.join(directory.select(F.rtrim("stock").alias("ticker"), "locate"), "ticker", "left")
+
+
+def of_panel(msgs: DataFrame, directory: DataFrame, tickers: list[str]) -> DataFrame:
+    """The messages of a panel's instruments, with nothing else changed."""
+    return msgs.join(F.broadcast(locates(directory, tickers).select("locate").distinct()), "locate", "left_semi")  # as many rows as tickers
+
+
+def prefix(msgs: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` decoded messages of each file, by their place there."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy("seq"))
+    return msgs.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
 def skipped(frames: DataFrame) -> DataFrame:
     """(msg_type, n): frames that are no order messages."""
     return frames.where(~F.col("msg_type").isin(list(BODY_LENGTH))).groupBy("msg_type").agg(F.count("*").alias("n"))

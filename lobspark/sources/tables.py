@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.functions.scalars import valid_edges
+from lobspark.functions.scalars import clock, valid_edges
 from lobspark.operators.series import by
 from lobspark.sources.splits import allowed, split_of
 
@@ -109,3 +109,35 @@ def read_calibration(spark: SparkSession, paths: list[str], allow_test: bool = F
     rows = spark.read.schema(LONG_FORM).option("header", True).option("mode", "FAILFAST").csv(paths)
     rows = rows.withColumn("path", F.input_file_name()).where(allowed(split_of(F.col("path")), allow_test) | F.raise_error(F.lit("refused by the split guard")).isNotNull())
     return rows.groupBy("kind", "symbol", "side", "key").agg(*(F.sum(c).alias(c) for c in "abc"))
+
+
+#: Columns of the CSV outputs, in order (fixed values): a symbol's event series, its grid, the curves, the touch trace,
+#: and histograms.
+LAYOUTS = {
+    "event": ("ts_ns", "mid"),
+    "1s": ("t_s", "mid"),
+    "acf": ("lag", "acf_r_event", "acf_absr_event", "acf_r_1s", "acf_absr_1s", "acf_absr_tick"),
+    "flowacf": ("lag", "acf_sign"),
+    "bbo": ("time", "bid", "ask", "spread", "bid_depth", "ask_depth"),
+    "histogram": ("value", "count"),
+}
+
+
+def write_csv(df: DataFrame, path: str, layout: str, by: str = "symbol") -> None:
+    """A CSV with a header in a folder for each value of ``by``, with the columns of a layout in its order.
+
+    Spark's writer commits the files, so any store will do and a retried task leaves nothing behind. The rows of a
+    folder are sorted by the first column within its files.
+    """
+    columns = LAYOUTS[layout]
+    df.select(by, *columns).repartition(by).sortWithinPartitions(by, columns[0]).write.partitionBy(by).option("header", True).csv(safe_path(df.sparkSession, path))
+
+
+def touch_trace(touch: DataFrame) -> DataFrame:
+    """(symbol, and the layout "bbo") of sampled touches (locate, t in microseconds, bid, bid_shares, ask, ask_shares):
+    prices in dollars; 0 for an empty side, and for the spread where one is."""
+    money = lambda c: F.format_string("%.4f", c)
+    bid, ask = (F.coalesce(F.col(c), F.lit(0)) / 10000.0 for c in ("bid", "ask"))
+    spread = F.when(F.col("bid").isNotNull() & F.col("ask").isNotNull(), ask - bid).otherwise(0.0)
+    none = F.lit(0).cast("long")
+    return touch.select(F.col("locate").alias("symbol"), clock(F.col("t") % 86_400_000_000 * 1000).alias("time"), money(bid).alias("bid"), money(ask).alias("ask"), money(spread).alias("spread"), F.coalesce("bid_shares", none).alias("bid_depth"), F.coalesce("ask_shares", none).alias("ask_depth"))

@@ -43,7 +43,8 @@ def live_books(messages: DataFrame) -> DataFrame:
         state.update((pickle.dumps((book, last), 5),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in BOOK_OUT.split(", ")]).astype({c: "Int64" for c in ("bid", "bid_shares", "ask", "ask_shares")})
 
-    whole = messages.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("new_ref", "shares", "price")})  # pandas has no NULL integers
+    # pandas has no NULL integers: a missing number must not turn its column into floating point
+    whole = messages.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("new_ref", "shares", "price")} | {"order_ref": F.coalesce("order_ref", F.lit(-1))})
     return whole.groupBy("locate").applyInPandasWithState(apply, BOOK_OUT, "book binary", "append", GroupStateTimeout.NoTimeout)
 
 

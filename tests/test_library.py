@@ -186,6 +186,54 @@ def test_frames_round_trip(spark, tmp_path):
     assert frames.directory(frames.read_frames(spark, str(tmp_path / "out"))).where("stock = 'SPY'").count() > 0
 
 
+def test_panel_lookup_and_prefix(spark):
+    directory = spark.createDataFrame([(1, "ABC", 100), (2, "SPY     ", 100)], "locate long, stock string, round_lot long")
+    assert {(r.ticker, r.locate) for r in frames.locates(directory, ["SPY", "ABC     ", "NONE"]).collect()} == {("SPY", 2), ("ABC", 1), ("NONE", None)}
+    msgs = spark.createDataFrame([("a", i * 2, 1 + i % 2) for i in range(10)] + [("b", 7, 2), ("b", 9, None)], "path string, seq long, locate long")
+    assert frames.of_panel(msgs, directory, ["SPY  ", "SPY", "NONE"]).count() == 6
+    assert sorted((r.path, r.seq) for r in frames.prefix(msgs, 3).collect()) == [("a", 0), ("a", 2), ("a", 4), ("b", 7), ("b", 9)]
+
+
+def test_rendered_messages(spark):
+    rows = [("A", 7, "B", 100, 1_000_500, None), ("C", 7, None, 50, 1_000_400, None), ("C", 7, None, 50, None, None), ("U", 7, None, 20, 999_900, 8), ("D", 8, None, 20, None, None), ("X", 8, None, 5, None, None)]
+    df = spark.createDataFrame(rows, "msg_type string, order_ref long, side string, shares long, price long, new_ref long")
+    line = F.when(F.col("msg_type") == "U", fn.rendered_replace(F.col("new_ref"))).otherwise(fn.rendered())
+    assert [r[0] for r in df.select(line).collect()] == ["A 7 B 100 @ 100.0500", "C 7 50 @ 100.0400", "C 7 50", "U 7 -> 8 20 @ 99.9900", "D 8", "X 8 5"]
+
+
+def test_csv_sinks(spark, tmp_path):
+    from lobspark.plans.common import HOUR
+
+    trace = tables.touch_trace(book.touch_at(feed(spark, SF), HOUR))
+    tables.write_csv(trace, str(tmp_path / "bbo"), "bbo")
+    lines = next((tmp_path / "bbo" / "symbol=1").glob("*.csv")).read_text().splitlines()
+    assert lines[0] == "time,bid,ask,spread,bid_depth,ask_depth" and len(lines) == 1 + trace.where("symbol = 1").count()
+    assert any(x.split(",")[1].startswith("99.9") for x in lines[1:]) and all(float(x.split(",")[3]) == 0 or float(x.split(",")[1]) > 0 for x in lines[1:])
+    h = feed(spark, SF).groupBy(F.col("locate").alias("symbol"), F.col("shares").alias("value")).agg(F.count("*").alias("count"))
+    tables.write_csv(h, str(tmp_path / "h"), "histogram")
+    back = spark.read.option("header", True).csv(str(tmp_path / "h"))
+    assert back.columns == ["value", "count", "symbol"] and back.count() == h.count()
+    with pytest.raises(ValueError, match="refusing"):
+        tables.write_csv(h, "/data/20190130.bin", "histogram")
+
+
+def test_acf_in_blocks(spark):
+    """A long series with the largest lag: the same in blocks of any size as by its definition."""
+    rng = random.Random(3)
+    rows = [("a", i, rng.gauss(0, 1)) for i in range(1, 4201)] + [("b", i, float(i % 7)) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "symbol string, i long, r double")
+    got = [{(r.symbol, r.lag): r.acf for r in stats.acf(df, 1000, cap=stats.most_sign_lag(), block=b).collect()} for b in (1000, 1700, 50_000)]
+    assert {k for s, k in got[0] if s == "a"} == set(range(1, 1001)) and {k for s, k in got[0] if s == "b"} == set(range(1, 8))
+    for symbol, n in (("a", 4200), ("b", 29)):
+        x = [v for s, _, v in rows if s == symbol]
+        m = sum(x) / n
+        d = [v - m for v in x]
+        s2 = sum(v * v for v in d)
+        for k in (1, 7, 250, 999, 1000) if symbol == "a" else (1, 7):
+            want = sum(p * q for p, q in zip(d, d[k:])) / s2
+            assert all(abs(g[symbol, k] - want) < 1e-9 for g in got)
+
+
 def test_malformed_frames():
     assert frames.split_frames(b"\x00\x01S\x00\x02ab") == ([(0, b"S"), (3, b"ab")], None)
     assert frames.split_frames(b"\x00\x00")[1] == "zero length" and frames.split_frames(b"\x00\x05a")[1] == "length past the end" and frames.split_frames(b"\x00")[1] == "truncated length"
