@@ -331,10 +331,10 @@ def dealt_anchors(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, DEALT)
 
 
-def bucket_count(total_bytes: int) -> int:
+def bucket_count(total_bytes: int, partitions: int = 0) -> int:
     """Follows the texts' total length: a bucket is for 4 MB of text, and from 256 GB on for up to 64 MB, some four
-    million anchors of byte windows."""
-    return max(64, min(total_bytes >> 22, 1 << 16), total_bytes >> 26)
+    million anchors of byte windows. At least two for each partition of a shuffle, so that all have work."""
+    return max(64, 2 * partitions, min(total_bytes >> 22, 1 << 16), total_bytes >> 26)
 
 
 def judged_anchors(units: Units, buckets: int):
@@ -613,7 +613,7 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
     own = docs.where("doc_id IS NOT NULL")
     n_docs, total = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     again = copies(own, n_docs).withColumn("copy", F.lit(True))
-    buckets = bucket_count(total)
+    buckets = bucket_count(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = repeated_runs(own, units, buckets).join(again, "doc_id", "full_outer")
     marked = checkpointed(marked.select("doc_id", F.when(F.col("copy").isNull(), F.col("runs")).alias("runs"), F.coalesce("copy", F.lit(False)).alias("copy")))
     both = docs.join(marked, "doc_id", "left")  # the texts are shuffled once, for what follows twice
