@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobspark.operators.series import backward_asof, by
+from lobspark.sources.tables import checkpointed
 
 ADDS, TAKES = ["A", "F"], ["E", "C", "X", "D"]
 
@@ -266,7 +267,7 @@ def replay(messages: DataFrame, depth: bool = True, ranks: bool = True) -> DataF
     Columns: ``touched``, with shares for moved; with ``depth`` bid_shares and ask_shares; with ``ranks`` has_px (whether
     the side had levels) and lvl_off (how many of them were better, -1 if the price was better than all).
     """
-    rows = level_rows(messages)
+    rows = checkpointed(level_rows(messages))  # read three to five times below
     out = touched(rows)
     if depth:
         out = with_depth(out, rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lobspark.functions.scalars import TICK, distance_ticks, spread_ticks
 from lobspark.operators import book
 from lobspark.operators.series import by
+from lobspark.sources.tables import checkpointed
 
 
 def distances(replayed: DataFrame, types: list[str]) -> DataFrame:
@@ -26,7 +27,7 @@ def exposure(messages: DataFrame) -> DataFrame:
     ``book`` finds, or because it begins within the best's, which is one merge. So the rows are the messages and, for
     each change of a best, the levels that are live then.
     """
-    rows = book.level_rows(messages)
+    rows = checkpointed(book.level_rows(messages))  # read several times below
     ends = rows.groupBy("locate").agg(F.max("us").alias("end"))
     w = by("locate", "side", "price").orderBy("pos")
     pieces = rows.select("locate", "side", "price", "orders", "us", "pos", F.coalesce(F.lead("pos").over(w), F.lit(book.ENDLESS)).alias("until"), F.lead("us").over(w).alias("to")).where("orders > 0")
@@ -80,7 +81,7 @@ def start(replayed: DataFrame) -> DataFrame:
 
 def placements(messages: DataFrame) -> DataFrame:
     """(locate, placement, adds): where an add's price lies among its side's live levels just before it."""
-    rows = book.level_rows(messages)
+    rows = checkpointed(book.level_rows(messages))  # read several times below
     adds = rows.where(F.col("msg_type").isin(book.ADDS)).select("locate", "pos")
     at = book.places(rows).join(adds, ["locate", "pos"])
     kind = F.when(F.col("n_levels") == 0, "NoSide").when(F.col("same") > 0, "AtLevel").when(F.col("better") == 0, "Inside").when(F.col("better") == F.col("n_levels"), "NewBottom").otherwise("NewInterior")
