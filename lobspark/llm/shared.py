@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import NOT_SPACE, checkpointed, gram_hash, joined_unevenly, mixed, prefix_hash, same_spans, signed, sliding_min, span_hash, text_bytes, text_chunks, word_spans
+from lobspark.llm.common import NOT_SPACE, checkpointed, gram_hash, joined_unevenly, mixed, prefix_hash, same_spans, sliding_min, span_hash, text_bytes, text_chunks, word_spans
 
 
 @dataclass(frozen=True)
