@@ -7,7 +7,7 @@ from lobspark.llm.quality import op3_quality_classifier
 from lobspark.llm.rules import op8_quality_rules
 from lobspark.llm.simhash import op6_simhash
 from lobspark.llm.substrings import OP1_SQL, op1_substring_dedup
-from lobspark.llm.suffixes import op4_suffix_dedup
+from lobspark.llm.suffixes import OP4_SQL, op4_suffix_dedup
 from lobspark.llm.tokens import op10_token_counts
 from lobspark.llm.toxicity import op5_toxicity
 
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_suffix_dedup": OP4_SQL}

@@ -174,3 +174,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"))
     n_spans = F.floor(F.size("spans") / 2).cast("long")
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), removed_count().alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hex digits: the window from byte i on is 100 digits from digit 2 i - 1 on.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(generate_series(1, n - 49)) AS i FROM n WHERE n >= 50)),
+first AS (SELECT s, min(doc_id) AS low FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+again AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS fresh FROM win JOIN first USING (s) WHERE low < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM again) GROUP BY doc_id, k),
+cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER w AS last FROM (SELECT * FROM runs UNION ALL SELECT doc_id, n + 1, NULL FROM n) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * last + 1, 2 * (a - 1 - last)), '' ORDER BY a) AS s FROM cut JOIN n USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.s, ''))) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""

@@ -932,3 +932,18 @@ def test_memory_of_a_long_periodic_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 500e6
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_decontamination", "op4_suffix_dedup"])
+def test_query_against_its_sql(spark, name):
+    import duckdb
+
+    from lobspark.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    got = con.execute(registry.SQL[name])
+    place = [[d[0] for d in got.description].index(c) for c in df.columns]
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in place)) for r in got.fetchall())
