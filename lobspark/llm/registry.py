@@ -1,5 +1,7 @@
 """Queries of this package by name, and their SQL where SQL can express them."""
 
+from lobspark.llm.alignment import op12_tokenizer_alignment
+from lobspark.llm.centroids import OP13_SQL, op13_centroid_clustering
 from lobspark.llm.decontaminate import OP2_SQL, op2_decontamination
 from lobspark.llm.packing import op9_best_fit_packing
 from lobspark.llm.pii import op7_pii
@@ -8,6 +10,7 @@ from lobspark.llm.rules import op8_quality_rules
 from lobspark.llm.simhash import op6_simhash
 from lobspark.llm.substrings import OP1_SQL, op1_substring_dedup
 from lobspark.llm.suffixes import OP4_SQL, op4_suffix_dedup
+from lobspark.llm.token_blocks import op11_token_blocks
 from lobspark.llm.tokens import op10_token_counts
 from lobspark.llm.toxicity import op5_toxicity
 
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_token_blocks": op11_token_blocks,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_suffix_dedup": OP4_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op13_centroid_clustering": OP13_SQL}
