@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -561,6 +562,17 @@ def test_no_step_is_left_out(text, spaced):
         assert pii.spans(text) == got
 
 
+@pytest.mark.parametrize("text", ["7" * 10**6, "one " * 10**6, "1." * 10**6, "+1 " * 10**6, "a@" * 10**6, "a at b dot " * 250_000, "1 2,3-4 " * 120_000, "5" + " " * 10**6 + "5"])
+def test_pii_of_long_runs_takes_seconds(text):
+    began = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - began < 30
+
+
+def test_addresses_within_runs_of_digits():
+    assert [s[:3] for s in pii.spans("99912.1.2.3 1.2.3.4.5.6.7.8 x1.2.3.999 00001.2.3.4") if s[0] == "ip"] == [("ip", 12, 19), ("ip", 20, 27), ("ip", 39, 50)]
+
+
 def test_pii_tables(docs, empty, spark):
     assert pii.found(docs).count() == len(EDGE) and pii.found(empty).count() == 0
     out = pii.masked(docs.withColumn("text", F.concat("text", F.lit(" a@b.cd")))).where("doc_id = 10").first()
