@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import joined_unevenly, powers, same_spans, span_hash, stored, table, tokenizer_path
+from lobspark.llm.common import joined_unevenly, powers, runs, same_spans, span_hash, stored, table, tokenizer_path
 from lobspark.llm.tokens import UNUSUAL, Encoder, paths
 
 #: Bytes of text in a chunk, or more if one document has more.
@@ -30,8 +30,28 @@ CHUNK_BYTES = 16 << 20
 #: Characters of words that are encoded in one call.
 CALL = 1 << 18
 
-SPACE = "▁"
-_CUT = re.compile(rf"(?<=[^\s{SPACE}]) (?=[^\s{SPACE}])")
+#: The mark that some vocabularies have for a space.
+MARK = "▁"
+_CUT = re.compile(rf"(?<=[^\s{MARK}]) (?=[^\s{MARK}])")
+_BESIDE = [p for c in map(chr, range(1 << 16)) if c == MARK or re.match(r"\s", c) for p in {c + " ", " " + c}]
+
+
+def words(text: str) -> list[str]:
+    """The text cut at the spaces beside which is neither white space nor MARK, nor an end of the text."""
+    odd = text[:1] == " " or text[-1:] == " " or any(p in text for p in _BESIDE)
+    return _CUT.split(text) if odd else text.split(" ")
+
+
+def is_unusual(word: str) -> bool:
+    return not (word.isascii() and word.isprintable() and "<" not in word) and UNUSUAL.search(word) is not None
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class PlainEncoder(Encoder):
@@ -67,9 +87,9 @@ class Vocabularies:
         entries = (self.a.slow.id_to_token(i) or "" for i in range(size))
         self.a_bytes = [bytes(of[c] for c in e) if all(c in of for c in e) else e.encode() for e in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         #: Whether no piece goes over the start of a word.
-        self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.cuttable = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
     @classmethod
@@ -79,7 +99,7 @@ class Vocabularies:
         return cls._made[key]
 
     def words(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuttable else [text]
+        return words(text) if self.cuttable else [text]
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The words' ids in both vocabularies, one word after the other, and how many each has.
@@ -100,7 +120,7 @@ class Vocabularies:
         text = " ".join(words)
         a, b, raw = self.a.ids(" " + text), np.array(self.b.encode(text), np.uint32), b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
-            word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
+            word_ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
             ends = [np.cumsum(size[x]) for x, size in ((a, self.a_size), (b, self.b_size))]
             last = [np.searchsorted(e, word_ends) for e in ends]
             if all((e[k] == word_ends).all() for e, k in zip(ends, last, strict=True)):
@@ -129,12 +149,6 @@ class Groups(NamedTuple):
         return np.append(0, self.b_end[:-1])[: len(self.b_end)]
 
 
-def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The numbers from each start to its end, one run after the other."""
-    n = ends - starts
-    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-
-
 def cut(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> Groups:
     """The groups of two id sequences with the same bytes."""
     ea, eb = np.cumsum(a_size[a]), np.cumsum(b_size[b])
@@ -197,9 +211,9 @@ class Chunk:
     """Documents met together: their words, the words' groups, and the distinct groups' links."""
 
     def __init__(self, texts: list[str | None], v: Vocabularies):
-        numbers: dict[str, int] = {}
-        docs = [np.array([numbers.setdefault(w, len(numbers)) for w in v.words(t)], np.int64) if t else np.zeros(0, np.int64) for t in texts]
-        unusual = np.array([UNUSUAL.search(w) is not None for w in numbers], bool)  # these go to the slower library, apart from the others
+        numbers = Numbers()
+        docs = [np.array(list(map(numbers.__getitem__, v.words(t))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        unusual = np.array([is_unusual(w) for w in numbers], bool)  # these go to the slower library, apart from the others
         order, words = np.argsort(unusual, kind="stable"), list(numbers)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))

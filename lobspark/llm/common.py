@@ -221,6 +221,12 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out[: len(h) - k + 1])
 
 
+def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start to its end, one run after the other."""
+    n = ends - starts
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each run of w values; the result is w - 1 shorter (or empty)."""
     if len(v) < w:
