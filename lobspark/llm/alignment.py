@@ -25,7 +25,7 @@ from lobspark.llm.common import joined_unevenly, powers, runs, same_spans, span_
 from lobspark.llm.tokens import UNUSUAL, Encoder, paths
 
 #: Bytes of text in a chunk, or more if one document has more.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 
 #: Characters of words that are encoded in one call.
 CALL = 1 << 18
