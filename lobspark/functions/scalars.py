@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 TICK = 100  # of fixed-point prices with four implied decimals: one cent
 OPEN_NS, CLOSE_NS = 34_200_000_000_000, 57_600_000_000_000  # 09:30 and 16:00 since midnight
+SESSION_S = (CLOSE_NS - OPEN_NS) // 1_000_000_000
+DAY_US = 86_400_000_000
 
 #: Body lengths by message type (fixed values of the wire format).
 BODY_LENGTH = {"A": 36, "F": 40, "E": 31, "C": 36, "X": 23, "D": 19, "U": 35}
@@ -44,6 +46,11 @@ def in_session(ts_ns: Column) -> Column:
     return (ts_ns >= OPEN_NS) & (ts_ns < CLOSE_NS)
 
 
+def in_session_us(us: Column) -> Column:
+    """The same for microseconds of the epoch."""
+    return in_session(us % DAY_US * 1000)
+
+
 def clock(ts_ns: Column) -> Column:
     """HH:MM:SS of nanoseconds since midnight."""
     s = F.floor(ts_ns / 1_000_000_000)
@@ -61,9 +68,9 @@ def spread_ticks(bid: Column, ask: Column, tick: int = TICK) -> Column:
 
 
 def distance_ticks(price: Column, opposite: Column, tick: int = TICK, most: int = 101) -> Column:
-    """From the opposite best, in [1, most]; ``most`` where that side is empty."""
+    """From the opposite best, in [1, most]; NULL where that side is empty and there is nothing to measure from."""
     d = F.floor((F.abs(price - opposite) + tick // 2) / tick)
-    return F.when(F.coalesce(opposite, F.lit(0)) == 0, F.lit(most)).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), d))).cast("long")
+    return F.when(opposite != 0, F.greatest(F.lit(1), F.least(F.lit(most), d))).cast("long")
 
 
 def bucket(x: Column, edges: Column) -> Column:

@@ -5,29 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lobspark.functions.scalars import TICK, distance_ticks, spread_ticks
+from lobspark.functions.scalars import DAY_US, OPEN_NS, SESSION_S, TICK, distance_ticks, in_session_us, spread_ticks
 from lobspark.operators import book
 from lobspark.operators.series import by
 from lobspark.sources.tables import checkpointed
 
 
 def distances(replayed: DataFrame, types: list[str]) -> DataFrame:
-    """(locate, side, d, n): messages of the types by their price's distance from the opposite best before them."""
+    """(locate, side, d, n): the session's messages of the types by their price's distance from the opposite best before
+    them. Those that have no opposite best to measure from are counted apart, at a NULL d."""
     w = by("locate").orderBy("us", "seq")
-    pre = replayed.select("locate", "msg_type", "side", "price", F.lag("bid").over(w).alias("bid0"), F.lag("ask").over(w).alias("ask0")).where(F.col("msg_type").isin(types))
+    pre = replayed.select("locate", "us", "msg_type", "side", "price", F.lag("bid").over(w).alias("bid0"), F.lag("ask").over(w).alias("ask0"))
+    pre = pre.where(F.col("msg_type").isin(types) & in_session_us(F.col("us")))
     d = distance_ticks(F.col("price"), F.when(F.col("side") == "B", F.col("ask0")).otherwise(F.col("bid0")))
     return pre.groupBy("locate", "side", d.alias("d")).agg(F.count("*").alias("n"))
 
 
+def counted_clock(rows: DataFrame) -> DataFrame:
+    """``rows`` (locate, pos, us) with ``us`` as the time that exposure counts: what has gone by within sessions, each from its
+    opening to its last message of the instrument. Between two messages it runs by the later one's part of the session."""
+    w = by("locate").orderBy("pos")
+    since = F.greatest(F.lag("us").over(w), F.floor(F.col("us") / DAY_US) * DAY_US + OPEN_NS // 1000)
+    dt = F.when(in_session_us(F.col("us")), F.col("us") - since).otherwise(0)
+    return rows.withColumn("dt", dt.cast("long")).withColumn("us", F.sum("dt").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("dt")
+
+
 def exposure(messages: DataFrame) -> DataFrame:
-    """(locate, side, d, order_seconds): orders at each distance, integrated from each message to the next.
+    """(locate, side, d, order_seconds): orders at each distance, integrated from each message to the next, within sessions.
 
     A level counts while the opposite side has a best. A level's orders and the opposite best are constant over stretches
     of messages. Two stretches overlap either because the level's is live when the best's begins, which the tree of
     ``book`` finds, or because it begins within the best's, which is one merge. So the rows are the messages and, for
     each change of a best, the levels that are live then.
     """
-    rows = checkpointed(book.level_rows(messages))  # read several times below
+    rows = checkpointed(counted_clock(book.level_rows(messages)))  # read several times below
     ends = rows.groupBy("locate").agg(F.max("us").alias("end"))
     w = by("locate", "side", "price").orderBy("pos")
     pieces = rows.select("locate", "side", "price", "orders", "us", "pos", F.coalesce(F.lead("pos").over(w), F.lit(book.ENDLESS)).alias("until"), F.lead("us").over(w).alias("to")).where("orders > 0")
@@ -50,16 +61,28 @@ def exposure(messages: DataFrame) -> DataFrame:
     return held.groupBy("locate", "side", distance_ticks(F.col("price"), F.col("best")).alias("d")).agg(F.sum(F.col("orders") * seconds).alias("order_seconds"))
 
 
+def session_seconds(messages: DataFrame) -> DataFrame:
+    """One row: the seconds of the sessions of all days that have messages."""
+    return messages.select(F.floor(F.col("us") / DAY_US).alias("day")).distinct().agg((F.count("*") * SESSION_S).alias("secs"))
+
+
 def rates(messages: DataFrame, replayed: DataFrame) -> DataFrame:
-    """(locate, side, d, lambda, theta): adds per thousand seconds, cancels per million order-seconds (0 below one)."""
-    span = messages.groupBy("locate").agg(((F.max("us") - F.min("us")) / 1_000_000.0).alias("secs"))
-    adds = distances(replayed, ["A", "F"]).withColumnRenamed("n", "adds")
-    cancels = distances(replayed, ["X", "D"]).withColumnRenamed("n", "cancels")
+    """(locate, side, d, lambda, theta): adds per thousand session seconds, 0 at the open-ended distance; cancels per million
+    order-seconds, 0 where there are less than one."""
+    adds = distances(replayed, ["A", "F"]).where("d IS NOT NULL").withColumnRenamed("n", "adds")
+    cancels = distances(replayed, ["X", "D"]).where("d IS NOT NULL").withColumnRenamed("n", "cancels")
     keys = ["locate", "side", "d"]
-    out = adds.join(span, "locate").join(cancels, keys, "left").join(exposure(messages), keys, "left")
+    out = adds.join(cancels, keys, "full_outer").join(exposure(messages).where("order_seconds > 0"), keys, "full_outer").crossJoin(F.broadcast(session_seconds(messages)))  # one row
     seconds = F.coalesce("order_seconds", F.lit(0.0))
     theta = F.when(seconds < 1, 0.0).otherwise(F.coalesce("cancels", F.lit(0)) / seconds * 1_000_000)
-    return out.select(*keys, F.round(F.col("adds") / F.col("secs") * 1000, 6).alias("lambda"), F.round(theta, 6).alias("theta"))
+    rate = F.when(F.col("d") <= 100, F.coalesce("adds", F.lit(0)) / F.col("secs") * 1000).otherwise(0.0)
+    return out.select(*keys, F.round(rate, 6).alias("lambda"), F.round(theta, 6).alias("theta"))
+
+
+def market_rates(messages: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(symbol, sign, mu): market decisions per thousand session seconds. decisions: of the session's executions."""
+    n = decisions.groupBy("symbol", "sign").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(session_seconds(messages))).select("symbol", "sign", F.round(F.col("n") / F.col("secs") * 1000, 6).alias("mu"))  # one row
 
 
 def start(replayed: DataFrame) -> DataFrame:

@@ -40,9 +40,11 @@ def encode(events: DataFrame) -> DataFrame:
     return events.withColumn("tokens", tokens)
 
 
-def framed(events: DataFrame) -> DataFrame:
+def framed(events: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """(symbol, day, place, token): each symbol-day's stream as rows, from encoded events (symbol, day, us, seq, tokens).
 
+    days: all (symbol, day) that have a stream, if there may be some without events.
+
     It begins with the specials BOS and SESSION_OPEN and ends with SESSION_CLOSE and EOS: 4 + 5 n tokens for n events.
     """
     keys = ("symbol", "day")
@@ -51,7 +53,10 @@ def framed(events: DataFrame) -> DataFrame:
     body = body.select(*keys, (2 + 5 * (F.col("rn") - 1) + F.col("j")).cast("long").alias("place"), F.col("token").cast("long").alias("token"))
     end = 2 + 5 * F.col("n")
     special = F.array(*(F.struct(p.cast("long").alias("place"), F.lit(t).cast("long").alias("token")) for p, t in ((F.lit(0), fn.BOS), (F.lit(1), fn.SESSION_OPEN), (end, fn.SESSION_CLOSE), (end + 1, fn.EOS))))
-    ends = events.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.explode(special).alias("s")).select(*keys, "s.*")
+    counts = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    if days is not None:
+        counts = days.join(counts, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
+    ends = counts.select(*keys, F.explode(special).alias("s")).select(*keys, "s.*")
     return body.unionByName(ends)
 
 

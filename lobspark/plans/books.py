@@ -23,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+DAY = fn.DAY_US
+
+
+def in_session_sql(us: str) -> str:
+    return f"(({us}) % {DAY} * 1000 >= {fn.OPEN_NS} AND ({us}) % {DAY} * 1000 < {fn.CLOSE_NS})"
+
+
+IN_SESSION = in_session_sql("us")
+
+
 def feed(spark, sf_dir):
     return book.derived_feed(events(spark, sf_dir))
 
@@ -170,15 +180,16 @@ def o03(spark, sf_dir):
     return a.join(series.upper_median(t, "locate", "sp", "med"), "locate", "left")
 
 
-@query("y02_event_mids", f"WITH {FEED}, {BBO} SELECT locate, seq, (bid + ask) / 20000.0 AS mid, (ask - bid + 50) // 100 AS spread FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL")
+@query("y02_event_mids", f"WITH {FEED}, {BBO} SELECT locate, seq, (bid + ask) / 20000.0 AS mid, (ask - bid + 50) // 100 AS spread FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL AND {IN_SESSION}")
 def y02(spark, sf_dir):
-    r = replayed(spark, sf_dir).where("bid IS NOT NULL AND ask IS NOT NULL")
+    """The session's observations with both sides."""
+    r = replayed(spark, sf_dir).where("bid IS NOT NULL AND ask IS NOT NULL").where(fn.in_session_us(F.col("us")))
     return r.select("locate", "seq", ((F.col("bid") + F.col("ask")) / 20000.0).alias("mid"), fn.spread_ticks(F.col("bid"), F.col("ask")).alias("spread"))
 
 
-@query("y13_two_sided_fraction", f"WITH {FEED}, {BBO} SELECT locate, round(avg(CASE WHEN bid IS NOT NULL AND ask IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS two_sided FROM bbo GROUP BY locate")
+@query("y13_two_sided_fraction", f"WITH {FEED}, {BBO} SELECT locate, round(avg(CASE WHEN bid IS NOT NULL AND ask IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS two_sided FROM bbo WHERE {IN_SESSION} GROUP BY locate")
 def y13(spark, sf_dir):
-    return replayed(spark, sf_dir).groupBy("locate").agg(F.round(F.avg((F.col("bid").isNotNull() & F.col("ask").isNotNull()).cast("double")), 6).alias("two_sided"))
+    return replayed(spark, sf_dir).where(fn.in_session_us(F.col("us"))).groupBy("locate").agg(F.round(F.avg((F.col("bid").isNotNull() & F.col("ask").isNotNull()).cast("double")), 6).alias("two_sided"))
 
 
 @query("m05_top_levels", f"WITH {FEED}, z AS (SELECT locate, side, price, CAST(sum(d) AS BIGINT) AS shares, CAST(sum(orders) AS BIGINT) AS orders FROM delta GROUP BY ALL HAVING sum(d) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY locate, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS level FROM z) SELECT locate, side, level, price, shares, orders FROM k WHERE level <= 11")
@@ -226,28 +237,33 @@ def t02(spark, sf_dir):
     return calibration.placements(feed(spark, sf_dir))
 
 
-PX = "CASE WHEN opp IS NULL THEN 101 ELSE greatest(1, least(101, (abs(price - opp) + 50) // 100)) END"
+PX = "CASE WHEN opp IS NOT NULL THEN greatest(1, least(101, (abs(price - opp) + 50) // 100)) END"
+
+
+def _distances(types: str) -> str:
+    return f"SELECT l.locate, l.side, l.price, CASE WHEN l.side = 'B' THEN ask0 ELSE bid0 END AS opp FROM life l JOIN pre USING (locate, seq) WHERE msg_type IN ({types}) AND {in_session_sql('l.us')}"
 
 
-@query("c01_add_distances", f"WITH {FEED}, {BBO}, x AS (SELECT l.locate, l.side, l.price, CASE WHEN l.side = 'B' THEN ask0 ELSE bid0 END AS opp FROM life l JOIN pre USING (locate, seq) WHERE msg_type IN ('A', 'F')) SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS n FROM x GROUP BY ALL")
+@query("c01_add_distances", f"WITH {FEED}, {BBO}, x AS ({_distances("'A', 'F'")}) SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS n FROM x GROUP BY ALL")
 def c01(spark, sf_dir):
     return calibration.distances(replayed(spark, sf_dir), ["A", "F"])
 
 
-@query("c02_cancel_distances", f"WITH {FEED}, {BBO}, x AS (SELECT l.locate, l.side, l.price, CASE WHEN l.side = 'B' THEN ask0 ELSE bid0 END AS opp FROM life l JOIN pre USING (locate, seq) WHERE msg_type IN ('X', 'D')) SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS n FROM x GROUP BY ALL")
+@query("c02_cancel_distances", f"WITH {FEED}, {BBO}, x AS ({_distances("'X', 'D'")}) SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS n FROM x GROUP BY ALL")
 def c02(spark, sf_dir):
     return calibration.distances(replayed(spark, sf_dir), ["X", "D"])
 
 
-EXPOSE = """nx AS (SELECT locate, seq, bid, ask, lead(us) OVER (PARTITION BY locate ORDER BY us, seq) - us AS dt FROM bbo),
+EXPOSE = f"""nx AS (SELECT locate, seq, bid, ask, CASE WHEN {in_session_sql("next")} THEN next - greatest(us, next // {DAY} * {DAY} + {fn.OPEN_NS // 1000}) ELSE 0 END AS dt FROM (SELECT *, lead(us) OVER (PARTITION BY locate ORDER BY us, seq) AS next FROM bbo)),
 ex AS (SELECT a.locate, a.side, greatest(1, least(101, (abs(a.price - CASE WHEN a.side = 'B' THEN ask ELSE bid END) + 50) // 100)) AS d, a.orders * (dt / 1000000.0) AS os
-  FROM at1 a JOIN nx USING (locate, seq) WHERE a.orders > 0 AND dt IS NOT NULL AND CASE WHEN a.side = 'B' THEN ask ELSE bid END IS NOT NULL),
+  FROM at1 a JOIN nx USING (locate, seq) WHERE a.orders > 0 AND dt > 0 AND CASE WHEN a.side = 'B' THEN ask ELSE bid END IS NOT NULL),
 expo AS (SELECT locate, side, CAST(d AS BIGINT) AS d, sum(os) AS order_seconds FROM ex GROUP BY ALL)"""
 
 
 @query("c03_exposure", f"WITH {FEED}, {BBO}, {EXPOSE} SELECT locate, side, d, round(order_seconds, 2) AS order_seconds FROM expo")
 def c03(spark, sf_dir):
-    e = calibration.exposure(feed(spark, sf_dir))
+    """From each session's opening to the instrument's last message in it."""
+    e = calibration.exposure(feed(spark, sf_dir)).where("order_seconds > 0")
     return e.withColumn("order_seconds", F.round("order_seconds", 2))
 
 
@@ -275,16 +291,26 @@ def c05(spark, sf_dir):
     return a.unionByName(m).groupBy("kind", "symbol", "key", "shares").agg(F.count("*").alias("n"))
 
 
-@query("c06_rates", f"""WITH {FEED}, {BBO}, {EXPOSE},
-span AS (SELECT locate, (max(us) - min(us)) / 1000000.0 AS secs FROM msg GROUP BY locate),
-ad AS (SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS adds FROM (SELECT l.locate, l.side, l.price, CASE WHEN l.side = 'B' THEN ask0 ELSE bid0 END AS opp FROM life l JOIN pre USING (locate, seq) WHERE msg_type IN ('A', 'F')) GROUP BY ALL),
-cn AS (SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS cancels FROM (SELECT l.locate, l.side, l.price, CASE WHEN l.side = 'B' THEN ask0 ELSE bid0 END AS opp FROM life l JOIN pre USING (locate, seq) WHERE msg_type IN ('X', 'D')) GROUP BY ALL)
-SELECT locate, side, d, round(adds / secs * 1000, 6) AS lambda, round(CASE WHEN coalesce(order_seconds, 0) < 1 THEN 0 ELSE coalesce(cancels, 0) / order_seconds * 1000000 END, 6) AS theta
-FROM ad JOIN span USING (locate) LEFT JOIN cn USING (locate, side, d) LEFT JOIN expo USING (locate, side, d)""")
+SECS = f"secs AS (SELECT {fn.SESSION_S} * count(DISTINCT us // {DAY}) AS secs FROM msg)"
+
+
+@query("c06_rates", f"""WITH {FEED}, {BBO}, {EXPOSE}, {SECS},
+ad AS (SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS adds FROM ({_distances("'A', 'F'")}) WHERE opp IS NOT NULL GROUP BY ALL),
+cn AS (SELECT locate, side, CAST({PX} AS BIGINT) AS d, count(*) AS cancels FROM ({_distances("'X', 'D'")}) WHERE opp IS NOT NULL GROUP BY ALL)
+SELECT locate, side, d, round(CASE WHEN d <= 100 THEN coalesce(adds, 0) / secs * 1000 ELSE 0 END, 6) AS lambda, round(CASE WHEN coalesce(order_seconds, 0) < 1 THEN 0 ELSE coalesce(cancels, 0) / order_seconds * 1000000 END, 6) AS theta
+FROM ad FULL JOIN cn USING (locate, side, d) FULL JOIN (SELECT * FROM expo WHERE order_seconds > 0) USING (locate, side, d), secs""")
 def c06(spark, sf_dir):
     return calibration.rates(feed(spark, sf_dir), replayed(spark, sf_dir))
 
 
+@query("c06_market_rates", f"WITH {FEED}, {EXEC.replace("WHERE msg_type = 'E'", f"WHERE msg_type = 'E' AND {in_session_sql('l.us')}")}, {SECS} SELECT symbol, sign, round(count(*) / any_value(secs) * 1000, 6) AS mu FROM xd, secs GROUP BY symbol, sign")
+def c06_market(spark, sf_dir):
+    """Market decisions of the session, by the aggressor's sign."""
+    m = feed(spark, sf_dir)
+    took = executions(spark, sf_dir).where(fn.in_session_us(F.col("ts")))
+    return calibration.market_rates(m, series.decisions(took, HOUR))
+
+
 @query("c07_null_model_start", f"""WITH {FEED}, {BBO}, op AS (SELECT locate, min_by((bid + ask) // 2, seq) AS mid FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL GROUP BY locate),
 ks AS (SELECT mid, row_number() OVER (ORDER BY mid) AS rn, count(*) OVER () AS n FROM op),
 sp AS (SELECT (ask - bid + 50) // 100 AS s, count(*) AS c FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL GROUP BY 1),
@@ -312,10 +338,6 @@ def c10(spark, sf_dir):
     return whole.select("us", "locate", "seq", F.row_number().over(series.by("day").orderBy("us", "locate", "seq")).cast("long").alias("place"))
 
 
-DAY = 86_400_000_000
-IN_SESSION = f"(us % {DAY}) * 1000 >= {fn.OPEN_NS} AND (us % {DAY}) * 1000 < {fn.CLOSE_NS}"
-
-
 def _grid(k: int) -> str:
     step = k * HOUR
     return f"""ga{k} AS (SELECT symbol, CAST(ceil(min(ts) / {step}.0) AS BIGINT) AS a, CAST(floor(max(ts) / {step}.0) AS BIGINT) AS b FROM ev2 GROUP BY symbol),

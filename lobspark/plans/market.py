@@ -257,13 +257,13 @@ def p14(spark, sf_dir):
 
 
 @query("t05_session_gaps", f"""WITH {EV}, t AS (SELECT user_id % 8 AS symbol, event_id, us, (us % 86400000000) * 1000 AS ns FROM ev),
-k AS (SELECT *, us - lag(us) OVER (PARTITION BY symbol ORDER BY us, event_id) AS d FROM t WHERE ns >= 34200000000000 AND ns < 57600000000000)
+k AS (SELECT *, us - lag(us) OVER (PARTITION BY symbol, us // 86400000000 ORDER BY us, event_id) AS d FROM t WHERE ns >= 34200000000000 AND ns < 57600000000000)
 SELECT t.event_id, coalesce(k.d, 0) AS dt FROM t LEFT JOIN k USING (event_id)""")
 def t05(spark, sf_dir):
-    """The gap to the symbol's previous event within the session; zero for the first and outside of it, without a join:
+    """The gap to the symbol's previous event within the day's session; zero for the first and outside of it, without a join:
     events outside go to a window partition of their own."""
     t = events(spark, sf_dir).select((F.col("user_id") % 8).alias("symbol"), "event_id", "us", fn.in_session(F.col("us") % 86_400_000_000 * 1000).alias("inside"))
-    d = F.col("us") - F.lag("us").over(series.by("symbol", "inside").orderBy("us", "event_id"))
+    d = F.col("us") - F.lag("us").over(series.by("symbol", F.floor(F.col("us") / fn.DAY_US), "inside").orderBy("us", "event_id"))
     return t.select("event_id", F.when(F.col("inside"), F.coalesce(d, F.lit(0))).otherwise(0).cast("long").alias("dt"))
 
 

@@ -71,23 +71,25 @@ def t11(spark, sf_dir):
 
 
 def tokenized(spark, sf_dir):
-    """Events of the replayed feed with their tokens. A gap is that to the event before in the same session, else zero."""
+    """The session's events of the replayed feed with their tokens. A gap is that to the event before in the same session.
+
+    What happens outside of the session changes the book, but makes no tokens and is no event that a gap begins at.
+    """
     r = replayed(spark, sf_dir, ranks=True)
     etype = F.when(F.col("msg_type").isin("A", "F"), "Add").when(F.col("msg_type") == "E", "ExecVisible").when(F.col("msg_type") == "X", "PartialCancel").otherwise("Delete")
-    r = r.withColumns({"day": F.floor(F.col("us") / DAY), "inside": fn.in_session(F.col("us") % DAY * 1000)})
-    gap = F.col("us") - F.lag("us").over(series.by("locate", "day", "inside").orderBy("us", "seq"))
-    dt = F.when(F.col("inside"), F.coalesce(gap, F.lit(0))).otherwise(0).cast("long")
+    r = r.withColumns({"day": F.floor(F.col("us") / DAY), "inside": fn.in_session_us(F.col("us"))}).where("inside")
+    dt = F.coalesce(F.col("us") - F.lag("us").over(series.by("locate", "day").orderBy("us", "seq")), F.lit(0)).cast("long")
     e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), dt.alias("dt"))
     a = adds_of(spark, sf_dir)
     edges = tk.size_edges(a, "size").withColumnRenamed("edges", "size_edges").join(tk.gap_edges(a, "dt").withColumnRenamed("edges", "dt_edges"), "symbol")
     return tk.encode(e.join(edges, "symbol"))
 
 
-TOKENS = f"""{ADDS}, {SIZES}, {GAPS}, prev AS (SELECT locate, seq, coalesce(lag(seq) OVER w, -1) AS seq0, CASE WHEN inside THEN coalesce(us - lag(us) OVER s, 0) ELSE 0 END AS dt FROM (SELECT *, us // {DAY} AS day, {IN_SESSION} AS inside FROM msg) WINDOW w AS (PARTITION BY locate ORDER BY us, seq), s AS (PARTITION BY locate, day, inside ORDER BY us, seq)),
+TOKENS = f"""{ADDS}, {SIZES}, {GAPS}, prev AS (SELECT locate, seq, coalesce(lag(seq) OVER w, -1) AS seq0, inside, CASE WHEN inside THEN coalesce(us - lag(us) OVER s, 0) ELSE 0 END AS dt FROM (SELECT *, us // {DAY} AS day, {IN_SESSION} AS inside FROM msg) WINDOW w AS (PARTITION BY locate ORDER BY us, seq), s AS (PARTITION BY locate, day, inside ORDER BY us, seq)),
 o AS (SELECT p.locate, p.seq, count(*) FILTER (a.shares > 0) AS n, count(*) FILTER (a.shares > 0 AND CASE WHEN p.side = 'B' THEN a.price > p.price ELSE a.price < p.price END) AS better, count(*) FILTER (a.shares > 0 AND a.price = p.price) AS same
   FROM life p JOIN prev USING (locate, seq) LEFT JOIN at1 a ON a.locate = p.locate AND a.seq = prev.seq0 AND a.side = p.side GROUP BY p.locate, p.seq),
 evs AS (SELECT l.locate AS symbol, l.seq, l.us, l.msg_type, l.side, n > 0 AS has_px, CASE WHEN n = 0 THEN 0 WHEN better = 0 AND same = 0 THEN -1 ELSE better END AS off, CASE WHEN l.msg_type = 'D' THEN -l.d ELSE l.shares END AS size, prev.dt, se.edges AS es, ge.edges AS eg
-  FROM life l JOIN prev USING (locate, seq) JOIN o USING (locate, seq) JOIN se ON se.symbol = l.locate JOIN ge ON ge.symbol = l.locate),
+  FROM life l JOIN prev USING (locate, seq) JOIN o USING (locate, seq) JOIN se ON se.symbol = l.locate JOIN ge ON ge.symbol = l.locate WHERE prev.inside),
 tok AS (SELECT *, CASE WHEN msg_type IN ('A', 'F') THEN 7 WHEN msg_type = 'E' THEN 10 WHEN msg_type = 'X' THEN 8 ELSE 9 END AS t1, CASE WHEN side = 'B' THEN 13 ELSE 14 END AS t2,
   CASE WHEN NOT has_px THEN 0 WHEN off > 10 THEN 27 ELSE off + 16 END AS t3, 28 + len(list_filter(es, lambda x: x <= size)) AS t4, CASE WHEN dt <= 0 THEN 36 ELSE 37 + len(list_filter(eg, lambda x: x <= dt)) END AS t5 FROM evs)"""
 
@@ -97,22 +99,27 @@ def t04(spark, sf_dir):
     return tokenized(spark, sf_dir).select("symbol", "seq", "size", "dt", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
 
-@query("t08_stream_lengths", f"WITH {FEED} SELECT locate AS symbol, us // 86400000000 AS day, 4 + 5 * count(*) AS n_tokens FROM msg GROUP BY ALL")
+def days(spark, sf_dir):
+    """(symbol, day) with a message of the book at any hour: each has a stream."""
+    return feed(spark, sf_dir).select(F.col("locate").alias("symbol"), F.floor(F.col("us") / DAY).alias("day")).distinct()
+
+
+@query("t08_stream_lengths", f"WITH {FEED} SELECT locate AS symbol, us // 86400000000 AS day, 4 + 5 * count(*) FILTER ({IN_SESSION}) AS n_tokens FROM msg GROUP BY ALL")
 def t08(spark, sf_dir):
-    """How long the daily streams are, with the four session specials."""
-    t = tokenized(spark, sf_dir).groupBy("symbol", F.floor(F.col("us") / DAY).alias("day"))
-    return t.agg((4 + F.sum(F.size("tokens"))).cast("long").alias("n_tokens"))
+    """How long the daily streams are, with the four session specials; a day without events in its session has these alone."""
+    t = tokenized(spark, sf_dir).groupBy("symbol", F.floor(F.col("us") / DAY).alias("day")).agg(F.sum(F.size("tokens")).alias("n"))
+    return days(spark, sf_dir).join(t, ["symbol", "day"], "left").select("symbol", "day", (4 + F.coalesce("n", F.lit(0))).cast("long").alias("n_tokens"))
 
 
-@query("t08_framed_streams", f"""WITH {FEED}, {BBO}, {TOKENS}, z AS (SELECT symbol, us // {DAY} AS day, row_number() OVER (PARTITION BY symbol, us // {DAY} ORDER BY us, seq) AS rn, [t1, t2, t3, t4, t5] AS t FROM tok), n AS (SELECT symbol, day, count(*) AS n FROM z GROUP BY ALL)
+@query("t08_framed_streams", f"""WITH {FEED}, {BBO}, {TOKENS}, z AS (SELECT symbol, us // {DAY} AS day, row_number() OVER (PARTITION BY symbol, us // {DAY} ORDER BY us, seq) AS rn, [t1, t2, t3, t4, t5] AS t FROM tok), n AS (SELECT locate AS symbol, us // {DAY} AS day, count(*) FILTER ({IN_SESSION}) AS n FROM msg GROUP BY ALL)
 SELECT symbol, day, CAST(2 + 5 * (rn - 1) + j AS BIGINT) AS place, CAST(t[j + 1] AS BIGINT) AS token FROM z, (SELECT unnest(range(0, 5)) AS j) u
 UNION ALL SELECT symbol, day, CAST(CASE WHEN p < 2 THEN p ELSE 5 * n + p END AS BIGINT), CAST([1, 3, 4, 2][p + 1] AS BIGINT) FROM n, (SELECT unnest(range(0, 4)) AS p) u""")
 def t08_framed(spark, sf_dir):
     """The daily streams themselves, a row a token."""
-    return tk.framed(tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY)))
+    return tk.framed(tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY)), days(spark, sf_dir))
 
 
-@query("t15_token_inverse", f"WITH {FEED} SELECT locate AS symbol, count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM msg GROUP BY locate")
+@query("t15_token_inverse", f"WITH {FEED} SELECT locate AS symbol, count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM msg WHERE {IN_SESSION} GROUP BY locate")
 def t15(spark, sf_dir):
     """Decoding and encoding again gives the same tokens; type, side and near offsets come back exactly."""
     d = tk.decode(tokenized(spark, sf_dir))
