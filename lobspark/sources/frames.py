@@ -2,12 +2,11 @@
 
 A file is a sequence of frames, each a two-byte big-endian length and a body whose first byte is the message's type. The
 source yields raw frames; fields are cut out of the body by column expressions, so that Spark plans them like any
-other projection. Every file is a partition: a file's order is the total order of its messages.
+other projection. A file's order is the total order of its messages; files are read by ranges, see ``ranges``.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lobspark.functions.scalars import BODY_LENGTH
+from lobspark.sources import ranges, sinks
 from lobspark.sources.splits import guarded
+from lobspark.sources.tables import checkpointed
 
 #: Where a field's bytes stand in a body, by type (fixed values of the wire format): offset and length.
 FIELDS = {
@@ -51,13 +52,22 @@ def split_frames(raw: bytes) -> tuple[list[tuple[int, bytes]], str | None]:
     return out, None
 
 
-def read_frames(spark: SparkSession, path: str, allow_test: bool = False) -> DataFrame:
-    """(path, seq, offset, msg_type, body) of all frames; a malformed file raises. Any store that Spark reads will do.
+def read_frames(spark: SparkSession, path: str, allow_test: bool = False, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """(path, seq, offset, msg_type, body) of all frames; a malformed file raises with the place.
 
-    The split guard refuses files of test days unless they are asked for.
+    Files of any size are read by ranges (see ``ranges``) where the store can be read so; others a file a task, see
+    ``read_whole_frames``. The split guard refuses files of test days unless they are asked for.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    files = guarded(files, allow_test)
+    files = guarded(spark.read.format("binaryFile").load(path).select("path", "length"), allow_test)
+    first = files.select("path").first()
+    if first and not ranges.readable(first.path):
+        return read_whole_frames(spark, path, allow_test)
+    return ranges.frames_of(checkpointed(ranges.index(files, range_bytes)))
+
+
+def read_whole_frames(spark: SparkSession, path: str, allow_test: bool = False) -> DataFrame:
+    """The same from any store that Spark reads, a file of at most 2 GB a task."""
+    files = guarded(spark.read.format("binaryFile").load(path).select("path", "content"), allow_test)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,38 +167,37 @@ def encode(msgs: DataFrame) -> DataFrame:
     return msgs.withColumn("body", body)
 
 
-def write_frames(msgs: DataFrame, path: str, by: str = "path", order: str = "seq") -> DataFrame:
-    """Writes one file of frames for each value of ``by`` into a local or mounted folder; returns (file, frames).
+def write_frames(msgs: DataFrame, path: str, by: str = "path", order: str = "seq", parts: int | None = None) -> DataFrame:
+    """Writes the frames of each value of ``by``, in order, to a file named by its last part; returns (file, frames).
 
-    A file is totally ordered, so one task writes it, frame by frame, under a temporary name that is then changed: a
-    retried task writes the same file again.
+    A file is totally ordered, so one task writes it. parts: instead, all streams together are dealt into so many ranges, and
+    a task writes its range of a stream to a file with the range's number after the name; in that order they are the stream.
+    The write is all or nothing, see ``sinks``.
     """
-    framed = encode(msgs).select(F.col(by).cast("string").alias("name"), order, "body")
-    dealt = framed.repartition("name").sortWithinPartitions("name", order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(path, exist_ok=True)
-        name, n, f = None, 0, None
-        done: list[tuple[str, int]] = []
-
-        def close() -> None:
-            if f:
-                f.close()
-                os.replace(f.name, os.path.join(path, os.path.basename(name)))
-                done.append((os.path.basename(name), n))
-
-        for batch in batches:
-            for who, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if who != name:
-                    close()
-                    name, n = who, 0
-                    f = open(os.path.join(path, f".{os.path.basename(who)}.{os.getpid()}"), "wb")
-                f.write(len(body).to_bytes(2, "big") + body)
-                n += 1
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ("file", "frames"))
-
-    return dealt.mapInArrow(run, "file string, frames long")
+    name = F.element_at(F.split(F.col(by).cast("string"), "/"), -1)
+    framed = encode(msgs).select(name.alias("file"), order, "body")
+    if parts:
+        framed = framed.repartitionByRange(parts, "file", order).withColumn("file", F.concat_ws(".", "file", F.lpad(F.spark_partition_id().cast("string"), 6, "0")))
+    else:
+        framed = framed.repartition("file")
+    content = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("body").cast("long")), 4, "0")), "body")
+    sinks.write_bytes(framed.sortWithinPartitions("file", order).select("file", content.alias("content")), path)
+    return framed.groupBy("file").agg(F.count("*").alias("frames"))
+
+
+def write_tokens(tokens: DataFrame, path: str, at_once: int = 4096) -> None:
+    """Writes a token file for each symbol of (symbol, place, token), named by it: magic, version 2, symbol, count, then
+    little-endian 16-bit ids in the order of their places. Ids go to the files in runs of ``at_once``."""
+    little = lambda c, n: F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k).bitwiseAND(255)), 2, "0")) for k in range(n)))
+    name = F.col("symbol").cast("string")
+    counts = tokens.groupBy(name.alias("name")).agg(F.count("token").alias("n"))
+    head = F.concat(F.encode(F.concat(F.lit("OFTK"), F.lit("\2\0\0\0"), F.rpad("name", 12, "\0")), "ISO-8859-1"), little(F.col("n"), 8))
+    heads = counts.select("name", F.lit(-1).cast("long").alias("run"), head.alias("content"))
+    runs = tokens.groupBy(name.alias("name"), F.floor(F.col("place") / at_once).alias("run")).agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
+    hexed = F.transform("t", lambda t: F.concat(*(F.lpad(F.hex(F.shiftright(t["token"].cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(2))))
+    body = runs.select("name", "run", F.unhex(F.array_join(hexed, "")).alias("content"))
+    rows = heads.unionByName(body).repartition("name").sortWithinPartitions("name", "run")
+    sinks.write_bytes(rows.select(F.concat("name", F.lit(".oftk")).alias("file"), "content"), path)
 
 
 def token_file(ticker: str, tokens: np.ndarray) -> bytes:
