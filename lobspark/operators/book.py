@@ -92,6 +92,21 @@ def noisy_feed(messages: DataFrame) -> DataFrame:
     return plain.unionByName(put_in.select("locate", (F.col("seq") * 32 + F.col("n.i")).alias("seq"), "us", "n.msg_type", "n.order_ref", "n.new_ref", "n.side", "n.shares", "n.price"))
 
 
+#: Chains of replaces for each side of an instrument in ``chained_feed``.
+CHAINS = 5
+
+
+def chained_feed(messages: DataFrame) -> DataFrame:
+    """A feed of adds and replaces alone: each side's orders are dealt to CHAINS chains, of which the first order is added and
+    each further one replaces the one before."""
+    adds = messages.where(F.col("msg_type").isin(ADDS))
+    adds = adds.withColumn("chain", (F.row_number().over(by("locate", "side").orderBy("us", "seq")) - 1) % CHAINS)
+    old = F.lag("order_ref").over(by("locate", "side", "chain").orderBy("us", "seq"))
+    adds = adds.withColumn("old", old)
+    first = F.col("old").isNull()
+    return adds.select("locate", "seq", "us", F.when(first, "A").otherwise("U").alias("msg_type"), F.coalesce("old", "order_ref").alias("order_ref"), F.when(~first, F.col("order_ref")).alias("new_ref"), F.when(first, F.col("side")).alias("side"), "shares", "price")
+
+
 def lifecycle(messages: DataFrame, *more: str) -> DataFrame:
     """Messages with their order's side and price, and the shares it has before and after. more: columns to keep.
 

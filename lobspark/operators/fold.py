@@ -54,14 +54,18 @@ class Book:
         other = self.best("S" if side == "B" else "B")
         if other is not None and (price >= other if side == "B" else price <= other):
             return "WouldCross"
+        self.rest(ref, side, shares, price)
+        self.ledger["added"] += shares
+        return "Ok"
+
+    def rest(self, ref: int, side: str, shares: int, price: int) -> None:
+        """Puts an order at the back of its queue that is known to rest there."""
         self.orders[ref] = [side, price, shares]
         if price not in self.levels[side]:
             self.levels[side][price] = {}
             insort(self.prices[side], price)
         self.levels[side][price][ref] = None
         self.depth[side, price] = self.depth.get((side, price), 0) + shares
-        self.ledger["added"] += shares
-        return "Ok"
 
     def reduce(self, ref: int, shares: int | None, to: str) -> str:
         """Takes shares (None: all) from an order, which keeps its place; at zero it goes, and an empty level with it."""
