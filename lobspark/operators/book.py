@@ -149,10 +149,10 @@ def snapshot(messages: DataFrame, at: int | None = None) -> DataFrame:
     return last.select("locate", "side", rank.alias("ord"), "price", "order_ref", "shares")
 
 
-#: A tree over the numbers of an instrument's messages: 16 children to a node, so many levels of nodes.
-BITS, DEPTH = 4, 8
-#: From this level on a node is above so many messages that they are dealt to SALTS groups.
-UPPER, SALTS = 3, 16
+#: A tree over the numbers of an instrument's messages: 16 children to a node.
+BITS = 4
+#: From this level on, a million messages, a node is above more than a partition's worth, and these are dealt to SALTS groups.
+UPPER, SALTS = 5, 16
 #: Digits of price ranks: base 4, so many at most.
 RANK_BITS, RANK_DIGITS = 2, 16
 
@@ -178,29 +178,40 @@ def level_rows(messages: DataFrame) -> DataFrame:
     return out.withColumn("edge", edge).drop("d")
 
 
-def spans(a: str, b: str) -> Column:
+def depth_of(rows: DataFrame) -> int:
+    """How many levels of nodes the tree needs for these rows' numbers (pos)."""
+    most, depth = rows.agg(F.max("pos")).first()[0] or 0, 1
+    while most >= endless(depth):
+        depth += 1
+    return depth
+
+
+def endless(depth: int) -> int:
+    """Beyond all numbers of a tree so deep: where what is live at the end ends."""
+    return 1 << BITS * depth
+
+
+def spans(a: str, b: str, depth: int) -> Column:
     """The nodes (l, node, salt) that together are above the numbers from a to b - 1 and no others.
 
-    At most 30 a level, a node of an upper level once for each salt.
+    At most 30 a level; up to the end of all numbers at most 15 a level, so 60 for a million messages. A node of an upper
+    level comes once for each salt.
     """
     size = lambda l: f"shiftleft(1L, {BITS} * ({l}))"
     first = lambda l: f"shiftright({a} + {size(l)} - 1, {BITS} * ({l}))"
     last = lambda l: f"(shiftright({b}, {BITS} * ({l})) - 1)"
     run = lambda x, y: f"if({x} <= {y}, sequence({x}, {y}), array())"
-    covered = f"l < {DEPTH - 1} AND {first('l + 1')} <= {last('l + 1')}"  # what nodes of the next level are above
+    covered = f"l < {depth - 1} AND {first('l + 1')} <= {last('l + 1')}"  # what nodes of the next level are above
     left = run(first("l"), f"if({covered}, {first('l + 1')} * {1 << BITS} - 1, {last('l')})")
     right = f"if({covered}, {run(f'({last("l + 1")} + 1) * {1 << BITS}', last('l'))}, array())"
     salts = f"if(l >= {UPPER}, sequence(0L, {SALTS - 1}L), array(0L))"
     node = f"transform({salts}, s -> named_struct('l', l, 'node', n, 'salt', s))"
-    return F.expr(f"flatten(transform(sequence(0, {DEPTH - 1}), l -> flatten(transform(concat({left}, {right}), n -> {node}))))")
+    return F.expr(f"flatten(transform(sequence(0, {depth - 1}), l -> flatten(transform(concat({left}, {right}), n -> {node}))))")
 
 
-def paths(pos: str) -> Column:
+def paths(pos: str, depth: int) -> Column:
     """The nodes (l, node, salt) above a number."""
-    return F.expr(f"transform(sequence(0, {DEPTH - 1}), l -> named_struct('l', l, 'node', shiftright({pos}, {BITS} * l), 'salt', if(l >= {UPPER}, {pos} % {SALTS}, 0L)))")
-
-
-ENDLESS = 1 << BITS * DEPTH  # beyond all numbers
+    return F.expr(f"transform(sequence(0, {depth - 1}), l -> named_struct('l', l, 'node', shiftright({pos}, {BITS} * l), 'salt', if(l >= {UPPER}, {pos} % {SALTS}, 0L)))")
 
 
 def best_changes(rows: DataFrame) -> DataFrame:
@@ -208,11 +219,12 @@ def best_changes(rows: DataFrame) -> DataFrame:
 
     rows: ``level_rows``. best is NULL where the side is empty.
     """
+    depth = depth_of(rows)
     edges = rows.where("edge <> 0").select("locate", "side", "price", "pos", "edge")
-    off = F.coalesce(F.lead("pos").over(by("locate", "side", "price").orderBy("pos")), F.lit(ENDLESS))
+    off = F.coalesce(F.lead("pos").over(by("locate", "side", "price").orderBy("pos")), F.lit(endless(depth)))
     edges = edges.withColumns({"off": off, "good": F.when(F.col("side") == "B", F.col("price")).otherwise(-F.col("price"))})
-    live = edges.where("edge = 1").select("locate", "side", F.lit(None).cast("bigint").alias("pos"), "good", F.explode(spans("pos", "off")).alias("n"))
-    asked = edges.select("locate", "side", "pos", F.lit(None).cast("bigint").alias("good"), F.explode(paths("pos")).alias("n"))
+    live = edges.where("edge = 1").select("locate", "side", F.lit(None).cast("bigint").alias("pos"), "good", F.explode(spans("pos", "off", depth)).alias("n"))
+    asked = edges.select("locate", "side", "pos", F.lit(None).cast("bigint").alias("good"), F.explode(paths("pos", depth)).alias("n"))
     each = live.unionByName(asked).select("locate", "side", "pos", "good", "n.*")
     # within a node the levels (without pos) come first
     best = F.max("good").over(by("locate", "side", "l", "node", "salt").orderBy(F.col("pos").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))

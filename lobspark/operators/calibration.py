@@ -39,17 +39,18 @@ def exposure(messages: DataFrame) -> DataFrame:
     each change of a best, the levels that are live then.
     """
     rows = checkpointed(counted_clock(book.level_rows(messages)))  # read several times below
+    depth = book.depth_of(rows)
     ends = rows.groupBy("locate").agg(F.max("us").alias("end"))
     w = by("locate", "side", "price").orderBy("pos")
-    pieces = rows.select("locate", "side", "price", "orders", "us", "pos", F.coalesce(F.lead("pos").over(w), F.lit(book.ENDLESS)).alias("until"), F.lead("us").over(w).alias("to")).where("orders > 0")
+    pieces = rows.select("locate", "side", "price", "orders", "us", "pos", F.coalesce(F.lead("pos").over(w), F.lit(book.endless(depth))).alias("until"), F.lead("us").over(w).alias("to")).where("orders > 0")
     own = by("locate", "side").orderBy("pos")
     facing = F.when(F.col("side") == "B", "S").otherwise("B").alias("side")
     best = book.best_changes(rows).select("locate", facing, "pos", "best")
     moved = best.withColumn("old", F.lag("best").over(own)).where(~F.col("best").eqNullSafe(F.col("old"))).drop("old")
     opp = moved.join(rows.select("locate", "pos", "us"), ["locate", "pos"]).withColumn("o_to", F.lead("us").over(own))
     # stretches of a level that are live when the best changes
-    nodes = pieces.select("locate", "side", "price", "orders", "to", F.explode(book.spans("pos", "until")).alias("n")).select("locate", "side", "price", "orders", "to", "n.*")
-    asked = opp.where("best IS NOT NULL").select("locate", "side", "best", F.col("us").alias("since"), "o_to", F.explode(book.paths("pos")).alias("n")).select("locate", "side", "best", "since", "o_to", "n.*")
+    nodes = pieces.select("locate", "side", "price", "orders", "to", F.explode(book.spans("pos", "until", depth)).alias("n")).select("locate", "side", "price", "orders", "to", "n.*")
+    asked = opp.where("best IS NOT NULL").select("locate", "side", "best", F.col("us").alias("since"), "o_to", F.explode(book.paths("pos", depth)).alias("n")).select("locate", "side", "best", "since", "o_to", "n.*")
     standing = asked.join(nodes, ["locate", "side", "l", "node", "salt"]).select("locate", "side", "price", "orders", "best", "since", "to", "o_to")
     # stretches that begin under a best
     both = pieces.select("locate", "side", "pos", "us", F.struct("price", "orders", "to").alias("piece"), F.lit(None).cast("struct<best:bigint,o_to:bigint>").alias("opp"))

@@ -125,20 +125,28 @@ def test_relations_against_the_fold(spark):
     assert by_fold
 
 
-def test_nodes_above_stretches(spark):
+@pytest.mark.parametrize("depth", [5, 7])
+def test_nodes_above_stretches(spark, depth):
     """A number's path meets the nodes of a stretch exactly once if it lies in it, else never."""
     rng = random.Random(5)
-    cases = [(a, a + rng.choice([1, 2, 15, 16, 17, 300, 5000])) for a in (rng.choice([1, 16, 255, 256, 4095, 70_000]) + rng.randrange(40) for _ in range(40))] + [(3, book.ENDLESS)]
+    cases = [(a, a + rng.choice([1, 2, 15, 16, 17, 300, 5000])) for a in (rng.choice([1, 16, 255, 256, 4095, 70_000]) + rng.randrange(40) for _ in range(40))] + [(3, book.endless(depth))]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i long, a long, b long")
     nodes = {}
-    for r in df.select("i", F.explode(book.spans("a", "b")).alias("n")).select("i", "n.*").collect():
+    for r in df.select("i", F.explode(book.spans("a", "b", depth)).alias("n")).select("i", "n.*").collect():
         nodes.setdefault(r.i, []).append((r.l, r.node, r.salt))
-    asked = sorted({x for a, b in cases for x in (a - 1, a, a + 1, (a + b) // 2, b - 1, b) if 0 <= x < book.ENDLESS})
-    paths = {r.p: [tuple(n) for n in r.n] for r in spark.createDataFrame([(x,) for x in asked], "p long").select("p", book.paths("p").alias("n")).collect()}
+    asked = sorted({x for a, b in cases for x in (a - 1, a, a + 1, (a + b) // 2, b - 1, b) if 0 <= x < book.endless(depth)})
+    paths = {r.p: [tuple(n) for n in r.n] for r in spark.createDataFrame([(x,) for x in asked], "p long").select("p", book.paths("p", depth).alias("n")).collect()}
     for i, (a, b) in enumerate(cases):
         for x in asked:
             assert sum(nodes[i].count(n) for n in paths[x]) == (a <= x < b), (a, b, x)
     assert max(len(nodes[i]) for i, (a, b) in enumerate(cases) if b - a < 16) <= 16
+    assert len({n[:2] for n in nodes[len(cases) - 1]}) <= 15 * depth  # live to the end
+
+
+def test_depth_of_the_tree(spark):
+    rows = lambda most: spark.createDataFrame([(most,)], "pos long")
+    assert [book.depth_of(rows(n)) for n in (0, 15, 16, 255, 256, 65_536)] == [1, 1, 2, 2, 3, 5]
+    assert book.depth_of(rows(1).limit(0)) == 1
 
 
 def test_expanded_replace(spark):
