@@ -169,7 +169,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     docs: doc_id, text; benchmark: item_id, text; other columns are not looked at. Result: doc_id, n_words, spans
     (merged word ranges as start, end, start, end, ...), items (ids as sorted strings, then a null for all items without
     id). A null or empty text has no words; an item without words has no window; one of fewer than ``window`` words is a
-    window itself. Rows that repeat a document each get their result. ``row`` names a column of docs with a stored key of
+    window itself. Rows that repeat an item are one. Rows that repeat a document each get their result. ``row`` names a column of docs with a stored key of
     each row; the result then has it too.
 
     The items are read in blocks of about ``block_windows`` windows; a long item is divided among blocks. One block, the
@@ -177,7 +177,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     searched for and its hits are stored, so that the driver and the tasks hold one block's index at a time; the hits
     are merged by the row's key, for which docs without ``row`` are stored once.
     """
-    bench = checkpointed(item_pieces(benchmark, window, max(1, block_windows // 4)))
+    bench = checkpointed(item_pieces(benchmark, window, max(1, block_windows // 4)).distinct())  # repeated rows would meet in one block
     n_blocks = max(1, -(-int(bench.agg(F.sum("n")).first()[0] or 0) // block_windows))
     wanted = [*([F.col("row").alias(row)] if row else []), "doc_id", "n_words"]
     key = F.col(row) if row else F.monotonically_increasing_id() if n_blocks > 1 else F.lit(None)
