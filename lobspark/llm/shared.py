@@ -400,7 +400,7 @@ def repeated_runs(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
     """
     dealt = dealt_anchors(docs, units, buckets).repartition("key").sortWithinPartitions("key")
     known = dealt.mapInArrow(judged_anchors(units, buckets), DEALT).repartition("key").sortWithinPartitions("key")
-    return known.mapInArrow(answered_runs, "doc_id long, run long").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    return known.mapInArrow(answered_runs, "doc_id long, run long").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))  # a set: rows that repeat a document send the same ones
 
 
 def copies(docs: DataFrame, n_docs: int) -> DataFrame:
@@ -421,18 +421,17 @@ def pack_contexts(rows: list[tuple[int, bytes, int, int, int, int]], buckets: in
     h = np.array(h, np.int64)
     bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((h, bucket))
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))  # of the buckets that occur
     numbers = [np.array(v, np.int64) for v in numbers]
     squeeze = zstandard.ZstdCompressor(level=3)
     at, blobs = [], []
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if a < b:
-            i = order[a:b]
-            texts = [ctx[j] for j in i.tolist()]
-            size = np.fromiter(map(len, texts), np.int32, len(texts))
-            planes = [_planes(np.diff(h[i], prepend=0)), *(_planes(v[i]) for v in numbers), _planes(size)]
-            at.append(k)
-            blobs.append(squeeze.compress(pickle.dumps((len(i), planes, b"".join(texts)), 5)))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        i = order[a:b]
+        texts = [ctx[j] for j in i.tolist()]
+        size = np.fromiter(map(len, texts), np.int32, len(texts))
+        planes = [_planes(np.diff(h[i], prepend=0)), *(_planes(v[i]) for v in numbers), _planes(size)]
+        at.append(int(bucket[i[0]]))
+        blobs.append(squeeze.compress(pickle.dumps((len(i), planes, b"".join(texts)), 5)))
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ("bucket", "packed"))
 
 
@@ -586,7 +585,7 @@ def first_windows(packed: DataFrame, units: Units, decide: Callable[[pa.Table],
             yield from fresh(held)
 
     out = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, run long")
-    return out.groupBy("doc_id").agg(F.collect_list("run").alias("fresh"))
+    return out.groupBy("doc_id").agg(F.collect_set("run").alias("fresh"))
 
 
 def fresh_runs(fresh: np.ndarray, row: np.ndarray, doc: np.ndarray, key: np.ndarray, rel: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -616,7 +615,7 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
     buckets = bucket_count(total, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = repeated_runs(own, units, buckets).join(again, "doc_id", "full_outer")
     marked = checkpointed(marked.select("doc_id", F.when(F.col("copy").isNull(), F.col("runs")).alias("runs"), F.coalesce("copy", F.lit(False)).alias("copy")))
-    both = docs.join(marked, "doc_id", "left")  # the texts are shuffled once, for what follows twice
+    both = own.join(marked, "doc_id", "left")  # the texts are shuffled once, for what follows twice
     fresh = first_windows(contexts(both.select("doc_id", "text", "runs"), units, buckets), units, decide, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -657,7 +656,9 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
             columns = [chunk.column("doc_id"), pa.array(total, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ("doc_id", "n_units", "spans", "kept"))
 
-    return both.join(fresh, "doc_id", "left").mapInArrow(run, "doc_id long, n_units long, spans array<long>, kept binary")
+    nameless = docs.where("doc_id IS NULL")  # they lose nothing, and would all meet in a join on the id
+    every = both.join(fresh, "doc_id", "left").unionByName(nameless, allowMissingColumns=True)
+    return every.mapInArrow(run, "doc_id long, n_units long, spans array<long>, kept binary")
 
 
 def removed_count(spans: str = "spans"):

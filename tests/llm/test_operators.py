@@ -107,6 +107,31 @@ def test_suffixes(docs, hot):
             assert (r.n_units, sum(r.spans[1::2]) - sum(r.spans[::2]), bytes(r.kept)) == (n, lost, bytes(kept)), r.doc_id
 
 
+def test_rows_of_one_id_send_each_run_once(spark):
+    """However often a document is repeated, its runs are as many as those of two rows."""
+    rows = [(1, PASSAGES[0] + " " + PASSAGES[1]), (2, sentence(5) + " " + PASSAGES[0]), (3, PASSAGES[1])]
+    sizes = []
+    for n in (2, 500):
+        many = spark.createDataFrame(rows + rows[1:2] * (n - 1), "doc_id long, text string").repartition(6).selectExpr("doc_id", "cast(text AS binary) AS text")
+        sizes.append({r.doc_id: len(r.runs) for r in shared.repeated_runs(many, shared.Units(20, 8, True, False, 2000), 4).collect()})
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 3
+
+
+def test_rows_without_id_lose_nothing(spark):
+    many = spark.createDataFrame([(1, PASSAGES[0]), (2, PASSAGES[0])] + [(None, PASSAGES[0])] * 50, "doc_id long, text string").repartition(5)
+    got = substrings.deduplicated(many).collect()
+    assert collections.Counter((r.doc_id, bool(r.spans), bytes(r.kept).decode()) for r in got) == {(1, False, PASSAGES[0]): 1, (2, True, ""): 1, (None, False, PASSAGES[0]): 50}
+
+
+def test_contexts_are_packed_by_the_buckets_that_occur():
+    rows = [(RNG.getrandbits(63), bytes([k % 250]) * (k % 9), k, 2 * k, 3 * k, 4 * k) for k in range(300)]
+    for buckets in (1, 7, 1_600_000):
+        packed = shared.pack_contexts(rows, buckets)
+        back = [tuple(r.values()) for raw in packed.column(1).to_pylist() for r in shared.unpack_contexts([raw]).to_pylist()]
+        assert sorted(back) == sorted(rows)
+        assert sorted(packed.column(0).to_pylist()) == sorted({h % buckets for h, *_ in rows})
+
+
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=40), st.integers(1, 5))
 @settings(max_examples=60, deadline=None)
 def test_automaton_first_ends(seq, window):
@@ -196,6 +221,26 @@ def test_decontamination_by_row(spark, docs, block):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_repeated_items_are_one(spark, docs, monkeypatch):
+    """500 equal rows among the items: the results are the same in one block and in many, and no block gets them all."""
+    rows = ITEMS + ITEMS[:1] * 500
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    sizes, made = [], decontaminate.Windows
+
+    class Counted(made):
+        def __init__(self, items, *more):
+            sizes.append(len(items))
+            super().__init__(items, *more)
+
+    monkeypatch.setattr(decontaminate, "Windows", Counted)
+    results = []
+    for block in (10**6, 60):
+        got = decontaminate.report(decontaminate.contaminated_spans(docs, bench, block_windows=block)).collect()
+        results.append(sorted(map(repr, got)))
+    assert results[0] == results[1]
+    assert max(sizes) < 200
+
+
 def test_item_pieces(spark):
     """Cut items have the windows of whole ones."""
     items = [(1, sentence(50)), (2, "Ab, cd."), (3, None), (4, ""), (None, sentence(13)), (5, sentence(14))]
