@@ -19,7 +19,7 @@ def roots(edges: DataFrame) -> DataFrame:
     left, rounds = known.count(), 0
     most = left
     while left:
-        if 1 << rounds > most:
+        if rounds > most.bit_length() + 1:
             raise ValueError("replaces in a circle")
         further = known.select("locate", F.col("ref").alias("root"), F.col("root").alias("_root"), F.col("hops").alias("_hops"))
         step = known.where("NOT done").join(further, ["locate", "root"], "left")
