@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lobspark.operators.selection import order_statistics
+
 
 def by(*cols: str):
     return Window.partitionBy(*cols)
@@ -43,9 +45,8 @@ def locf_grid(series: DataFrame, step: int) -> DataFrame:
 
 
 def order_statistic(df: DataFrame, key: str, x: str, index: Column, name: str) -> DataFrame:
-    """(key, name): the element of the sorted values at a 0-based index that may use ``n``."""
-    ranked = df.where(F.col(x).isNotNull()).select(key, x, F.row_number().over(by(key).orderBy(x)).alias("rn"), F.count("*").over(by(key)).alias("n"))
-    return ranked.where(F.col("rn") - 1 == index).select(key, F.col(x).alias(name))
+    """(key, name): the element of the sorted values at a 0-based index that may use ``n``; keys without one are left out."""
+    return order_statistics(df, key, x, {name: index}).where(F.col(name).isNotNull())
 
 
 def upper_median(df: DataFrame, key: str, x: str, name: str) -> DataFrame:

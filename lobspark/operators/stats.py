@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lobspark.functions.scalars import TICK, spread_ticks
 from lobspark.operators import series
+from lobspark.operators.selection import top_sums
 from lobspark.operators.series import by
 from lobspark.sources.tables import checkpointed
 
@@ -79,22 +80,20 @@ def loglog_slope(curve: DataFrame, most: int = 100, least_points: int = 5) -> Da
 def hill_alpha(df: DataFrame, x: str = "r", share: float = 0.05, least: int = 20, least_k: int = 10) -> DataFrame:
     """(symbol, n, k, alpha): over the non-zero absolute values, k over the sum of ln(x_i / x_{k+1}), largest first."""
     size = df.select("symbol", F.abs(x).alias("a")).where("a > 0")
-    ranked = size.select("symbol", "a", F.row_number().over(by("symbol").orderBy(F.desc("a"))).alias("rn"), F.count("*").over(by("symbol")).alias("n"))
-    ranked = ranked.withColumn("k", F.greatest(F.lit(least_k), F.floor(share * F.col("n"))).cast("long")).where("rn <= k + 1")
-    agg = ranked.groupBy("symbol").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.min("a").alias("edge"), F.sum(F.log("a")).alias("logs"))
-    alpha = F.col("k") / (F.col("logs") - (F.col("k") + 1) * F.log("edge"))
-    return agg.select("symbol", "n", "k", F.when(F.col("n") >= least, alpha).alias("alpha"))
+    k = lambda n: F.greatest(F.lit(least_k), F.floor(share * n)).cast("long")
+    sums = top_sums(size, "symbol", "a", k(F.col("n")) + 1, lambda a, edge: F.log(a) - F.log(edge))
+    alpha = F.when(F.col("above") > 0, k(F.col("n")) / F.col("above"))
+    return sums.select("symbol", "n", k(F.col("n")).alias("k"), F.when(F.col("n") >= least, alpha).alias("alpha"))
 
 
 def top_variance(df: DataFrame, x: str = "r", top: int = 10, least: int = 20) -> DataFrame:
     """(symbol, n, cv, vartop): of the absolute values, the coefficient of variation and the share of the centred sum of
     squares that the ``top`` largest deviations have."""
-    own = by("symbol")
     size = df.select("symbol", F.abs(x).alias("a"))
     dev = size.join(size.groupBy("symbol").agg(F.avg("a").alias("m")), "symbol")
-    dev = dev.select("symbol", "m", F.pow(F.col("a") - F.col("m"), 2).alias("d2"))
-    ranked = dev.withColumn("rn", F.row_number().over(own.orderBy(F.desc("d2"))))
-    agg = ranked.groupBy("symbol").agg(F.count("*").alias("n"), F.first("m").alias("m"), F.sum("d2").alias("s2"), F.sum(F.when(F.col("rn") <= top, F.col("d2"))).alias("t2"))
+    dev = checkpointed(dev.select("symbol", "m", F.pow(F.col("a") - F.col("m"), 2).alias("d2")))
+    sums = dev.groupBy("symbol").agg(F.count("*").alias("n"), F.first("m").alias("m"), F.sum("d2").alias("s2"))
+    agg = sums.join(top_sums(dev, "symbol", "d2", F.lit(top), lambda d, edge: d).select("symbol", F.col("above").alias("t2")), "symbol", "left")
     ok = (F.col("n") >= least) & (F.col("s2") > 0)
     return agg.select("symbol", "n", F.when(ok, F.sqrt(F.col("s2") / F.col("n")) / F.col("m")).alias("cv"), F.when(ok, F.col("t2") / F.col("s2")).alias("vartop"))
 

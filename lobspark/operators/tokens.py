@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
-from lobspark.operators.series import by, order_statistic
+from lobspark.operators.selection import order_statistics
+from lobspark.operators.series import by
 
 
 def size_edges(df: DataFrame, x: str, k: int = 8, key: str = "symbol") -> DataFrame:
@@ -27,8 +28,8 @@ def size_edges(df: DataFrame, x: str, k: int = 8, key: str = "symbol") -> DataFr
 def gap_edges(df: DataFrame, x: str, n_edges: int = 14, key: str = "symbol") -> DataFrame:
     """(key, edges): spaced evenly in the logarithm between the 0.1 % and 99.9 % order statistics of the positive gaps."""
     pos = df.where(F.col(x) > 0)
-    at = lambda q, name: order_statistic(pos, key, x, F.floor(q * (F.col("n") - 1) + 0.5), name)
-    ends = at(0.001, "lo").join(at(0.999, "hi"), key)
+    at = lambda q: F.floor(q * (F.col("n") - 1) + 0.5)
+    ends = order_statistics(pos, key, x, {"lo": at(0.001), "hi": at(0.999)})
     exact = F.transform(F.sequence(F.lit(0), F.lit(n_edges - 1)), lambda i: F.floor(F.exp(F.log("lo") + (F.log("hi") - F.log("lo")) * i / (n_edges - 1)) + 0.5))
     return ends.select(key, fn.bumped_edges(exact).alias("edges"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
 from lobspark.operators import series, stats
+from lobspark.operators.selection import order_statistics
 from lobspark.plans.common import COARSE, EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, coarse_series, decisions_sql, events, fills, price_series, rounded
 
 QUERIES: dict = {}
@@ -174,9 +175,9 @@ PS = (0.1, 0.5, 0.9, 0.99)
 SELECT symbol, p, gap FROM k JOIN (SELECT unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS p) q ON rn - 1 = CAST(floor(p * (n - 1)) AS BIGINT)""")
 def g02(spark, sf_dir):
     g = gaps(spark, sf_dir).where("sign = last_sign")
-    ranked = g.select("symbol", "gap", F.row_number().over(series.by("symbol").orderBy("gap")).alias("rn"), F.count("*").over(series.by("symbol")).alias("n"))
-    at = F.explode(F.filter(F.array(*map(F.lit, PS)), lambda p: F.floor(p * (F.col("n") - 1)) == F.col("rn") - 1))
-    return ranked.select("symbol", at.alias("p"), "gap")
+    at = order_statistics(g, "symbol", "gap", {f"p{i}": F.floor(p * (F.col("n") - 1)) for i, p in enumerate(PS)})
+    each = F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"p{i}").alias("gap")) for i, p in enumerate(PS)))
+    return at.select("symbol", F.explode(each).alias("q")).select("symbol", "q.*").where("gap IS NOT NULL")
 
 
 @query("f01_value_histogram", f"WITH {FILLS} SELECT shares, count(*) AS n FROM f GROUP BY shares ORDER BY n DESC, shares LIMIT 20")

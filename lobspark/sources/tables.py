@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lobspark.functions.scalars import clock, valid_edges
-from lobspark.operators.series import by
 from lobspark.sources.splits import allowed, split_of
 
 #: References of orders that come from a snapshot start here.
@@ -42,7 +41,7 @@ def snapshot_lines(resting: DataFrame, day: str, ts_ns: int) -> DataFrame:
 
     resting: locate, side, ord, price, shares as ``book.snapshot`` gives them, bids before asks.
     """
-    n = F.row_number().over(by("locate").orderBy("side", "ord")) + 1
+    n = F.row_number().over(Window.partitionBy("locate").orderBy("side", "ord")) + 1
     rows = resting.select("locate", n.cast("long").alias("line_no"), F.concat_ws(",", "side", "price", "shares").alias("line"))
     heads = resting.groupBy("locate").agg(F.count("*").alias("c"))
     head = F.concat_ws(" ", F.lit(MAGIC), F.concat(F.lit("ticker="), "locate"), F.lit(f"day={day}"), F.lit(f"ts_ns={ts_ns}"), F.concat(F.lit("orders="), "c"))

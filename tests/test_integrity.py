@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lobspark.operators import book, fold, integrity, lineage, scan, slices
+from lobspark.operators import book, fold, integrity, lineage, scan, selection, slices
 from lobspark.plans.books import feed
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +144,31 @@ def test_contexts_of_rejects(spark):
     df = spark.createDataFrame(rows, "locate long, seq long, us long, msg_type string, order_ref long, result string, side string, price long, bid long, ask long, open_orders long")
     got = [(r.seq, r.nth, r.before, r.after) for r in integrity.reject_contexts(df, 2, 1).orderBy("nth").collect()]
     assert got == [(4, 1, "3:X:Ok", "5:X:Ok"), (8, 2, "7:X:Ok", "9:X:Ok")]
+
+
+def draws(kind, n, rng):
+    return {
+        "double": lambda: rng.choice([rng.gauss(0, 1), rng.gauss(0, 1) * 1e-9, 3.5, 1e300 * rng.random(), -1e300]),
+        "few": lambda: rng.choice([1.0, 2.0, 2.5]),
+        "long": lambda: rng.choice([rng.randint(-10, 10), rng.randint(-(2**62), 2**62), 2**53 + rng.randint(0, 3)]),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["double", "few", "long"])
+@pytest.mark.parametrize("size", [700, 6000])
+def test_order_statistics_by_cells(spark, kind, size):
+    """Keys with more values than may be sorted together, at two sizes; ties, extremes, small keys and keys of one value."""
+    rng = random.Random(size)
+    draw = draws(kind, size, rng)
+    rows = [("hot", draw()) for _ in range(size)] + [("b", draw()) for _ in range(60)] + [("one", draw()), ("none", None), (None, draw())]
+    df = spark.createDataFrame(rows, f"k string, x {'long' if kind == 'long' else 'double'}").repartition(4)
+    wanted = {"least": F.lit(0), "low": F.floor(F.col("n") * 0.1), "mid": F.floor(F.col("n") / 2), "most": F.col("n") - 1, "beyond": F.col("n"), "below": F.lit(-1)}
+    got = {r.k: tuple(r)[1:] for r in selection.order_statistics(df, "k", "x", wanted, least=50).collect() if r.k}
+    values = {k: sorted(x for q, x in rows if q == k) for k in ("hot", "b", "one")}
+    assert got == {k: (v[0], v[int(len(v) * 0.1)], v[len(v) // 2], v[-1], None, None) for k, v in values.items()}
+
+
+def test_top_sums(spark):
+    rows = [("a", x) for x in [1.0, 2.0, 4.0, 4.0, 4.0, 8.0]] + [("b", 3.0)]
+    got = {r.k: tuple(r)[1:] for r in selection.top_sums(spark.createDataFrame(rows, "k string, x double"), "k", "x", F.lit(3), lambda x, edge: x).collect()}
+    assert got == {"a": (6, 3, 4.0, 16.0), "b": (1, 1, 3.0, 3.0)}
