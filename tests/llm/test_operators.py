@@ -364,6 +364,13 @@ def test_toxicity(spark):
     assert toxicity.scored(texts, None).count() == 503
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("aZäÖÞ×ßÿÀÉ 'éЖ日"), max_size=30))
+def test_lower_case_of_latin_1(text):
+    want = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in text)
+    assert toxicity.lowered(np.frombuffer(text.encode(), np.uint8)).tobytes().decode() == want
+
+
 def test_toxicity_grammar():
     entry = toxicity.Words(pa.array(["fool"])).h[0]
     g = toxicity.Grammar({int(entry): 2.0})
@@ -372,6 +379,10 @@ def test_toxicity_grammar():
     assert of("you are not a fool") == pytest.approx(0.9)
     assert of("he said you are a fool") == pytest.approx(1.5)
     assert of("not here. a fool") == 2.0
+    assert of("you aren't a fool") == of("you ain’t a fool") == pytest.approx(0.9)
+    assert of("ce n'est a fool") == pytest.approx(0.6)
+    assert of("ich werde dich TÖTEN") == of("ich werde dich töten") == toxicity.WEIGHTS[toxicity.THREAT]
+    assert of("they will you beaten") == toxicity.WEIGHTS[toxicity.THREAT] and of("beaten") == 0
     assert of("you say I will hurt") == toxicity.WEIGHTS[toxicity.THREAT] and of("a nice day") == 0
 
 
