@@ -70,16 +70,19 @@ def t11(spark, sf_dir):
     return df.select("id", F.array_join(fn.bumped_edges(F.col("raw")).cast("array<string>"), ",").alias("bumped"), fn.valid_edges(F.col("raw")).alias("valid"))
 
 
-def tokenized(spark, sf_dir):
+def tokenized(spark, sf_dir, all_hours=False):
     """The session's events of the replayed feed with their tokens. A gap is that to the event before in the same session.
 
-    What happens outside of the session changes the book, but makes no tokens and is no event that a gap begins at.
+    What happens outside of the session changes the book, but makes no tokens and is no event that a gap begins at. With
+    ``all_hours`` it makes tokens, too, with a gap of zero: for runs that rebuild a book from tokens alone.
     """
     r = replayed(spark, sf_dir, ranks=True)
     etype = F.when(F.col("msg_type").isin("A", "F"), "Add").when(F.col("msg_type") == "E", "ExecVisible").when(F.col("msg_type") == "X", "PartialCancel").otherwise("Delete")
-    r = r.withColumns({"day": F.floor(F.col("us") / DAY), "inside": fn.in_session_us(F.col("us"))}).where("inside")
-    dt = F.coalesce(F.col("us") - F.lag("us").over(series.by("locate", "day").orderBy("us", "seq")), F.lit(0)).cast("long")
-    e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), dt.alias("dt"))
+    r = r.withColumns({"day": F.floor(F.col("us") / DAY), "inside": fn.in_session_us(F.col("us"))})
+    gap = F.col("us") - F.lag("us").over(series.by("locate", "day", "inside").orderBy("us", "seq"))
+    dt = F.when(F.col("inside"), F.coalesce(gap, F.lit(0))).otherwise(0).cast("long")
+    r = r.withColumn("dt", dt).where("inside" if not all_hours else "true")
+    e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), "dt")
     a = adds_of(spark, sf_dir)
     edges = tk.size_edges(a, "size").withColumnRenamed("edges", "size_edges").join(tk.gap_edges(a, "dt").withColumnRenamed("edges", "dt_edges"), "symbol")
     return tk.encode(e.join(edges, "symbol"))
@@ -303,7 +306,7 @@ def m08(spark, sf_dir):
 @query("h04_token_loop")
 def h04(spark, sf_dir):
     """Daily token streams driven against live books: rejects by reason and stream. Sequential, so without SQL."""
-    t = tokenized(spark, sf_dir).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    t = tokenized(spark, sf_dir, all_hours=True).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
     body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "tokens"))), lambda s: s["tokens"]))
     s = t.groupBy("symbol", "day").agg(body.alias("tokens"), F.first("size_edges").alias("size_edges"), F.first("dt_edges").alias("dt_edges"))
     loop = actions.token_loop(s.withColumn("stream", F.col("symbol") * 100_000 + F.col("day")), 1_000_000)
@@ -311,7 +314,7 @@ def h04(spark, sf_dir):
 
 
 def ablation_events(spark, sf_dir):
-    t = tokenized(spark, sf_dir)
+    t = tokenized(spark, sf_dir, all_hours=True)
     r = replayed(spark, sf_dir).select(F.col("locate").alias("symbol"), "seq", "order_ref", "price")
     return t.join(r, ["symbol", "seq"]).withColumnRenamed("symbol", "locate")
 
@@ -337,7 +340,7 @@ def r01(spark, sf_dir):
 def x10(spark, sf_dir):
     """Token streams cut into slices of 50 events, each restarted from a seeded book: applied share and the first event
     without orders. Sequential within a slice: no SQL."""
-    t = tokenized(spark, sf_dir).withColumn("slice", F.floor((F.row_number().over(series.by("symbol").orderBy("us", "seq")) - 1) / 50))
+    t = tokenized(spark, sf_dir, all_hours=True).withColumn("slice", F.floor((F.row_number().over(series.by("symbol").orderBy("us", "seq")) - 1) / 50))
     body = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", "tokens"))), lambda s: s["tokens"]))
     s = t.groupBy("symbol", "slice").agg(body.alias("tokens"), F.first("size_edges").alias("size_edges"), F.first("dt_edges").alias("dt_edges"))
     loop = actions.token_loop(s.withColumn("stream", F.col("symbol") * 1_000_000 + F.col("slice")), 1_000_000)

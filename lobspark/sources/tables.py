@@ -93,11 +93,12 @@ LONG_FORM = "kind string, symbol string, side string, key long, a double, b doub
 
 
 def calibration_rows(adds: DataFrame, cancels: DataFrame, exposure: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The long form (``LONG_FORM``): flow rows with adds, cancels and exposure by distance, and size histograms."""
-    keys = ["locate", "side", "d"]
-    flow = adds.withColumnRenamed("n", "a").join(cancels.withColumnRenamed("n", "b"), keys, "full_outer").join(exposure, keys, "full_outer")
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    flow = flow.select(F.lit("flow").alias("kind"), F.col("locate").cast("string").alias("symbol"), "side", F.col("d").alias("key"), number("a").alias("a"), number("b").alias("b"), number("order_seconds").alias("c"))
+    """The long form (``LONG_FORM``): flow rows with adds, cancels and exposure by distance, noref rows with
+    what has no distance, and size histograms."""
+    parts = [df.select("locate", "side", "d", *(F.col(own).cast("double").alias(c) if c == name else F.lit(0.0).alias(c) for c in "abc")) for df, own, name in ((adds, "n", "a"), (cancels, "n", "b"), (exposure, "order_seconds", "c"))]
+    flow = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("locate", "side", "d").agg(*(F.sum(c).alias(c) for c in "abc"))
+    apart = F.col("d").isNull()  # messages that had no opposite best to be measured from
+    flow = flow.select(F.when(apart, "noref").otherwise("flow").alias("kind"), F.col("locate").cast("string").alias("symbol"), "side", F.coalesce("d", F.lit(0)).alias("key"), "a", "b", "c")
     zero = F.lit(0.0)
     size = sizes.select(F.concat("kind", F.lit("sz")).alias("kind"), F.col("symbol").cast("string").alias("symbol"), F.lit("-").alias("side"), F.col("shares").alias("key"), F.col("n").cast("double").alias("a"), zero.alias("b"), zero.alias("c"))
     return flow.unionByName(size)
