@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lobspark.functions import scalars as fn
 from lobspark.operators import book, fold, integrity, lineage, scan, slices
 from lobspark.plans.books import BBO, DAY, FEED, IN_SESSION, REJECTS, SNAP, feed
+from lobspark.plans import tokens as token_plans
 from lobspark.plans.tokens import TOKENS
+from lobspark.sources import frames
+from lobspark.sources.tables import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -144,3 +149,23 @@ def b15(spark, sf_dir):
     """The first 20 rejects of each book, with two messages on either side."""
     out = integrity.reject_contexts(fold.replay(book.noisy_feed(feed(spark, sf_dir))), 20, 2)
     return out.select("locate", "seq", "nth", "result", "msg_type", "before", "after")
+
+
+@query("s03_written_frames", f"""WITH {FEED} SELECT concat('s', locate) AS stream, row_number() OVER (PARTITION BY locate ORDER BY seq) - 1 AS seq, locate, us % {DAY} * 1000 AS ts_ns, msg_type, order_ref, side, CASE WHEN msg_type <> 'D' THEN shares END AS shares, price FROM msg""")
+def s03_written(spark, sf_dir):
+    """The feed as frames in a file for each instrument, written as a whole, and read back by ranges of 64 KB."""
+    m = feed(spark, sf_dir).select(F.concat(F.lit("s"), "locate").alias("stream"), "seq", "locate", (F.col("us") % DAY * 1000).alias("ts_ns"), "msg_type", "order_ref", "side", "shares", "price")
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    frames.write_frames(m, path, by="stream")
+    back = frames.messages(frames.read_frames(spark, path, range_bytes=1 << 16))
+    return back.select(F.element_at(F.split("path", "/"), -1).alias("stream"), "seq", "locate", "ts_ns", "msg_type", "order_ref", "side", "shares", "price")
+
+
+@query("s09_written_tokens", token_plans.SQL["t08_framed_streams"])
+def s09_written(spark, sf_dir):
+    """The daily token streams as token files, and what is read back from them."""
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    streams = token_plans.QUERIES["t08_framed_streams"](spark, sf_dir)
+    frames.write_tokens(streams.select(F.concat_ws("_", "symbol", "day").alias("symbol"), "place", "token"), path)
+    back = frames.read_tokens(spark, path).select(F.split("ticker", "_").alias("t"), F.posexplode("tokens").alias("place", "token"))
+    return back.select(F.col("t")[0].cast("long").alias("symbol"), F.col("t")[1].cast("long").alias("day"), F.col("place").cast("long").alias("place"), "token")

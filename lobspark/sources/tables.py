@@ -16,15 +16,20 @@ WARM_REF = 1 << 60
 MAGIC = "# oftk-warm-book v1"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``, so that what follows several times is computed once and survives a
-    lost executor. Where that is unset a local session gets a folder; a cluster must set it."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset a local session gets one; a cluster must set it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that what follows several times is computed once and survives a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
