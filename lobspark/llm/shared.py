@@ -657,7 +657,11 @@ def removed_spans(docs: DataFrame, units: Units, decide: Callable[[pa.Table], li
             yield pa.RecordBatch.from_arrays(columns, ("doc_id", "n_units", "spans", "kept"))
 
     nameless = docs.where("doc_id IS NULL")  # they lose nothing, and would all meet in a join on the id
-    every = both.join(fresh, "doc_id", "left").unionByName(nameless, allowMissingColumns=True)
+    joined = both.join(fresh, "doc_id", "left")
+    none = nameless.select("doc_id", "text", *(F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in joined.columns if c not in nameless.columns))
+    # under other names, else the union keeps an alias of the id on one side, and Spark sees two dealings of the texts
+    apart = lambda df: df.select(*(F.col(c).alias(f"{c}_") for c in joined.columns))
+    every = apart(joined).union(apart(none)).toDF(*joined.columns)
     return every.mapInArrow(run, "doc_id long, n_units long, spans array<long>, kept binary")
 
 
