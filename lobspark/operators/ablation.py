@@ -82,7 +82,7 @@ def _step(book: Book, e: dict) -> tuple:
 def ablated(events: DataFrame, mode: str) -> DataFrame:
     """A row of ``OUT`` for each event under a mode; ``Emitted`` rows are the messages of the ablated stream."""
     cols = ["locate", "seq", "us", "etype", "order_ref", "side", "price", "size", "has_px", "lvl_off", "clock", "by_level", "by_queue"]
-    dealt = substituted(events, mode).where("locate IS NOT NULL").select(*cols).repartition("locate").sortWithinPartitions("locate", "us", "seq")
+    dealt = substituted(events, mode).where("locate IS NOT NULL").select(*cols).repartition(F.xxhash64("locate")).sortWithinPartitions("locate", "us", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, book = None, Book()

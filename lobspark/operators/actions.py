@@ -159,7 +159,7 @@ def closed_loop(actions: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """An ``OUTCOME`` row for each action (stream, seq, kind limit/market/cancel, side, price, shares), every stream
     against a book of its own. An action's own reference is its seq. Streams without an id have no book and are left out.
     """
-    dealt = actions.where("stream IS NOT NULL").select("stream", "seq", "kind", "side", "price", "shares").repartition("stream").sortWithinPartitions("stream", "seq")
+    dealt = actions.where("stream IS NOT NULL").select("stream", "seq", "kind", "side", "price", "shares").repartition(F.xxhash64("stream")).sortWithinPartitions("stream", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, book = None, Book()

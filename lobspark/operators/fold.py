@@ -137,7 +137,7 @@ def replay(messages: DataFrame) -> DataFrame:
     time and reads its messages batch by batch. Messages with a NULL locate are dropped with their instrument's
     group: they have no book.
     """
-    dealt = messages.where("locate IS NOT NULL").select(*Message._fields).repartition("locate").sortWithinPartitions("locate", "us", "seq")
+    dealt = messages.where("locate IS NOT NULL").select(*Message._fields).repartition(F.xxhash64("locate")).sortWithinPartitions("locate", "us", "seq")
     names = [f.split() for f in SCHEMA.replace("\n", " ").split(",")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t] for _, t in names]
 

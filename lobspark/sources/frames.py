@@ -179,7 +179,7 @@ def write_frames(msgs: DataFrame, path: str, by: str = "path", order: str = "seq
     if parts:
         framed = framed.repartitionByRange(parts, "file", order).withColumn("file", F.concat_ws(".", "file", F.lpad(F.spark_partition_id().cast("string"), 6, "0")))
     else:
-        framed = framed.repartition("file")
+        framed = framed.repartition(F.xxhash64("file"))
     content = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("body").cast("long")), 4, "0")), "body")
     sinks.write_bytes(framed.sortWithinPartitions("file", order).select("file", content.alias("content")), path)
     return framed.groupBy("file").agg(F.count("*").alias("frames"))
@@ -196,7 +196,7 @@ def write_tokens(tokens: DataFrame, path: str, at_once: int = 4096) -> None:
     runs = tokens.groupBy(name.alias("name"), F.floor(F.col("place") / at_once).alias("run")).agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
     hexed = F.transform("t", lambda t: F.concat(*(F.lpad(F.hex(F.shiftright(t["token"].cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(2))))
     body = runs.select("name", "run", F.unhex(F.array_join(hexed, "")).alias("content"))
-    rows = heads.unionByName(body).repartition("name").sortWithinPartitions("name", "run")
+    rows = heads.unionByName(body).repartition(F.xxhash64("name")).sortWithinPartitions("name", "run")
     sinks.write_bytes(rows.select(F.concat("name", F.lit(".oftk")).alias("file"), "content"), path)
 
 

@@ -57,7 +57,7 @@ def snapshot_lines(resting: DataFrame, day: str, ts_ns: int) -> DataFrame:
 def write_snapshots(resting: DataFrame, path: str, day: str, ts_ns: int) -> None:
     """One folder for each instrument, each with one ordered text file."""
     lines = snapshot_lines(resting, day, ts_ns)
-    lines.repartition("locate").sortWithinPartitions("locate", "line_no").select("locate", "line").write.partitionBy("locate").text(safe_path(resting.sparkSession, path))
+    lines.repartition(F.xxhash64("locate")).sortWithinPartitions("locate", "line_no").select("locate", "line").write.partitionBy("locate").text(safe_path(resting.sparkSession, path))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

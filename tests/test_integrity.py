@@ -172,3 +172,11 @@ def test_top_sums(spark):
     rows = [("a", x) for x in [1.0, 2.0, 4.0, 4.0, 4.0, 8.0]] + [("b", 3.0)]
     got = {r.k: tuple(r)[1:] for r in selection.top_sums(spark.createDataFrame(rows, "k string, x double"), "k", "x", F.lit(3), lambda x, edge: x).collect()}
     assert got == {"a": (6, 3, 4.0, 16.0), "b": (1, 1, 3.0, 3.0)}
+
+
+def test_a_fold_deals_its_rows_after_a_join_on_the_key(spark):
+    """Spark leaves out a dealing by a join's own key, and then reads the rows where they lie if the join turns into a broadcast."""
+    messages = feed(spark, SF).withColumn("new_ref", F.lit(None).cast("bigint"))
+    joined = messages.join(messages.groupBy("locate").agg(F.max("seq").alias("most")).hint("merge"), "locate")
+    plan = fold.replay(joined)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("REPARTITION_BY_COL") < plan.index("SortMergeJoin")
