@@ -180,10 +180,10 @@ def o03(spark, sf_dir):
     return a.join(series.upper_median(t, "locate", "sp", "med"), "locate", "left")
 
 
-@query("y02_event_mids", f"WITH {FEED}, {BBO} SELECT locate, seq, (bid + ask) / 20000.0 AS mid, (ask - bid + 50) // 100 AS spread FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL AND {IN_SESSION}")
+@query("y02_event_mids", f"WITH {FEED}, {BBO} SELECT locate, seq, (bid + ask) / 20000.0 AS mid, (ask - bid + 50) // 100 AS spread FROM bbo WHERE bid IS NOT NULL AND ask IS NOT NULL")
 def y02(spark, sf_dir):
-    """The session's observations with both sides."""
-    r = replayed(spark, sf_dir).where("bid IS NOT NULL AND ask IS NOT NULL").where(fn.in_session_us(F.col("us")))
+    """All observations with both sides, at any hour."""
+    r = replayed(spark, sf_dir).where("bid IS NOT NULL AND ask IS NOT NULL")
     return r.select("locate", "seq", ((F.col("bid") + F.col("ask")) / 20000.0).alias("mid"), fn.spread_ticks(F.col("bid"), F.col("ask")).alias("spread"))
 
 
