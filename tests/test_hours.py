@@ -18,3 +18,11 @@ def test_event_mids_of_all_hours(spark):
     got = {(r.locate, r.seq) for r in queries()["y02_event_mids"](spark, SF).collect()}
     both = book.replay(feed(spark, SF), depth=False, ranks=False).where("bid IS NOT NULL AND ask IS NOT NULL").collect()
     assert got == {(r.locate, r.seq) for r in both} and not all(_inside(r.us) for r in both)
+
+
+def test_two_sided_fraction_of_all_hours(spark):
+    two = F.col("bid").isNotNull() & F.col("ask").isNotNull()
+    r = book.replay(feed(spark, SF), depth=False, ranks=False).withColumn("two", two)
+    want = {x.locate: (x.a, x.s) for x in r.groupBy("locate").agg(F.round(F.avg(F.col("two").cast("double")), 6).alias("a"), F.round(F.avg(F.when(fn.in_session_us(F.col("us")), F.col("two").cast("double"))), 6).alias("s")).collect()}
+    got = {x.locate: x.two_sided for x in queries()["y13_two_sided_fraction"](spark, SF).collect()}
+    assert got == {k: a for k, (a, _) in want.items()} and any(a != s for a, s in want.values())
