@@ -74,7 +74,7 @@ def tokenized(spark, sf_dir, all_hours=False):
     """The session's events of the replayed feed with their tokens. A gap is that to the event before in the same session.
 
     What happens outside of the session changes the book, but makes no tokens and is no event that a gap begins at. With
-    ``all_hours`` it makes tokens, too, with a gap of zero: for runs that rebuild a book from tokens alone.
+    ``all_hours`` it makes tokens, too, with a gap of zero: every event of the feed, as runs need that rebuild a book from tokens alone.
     """
     r = replayed(spark, sf_dir, ranks=True)
     etype = F.when(F.col("msg_type").isin("A", "F"), "Add").when(F.col("msg_type") == "E", "ExecVisible").when(F.col("msg_type") == "X", "PartialCancel").otherwise("Delete")
@@ -97,9 +97,14 @@ tok AS (SELECT *, CASE WHEN msg_type IN ('A', 'F') THEN 7 WHEN msg_type = 'E' TH
   CASE WHEN NOT has_px THEN 0 WHEN off > 10 THEN 27 ELSE off + 16 END AS t3, 28 + len(list_filter(es, lambda x: x <= size)) AS t4, CASE WHEN dt <= 0 THEN 36 ELSE 37 + len(list_filter(eg, lambda x: x <= dt)) END AS t5 FROM evs)"""
 
 
-@query("t04_event_tokens", f"WITH {FEED}, {BBO}, {TOKENS} SELECT symbol, seq, size, dt, concat_ws(' ', t1, t2, t3, t4, t5) AS tokens FROM tok")
+#: The same with the events outside of the session, whose gap is zero.
+ALL_TOKENS = TOKENS.replace(" WHERE prev.inside)", ")")
+
+
+@query("t04_event_tokens", f"WITH {FEED}, {BBO}, {ALL_TOKENS} SELECT symbol, seq, size, dt, concat_ws(' ', t1, t2, t3, t4, t5) AS tokens FROM tok")
 def t04(spark, sf_dir):
-    return tokenized(spark, sf_dir).select("symbol", "seq", "size", "dt", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+    """Every event of the feed, at any hour."""
+    return tokenized(spark, sf_dir, all_hours=True).select("symbol", "seq", "size", "dt", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
 
 def days(spark, sf_dir):

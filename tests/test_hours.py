@@ -26,3 +26,11 @@ def test_two_sided_fraction_of_all_hours(spark):
     want = {x.locate: (x.a, x.s) for x in r.groupBy("locate").agg(F.round(F.avg(F.col("two").cast("double")), 6).alias("a"), F.round(F.avg(F.when(fn.in_session_us(F.col("us")), F.col("two").cast("double"))), 6).alias("s")).collect()}
     got = {x.locate: x.two_sided for x in queries()["y13_two_sided_fraction"](spark, SF).collect()}
     assert got == {k: a for k, (a, _) in want.items()} and any(a != s for a, s in want.values())
+
+
+def test_event_tokens_of_all_hours(spark):
+    m = feed(spark, SF).collect()
+    got = {(r.symbol, r.seq): r.dt for r in queries()["t04_event_tokens"](spark, SF).collect()}
+    assert set(got) == {(r.locate, r.seq) for r in m}
+    outside = [got[r.locate, r.seq] for r in m if not _inside(r.us)]
+    assert outside and set(outside) == {0}
