@@ -34,3 +34,9 @@ def test_event_tokens_of_all_hours(spark):
     assert set(got) == {(r.locate, r.seq) for r in m}
     outside = [got[r.locate, r.seq] for r in m if not _inside(r.us)]
     assert outside and set(outside) == {0}
+
+
+def test_token_inverse_of_all_hours(spark):
+    m = feed(spark, SF).collect()
+    got = queries()["t15_token_inverse"](spark, SF).collect()
+    assert sum(r.n for r in got) == len(m) > sum(_inside(r.us) for r in m) and not any(r.wrong for r in got)
