@@ -136,9 +136,10 @@ def t15(spark, sf_dir):
     return again.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"))
 
 
-@query("t17_token_shares", f"WITH {FEED}, {BBO}, {TOKENS}, h AS (SELECT symbol, t3 AS token, count(*) AS n FROM tok GROUP BY ALL) SELECT symbol, CAST(token AS BIGINT) AS token, n, round(n / sum(n) OVER (PARTITION BY symbol), 6) AS share FROM h")
+@query("t17_token_shares", f"WITH {FEED}, {BBO}, {ALL_TOKENS}, h AS (SELECT symbol, t3 AS token, count(*) AS n FROM tok GROUP BY ALL) SELECT symbol, CAST(token AS BIGINT) AS token, n, round(n / sum(n) OVER (PARTITION BY symbol), 6) AS share FROM h")
 def t17(spark, sf_dir):
-    h = tokenized(spark, sf_dir).groupBy("symbol", F.element_at("tokens", 3).alias("token")).agg(F.count("*").alias("n"))
+    """Of every event, at any hour."""
+    h = tokenized(spark, sf_dir, all_hours=True).groupBy("symbol", F.element_at("tokens", 3).alias("token")).agg(F.count("*").alias("n"))
     return h.select("symbol", "token", "n", F.round(F.col("n") / F.sum("n").over(series.by("symbol")), 6).alias("share"))
 
 

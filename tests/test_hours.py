@@ -40,3 +40,9 @@ def test_token_inverse_of_all_hours(spark):
     m = feed(spark, SF).collect()
     got = queries()["t15_token_inverse"](spark, SF).collect()
     assert sum(r.n for r in got) == len(m) > sum(_inside(r.us) for r in m) and not any(r.wrong for r in got)
+
+
+def test_token_shares_of_all_hours(spark):
+    m = feed(spark, SF).collect()
+    got = queries()["t17_token_shares"](spark, SF).collect()
+    assert sum(r.n for r in got) == len(m) > sum(_inside(r.us) for r in m)
