@@ -47,11 +47,12 @@ def exposure(messages: DataFrame) -> DataFrame:
     facing = F.when(F.col("side") == "B", "S").otherwise("B").alias("side")
     best = book.best_changes(rows).select("locate", facing, "pos", "best")
     moved = best.withColumn("old", F.lag("best").over(own)).where(~F.col("best").eqNullSafe(F.col("old"))).drop("old")
-    opp = moved.join(rows.select("locate", "pos", "us"), ["locate", "pos"]).withColumn("o_to", F.lead("us").over(own))
+    opp = moved.join(rows.select("locate", "pos", "us").hint("merge"), ["locate", "pos"]).withColumn("o_to", F.lead("us").over(own))
     # stretches of a level that are live when the best changes
     nodes = pieces.select("locate", "side", "price", "orders", "to", F.explode(book.spans("pos", "until", depth)).alias("n")).select("locate", "side", "price", "orders", "to", "n.*")
     asked = opp.where("best IS NOT NULL").select("locate", "side", "best", F.col("us").alias("since"), "o_to", F.explode(book.paths("pos", depth)).alias("n")).select("locate", "side", "best", "since", "o_to", "n.*")
-    standing = asked.join(nodes, ["locate", "side", "l", "node", "salt"]).select("locate", "side", "price", "orders", "best", "since", "to", "o_to")
+    # by a merge, as above: Spark takes the size before rows are exploded for theirs, and would broadcast them
+    standing = asked.join(nodes.hint("merge"), ["locate", "side", "l", "node", "salt"]).select("locate", "side", "price", "orders", "best", "since", "to", "o_to")
     # stretches that begin under a best
     both = pieces.select("locate", "side", "pos", "us", F.struct("price", "orders", "to").alias("piece"), F.lit(None).cast("struct<best:bigint,o_to:bigint>").alias("opp"))
     both = both.unionByName(opp.select("locate", "side", "pos", "us", F.lit(None).cast("struct<price:bigint,orders:bigint,to:bigint>").alias("piece"), F.struct("best", "o_to").alias("opp")))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lobspark.operators import book, fold, integrity, lineage, scan, selection, slices
+from lobspark.operators import book, calibration, fold, integrity, lineage, scan, selection, slices
 from lobspark.plans.books import feed
 
 SF = "/root/testdata/sf0.001"
@@ -180,3 +180,11 @@ def test_a_fold_deals_its_rows_after_a_join_on_the_key(spark):
     joined = messages.join(messages.groupBy("locate").agg(F.max("seq").alias("most")).hint("merge"), "locate")
     plan = fold.replay(joined)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("REPARTITION_BY_COL") < plan.index("SortMergeJoin")
+
+
+def test_exposure_broadcasts_no_rows_that_grow_with_messages(spark):
+    """Exploded rows look small to Spark: one row an instrument may be broadcast, the stretches and messages are merged."""
+    plan = calibration.exposure(feed(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [" in line]
+    assert sum("SortMergeJoin" in j for j in joins) >= 3
+    assert not any("BroadcastHashJoin" in j and ("node#" in j or "pos#" in j) for j in joins)
