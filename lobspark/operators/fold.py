@@ -46,13 +46,17 @@ class Book:
         n = len(p) - bisect_left(p, price + 1) if side == "B" else at
         return True, -1 if n == 0 and price not in self.levels[side] else n
 
+    def crosses(self, side: str, price: int) -> bool:
+        """Whether an order at the price would meet the opposite best."""
+        other = self.best("S" if side == "B" else "B")
+        return other is not None and (price >= other if side == "B" else price <= other)
+
     def add(self, ref: int, side: str, shares: int, price: int) -> str:
         if shares <= 0:
             return "ZeroShares"
         if ref in self.orders:
             return "DuplicateId"
-        other = self.best("S" if side == "B" else "B")
-        if other is not None and (price >= other if side == "B" else price <= other):
+        if self.crosses(side, price):
             return "WouldCross"
         self.rest(ref, side, shares, price)
         self.ledger["added"] += shares
@@ -98,8 +102,7 @@ class Book:
             return "DuplicateId"
         if shares <= 0:
             return "ZeroShares"
-        other = self.best("S" if side == "B" else "B")
-        if other is not None and (price >= other if side == "B" else price <= other):
+        if self.crosses(side, price):
             return "WouldCross"
         self.reduce(ref, None, "canceled")
         return self.add(new, side, shares, price)

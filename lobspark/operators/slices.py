@@ -5,7 +5,8 @@ the messages accepted before, once it is known which those are. So slices first
 were accepted; then each slice's start is computed anew from what the slices before it have accepted, and slices whose
 start has changed run again, until none has. Then every slice has run from the book that the slices before it leave,
 and by induction all is as if run in one go. A slice's verdicts mostly don't hang on a few wrong orders deep in its
-book, so two or three rounds are usual; there are never more than slices of an instrument and one.
+book, so a few rounds are usual; there are never more than slices of an instrument and one. Orders of a guessed book that
+cross earlier ones of it are left out, since they would have all that follow refused; a true book has none.
 """
 
 from __future__ import annotations
@@ -24,6 +25,13 @@ MORE = "new_ref long, said_shares long, said_price long, pos long, slice long"
 STATE = "locate long, slice long, order_ref long, side string, price long, shares long, arrival long"
 
 
+def fitting(messages: DataFrame, least: int, slices: int = 16) -> int:
+    """Messages to a slice, so that an instrument has at most so many slices: each is handed its whole book, so that what is handed
+    on is at most ``slices`` books of an instrument, however long its stream is."""
+    most = messages.where("locate IS NOT NULL").groupBy("locate").count().agg(F.max("count")).first()[0] or 0
+    return max(least, -(-most // slices))
+
+
 def cut(messages: DataFrame, slice_messages: int) -> DataFrame:
     """``messages`` with their number in the instrument (pos) and their slice, without a task that holds an instrument."""
     fields = [f for f in fold.Message._fields if f != "locate"]
@@ -88,7 +96,9 @@ def run_slices(messages: DataFrame, state: DataFrame, only: DataFrame | None = N
                 if (m.locate, part) != now:
                     now, held = (m.locate, part), fold.Book()
                 if kind == 0:
-                    held.rest(m.order_ref, m.side, m.shares, m.price)
+                    # no book holds orders that cross: of a guessed one that does, the later order was refused
+                    if not held.crosses(m.side, m.price):
+                        held.rest(m.order_ref, m.side, m.shares, m.price)
                 else:
                     rows.append((*fold.step(held, m), m.new_ref, m.shares, m.price, pos, part))
             cells = zip(*rows, strict=True) if rows else [()] * len(names)

@@ -188,3 +188,14 @@ def test_exposure_broadcasts_no_rows_that_grow_with_messages(spark):
     joins = [line for line in plan.split("\n") if "Join [" in line]
     assert sum("SortMergeJoin" in j for j in joins) >= 3
     assert not any("BroadcastHashJoin" in j and ("node#" in j or "pos#" in j) for j in joins)
+
+
+def test_slices_grow_with_the_stream(spark):
+    """An instrument has at most so many slices, each of which is handed its book; the results are the fold's."""
+    noisy = book.noisy_feed(feed(spark, SF)).where("locate <= 2")
+    size = slices.fitting(noisy, 1, 4)
+    assert size == -(-max(r["count"] for r in noisy.groupBy("locate").count().collect()) // 4) and slices.fitting(noisy, 10_000) == 10_000
+    got, rounds = slices.replay(noisy, size)
+    want = fold.replay(noisy)
+    assert rounds[0] <= 8 and rounds[-1] == 0
+    assert got.count() == want.count() and not got.select(*want.columns).exceptAll(want).count()
