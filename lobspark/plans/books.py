@@ -130,7 +130,7 @@ def b13(spark, sf_dir):
     """What the fold accepts, with each U as a pair, replayed by relations: the books are the same after each message."""
     noisy = book.noisy_feed(feed(spark, sf_dir))
     held = fold.replay(noisy).where("result = 'Ok'").select("locate", "seq", F.col("side").alias("own"))
-    ok = fold.expand_replaces(noisy.join(held, ["locate", "seq"]).withColumn("side", F.coalesce("side", "own")).drop("own"))
+    ok = checkpointed(fold.expand_replaces(noisy.join(held, ["locate", "seq"]).withColumn("side", F.coalesce("side", "own")).drop("own")))  # read by both replays
     names = ("bid", "bid_shares", "ask", "ask_shares", "open_orders", "levels", "has_px", "lvl_off")
     a = fold.replay(ok).select("locate", "seq", F.struct(*names).alias("a"))
     b = book.replay(ok).select("locate", "seq", F.struct(*names).alias("b"))

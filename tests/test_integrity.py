@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lobspark.operators import book, calibration, fold, integrity, lineage, scan, selection, slices
+from __spark_entry__ import queries
+from lobspark.operators import ablation, book, calibration, fold, integrity, lineage, scan, selection, slices
 from lobspark.plans.books import feed
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +200,12 @@ def test_slices_grow_with_the_stream(spark):
     want = fold.replay(noisy)
     assert rounds[0] <= 8 and rounds[-1] == 0
     assert got.count() == want.count() and not got.select(*want.columns).exceptAll(want).count()
+
+
+def test_both_replays_of_what_was_accepted_read_it_once(spark, monkeypatch):
+    """The fold that says what is accepted runs once, not again for each of the two replays."""
+    plans = []
+    through = fold.replay
+    monkeypatch.setattr(fold, "replay", lambda m: plans.append(m._jdf.queryExecution().optimizedPlan().toString()) or through(m))
+    queries()["b13_accepted_replay"](spark, SF)
+    assert len(plans) == 2 and "MapInArrow" not in plans[1]
