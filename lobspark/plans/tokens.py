@@ -70,11 +70,11 @@ def t11(spark, sf_dir):
     return df.select("id", F.array_join(fn.bumped_edges(F.col("raw")).cast("array<string>"), ",").alias("bumped"), fn.valid_edges(F.col("raw")).alias("valid"))
 
 
-def tokenized(spark, sf_dir, all_hours=False):
+def tokenized(spark, sf_dir, all_hours=False, more=()):
     """The session's events of the replayed feed with their tokens. A gap is that to the event before in the same session.
 
     What happens outside of the session changes the book, but makes no tokens and is no event that a gap begins at. With
-    ``all_hours`` it makes tokens, too, with a gap of zero: every event of the feed, as runs need that rebuild a book from tokens alone.
+    ``all_hours`` it makes tokens, too, with a gap of zero: every event of the feed, as runs need that rebuild a book from tokens alone. more: columns of the replay to keep.
     """
     r = replayed(spark, sf_dir, ranks=True)
     etype = F.when(F.col("msg_type").isin("A", "F"), "Add").when(F.col("msg_type") == "E", "ExecVisible").when(F.col("msg_type") == "X", "PartialCancel").otherwise("Delete")
@@ -82,7 +82,7 @@ def tokenized(spark, sf_dir, all_hours=False):
     gap = F.col("us") - F.lag("us").over(series.by("locate", "day", "inside").orderBy("us", "seq"))
     dt = F.when(F.col("inside"), F.coalesce(gap, F.lit(0))).otherwise(0).cast("long")
     r = r.withColumn("dt", dt).where("inside" if not all_hours else "true")
-    e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), "dt")
+    e = r.select(F.col("locate").alias("symbol"), "seq", "us", etype.alias("etype"), "side", "has_px", "lvl_off", F.col("shares").alias("size"), "dt", *more)
     a = adds_of(spark, sf_dir)
     edges = tk.size_edges(a, "size").withColumnRenamed("edges", "size_edges").join(tk.gap_edges(a, "dt").withColumnRenamed("edges", "dt_edges"), "symbol")
     return tk.encode(e.join(edges, "symbol"))
@@ -320,9 +320,7 @@ def h04(spark, sf_dir):
 
 
 def ablation_events(spark, sf_dir):
-    t = tokenized(spark, sf_dir, all_hours=True)
-    r = replayed(spark, sf_dir).select(F.col("locate").alias("symbol"), "seq", "order_ref", "price")
-    return t.join(r, ["symbol", "seq"]).withColumnRenamed("symbol", "locate")
+    return tokenized(spark, sf_dir, all_hours=True, more=("order_ref", "price")).withColumnRenamed("symbol", "locate")
 
 
 @query("r01_ablation_control", f"WITH {FEED} SELECT locate, count(*) AS emitted, CAST(0 AS BIGINT) AS no_order, CAST(0 AS BIGINT) AS zero, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS clamped, CAST(0 AS BIGINT) AS price_moved, CAST(0 AS BIGINT) AS ref_moved FROM msg GROUP BY locate")
@@ -334,7 +332,7 @@ def r01_control(spark, sf_dir):
 @query("r01_ablation_modes")
 def r01(spark, sf_dir):
     """All modes' accounts. What a replaced field does to later events depends on the live book: no SQL."""
-    e = ablation_events(spark, sf_dir)
+    e = tables.checkpointed(ablation_events(spark, sf_dir))  # read by each mode
     out = None
     for mode in ("dt", "size", "pxadd", "all", "noref"):
         part = ablation.accounting(ablation.ablated(e, mode)).withColumn("mode", F.lit(mode))

@@ -209,3 +209,13 @@ def test_both_replays_of_what_was_accepted_read_it_once(spark, monkeypatch):
     monkeypatch.setattr(fold, "replay", lambda m: plans.append(m._jdf.queryExecution().optimizedPlan().toString()) or through(m))
     queries()["b13_accepted_replay"](spark, SF)
     assert len(plans) == 2 and "MapInArrow" not in plans[1]
+
+
+def test_ablation_modes_read_the_tokens_once(spark, monkeypatch):
+    """The book is replayed once, and the modes read stored events."""
+    plans, replays = [], []
+    through, replay = ablation.ablated, book.replay
+    monkeypatch.setattr(ablation, "ablated", lambda e, mode: plans.append(e._jdf.queryExecution().optimizedPlan().toString()) or through(e, mode))
+    monkeypatch.setattr(book, "replay", lambda *a, **k: replays.append(1) or replay(*a, **k))
+    queries()["r01_ablation_modes"](spark, SF)
+    assert len(replays) == 1 and len(plans) == 5 and not any("Window" in p or "Join" in p for p in plans)
