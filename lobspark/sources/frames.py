@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from lobspark.functions.scalars import BODY_LENGTH
 from lobspark.sources import ranges, sinks
 from lobspark.sources.splits import guarded
-from lobspark.sources.tables import checkpointed
 
 #: Where a field's bytes stand in a body, by type (fixed values of the wire format): offset and length.
 FIELDS = {
@@ -62,7 +61,7 @@ def read_frames(spark: SparkSession, path: str, allow_test: bool = False, range_
     first = files.select("path").first()
     if first and not ranges.readable(first.path):
         return read_whole_frames(spark, path, allow_test)
-    return ranges.frames_of(checkpointed(ranges.index(files, range_bytes)))
+    return ranges.frames_of(ranges.index(files, range_bytes))
 
 
 def read_whole_frames(spark: SparkSession, path: str, allow_test: bool = False) -> DataFrame:

@@ -4,13 +4,15 @@ Where a frame begins is known only by following the lengths from the file's star
 a frame could begin in it: it becomes a function from its first frame's place to the place where the first frame after it
 begins, with the number of frames between. Such functions compose, so blocks of ranges are composed in parallel, one pass
 over a file's blocks finds where each block truly begins, and each block then its ranges. After that, ranges are read on
-their own, with the frames' numbers and offsets known.
+their own, with the frames' numbers and offsets known. Neighbours among small ranges are followed as one span, as most of the
+work is in a span's first bytes, and divided once its first frame is known.
 
 The bytes come through ``pyarrow.fs``, which reads ranges of local, HDFS and object stores.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,8 +25,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a range, and ranges of a block.
-RANGE_BYTES, BLOCK_RANGES = 64 << 20, 256
+from lobspark.sources.tables import checkpointed
+
+#: Bytes of a range, ranges of a block, and bytes that are followed as one at least.
+RANGE_BYTES, BLOCK_RANGES, SPAN_BYTES = 64 << 20, 256, 4 << 20
 
 #: A frame takes at most so many bytes: the first one of a range begins before this place in it, or after the range.
 REACH = 2 + 0xFFFF
@@ -150,14 +154,24 @@ def ranges_of(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return each.select("path", "no", a.alias("a"), F.least(a + range_bytes, "length").alias("b"), F.col("length").alias("size"))
 
 
-def index(files: DataFrame, range_bytes: int = RANGE_BYTES, block_ranges: int = BLOCK_RANGES) -> DataFrame:
+def spread(rows: DataFrame) -> DataFrame:
+    """Ranges dealt to a task each, up to four for each core, and beyond these to one for each ``RANGE_BYTES``.
+
+    The number is given, as rows of ranges are so short that Spark would merge all of them into one task.
+    """
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("b") - F.col("a")), F.lit(0))).first()
+    most = max(4 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES))
+    return rows.repartition(max(1, min(n, most)), "path", "no")
+
+
+def index(files: DataFrame, range_bytes: int = RANGE_BYTES, block_ranges: int = BLOCK_RANGES, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """(path, no, a, b, size, start, first, stop): where the first frame of each range begins and its number in the file, and
-    where the range's last frame ends. From a malformed frame on these are -1.
+    where the range's last frame ends. From a malformed frame on these are -1. Stored in the shared folder.
 
-    A range's function takes some ten thousand bytes, and a group is a block's functions, or a file's blocks.
+    A span's function takes some ten thousand bytes, and a group is a block's functions, or a file's blocks.
     """
-    rows = ranges_of(files, range_bytes)
-    size = range_bytes  # of all ranges but a file's last
+    each = max(1, span_bytes // range_bytes)
+    rows = ranges_of(files, each * range_bytes)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +180,7 @@ def index(files: DataFrame, range_bytes: int = RANGE_BYTES, block_ranges: int =
                 e, c, n = _packed(exits, counts)
                 yield pa.RecordBatch.from_pylist([{"path": r["path"], "no": r["no"], "a": r["a"], "b": r["b"], "exits": e, "codes": c, "counts": n}], pa.schema([("path", pa.string()), ("no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("exits", pa.list_(pa.int64())), ("codes", pa.binary()), ("counts", pa.binary())]))
 
-    spread = rows.repartition(F.col("path"), F.col("no")).sortWithinPartitions("path", "no")
-    maps = spread.mapInArrow(follow, MAP_SCHEMA).withColumn("block", F.floor(F.col("no") / block_ranges))
+    maps = checkpointed(spread(rows).mapInArrow(follow, MAP_SCHEMA).withColumn("block", F.floor(F.col("no") / block_ranges)))
 
     def compose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("no")
@@ -196,7 +209,27 @@ def index(files: DataFrame, range_bytes: int = RANGE_BYTES, block_ranges: int =
     of_blocks = blocks.withColumns({"entry": zero, "many": zero}).groupBy("path").applyInPandas(entered, entries)
     into = of_blocks.select("path", F.col("no").alias("block"), F.col("start").alias("entry"), F.col("first").alias("many"))
     found = maps.join(into, ["path", "block"]).groupBy("path", "block").applyInPandas(entered, entries)
-    return rows.join(found, ["path", "no"]).select("path", "no", "a", "b", "size", "start", "first", F.col("exit").alias("stop"))
+    spans = checkpointed(rows.join(found, ["path", "no"]).select("path", "no", "a", "b", "size", "start", "first", F.col("exit").alias("stop")))
+    return spans if each == 1 else checkpointed(divided(spans, range_bytes, each))
+
+
+def divided(spans: DataFrame, range_bytes: int, each: int) -> DataFrame:
+    """The same columns for the ranges of spans of ``each`` ranges; a span is read once more, from its first frame on."""
+    names = ("path", "no", "a", "b", "size", "start", "first", "stop")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.to_pylist():
+                p, n, rows = s["start"], s["first"], []
+                raw = _read(s["path"], p, min(s["b"] + 2, s["size"])).tobytes() if 0 <= p < s["b"] else b""
+                for k, a in enumerate(range(s["a"], s["b"], range_bytes)):
+                    b = min(a + range_bytes, s["b"])
+                    to, many = _chain(raw, p - s["start"], b - s["start"], s["start"], s["size"]) if 0 <= p < b else (p, 0)
+                    rows.append((s["path"], s["no"] * each + k, a, b, s["size"], p, n, to))
+                    p, n = to, n + many
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if name != "path" else pa.string()) for name, c in zip(names, zip(*rows, strict=True), strict=True)], names)
+
+    return spread(spans).mapInArrow(run, "path string, " + ", ".join(f"{name} long" for name in names[1:]))
 
 
 def starts_of(raw: bytes, p: int, end: int) -> np.ndarray:
@@ -222,7 +255,7 @@ def malformed(raw: bytes, left: int) -> tuple[int, str]:
 
 
 def frames_of(indexed: DataFrame, at_once: int = 50_000) -> DataFrame:
-    """The frames of the ranges of ``index``, each range in a task of its own or with neighbours; a malformed file raises."""
+    """The frames of the ranges of ``index``, each range in a task of its own or with others; a malformed file raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,4 +281,4 @@ def frames_of(indexed: DataFrame, at_once: int = 50_000) -> DataFrame:
                     n = len(a)
                     yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), pa.array(np.arange(r["first"] + k, r["first"] + k + n)), pa.array(r["start"] + a - 2), kinds, body], ["path", "seq", "offset", "msg_type", "body"])
 
-    return indexed.repartition("path", "no").mapInArrow(run, FRAME_SCHEMA)
+    return spread(indexed).mapInArrow(run, FRAME_SCHEMA)

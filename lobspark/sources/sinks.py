@@ -1,6 +1,7 @@
 """A sink of byte files of any layout, committed as a whole.
 
-Rows are (file, content): a task appends each row's bytes to the file of that name, in the order in which rows come. It writes
+Rows are (file, content): a task appends each row's bytes to the file of that name, in the order in which rows come; a batch's
+rows of one file go there at once. It writes
 under a folder of its own attempt; when all tasks are done their files are moved to their names, and when one has
 failed for good everything is removed. So a retried task leaves one copy, and a failed write none. The store is
 whatever ``pyarrow.fs`` writes to; the cluster's tasks and driver must share it.
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,26 +45,27 @@ class ByteFilesWriter(DataSourceArrowWriter):
         store, _, temporary = self.place()
         context = TaskContext.get()
         own = f"{temporary}/{context.partitionId()}-{context.taskAttemptId()}"
-        files: list[tuple[str, str]] = []
+        files: dict[str, str] = {}
         now, out = None, None
         try:
             for batch in iterator:
-                for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                    if name != now:
+                runs, at = pc.run_end_encode(batch.column("file"), run_end_type=pa.int64()), 0
+                for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    content, at = batch.column("content").slice(at, end - at), end
+                    if out is None or name != now:
                         if out:
                             out.close()
-                        if not name or "/" in name or name.startswith((".", "_")) or name in (f for _, f in files):
+                        if not name or "/" in name or name.startswith((".", "_")) or name in files:
                             raise ValueError(f"not a file's name, or its rows are apart: {name!r}")
                         if not files:
                             store.create_dir(own, recursive=True)
                         now, out = name, store.open_output_stream(f"{own}/{name}")
-                        files.append((f"{own}/{name}", name))
-                    if content.is_valid:
-                        out.write(content.as_buffer())
+                        files[name] = f"{own}/{name}"
+                    out.write(b"".join(content.drop_null().to_pylist()))
         finally:
             if out:
                 out.close()
-        return Written(files)
+        return Written([(at, name) for name, at in files.items()])
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root, temporary = self.place()

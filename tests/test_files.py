@@ -37,6 +37,19 @@ def test_ranges_give_the_frames_of_whole_files(spark, tmp_path, range_bytes):
     assert ranges.ranges_of(files, 700).count() > 100
 
 
+@pytest.mark.parametrize("span_bytes", [700, 2_800, 100_000])
+def test_small_ranges_are_divided_from_spans_and_read_by_many_tasks(spark, tmp_path, span_bytes):
+    for name, raw in (("a.bin", capture(3000)), ("b.bin", capture(40, 65_535)), ("c.bin", b"\0\1S")):
+        (tmp_path / name).write_bytes(raw)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    indexed = ranges.index(files, 700, 5, span_bytes)
+    assert sorted(tuple(r) for r in indexed.select("path", "no", "a", "b", "size").collect()) == sorted(tuple(r) for r in ranges.ranges_of(files, 700).collect())
+    got = ranges.frames_of(indexed)
+    assert got.select(F.spark_partition_id()).distinct().count() > 4
+    got, want = got.select("path", "seq", "offset", "msg_type", "body"), frames.read_whole_frames(spark, str(tmp_path))
+    assert got.count() == want.count() == 3041 and not got.exceptAll(want).count()
+
+
 @pytest.mark.parametrize("tail,what", [(b"\0\0\0\1A", "zero length"), (b"\0", "truncated length"), (b"\0\x09abc", "length past the end"), (b"\xff\xffab", "length past the end")])
 def test_malformed_files_raise_with_the_place(spark, tmp_path, tail, what):
     raw = capture(2000)
