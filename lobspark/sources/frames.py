@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lobspark.functions.scalars import BODY_LENGTH
 from lobspark.sources import ranges, sinks
 from lobspark.sources.splits import guarded
+from lobspark.sources.tables import checkpointed
 
 #: Where a field's bytes stand in a body, by type (fixed values of the wire format): offset and length.
 FIELDS = {
@@ -186,15 +187,17 @@ def write_frames(msgs: DataFrame, path: str, by: str = "path", order: str = "seq
 
 def write_tokens(tokens: DataFrame, path: str, at_once: int = 4096) -> None:
     """Writes a token file for each symbol of (symbol, place, token), named by it: magic, version 2, symbol, count, then
-    little-endian 16-bit ids in the order of their places. Ids go to the files in runs of ``at_once``."""
+    little-endian 16-bit ids in the order of their places. Ids go to the files in runs of ``at_once``, which are stored once for
+    the counts and the files."""
     little = lambda c, n: F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(c.cast("long"), 8 * k).bitwiseAND(255)), 2, "0")) for k in range(n)))
     name = F.col("symbol").cast("string")
-    counts = tokens.groupBy(name.alias("name")).agg(F.count("token").alias("n"))
+    runs = tokens.groupBy(name.alias("name"), F.floor(F.col("place") / at_once).alias("run")).agg(F.count("token").alias("n"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("t"))
+    hexed = F.transform("t", lambda t: F.concat(*(F.lpad(F.hex(F.shiftright(t["token"].cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(2))))
+    body = checkpointed(runs.select("name", "run", "n", F.unhex(F.array_join(hexed, "")).alias("content")))
+    counts = body.groupBy("name").agg(F.sum("n").alias("n"))
     head = F.concat(F.encode(F.concat(F.lit("OFTK"), F.lit("\2\0\0\0"), F.rpad("name", 12, "\0")), "ISO-8859-1"), little(F.col("n"), 8))
     heads = counts.select("name", F.lit(-1).cast("long").alias("run"), head.alias("content"))
-    runs = tokens.groupBy(name.alias("name"), F.floor(F.col("place") / at_once).alias("run")).agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
-    hexed = F.transform("t", lambda t: F.concat(*(F.lpad(F.hex(F.shiftright(t["token"].cast("long"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(2))))
-    body = runs.select("name", "run", F.unhex(F.array_join(hexed, "")).alias("content"))
+    body = body.drop("n")
     rows = heads.unionByName(body).repartition(F.xxhash64("name")).sortWithinPartitions("name", "run")
     sinks.write_bytes(rows.select(F.concat("name", F.lit(".oftk")).alias("file"), "content"), path)
 
@@ -204,15 +207,40 @@ def token_file(ticker: str, tokens: np.ndarray) -> bytes:
     return b"OFTK" + (2).to_bytes(4, "little") + ticker.encode().ljust(12, b"\0") + len(tokens).to_bytes(8, "little") + np.asarray(tokens, "<u2").tobytes()
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ticker, n, tokens) of token files; a wrong magic, version or length raises."""
+def _token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, ticker, n, content) of token files; a wrong magic, version or length raises."""
     c = F.col("content")
-    little = lambda o, n: F.conv(F.concat(*(F.substring(F.hex(c), 2 * (o + k) + 1, 2) for k in reversed(range(n)))), 16, 10).cast("long")
-    n = little(20, 8)
-    fine = (F.substring(c, 1, 4) == F.lit(b"OFTK")) & (little(4, 4) == 2) & (F.length(c) == 28 + 2 * n)
-    words = F.hex(F.substring(c, 29, 2**30))
-    ids = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.conv(F.concat(F.substring(words, (4 * k + 3).cast("int"), F.lit(2)), F.substring(words, (4 * k + 1).cast("int"), F.lit(2))), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+    n = _little(c, 20, 8)
+    fine = (F.substring(c, 1, 4) == F.lit(b"OFTK")) & (_little(c, 4, 4) == 2) & (F.length(c) == 28 + 2 * n)
     ticker = F.regexp_replace(F.decode(F.substring(c, 9, 12), "ISO-8859-1"), "\\x00+$", "")
-    files = spark.read.format("binaryFile").load(path)
-    checked = F.when(fine, ids).otherwise(F.raise_error(F.concat(F.lit("not a token file: "), F.col("path"))))
-    return files.select("path", ticker.alias("ticker"), n.alias("n"), checked.alias("tokens"))
+    checked = F.when(fine, n).otherwise(F.raise_error(F.concat(F.lit("not a token file: "), F.col("path"))))
+    return spark.read.format("binaryFile").load(path).select("path", ticker.alias("ticker"), checked.cast("long").alias("n"), "content")
+
+
+def _little(c: Column, at: Column | int, n: int) -> Column:
+    """Little-endian integer of some bytes."""
+    return F.conv(F.hex(F.concat(*(F.substring(c, at + k + 1, 1) for k in reversed(range(n))))), 16, 10).cast("long")
+
+
+def _ids(piece: Column) -> Column:
+    """The 16-bit ids in some bytes, as an array. For a lambda's variable: a row's column is copied whole for each id."""
+    return F.transform(F.sequence(F.lit(0), (F.length(piece) / 2).cast("int") - 1), lambda k: _little(piece, 2 * k, 2))
+
+
+def _pieces(at_once: int) -> Column:
+    """The ids' bytes of a token file that has some, in runs of ``at_once``."""
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / at_once))
+    return F.transform(runs, lambda r: F.substring(F.col("content"), (29 + 2 * at_once * r).cast("int"), F.lit(2 * at_once)))
+
+
+def read_tokens(spark: SparkSession, path: str, at_once: int = 4096) -> DataFrame:
+    """(path, ticker, n, tokens) of token files; a wrong magic, version or length raises."""
+    ids = F.when(F.col("n") > 0, F.flatten(F.transform(_pieces(at_once), _ids))).otherwise(F.array().cast("array<long>"))
+    return _token_files(spark, path).select("path", "ticker", "n", ids.alias("tokens"))
+
+
+def read_token_rows(spark: SparkSession, path: str, at_once: int = 4096) -> DataFrame:
+    """(path, ticker, place, token): the same as a row a token. A file is first cut into runs of ``at_once`` ids."""
+    pieces = _token_files(spark, path).where("n > 0").select("path", "ticker", F.posexplode(_pieces(at_once)).alias("run", "piece"))
+    rows = pieces.select("path", "ticker", "run", F.posexplode(F.transform(F.array("piece"), _ids)[0]).alias("k", "token"))
+    return rows.select("path", "ticker", (F.col("run").cast("long") * at_once + F.col("k")).alias("place"), "token")

@@ -5,6 +5,7 @@ import random
 import subprocess
 import sys
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -112,6 +113,35 @@ def test_written_tokens_come_back(spark, tmp_path):
         assert f.read() == frames.token_file("SPY", np.array(ids["SPY"]))
 
 
+def test_a_long_token_file_is_read_in_time_by_its_length(spark, tmp_path):
+    ids = [k % 65_536 for k in range(150_000)]
+    (tmp_path / "a.oftk").write_bytes(frames.token_file("SPY", ids))
+    (tmp_path / "b.oftk").write_bytes(frames.token_file("X", []))
+    began = time.monotonic()
+    assert {r.ticker: r.tokens for r in frames.read_tokens(spark, str(tmp_path)).collect()} == {"SPY": ids, "X": []}
+    for at_once in (4096, 150_000, 149_999):
+        rows = frames.read_token_rows(spark, str(tmp_path), at_once).collect()
+        assert [(r.ticker, r.place, r.token) for r in sorted(rows, key=lambda r: r.place)] == [("SPY", k, t) for k, t in enumerate(ids)]
+    assert time.monotonic() - began < 30  # minutes where each id looks through the file
+    for bad in (frames.token_file("Y", [1])[:-1], b"OFTX" + frames.token_file("Y", [])[4:], b"OF"):
+        (tmp_path / "b.oftk").write_bytes(bad)
+        with pytest.raises(Exception, match="not a token file"):
+            frames.read_token_rows(spark, str(tmp_path)).count()
+
+
+def test_tokens_are_made_once_for_a_write(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).selectExpr("concat('S', id % 2) AS symbol", "id div 2 AS place", "id AS token")
+    frames.write_tokens(rows.mapInArrow(counted, "symbol string, place long, token long"), str(tmp_path / "out"))
+    assert made.value == 500 and sorted(os.listdir(tmp_path / "out")) == ["S0.oftk", "S1.oftk"]
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     path = str(tmp_path / "out")
     good = spark.range(100).select(F.lit("a").alias("file"), F.lit(b"xy").alias("content"))
