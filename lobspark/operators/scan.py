@@ -20,10 +20,13 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], keys: tupl
     dealt = checkpointed(df.withColumns(terms).repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()))
     totals = dealt.groupBy(*keys, "_range").agg(*(F.sum(f"_{name}").alias(f"_total_{name}") for name in sums))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)).alias(f"_base_{name}") for name in sums))
+    bases = totals.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)).alias(f"_base_{name}") for name in sums))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = dealt.withColumns({f"_{name}": F.sum(f"_{name}").over(inside) for name in sums})
-    both = own.join(bases if keys else F.broadcast(bases), [*keys, "_range"])  # without keys a row for each range
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    both = own.join(bases if keys else F.broadcast(bases), same)  # without keys a row for each range
     return both.select(*df.columns, *((F.col(f"_{name}") + F.col(f"_base_{name}")).alias(name) for name in sums))
 
 

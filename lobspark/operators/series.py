@@ -1,7 +1,8 @@
 """Series by symbol: returns, tick series, calendar grids, exact order statistics, sign decisions.
 
-Input frames are (symbol, i, ts, mid) with i from 1 in time order, or (symbol, ts, seq, sign, shares) for fills. All
-windows partition by symbol, so that the operators of one chain share a single shuffle.
+Input frames are (symbol, i, ts, mid) with i from 1 in time order, or (symbol, ts, seq, sign, shares) for fills. Prices are
+numbered by ranges and compared within blocks of their numbers, so that no task holds a symbol's whole series; the
+windows over fills partition by symbol.
 """
 
 from __future__ import annotations
@@ -9,39 +10,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lobspark.operators import scan
 from lobspark.operators.selection import order_statistics
 
+#: Neighbouring values of a series that a window sees at once.
+BLOCK = 50_000
+
 
 def by(*cols: str):
     return Window.partitionBy(*cols)
 
 
 def ordered(df: DataFrame, *order: str, key: str = "symbol") -> DataFrame:
-    return df.withColumn("i", F.row_number().over(by(key).orderBy(*order)).cast("long"))
+    """``df`` with ``i``: the place, from 1, in a key's order; see ``scan``."""
+    return scan.numbered(df, list(order), "i", (key,))
+
+
+def with_last(series: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``series`` with ``last``: the mid before. i must number a symbol's values without holes.
+
+    A window has a block of a symbol's numbers, and the last value of the block before.
+    """
+    own = F.floor((F.col("i") - 1) / block)
+    each = F.when(F.col("i") % block == 0, F.array(own, own + 1)).otherwise(F.array(own))
+    w = by("symbol", "_block").orderBy("i")
+    dealt = series.withColumn("_own", own).withColumn("_block", F.explode(each))
+    return dealt.withColumn("last", F.lag("mid").over(w)).where("_own = _block").drop("_own", "_block")
 
 
 def tick_series(series: DataFrame) -> DataFrame:
     """Only the observations where the mid changed, numbered anew."""
-    last = F.lag("mid").over(by("symbol").orderBy("i"))
-    return ordered(series.withColumn("last", last).where("last IS NULL OR mid <> last").drop("last", "i"), "ts", "seq")
+    return ordered(with_last(series).where("last IS NULL OR mid <> last").drop("last", "i"), "ts", "seq")
 
 
 def log_returns(series: DataFrame) -> DataFrame:
     """(symbol, i, r); the first observation has none."""
-    r = F.log(F.col("mid") / F.lag("mid").over(by("symbol").orderBy("i")))
-    return series.select("symbol", "i", r.alias("r")).where("r IS NOT NULL")
+    return with_last(series).select("symbol", "i", F.log(F.col("mid") / F.col("last")).alias("r")).where("r IS NOT NULL")
 
 
 def locf_grid(series: DataFrame, step: int) -> DataFrame:
     """The last mid at ``ts <= t`` on the multiples of ``step`` from a symbol's first observation to its last.
 
-    A symbol's grid points are put among its observations (after them at equal times) and filled by a window.
+    The last observation up to each grid point and after the one before is found by an aggregate; a window fills the points
+    that have none, over a row a point.
     """
     ends = series.groupBy("symbol").agg(F.ceil(F.min("ts") / step).alias("a"), F.floor(F.max("ts") / step).alias("b")).where("a <= b")
-    points = ends.select("symbol", F.explode(F.transform(F.sequence("a", "b"), lambda k: k * step)).alias("ts")).select("symbol", "ts", F.lit(1).alias("grid"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("mid"))
-    both = series.select("symbol", "ts", F.lit(0).alias("grid"), "seq", "mid").unionByName(points)
-    carried = F.last("mid", ignorenulls=True).over(by("symbol").orderBy("ts", "grid", "seq"))
-    return ordered(both.withColumn("mid", carried).where("grid = 1").drop("grid"), "ts")
+    points = ends.select("symbol", F.explode(F.transform(F.sequence("a", "b"), lambda k: k * step)).alias("ts")).select("symbol", "ts", F.lit(1).alias("grid"), F.lit(None).cast("double").alias("mid"))
+    at = (F.ceil(F.col("ts") / step) * step).alias("ts")
+    seen = series.where("mid IS NOT NULL").groupBy("symbol", at).agg(F.max_by("mid", F.struct("ts", "seq")).alias("mid"))
+    both = seen.select("symbol", "ts", F.lit(0).alias("grid"), "mid").unionByName(points)
+    carried = F.last("mid", ignorenulls=True).over(by("symbol").orderBy("ts", "grid"))
+    return both.withColumn("mid", carried).where("grid = 1").drop("grid").withColumn("i", F.row_number().over(by("symbol").orderBy("ts")).cast("long"))
 
 
 def order_statistic(df: DataFrame, key: str, x: str, index: Column, name: str) -> DataFrame:

@@ -47,14 +47,15 @@ def acf(df: DataFrame, lags: int, x: str = "r", cap: Column | None = None, block
     cap: the largest lag of a symbol, from its count ``n``. i numbers a symbol's values without holes.
 
     A long series is dealt out in blocks that share what lags need at their border, so that a group has ``block``
-    values and ``lags`` more, whatever the symbol; sums of products of a block add up.
+    values and ``lags`` more, whatever the symbol; sums of products of a block add up. What is broadcast has a row a symbol.
     """
     block = max(block, lags)
+    df = checkpointed(df.select("symbol", "i", x))
     means = df.groupBy("symbol").agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"))
     means = means.where("n >= 3 AND v > 0").withColumn("s2", F.col("v") * F.col("n"))
     own = F.floor(F.col("i") / block)
     each = F.when((F.col("i") % block < lags), F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = df.join(means, "symbol").select("symbol", "i", (F.col(x) - F.col("m")).alias("d"), F.explode(each).alias("block"))
+    dealt = df.join(F.broadcast(means), "symbol").select("symbol", "i", (F.col(x) - F.col("m")).alias("d"), F.explode(each).alias("block"))
     kind = df.schema["symbol"].dataType.simpleString()
     sums = dealt.groupBy("symbol", "block").applyInPandas(lagged_products(lags, block), f"symbol {kind}, s array<double>")
     sums = sums.select("symbol", F.posexplode("s").alias("k", "s")).groupBy("symbol", "k").agg(F.sum("s").alias("s"))

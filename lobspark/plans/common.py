@@ -21,7 +21,11 @@ def price_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coarse_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with mids rounded to tens, so that neighbours are often equal."""
-    return price_series(spark, sf_dir).withColumn("mid", F.floor(F.col("mid") / 10) * 10.0 + 1)
+    return coarsened(price_series(spark, sf_dir))
+
+
+def coarsened(prices: DataFrame) -> DataFrame:
+    return prices.withColumn("mid", F.floor(F.col("mid") / 10) * 10.0 + 1)
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:

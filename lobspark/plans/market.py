@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lobspark.functions import scalars as fn
 from lobspark.operators import series, stats
 from lobspark.operators.selection import order_statistics
-from lobspark.plans.common import COARSE, EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, coarse_series, decisions_sql, events, fills, price_series, rounded
+from lobspark.plans.common import COARSE, EV, FILLS, HOUR, RETURNS, SERIES, acf_sql, coarse_series, coarsened, decisions_sql, events, fills, price_series, rounded
+from lobspark.sources.tables import checkpointed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -117,8 +118,9 @@ def y15(spark, sf_dir):
 
 
 def scales(spark, sf_dir):
-    tick = series.tick_series(coarse_series(spark, sf_dir))
-    return {"event": coarse_series(spark, sf_dir), "grid": series.locf_grid(price_series(spark, sf_dir), HOUR), "tick": tick}
+    prices = checkpointed(price_series(spark, sf_dir))
+    coarse = coarsened(prices)
+    return {"event": coarse, "grid": series.locf_grid(prices, HOUR), "tick": series.tick_series(coarse)}
 
 
 def _abs_acf_sql(source: str, name: str) -> str:

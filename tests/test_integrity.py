@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from lobspark.operators import ablation, book, calibration, fold, integrity, lineage, scan, selection, slices
+from lobspark.operators import ablation, book, calibration, fold, integrity, lineage, scan, selection, series, slices
 from lobspark.plans.books import feed
 
 SF = "/root/testdata/sf0.001"
@@ -219,3 +219,40 @@ def test_ablation_modes_read_the_tokens_once(spark, monkeypatch):
     monkeypatch.setattr(book, "replay", lambda *a, **k: replays.append(1) or replay(*a, **k))
     queries()["r01_ablation_modes"](spark, SF)
     assert len(replays) == 1 and len(plans) == 5 and not any("Window" in p or "Join" in p for p in plans)
+
+
+@pytest.mark.parametrize("block", [1, 3, 50_000])
+def test_series_are_numbered_and_compared_in_parts(spark, block):
+    rng = random.Random(5)
+    rows = [(k % 3 or None, rng.randint(0, 60), k, rng.choice([None, 10.0, 20.0])) for k in range(200)]
+    df = series.ordered(spark.createDataFrame(rows, "symbol long, ts long, seq long, mid double").repartition(5), "ts", "seq")
+    want = []
+    for symbol in (1, 2, None):
+        last, own = None, sorted((r for r in rows if r[0] == symbol), key=lambda r: r[1:3])
+        for i, r in enumerate(own):
+            want.append((*r, i + 1, last))
+            last = r[3]
+    got = series.with_last(df, block)
+    assert sorted(map(tuple, got.select("symbol", "ts", "seq", "mid", "i", "last").collect()), key=lambda r: r[2]) == sorted(want, key=lambda r: r[2])
+    with_mid = df.where("symbol IS NOT NULL")
+    for step in (1, 7):
+        grid = {(r.symbol, r.ts): (r.i, r.mid) for r in series.locf_grid(with_mid, step).collect()}
+        for symbol in (1, 2):
+            own = sorted((r[1:] for r in rows if r[0] == symbol), key=lambda r: r[:2])
+            points = [t for t in range(own[0][0], own[-1][0] + 1) if t % step == 0]
+            carried = [next((m for ts, _, m in reversed(own) if ts <= t and m is not None), None) for t in points]
+            assert [grid[symbol, t] for t in points] == [(i + 1, m) for i, m in enumerate(carried)]
+            assert sum(s == symbol for s, _ in grid) == len(points)
+
+
+def test_no_window_of_y17_has_a_symbols_whole_series(spark, monkeypatch):
+    """Rows of one symbol are dealt to several groups for numbering and for what is before them; only the grid has a row a point."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).selectExpr("1 AS symbol", "id AS ts", "id AS seq", "id % 7 + 1.0D AS mid").repartition(4)
+        parts = series.ordered(df, "ts", "seq")
+        assert max(r.n for r in parts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) < 15_000
+        lasts = series.with_last(parts, 100)
+        assert max(r.n for r in lasts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) < 15_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
