@@ -256,3 +256,43 @@ def test_no_window_of_y17_has_a_symbols_whole_series(spark, monkeypatch):
         assert max(r.n for r in lasts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) < 15_000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_slices_start_from_what_they_name(spark):
+    """Slices settle at once where their results hang on no order at a border: no more than named orders are handed on. Before, 12
+    slices ran, each handed its whole book."""
+    noisy = book.noisy_feed(feed(spark, SF)).where("locate <= 2")
+    got, rounds = slices.replay(noisy, 100)
+    want = fold.replay(noisy)
+    assert rounds[-1] == 0 and sum(rounds) <= 8
+    assert got.count() == want.count() and not got.select(*want.columns).exceptAll(want).count()
+    # 1,000 orders rest through 10 slices, of which each names one
+    rows = [(1, k, k, "A", k, None, "S", 10, 900 + k % 7) for k in range(1000)] + [(1, k, k, "X", k - 1000, None, None, 10, None) for k in range(1000, 2000)]
+    df = spark.createDataFrame(rows, "locate long, seq long, us long, msg_type string, order_ref long, new_ref long, side string, shares long, price long")
+    _, left, last, rounds = slices.verdicts(df, 200)
+    start = slices.starts(left, last)
+    assert rounds == [10, 0] and start.where("NOT best").count() == 1000 and slices.books(left, last).count() == 5000
+
+
+def test_results_by_slices_of_messages_at_random(spark):
+    """Every type and reject, few references that come again, and a type and references that are not there."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(3000):
+        t = rng.choice("AAAAFECXDDUUUZ")
+        ref, new = rng.choice([None, *range(1, 60)]), rng.choice([None, *range(1, 60)])
+        price = rng.randrange(95, 104) if t in "AFU" else None
+        rows.append((k % 3 + 1, k, k // 5, t, ref, new if t == "U" else None, rng.choice("BS") if t in "AF" else None, None if t == "D" else rng.randrange(0, 9), price))
+    rows.append((3, 3000, 3000, "E", 10**9, None, None, None, None))  # unknown before its shares are asked for
+    df = spark.createDataFrame(rows, "locate long, seq long, us long, msg_type string, order_ref long, new_ref long, side string, shares long, price long")
+    packs, _, _, rounds = slices.verdicts(df, 90)
+    got = {(r.locate, r.seq): (r.msg_type, r.result) for r in slices.opened(packs, ["seq", "msg_type"]).collect()}
+    want = {(r.locate, r.seq): (r.msg_type, r.result) for r in fold.replay(df).collect()}
+    assert rounds[0] > 30 and rounds[-1] == 0 and got == want and {r for _, r in got.values()} == set(slices.RESULTS)
+
+
+def test_results_of_a_message_that_lacks_its_price(spark):
+    df = spark.createDataFrame([(1, 1, 1, "A", 1, None, "B", 5, 90), (1, 2, 2, "A", 2, None, "S", 5, None)], "locate long, seq long, us long, msg_type string, order_ref long, new_ref long, side string, shares long, price long")
+    packs, *_ = slices.verdicts(df, 1)
+    with pytest.raises(Exception, match="lacks what its type needs"):
+        slices.opened(packs, ["seq"]).collect()
