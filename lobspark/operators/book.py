@@ -80,16 +80,18 @@ def noisy_feed(messages: DataFrame) -> DataFrame:
     """A feed without rejects, with every second E as a C, and with NOISE after its orders. seq is 32 times what it was,
     plus a number for what was put in; new_ref is added."""
     null = F.lit(None).cast("bigint")
-    plain = messages.select("locate", (F.col("seq") * 32).alias("seq"), "us", F.when((F.col("msg_type") == "E") & (F.col("seq") % 2 == 0), "C").otherwise(F.col("msg_type")).alias("msg_type"), "order_ref", null.alias("new_ref"), "side", "shares", "price")
+    kind = F.when((F.col("seq") % 2 == 0) & (F.col("msg_type") == "E"), "C").otherwise(F.col("msg_type"))
+    plain = F.struct(F.lit(0).alias("i"), kind.alias("msg_type"), "order_ref", null.alias("new_ref"), "side", F.col("shares").cast("bigint").alias("shares"), F.col("price").cast("bigint").alias("price"))
     buy = F.col("side") == "B"
     named = {"ref": F.col("order_ref"), "own1": F.col("order_ref") + 10**12, "own2": F.col("order_ref") + 2 * 10**12, "side": F.col("side"), "other": F.when(buy, "S").otherwise("B"), "price": F.col("price"), "far": F.when(buy, 2_000_000).otherwise(100)}
     of = lambda what, kind: F.lit(None).cast(kind) if what is None else (named[what] if what in named else F.expr(what)).cast(kind)
     each = [
-        F.when(F.col("seq") % 8 == k, F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("msg_type"), of(ref, "bigint").alias("order_ref"), of(new, "bigint").alias("new_ref"), of(side, "string").alias("side"), of(n, "bigint").alias("shares"), of(price, "bigint").alias("price")))
+        F.when(F.col("msg_type").isin(ADDS) & (F.col("seq") % 8 == k), F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("msg_type"), of(ref, "bigint").alias("order_ref"), of(new, "bigint").alias("new_ref"), of(side, "string").alias("side"), of(n, "bigint").alias("shares"), of(price, "bigint").alias("price")))
         for i, (k, t, ref, new, side, n, price, _) in enumerate(NOISE)
     ]
-    put_in = messages.where(F.col("msg_type").isin(ADDS)).select("locate", "seq", "us", F.explode(F.array_compact(F.array(*each))).alias("n"))
-    return plain.unionByName(put_in.select("locate", (F.col("seq") * 32 + F.col("n.i")).alias("seq"), "us", "n.msg_type", "n.order_ref", "n.new_ref", "n.side", "n.shares", "n.price"))
+    # one explode: what makes the messages is computed once
+    rows = messages.select("locate", "seq", "us", F.explode(F.array_compact(F.array(plain, *each))).alias("n"))
+    return rows.select("locate", (F.col("seq") * 32 + F.col("n.i")).alias("seq"), "us", "n.msg_type", "n.order_ref", "n.new_ref", "n.side", "n.shares", "n.price")
 
 
 #: Chains of replaces for each side of an instrument in ``chained_feed``.

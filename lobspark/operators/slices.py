@@ -138,10 +138,12 @@ class Part(fold.Book):
 
 
 def middle(adds: list[tuple[str, int]]) -> float | None:
-    """The price between those of (side, price) that the fewest are on the wrong side of."""
+    """The price between those of (side, price) that the fewest are on the wrong side of, and of such the one in the widest gap."""
     prices = sorted({p for _, p in adds})
-    between = [prices[0] - 1, *((a + b) / 2 for a, b in zip(prices, prices[1:])), prices[-1] + 1] if prices else []
-    return min(between, key=lambda c: sum(p > c if s == "B" else p < c for s, p in adds), default=None)
+    if len(prices) < 2:
+        return prices[0] if prices else None
+    wrong = lambda c: sum(p > c if s == "B" else p < c for s, p in adds)
+    return min((wrong((a + b) / 2), a - b, (a + b) / 2) for a, b in zip([prices[0] - 1, *prices], [*prices, prices[-1] + 1]))[2]
 
 
 class Guess(Part):
@@ -190,27 +192,30 @@ class Guess(Part):
 
 
 class _Rows:
-    """Rows of ``OUT``."""
+    """Rows of ``OUT`` by columns."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
+        self.columns: list[list] = [[] for _ in _fields(OUT)]
 
-    def orders(self, key: tuple[int, int], book: Part, refs, earlier, deltas: dict) -> None:
-        for ref in refs:
-            order = book.orders.get(ref)
-            state = (*order, book.pos[ref]) if order else (None, None, None, None)
-            self.rows.append((*key, ref, earlier, *state, deltas.get(ref), None))
+    def add(self, n: int, *columns) -> None:
+        for held, of in zip(self.columns, columns, strict=True):
+            held.extend(of if isinstance(of, list) else [of] * n)
+
+    def orders(self, key: tuple[int, int], book: Part, refs, earlier: bool | None = None, deltas: list | None = None) -> None:
+        refs = list(refs)
+        side, price, shares = ([o and o[k] for o in map(book.orders.get, refs)] for k in range(3))
+        self.add(len(refs), *key, refs, earlier, side, price, shares, [book.pos[r] if o else None for r, o in zip(refs, side)], deltas, None)
 
     def pack(self, key: tuple[int, int], pos: int, pack: bytes) -> None:
-        self.rows.append((*key, None, None, None, None, None, pos, None, pack))
+        self.add(1, *key, None, None, None, None, None, pos, None, pack)
 
     def batches(self, least: int = 10_000) -> Iterator[pa.RecordBatch]:
-        if len(self.rows) >= least:
-            fields = _fields(OUT)
-            for at in range(0, len(self.rows), 10_000):
-                cells = zip(*self.rows[at : at + 10_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cells, fields, strict=True)], [n for n, _ in fields])
-            self.rows = []
+        n = len(self.columns[0])
+        if n >= least:
+            whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(self.columns, _fields(OUT), strict=True)], [n for n, _ in _fields(OUT)])
+            self.__init__()
+            for at in range(0, n, 10_000):
+                yield whole.slice(at, 10_000)
 
 
 _NAMES = [f for f in fold.Message._fields if f != "locate"]
@@ -232,7 +237,7 @@ def guessed(messages: DataFrame, slice_messages: int) -> DataFrame:
             said = list(zip(*(values(rows[c].chunk(0)) for c in _SAID), strict=True))
             if begins:
                 if book:
-                    out.orders(key, book, book.named, None, book.named)
+                    out.orders(key, book, book.named, deltas=list(book.named.values()))
                 key = (rows["locate"][0].as_py(), rows["slice"][0].as_py())
                 pos = key[1] * SPAN
                 book = Guess([(m[3], m[5]) for m in said if m[0] in ("A", "F") and m[5] is not None][:WARM])
@@ -242,7 +247,7 @@ def guessed(messages: DataFrame, slice_messages: int) -> DataFrame:
             pos += 1
             yield from out.batches()
         if book:
-            out.orders(key, book, book.named, None, book.named)
+            out.orders(key, book, book.named, deltas=list(book.named.values()))
         yield from out.batches(1)
 
     return dealt.mapInArrow(run, OUT)
@@ -313,8 +318,8 @@ def run_slices(packs: DataFrame, start: DataFrame, slices: int) -> DataFrame:
         out, now, book, earlier = _Rows(), None, Part(), {}
 
         def leave() -> None:
-            out.orders(now, book, earlier, True, {})
-            out.orders(now, book, [ref for ref in book.orders if ref not in earlier], False, {})
+            out.orders(now, book, earlier, True)
+            out.orders(now, book, [ref for ref in book.orders if ref not in earlier], False)
 
         for batch in batches:
             for locate, part, best, ref, side, price, shares, pos, bid, ask, pack in zip(*(values(c) for c in batch.columns), strict=True):
