@@ -43,8 +43,8 @@ OUT = "locate long, slice long, order_ref long, earlier boolean, side string, pr
 START = ["locate", "slice", "best", "order_ref", "side", "price", "shares", "pos", "bid", "ask"]
 #: Orders of the whole book at the start of a slice.
 STATE = ["locate", "slice", "order_ref", "side", "price", "shares", "pos"]
-#: Adds at the beginning of a slice from which a guess takes where bids and asks meet.
-WARM = 64
+#: Adds at the beginning of a slice from which a guess takes where bids and asks meet, and those for which it asks that.
+MEET, WARM = 256, 64
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -153,7 +153,7 @@ class Guess(Part):
     def __init__(self, adds: list[tuple[str, int]]):
         super().__init__()
         self.named: dict[int, int | None] = {}
-        self.mid, self.left = middle(adds), len(adds)
+        self.mid, self.left = middle(adds), min(WARM, len(adds))
 
     def take(self, t: str, ref: int, new: int, side: str, shares: int, price: int, pos: int) -> str:
         known = self.named.setdefault(ref, 0) is None
@@ -240,7 +240,7 @@ def guessed(messages: DataFrame, slice_messages: int) -> DataFrame:
                     out.orders(key, book, book.named, deltas=list(book.named.values()))
                 key = (rows["locate"][0].as_py(), rows["slice"][0].as_py())
                 pos = key[1] * SPAN
-                book = Guess([(m[3], m[5]) for m in said if m[0] in ("A", "F") and m[5] is not None][:WARM])
+                book = Guess([(m[3], m[5]) for m in said if m[0] in ("A", "F") and m[5] is not None][:MEET])
             out.pack(key, pos, packed(rows.select(_NAMES).to_batches()[0]))
             for pos, m in enumerate(said, pos):  # noqa: B020
                 book.take(*m, pos)
